@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import line_dedup
+from tesselon.llm import line_dedup, substring_dedup
 from tesselon.llm._shared import read
 from tesselon.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -13,4 +13,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+}

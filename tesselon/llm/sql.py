@@ -22,3 +22,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLE_SQL["op8_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i
+  FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS l FROM documents))
+), windows AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s,
+         count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n
+  FROM words
+), hashed AS (SELECT doc_id, i, md5(s) AS h FROM windows WHERE n = 50),
+firsts AS (SELECT h, min(doc_id) AS least FROM hashed GROUP BY h),
+gone AS (SELECT doc_id, i FROM hashed JOIN firsts USING (h) WHERE least < doc_id),
+marked AS (
+  SELECT words.doc_id, words.i, w,
+         max(gone.i) OVER (PARTITION BY words.doc_id ORDER BY words.i) AS last_start
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (last_start + 49 >= i) AS n_removed,
+         string_agg(w, ' ' ORDER BY i) FILTER (last_start IS NULL OR last_start + 49 < i) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
