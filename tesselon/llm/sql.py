@@ -1,5 +1,9 @@
 """DuckDB SQL for the corpus queries that SQL can express on whole tables."""
 
+from __future__ import annotations
+
+from tesselon.llm.license_scan import LEAST_COVERAGE, NEIGHBOUR, template_grams
+
 ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op1_line_dedup"] = r"""
@@ -48,3 +52,82 @@ SELECT documents.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE_SQL["op9_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS BIGINT) AS size,
+         md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), dealt AS (
+  SELECT doc_id, source, size, CAST('0x' || substr(h, 1, 3) AS BIGINT) AS cell,
+         CAST(CAST('0x' || substr(h, 9, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS unit
+  FROM sized
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM dealt GROUP BY source
+), weighed AS (
+  SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+         source_size * 2.0::DOUBLE AS cap, CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE AS budget
+  FROM sources
+), leveled AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+            / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
+  FROM weighed
+), targets AS (
+  SELECT source, source_size, coalesce(least(cap, weight * max(CASE WHEN cap >= weight * lv THEN lv END) OVER ()), cap) AS target FROM leveled
+), plan AS (
+  SELECT cells.source, cells.cell, source_size, target, words, last,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0.0::DOUBLE END AS whole
+  FROM (SELECT source, cell, CAST(sum(size) AS BIGINT) AS words, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY cell) AS BIGINT) AS last
+        FROM dealt GROUP BY source, cell) AS cells
+  JOIN targets ON cells.source IS NOT DISTINCT FROM targets.source
+), parts AS (
+  SELECT *, CASE WHEN words = 0 THEN 0.0::DOUBLE
+                 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((target - whole * source_size) - (last - words)) / words)) END AS part
+  FROM plan
+)
+SELECT dealt.doc_id, dealt.size, parts.source_size, parts.target,
+       CAST(whole * dealt.size + least(dealt.size, floor(part * dealt.size + unit)) AS BIGINT) AS taken
+FROM dealt JOIN parts ON dealt.source IS NOT DISTINCT FROM parts.source AND dealt.cell = parts.cell
+"""
+
+
+def _license_sql() -> str:
+    values = ",\n    ".join(f"({t}, '{label}', {str(base).lower()}, {n}, {k}, '{' '.join(gram)}')" for t, label, base, n, k, gram in template_grams())
+    return rf"""
+WITH templates(template, label, base, grams, place, gram) AS (VALUES
+    {values}
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l
+  FROM documents
+), words AS (
+  SELECT r, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS i FROM docs
+), grams AS (
+  SELECT r, i, w || ' ' || lead(w, 1) OVER (PARTITION BY r ORDER BY i) || ' ' || lead(w, 2) OVER (PARTITION BY r ORDER BY i) AS gram FROM words
+), diagonals AS (
+  SELECT r, template, label, base, grams, i - place AS diagonal, bit_or(1::BIGINT << place) AS mask, min(i) AS first
+  FROM grams JOIN templates USING (gram) GROUP BY ALL
+), gaps AS (
+  SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER w > {NEIGHBOUR} THEN 1 ELSE 0 END AS gap
+  FROM diagonals WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)
+), islands AS (
+  SELECT *, sum(gap) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM gaps
+), spans AS (
+  SELECT r, label, base, min(first) AS first, bit_count(bit_or(mask))::DOUBLE / grams AS part
+  FROM islands GROUP BY r, template, label, base, grams, island
+), found AS (
+  SELECT r, count(*) FILTER (base AND part = 1) AS n_base, min(first) FILTER (base AND part = 1) AS first_word,
+         max(first) FILTER (base AND part = 1) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND part = 1) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (part >= CASE WHEN base THEN 1 ELSE {LEAST_COVERAGE} END) AS labels,
+         max(part) FILTER (NOT base OR part = 1) AS score
+  FROM spans GROUP BY r
+)
+SELECT doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+
+
+ORACLE_SQL["op4_license_scan"] = _license_sql()
