@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import license_scan, line_dedup, minhash, mixing, substring_dedup
+from tesselon.llm import license_scan, line_dedup, minhash, mixing, substring_dedup, toxicity
 from tesselon.llm._shared import read
 from tesselon.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -21,6 +21,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_toxicity": op5_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
