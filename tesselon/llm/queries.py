@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import license_scan, line_dedup, minhash, mixing, substring_dedup, toxicity
+from tesselon.llm import license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
 from tesselon.llm._shared import read
 from tesselon.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -33,6 +33,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -40,4 +44,5 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_secret_scan": op10_secret_scan,
 }
