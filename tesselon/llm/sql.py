@@ -90,6 +90,26 @@ SELECT dealt.doc_id, dealt.size, parts.source_size, parts.target,
 FROM dealt JOIN parts ON dealt.source IS NOT DISTINCT FROM parts.source AND dealt.cell = parts.cell
 """
 
+ORACLE_SQL["op7_embedding_dedup"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+  SELECT r, vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM rows
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), reached(a, b) AS (
+  SELECT vec_id, vec_id FROM rows
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), counted AS (SELECT r, count(*) AS n FROM links GROUP BY r),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT rows.vec_id, coalesce(n, 0) AS n_links, component_id, rows.vec_id = component_id AS kept
+FROM rows LEFT JOIN counted USING (r) JOIN least ON least.a = rows.vec_id
+"""
+
 
 def _license_sql() -> str:
     values = ",\n    ".join(f"({t}, '{label}', {str(base).lower()}, {n}, {k}, '{' '.join(gram)}')" for t, label, base, n, k, gram in template_grams())
