@@ -1,8 +1,68 @@
-"""Stages that turn the documents table into a training mix."""
+"""Stages that turn the documents table into a training mix.
 
-STAGES = []
+Each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+reread as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesselon.llm import decontaminate, line_dedup, minhash, mixing, toxicity
+from tesselon.llm._shared import maybe_broadcast, read, store
+
+#: A document is rejected if its toxicity is at least this.
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold of a grammar that is learnt from all labelled rows; empty texts stay."""
+    scored = toxicity.score_toxicity(docs, read(spark, sf_dir, "labels"))
+    return scored.where(F.col("toxicity") < TOXIC).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that five or more of them share, but in the one with the largest doc_id;
+    n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("n_dropped") > 0
+    return out.select(*[F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies by five-word shingles: the one with the smallest doc_id.
+    Rows of one doc_id stay or go together."""
+    found = minhash.near_duplicates(docs, size=5, percent=80)
+    gone = store(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(maybe_broadcast(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no copy of a benchmark item."""
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with size, source_size, target and taken, the words that the mix takes."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark_copies),
+    ("mix_sources", mix),
+]
+
+#: SQL cannot express the toxicity model; the stages are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; what a stage keeps is written to the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import decontaminate, embedding_dedup, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
+from tesselon.llm import decontaminate, embedding_dedup, language_model, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
 from tesselon.llm._shared import read
 from tesselon.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -33,6 +33,10 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_model": op2_language_model,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_toxicity": op5_toxicity,
