@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm._components import components
-from tesselon.llm._shared import forget, maybe_broadcast, store
+from tesselon.llm._shared import maybe_broadcast, store
 from tesselon.llm._text import Hasher, Words, mix, slices
 
 #: Bands of rows: a pair at similarity 0.85 shares no band with probability (1 - 0.85**6)**32 = 3e-7; at 0.8, 6e-5.
 BANDS, ROWS = 32, 6
 #: Members that one group of a star verifies against its centre.
 STAR_MEMBERS = 128
+#: Rows of a bucket that are compared with one another at once; larger buckets are compared block by block.
+BLOCK = 1024
+#: Bins may agree by so many standard deviations less than the threshold before a pair is given up.
+SLACK = 4.0
 _U = np.uint64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -66,6 +70,7 @@ def _signatures(size: int, column: str, id_column: str):
             row, hashes = shingle_sets(hasher, words, size)
             n = np.bincount(row, minlength=batch.num_rows)
             bands = np.zeros((batch.num_rows, BANDS), _U)
+            short = np.zeros((batch.num_rows, BANDS * ROWS), np.uint8)
             for i in range(0, batch.num_rows, 512):  # bounds the sketches in memory
                 here = slice(*np.searchsorted(row, [i, i + 512]))
                 cells = densified(row[here] - i, hashes[here], min(512, batch.num_rows - i), BANDS * ROWS).reshape(-1, BANDS, ROWS)
@@ -73,6 +78,7 @@ def _signatures(size: int, column: str, id_column: str):
                 for r in range(ROWS):
                     key = mix(key * _U(0x9E3779B97F4A7C15) + cells[:, :, r])
                 bands[i : i + 512] = key
+                short[i : i + 512] = (mix(cells) & _U(255)).reshape(len(cells), -1)
             starts = np.searchsorted(row, np.arange(batch.num_rows))
             full = n > 0
             sums = [np.zeros(batch.num_rows, _U) for _ in range(2)]
@@ -80,9 +86,10 @@ def _signatures(size: int, column: str, id_column: str):
                 if full.any():
                     s[full] = np.add.reduceat(mix(hashes ^ salt), starts[full])
             wide = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+            sketches = pa.array([x.tobytes() for x in short], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(id_column)), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), wide],
-                names=["doc", "n_shingles", "sig_a", "sig_b", "bands"],
+                [batch.column(batch.schema.get_field_index(id_column)), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), wide, sketches],
+                names=["doc", "n_shingles", "sig_a", "sig_b", "bands", "sketch"],
             )
 
     return run
@@ -129,19 +136,63 @@ def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return dealt.mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def _next_centres(keys: DataFrame, used: DataFrame, label: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
-    """Bucket rows of buckets that still hold several components, and their next centres: members of
-    small components first, those that were centres before left out."""
-    from pyspark.sql import Window
+def _promising(percent: int, best_only: bool):
+    """Rows of one bucket's pair of blocks arrive together. Emits pairs of different components whose
+    sketches agree nearly often enough: each row's best partner only, or all."""
+    least = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
+
+    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        doc, component, n, block = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        left, right = (np.flatnonzero(block == rows[0][1]), np.flatnonzero(block == rows[0][2]))
+        agree = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(sketch.shape[1]):
+            agree += sketch[left, k][:, None] == sketch[right, k]
+        most, fewest = np.maximum(n[left][:, None], n[right]), np.minimum(n[left][:, None], n[right])
+        fit = (component[left][:, None] != component[right]) & (100 * fewest >= percent * most) & (agree >= least * sketch.shape[1])
+        if not fit.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if best_only:
+            agree = np.where(fit, agree, 0)
+            i, j = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+            i, j = np.concatenate([i, agree[:, j].argmax(axis=0)]), np.concatenate([agree[i].argmax(axis=1), j])
+        else:
+            i, j = np.nonzero(fit)
+        return doc[left[i]], doc[right[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            a, b = pairs(held)
+            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["hub", "doc"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != at and held:
+                    yield flush()
+                    held = []
+                at = r[:3]
+                held.append(r)
+        if held:
+            yield flush()
+
+    return run
 
-    rows = keys.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rows = rows.join(mixed, "key")
-    share = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share"))
-    rest = rows.join(used, ["key", "doc"], "left_anti").join(share, ["key", "component"])
-    order = Window.partitionBy("key").orderBy("share", F.xxhash64("doc"), "doc")
-    centres = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= many).select("key", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    return rows, centres
+
+def _open_pairs(members: DataFrame, classes: DataFrame, label: DataFrame, tested: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (hub, doc) still to be confirmed, of buckets that hold several components."""
+    rows = members.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
+    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    rows = rows.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc")
+    other = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    other = other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "n", "block", "sketch")
+    dealt = other.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = dealt.mapInArrow(_promising(percent, best_only), "hub long, doc long").distinct()
+    known = tested.select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc"))
+    return store(pairs.join(known, ["hub", "doc"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -154,36 +205,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: s
     component and is kept. An empty table gives no rows. Only the id and the text are read.
 
     Rows with equal sets become one representative. Representatives that share a band are candidates in
-    the shape of a star: the smallest id of a bucket against the others. Where a bucket still holds
-    several components, further stars follow, twice as many in each round, until every pair of it has
-    been tested, is joined already or differs too much in size: no link between different texts that
-    share a band is lost, and pairs in a joined group are never expanded. Links are confirmed on full sets.
+    the shape of a star: the member of a bucket that meets most others over all its buckets, against the
+    rest; links are confirmed on full sets. Where a bucket then still holds several components, its rows'
+    sketches are compared block by block, and pairs of different components that agree nearly often
+    enough are confirmed too: first each row's best partner, then all that are left. So pairs within a
+    joined group are never expanded, and no link that the bands and sketches show is lost.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(column).alias("text"))
-    rows = store(texts.mapInArrow(_signatures(size, "text", "doc"), "doc long, n_shingles long, sig_a long, sig_b long, bands array<long>"))
+    rows = store(texts.mapInArrow(_signatures(size, "text", "doc"), "doc long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary"))
     full = rows.where("n_shingles > 0 AND doc IS NOT NULL")
-    classes = store(full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min(F.struct("doc", "bands")).alias("least"), F.count(F.lit(1)).alias("copies")).select("sig_a", "sig_b", F.col("n_shingles").alias("n"), F.col("least.doc").alias("rep"), "least.bands", "copies"))
+    classes = full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min(F.struct("doc", "bands", "sketch")).alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = store(classes.select("sig_a", "sig_b", F.col("n_shingles").alias("n"), F.col("least.doc").alias("rep"), "least.bands", "least.sketch", "copies"))
     keys = classes.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    keys = store(keys.join(buckets, "key").select("key", "doc", "n", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n")))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = store(keys.join(buckets, "key"))
+    reach = members.groupBy("doc").agg(F.sum("m").alias("reach"))
+    hubs = members.join(reach, "doc").groupBy("key").agg(F.max(F.struct("reach", (-F.col("doc")).alias("minus"), "n")).alias("hub"))
+    hubs = hubs.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
     alike = F.expr(f"100 * least(n, hub_n) >= {int(percent)} * greatest(n, hub_n)")
-    fresh = store(keys.where((F.col("doc") != F.col("hub")) & alike).select("hub", "doc").distinct())
-    links = store(confirmed(fresh, texts, size, percent))
-    tested, used, many = fresh, keys.select("key", F.col("hub").alias("doc")).distinct(), 1
-    members = keys.select("key", "doc", "n")
+    tested = store(members.join(hubs, "key").where((F.col("doc") != F.col("hub")) & alike).select("hub", "doc").distinct())
+    links = store(confirmed(tested, texts, size, percent))
     label = components(links)
-    while True:
-        inside, centres = _next_centres(members, used, label, many)
-        centres = store(centres)
-        if not centres.limit(1).count():
-            break
-        pairs = inside.join(centres, "key").where((F.col("component") != F.col("hub_component")) & alike).select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc")).distinct()
-        known = tested.select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc"))
-        fresh = store(pairs.join(known, ["hub", "doc"], "left_anti"))
-        used = used.unionByName(centres.select("key", F.col("hub").alias("doc")))
-        many *= 2
+    for best_only in (True, False):
+        fresh = _open_pairs(members, classes, label, tested, percent, best_only)
         if not fresh.limit(1).count():
-            continue
+            break
         more = store(confirmed(fresh, texts, size, percent))
         tested = tested.unionByName(fresh)
         if more.limit(1).count():
@@ -192,6 +238,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: s
     # Copies follow their class; classes of one row need no join.
     classes = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = classes.select("sig_a", "sig_b", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep"), "copies")
-    placed = rows.drop("bands").join(found.where("copies > 1 OR component_id <> rep").select("sig_a", "sig_b", "n_shingles", "component_id"), ["sig_a", "sig_b", "n_shingles"], "left")
+    placed = rows.drop("bands", "sketch").join(found.where("copies > 1 OR component_id <> rep").select("sig_a", "sig_b", "n_shingles", "component_id"), ["sig_a", "sig_b", "n_shingles"], "left")
     placed = placed.select(F.col("doc").alias(id_column), "n_shingles", F.expr("CASE WHEN n_shingles > 0 AND doc IS NOT NULL THEN coalesce(component_id, doc) ELSE doc END").alias("component_id"))
     return placed.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
