@@ -1,6 +1,540 @@
-"""Registered queries of the tile engine and the SQL they are checked against."""
+"""Registered queries of the tile engine and the SQL they are checked against.
+
+Points, layers and sizes are derived from the tables, so that both engines see the same tiles.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesselon.functions import coords as C
+from tesselon.functions import values as V
+from tesselon.operators import general, levels, reports, vector
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+KEY = ["z", "x", "y"]
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = f"{_PRELUDE}\n{sql}"
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    place = lambda a, m, width, low: F.lit(low) + F.lit(width) * ((F.col("event_id") * a) % m) / float(m)
+    return e.select("event_id", "event_type", "user_id", "props", F.round(F.col("value") * 100).cast("bigint").alias("v"), place(7919, 100003, 360.0, -180.0).alias("lon"), place(104729, 99991, 170.0, -85.0).alias("lat"))
+
+
+def tiled(spark: SparkSession, sf_dir: str, z: int) -> DataFrame:
+    p = points(spark, sf_dir)
+    return p.withColumns({"z": F.lit(z).cast("bigint"), "x": C.tile_x("lon", F.lit(z)), "y": C.tile_y("lat", F.lit(z))})
+
+
+def sized(spark: SparkSession, sf_dir: str, z: int) -> DataFrame:
+    """One row for each tile, its size the number of its events."""
+    return tiled(spark, sf_dir, z).groupBy(KEY).agg(F.count(F.lit(1)).alias("size"), F.sum("v").alias("v"))
+
+
+def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sized tiles of levels 0 to 6, each event in every level."""
+    p = points(spark, sf_dir).withColumn("z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))))
+    return p.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")}).groupBy(KEY).agg(F.count(F.lit(1)).alias("size"), F.sum("v").alias("v"))
+
+
+def features(spark: SparkSession, sf_dir: str, z: int = 4) -> DataFrame:
+    """Events as features: layer event_type, properties uid (text), n (number), big (true or false)."""
+    t = tiled(spark, sf_dir, z)
+    props = F.create_map(F.lit("uid"), F.concat(F.lit('"'), F.pmod("user_id", F.lit(200)).cast("string"), F.lit('"')), F.lit("n"), F.col("v").cast("string"), F.lit("big"), F.when(F.col("v") > 5000, "true").otherwise("false"))
+    props = F.map_filter(props, lambda k, v: v.isNotNull() & ((k != "n") | (F.col("event_id") % 5 != 0)))
+    return t.select(*KEY, F.col("event_type").alias("layer"), F.col("event_id").alias("feat_no"), F.col("event_id").alias("id"), props.alias("props"))
+
+
+_PRELUDE = r"""
+WITH p AS (
+  SELECT event_id, event_type, user_id, props, CAST(round(value * 100) AS BIGINT) AS v,
+         -180.0::DOUBLE + 360.0::DOUBLE * ((event_id * 7919) % 100003) / 100003.0::DOUBLE AS lon,
+         -85.0::DOUBLE + 170.0::DOUBLE * ((event_id * 104729) % 99991) / 99991.0::DOUBLE AS lat
+  FROM events
+), t AS (
+  SELECT p.*, l.z,
+         CAST(greatest(0, least(pow(2, l.z) - 1, floor(pow(2, l.z) * (lon / 360.0 + 0.5)))) AS BIGINT) AS x,
+         CAST(greatest(0, least(pow(2, l.z) - 1, floor(pow(2, l.z) * (0.5 - 0.5 * ln(tan(lat * pi() / 360.0 + pi() / 4.0)) / pi())))) AS BIGINT) AS y
+  FROM p, (SELECT CAST(range AS BIGINT) AS z FROM range(0, 15)) AS l
+), s AS (
+  SELECT z, x, y, count(*) AS size, CAST(sum(v) AS BIGINT) AS v FROM t GROUP BY z, x, y
+), f AS (
+  SELECT z, x, y, event_type AS layer, event_id AS id, CAST(user_id % 200 AS VARCHAR) AS uid,
+         CASE WHEN event_id % 5 <> 0 THEN v END AS n, v > 5000 AS big
+  FROM t WHERE z = 4
+)"""
+
+
+# --- coordinates ---------------------------------------------------------------------------------
+
+
+@query("SELECT z, x, y, size AS n FROM s WHERE z IN (4, 8, 14)")
+def tile_bin(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("z", F.explode(F.array(*[F.lit(z).cast("bigint") for z in (4, 8, 14)])))
+    return p.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")}).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT z, x, y, round(x / pow(2, z) * 360 - 180, 6) AS west, round(degrees(2 * atan(exp(pi() * (1 - 2 * (y + 1) / pow(2, z))))) - 90, 6) AS south,
+round((x + 1) / pow(2, z) * 360 - 180, 6) AS east, round(degrees(2 * atan(exp(pi() * (1 - 2 * y / pow(2, z))))) - 90, 6) AS north FROM s WHERE z = 6""")
+def tile_geo_bbox(spark, sf_dir):
+    box = sized(spark, sf_dir, 6).select(*KEY, C.geo_bbox("z", "x", "y").alias("b"))
+    return box.select(*KEY, *[F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query("""SELECT z, x, y, round((x / pow(2, z) - 0.5) * 2 * pi() * 6378137.0, 2) AS x_min, round((0.5 - (y + 1) / pow(2, z)) * 2 * pi() * 6378137.0, 2) AS y_min,
+round(((x + 1) / pow(2, z) - 0.5) * 2 * pi() * 6378137.0, 2) AS x_max, round((0.5 - y / pow(2, z)) * 2 * pi() * 6378137.0, 2) AS y_max FROM s WHERE z = 6""")
+def tile_mercator_bbox(spark, sf_dir):
+    box = sized(spark, sf_dir, 6).select(*KEY, C.mercator_bbox("z", "x", "y").alias("b"))
+    return box.select(*KEY, *[F.round(f"b.{c}", 2).alias(c) for c in ("x_min", "y_min", "x_max", "y_max")])
+
+
+@query("SELECT z, x, y, round(cos(2 * atan(exp(pi() * (1 - 2 * (y + 0.5) / pow(2, z)))) - pi() / 2) * 2 * pi() * 6378137.0 / pow(2, z), 3) AS metres FROM s WHERE z = 6")
+def ground_size(spark, sf_dir):
+    return sized(spark, sf_dir, 6).select(*KEY, F.round(C.ground_size("z", "y"), 3).alias("metres"))
+
+
+@query("SELECT event_id, round(lon * pi() / 180 * 6378137.0, 3) AS mx, round(6378137.0 * ln(tan(lat * pi() / 360 + pi() / 4)), 3) AS my FROM p")
+def mercator_points(spark, sf_dir):
+    return points(spark, sf_dir).select("event_id", F.round(C.mercator_x("lon"), 3).alias("mx"), F.round(C.mercator_y("lat"), 3).alias("my"))
+
+
+@query("SELECT z, x, y, CAST(floor((pow(4, z) - 1) / 3) AS BIGINT) + CAST(pow(2, z) AS BIGINT) * y + x AS idx FROM s WHERE z <= 6")
+def sort_index(spark, sf_dir):
+    return pyramid(spark, sf_dir).select(*KEY, C.sort_index("z", "x", "y").alias("idx"))
+
+
+@query("""SELECT z, x, y, CAST(list_sum(list_transform(range(0, z), lambda i: (((x >> i) & 1) + 2 * ((y >> i) & 1)) * (1::BIGINT << (2 * i)))) AS BIGINT) AS code FROM s WHERE z BETWEEN 1 AND 6""")
+def morton(spark, sf_dir):
+    return pyramid(spark, sf_dir).where("z >= 1").select(*KEY, C.morton("z", "x", "y").alias("code"))
+
+
+@query("""SELECT z, x, y, array_to_string(list_transform(range(z - 1, -1, -1), lambda i: CAST(((x >> i) & 1) + 2 * ((y >> i) & 1) AS VARCHAR)), '') || '4' AS k FROM s WHERE z <= 6""")
+def depth_first_key(spark, sf_dir):
+    return pyramid(spark, sf_dir).select(*KEY, C.depth_first_key("z", "x", "y").alias("k"))
+
+
+@query("""SELECT z, x, y, (list_reduce(list_prepend({'px': x, 'py': y, 'd': 0::BIGINT}, list_transform(range(z - 1, -1, -1), lambda i: {'px': i, 'py': 0::BIGINT, 'd': 0::BIGINT})),
+  lambda a, i: {
+    'px': CASE WHEN (a.py >> i.px) & 1 = 0 THEN CASE WHEN (a.px >> i.px) & 1 = 1 THEN (1::BIGINT << i.px) - 1 - a.py ELSE a.py END ELSE a.px END,
+    'py': CASE WHEN (a.py >> i.px) & 1 = 0 THEN CASE WHEN (a.px >> i.px) & 1 = 1 THEN (1::BIGINT << i.px) - 1 - a.px ELSE a.px END ELSE a.py END,
+    'd': a.d * 4 + xor(3 * ((a.px >> i.px) & 1), (a.py >> i.px) & 1)})).d + CAST(floor((pow(4, z) - 1) / 3) AS BIGINT) AS id FROM s WHERE z BETWEEN 1 AND 6""")
+def hilbert_id(spark, sf_dir):
+    return pyramid(spark, sf_dir).where("z >= 1").select(*KEY, C.hilbert_id("z", "x", "y").alias("id"))
+
+
+# --- filters, remapping, stacking ----------------------------------------------------------------
+
+
+@query("SELECT z, x, y, size FROM s WHERE z BETWEEN 2 AND 4")
+def filter_zoom(spark, sf_dir):
+    return general.filter_tiles(pyramid(spark, sf_dir), level_min=2, level_max=4).select(*KEY, "size")
+
+
+def _box_sql(border: int) -> str:
+    ranges = {z: C.bbox_to_range((0, 0, 40, 20), z, border) for z in range(7)}
+    tests = " OR ".join(f"(z = {z} AND x BETWEEN {a} AND {c} AND y BETWEEN {b} AND {d})" for z, (a, b, c, d) in ranges.items())
+    return f"SELECT z, x, y, size FROM s WHERE {tests}"
+
+
+@query(_box_sql(0))
+def filter_bbox(spark, sf_dir):
+    return general.filter_tiles(pyramid(spark, sf_dir), bbox=(0, 0, 40, 20)).select(*KEY, "size")
+
+
+@query(_box_sql(2))
+def filter_bbox_border(spark, sf_dir):
+    return general.filter_tiles(pyramid(spark, sf_dir), bbox=(0, 0, 40, 20), bbox_border=2).select(*KEY, "size")
+
+
+@query("SELECT z, x, y, size FROM s WHERE z = 5 AND EXISTS (SELECT 1 FROM t WHERE event_id % 7 = 0 AND t.z = 5 AND t.x = s.x AND t.y = s.y)")
+def filter_mask(spark, sf_dir):
+    return general.filter_tiles(sized(spark, sf_dir, 5), mask=tiled(spark, sf_dir, 5).where("event_id % 7 = 0")).select(*KEY, "size")
+
+
+for _name, _args, _sql in (
+    ("remap_flip_x", {"flip_x": True}, "CAST(pow(2, z) AS BIGINT) - 1 - x AS x, y"),
+    ("remap_flip_y", {"flip_y": True}, "x, CAST(pow(2, z) AS BIGINT) - 1 - y AS y"),
+    ("remap_swap_xy", {"swap_xy": True}, "y AS x, x AS y"),
+    ("remap_all", {"flip_x": True, "flip_y": True, "swap_xy": True}, "CAST(pow(2, z) AS BIGINT) - 1 - y AS x, CAST(pow(2, z) AS BIGINT) - 1 - x AS y"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, args=_args: general.remap_coords(sized(spark, sf_dir, 6), **args).select(*KEY, "size")
+    ORACLE_SQL[_name] = f"{_PRELUDE}\nSELECT z, {_sql}, size FROM s WHERE z = 6"
+
+
+def _third(spark, sf_dir, k: int, z: int = 5) -> DataFrame:
+    own = tiled(spark, sf_dir, z).where(F.col("event_id") % (3 * (k + 1)) == k)
+    return own.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.lit(k).cast("bigint").alias("src"))
+
+
+_THIRDS = """, src AS (SELECT z, x, y, count(*) AS n, 0::BIGINT AS src FROM t WHERE z = 5 AND event_id % 3 = 0 GROUP BY z, x, y
+UNION ALL SELECT z, x, y, count(*), 1::BIGINT FROM t WHERE z = 5 AND event_id % 6 = 1 GROUP BY z, x, y
+UNION ALL SELECT z, x, y, count(*), 2::BIGINT FROM t WHERE z = 5 AND event_id % 9 = 2 GROUP BY z, x, y)"""
+
+
+@query(_THIRDS + " SELECT z, x, y, n, src FROM src QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY src) = 1")
+def stacked(spark, sf_dir):
+    return general.stack([_third(spark, sf_dir, k) for k in range(3)])
+
+
+@query(_THIRDS + " SELECT z, x, y, n, src FROM src QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY src) = 1 AND bool_or(n >= 4) OVER (PARTITION BY z, x, y)")
+def stacked_native_policy(spark, sf_dir):
+    return general.stack_native([_third(spark, sf_dir, k) for k in range(3)], F.col("n") >= 4)
+
+
+@query("""SELECT z, x, y, layer, row_number() OVER (PARTITION BY z, x, y, layer ORDER BY id % 2, id) - 1 AS feat_no, id FROM f""")
+def merged_vector(spark, sf_dir):
+    f = features(spark, sf_dir).select(*KEY, "layer", "feat_no", "id")
+    return general.merge_features([f.where("id % 2 = 0"), f.where("id % 2 = 1")])
+
+
+@query("SELECT z, x, y, min(event_id) AS event_id FROM t WHERE z = 7 GROUP BY z, x, y")
+def sink_first_wins(spark, sf_dir):
+    return general.first_of_each(tiled(spark, sf_dir, 7).select(*KEY, "event_id"), "event_id")
+
+
+_A, _B = ("(SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 2 = 0)", "(SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 3 = 0)")
+for _name, _op, _word in (("cover_union", general.cover_union, "UNION"), ("cover_intersection", general.cover_intersection, "INTERSECT"), ("cover_difference", general.cover_difference, "EXCEPT")):
+    QUERIES[_name] = lambda spark, sf_dir, op=_op: op(tiled(spark, sf_dir, 6).where("event_id % 2 = 0"), tiled(spark, sf_dir, 6).where("event_id % 3 = 0"))
+    ORACLE_SQL[_name] = f"{_PRELUDE}\nSELECT * FROM {_A} {_word} SELECT * FROM {_B}"
+
+
+@query("""SELECT DISTINCT z, x + dx AS x, y + dy AS y FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 50 = 0),
+(SELECT CAST(range AS BIGINT) AS dx FROM range(-2, 3)), (SELECT CAST(range AS BIGINT) AS dy FROM range(-2, 3)) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63""")
+def cover_buffer(spark, sf_dir):
+    return general.cover_buffer(tiled(spark, sf_dir, 6).where("event_id % 50 = 0"), 2)
+
+
+@query("""SELECT z, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS tiles,
+CAST(floor(count(*) * 100 / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1))) AS BIGINT) AS percent FROM s WHERE z <= 6 GROUP BY z""")
+def coverage_pyramid(spark, sf_dir):
+    return general.pyramid_summary(pyramid(spark, sf_dir))
+
+
+@query("""SELECT round(sum(n * (a / pow(2, z) * 360 - 180)) / sum(n), 6) AS west, round(sum(n * (degrees(2 * atan(exp(pi() * (1 - 2 * (d + 1) / pow(2, z))))) - 90)) / sum(n), 6) AS south,
+round(sum(n * ((b + 1) / pow(2, z) * 360 - 180)) / sum(n), 6) AS east, round(sum(n * (degrees(2 * atan(exp(pi() * (1 - 2 * c / pow(2, z))))) - 90)) / sum(n), 6) AS north
+FROM (SELECT z, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d, count(*) AS n FROM s WHERE z <= 6 GROUP BY z)""")
+def weighted_bbox(spark, sf_dir):
+    return general.weighted_bbox(pyramid(spark, sf_dir))
+
+
+# --- features ------------------------------------------------------------------------------------
+
+_FLAT = "z, x, y, layer, id, uid, n, big"
+
+
+def flat(f: DataFrame, *more: str) -> DataFrame:
+    prop = lambda k: F.try_element_at("props", F.lit(k))
+    return f.select(*KEY, "layer", "id", vector.plain(prop("uid")).alias("uid"), prop("n").try_cast("bigint").alias("n"), prop("big").try_cast("boolean").alias("big"), *[vector.plain(prop(k)).alias(k) for k in more])
+
+
+@query(f"SELECT {_FLAT} FROM f WHERE layer NOT IN ('click', 'view')")
+def filter_layers(spark, sf_dir):
+    return flat(vector.filter_layers(features(spark, sf_dir), ["click", "view"]))
+
+
+@query(f"SELECT {_FLAT} FROM f WHERE layer IN ('click', 'view')")
+def filter_layers_invert(spark, sf_dir):
+    return flat(vector.filter_layers(features(spark, sf_dir), ["click", "view"], invert=True))
+
+
+@query("SELECT z, x, y, layer, id, CASE WHEN layer <> 'click' THEN uid END AS uid, CAST(NULL AS BIGINT) AS n, big FROM f")
+def filter_properties(spark, sf_dir):
+    return flat(vector.filter_properties(features(spark, sf_dir), "^click/uid$|/n$"))
+
+
+@query("SELECT z, x, y, layer, id, CASE WHEN layer = 'click' THEN uid END AS uid, n, CAST(NULL AS BOOLEAN) AS big FROM f")
+def filter_properties_invert(spark, sf_dir):
+    return flat(vector.filter_properties(features(spark, sf_dir), "^click/uid$|/n$", invert=True))
+
+
+for _name, _expr, _sql in (
+    ("eq", 'uid == "7"', "uid = '7'"),
+    ("range_and", "n >= 1000 && n < 6000 && !big", "n >= 1000 AND n < 6000 AND NOT big"),
+    ("in_list", 'uid in ["1", "2", "33"] || big', "uid IN ('1', '2', '33') OR big"),
+    ("regex", 'uid.matches("^1.*9$")', "regexp_matches(uid, '^1.*9$')"),
+    ("null", "n == null", "n IS NULL"),
+    ("has", 'has(props.n) && props["n"] != 0', "n IS NOT NULL AND n <> 0"),
+    ("error_drops", "uid > 5", "FALSE"),
+    ("not_boolean_drops", "n", "FALSE"),
+):
+    QUERIES[f"filter_features_{_name}"] = lambda spark, sf_dir, e=_expr: flat(vector.filter_features(features(spark, sf_dir), ["click", "purchase", "view", "signup", "error"], e))
+    ORACLE_SQL[f"filter_features_{_name}"] = f"{_PRELUDE}\nSELECT {_FLAT} FROM f WHERE layer NOT IN ('click', 'purchase', 'view', 'signup', 'error') OR coalesce({_sql}, FALSE)"
+
+
+def _dim(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey < 120")
+    return c.select(F.col("c_custkey").cast("string").alias("key_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").alias("line"))
+
+
+_DIM = ", d AS (SELECT CAST(c_custkey AS VARCHAR) AS key_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS dn FROM customer WHERE c_custkey < 120)"
+
+
+@query(_DIM + " SELECT z, x, y, layer, id, uid, coalesce(dn, n) AS n, big, name FROM f LEFT JOIN d ON layer = 'click' AND uid = key_id")
+def update_properties_left(spark, sf_dir):
+    return flat(vector.update_properties(features(spark, sf_dir), _dim(spark, sf_dir), "click", "uid", "key_id", line="line"), "name")
+
+
+@query(_DIM + " SELECT z, x, y, layer, id, uid, coalesce(dn, n) AS n, big, name FROM f LEFT JOIN d ON layer = 'click' AND uid = key_id WHERE layer <> 'click' OR key_id IS NOT NULL")
+def update_properties_inner(spark, sf_dir):
+    return flat(vector.update_properties(features(spark, sf_dir), _dim(spark, sf_dir), "click", "uid", "key_id", remove_non_matching=True, line="line"), "name")
+
+
+@query(_DIM + """ SELECT z, x, y, layer, id, CASE WHEN key_id IS NULL THEN uid END AS uid, CASE WHEN key_id IS NULL THEN n ELSE dn END AS n,
+CASE WHEN key_id IS NULL THEN big END AS big, name, key_id FROM f LEFT JOIN d ON layer = 'click' AND uid = key_id""")
+def update_properties_replace(spark, sf_dir):
+    return flat(vector.update_properties(features(spark, sf_dir), _dim(spark, sf_dir), "click", "uid", "key_id", replace_properties=True, include_id=True, line="line"), "name", "key_id")
+
+
+@query("""SELECT layer, field, CASE field WHEN 'uid' THEN 'String' WHEN 'n' THEN 'Number' ELSE 'Boolean' END AS type, 4::BIGINT AS minzoom, 4::BIGINT AS maxzoom
+FROM (SELECT DISTINCT layer, unnest(CASE WHEN n IS NULL THEN ['uid', 'big'] ELSE ['uid', 'n', 'big'] END) AS field FROM f)""")
+def field_schema_rank(spark, sf_dir):
+    return vector.field_types(features(spark, sf_dir))
+
+
+@query("""SELECT layer, 'any' AS field, CASE WHEN bool_or(id % 2 = 0) AND bool_or(id % 2 = 1) THEN 'String' WHEN bool_or(id % 2 = 0) THEN 'Boolean' ELSE 'Number' END AS type,
+4::BIGINT AS minzoom, 4::BIGINT AS maxzoom FROM f WHERE id < 60 GROUP BY layer""")
+def field_schema_conflict(spark, sf_dir):
+    f = features(spark, sf_dir).where("id < 60").withColumn("props", F.create_map(F.lit("any"), F.when(F.col("id") % 2 == 0, "true").otherwise("12")))
+    return vector.field_types(f, "conflict")
+
+
+@query("""SELECT layer, attribute, problem, count(*) AS features FROM (
+  SELECT layer, 'n' AS attribute, CASE WHEN n IS NULL THEN 'missing' END AS problem FROM f WHERE layer = 'click'
+  UNION ALL SELECT layer, 'uid', 'type' FROM f WHERE layer = 'view'
+  UNION ALL SELECT layer, 'big', 'zoom' FROM f WHERE layer = 'view') WHERE problem IS NOT NULL GROUP BY ALL""")
+def schema_rules(spark, sf_dir):
+    rules = spark.createDataFrame([("click", "n", "Number", True, 0), ("view", "uid", "Number", True, 0), ("view", "big", "Boolean", True, 9)], "layer string, attribute string, type string, required boolean, minzoom int")
+    return reports.schema_violations(features(spark, sf_dir), rules)
+
+
+@query("""SELECT z, x, y, layer, pos, coalesce(extent, 4096) AS extent, coalesce(version, 1) AS version
+FROM (SELECT z, x, y, layer, id AS pos, CASE WHEN id % 2 = 0 THEN 512 END AS extent, CASE WHEN id % 3 = 0 THEN 2 END AS version FROM f)
+QUALIFY row_number() OVER (PARTITION BY z, x, y, layer ORDER BY pos) = 1""")
+def repair_layers(spark, sf_dir):
+    f = features(spark, sf_dir).select(*KEY, "layer", F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, 512).alias("extent"), F.when(F.col("id") % 3 == 0, 2).alias("version"))
+    return vector.repair_layers(f)
+
+
+# --- levels --------------------------------------------------------------------------------------
+
+
+@query("SELECT z, x, y, size, v FROM s WHERE z <= 6")
+def overview_sum(spark, sf_dir):
+    return levels.overview(sized(spark, sf_dir, 6), 6, {"size": F.sum("size"), "v": F.sum("v")})
+
+
+@query("SELECT 5::BIGINT AS z, x // 2 AS x, y // 2 AS y, count(*) AS children, min(y * 64 + x) AS first FROM s WHERE z = 6 GROUP BY ALL")
+def overview_coords(spark, sf_dir):
+    g = levels.group_by_parent(sized(spark, sf_dir, 6))
+    return g.select(*KEY, F.size("children").cast("bigint").alias("children"), (F.col("children")[0]["y"] * 64 + F.col("children")[0]["x"]).alias("first"))
+
+
+_PIXELS = """, px AS (SELECT 3::BIGINT AS z, o_orderkey % 4 AS x, 0::BIGINT AS y, (o_orderkey // 4) % 64 AS px, (o_orderkey // 256) % 64 AS py,
+CAST(round(max(o_totalprice * 10)) AS BIGINT) AS raw, CAST(count(*) % 3 * 100 AS BIGINT) AS a FROM orders GROUP BY ALL)"""
+
+
+def _pixels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    down = lambda k: F.floor(F.col("o_orderkey") / k).cast("bigint") % 64
+    cell = o.select(F.lit(3).cast("bigint").alias("z"), (F.col("o_orderkey") % 4).alias("x"), F.lit(0).cast("bigint").alias("y"), down(4).alias("px"), down(256).alias("py"), (F.col("o_totalprice") * 10).alias("r"))
+    return cell.groupBy(*KEY, "px", "py").agg(F.round(F.max("r")).cast("bigint").alias("raw"), (F.count(F.lit(1)) % 3 * 100).alias("a"))
+
+
+@query(_PIXELS + " SELECT z, x, y, px // 2 AS px, py // 2 AS py, CAST((sum(raw) + 2) // 4 AS BIGINT) AS raw FROM px GROUP BY ALL")
+def dem_overview_rgb(spark, sf_dir):
+    return levels.dem_overview(_pixels(spark, sf_dir))
+
+
+@query(_PIXELS + """ SELECT z, x, y, px // 2 AS px, py // 2 AS py, CAST(CASE WHEN count(*) FILTER (a > 0) > 0 THEN (sum(raw) FILTER (a > 0) + count(*) FILTER (a > 0) // 2) // count(*) FILTER (a > 0) ELSE 0 END AS BIGINT) AS raw,
+CAST((sum(a) + 2) // 4 AS BIGINT) AS a FROM px GROUP BY ALL""")
+def dem_overview_rgba(spark, sf_dir):
+    return levels.dem_overview(_pixels(spark, sf_dir), alpha=True)
+
+
+@query("""SELECT o_orderkey, bits, CAST(q - q % CAST(pow(2, bits) AS BIGINT) AS BIGINT) AS quantized FROM (
+SELECT o_orderkey, bits, least(raw + CAST(floor(pow(2, bits) / 2) AS BIGINT), 16777215) AS q FROM (
+SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) % 16777216 AS raw, CAST(CASE WHEN (o_orderkey % 50) * 0.7::DOUBLE >= 1 THEN least(24, floor(log2((o_orderkey % 50) * 0.7::DOUBLE + 1))) ELSE 0 END AS INTEGER) AS bits FROM orders))""")
+def dem_quantize(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.round("o_totalprice").cast("bigint") % (1 << 24)).alias("raw"), V.quantize_bits((F.col("o_orderkey") % 50) * F.lit(0.7)).alias("bits"))
+    return o.select("o_orderkey", "bits", V.quantize("raw", F.col("bits")).alias("quantized"))
+
+
+@query("""SELECT c_custkey, CAST(greatest(0, least(16777215, floor((c_acctbal + 10000.0::DOUBLE) * 10.0::DOUBLE + 0.5::DOUBLE))) AS BIGINT) AS mapbox,
+CAST(greatest(0, least(16777215, floor((c_acctbal + 32768.0::DOUBLE) * 256.0::DOUBLE + 0.5::DOUBLE))) AS BIGINT) AS terrarium,
+round(floor((c_acctbal + 32768.0::DOUBLE) * 256.0::DOUBLE + 0.5::DOUBLE) / 256 - 32768, 4) AS metres FROM customer""")
+def dem_codec(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    t = V.elevation_raw("c_acctbal", "terrarium")
+    return c.select("c_custkey", V.elevation_raw("c_acctbal").alias("mapbox"), t.alias("terrarium"), F.round(V.elevation(t, "terrarium"), 4).alias("metres"))
+
+
+_WANTED = ", want AS (SELECT DISTINCT z, x, y FROM t WHERE z IN (4, 6, 7)), src AS (SELECT z, x, y, size FROM s WHERE z = 5 AND size > 3 OR z = 4 AND size > 20 OR z = 3)"
+
+
+def _wanted(spark, sf_dir):
+    src = pyramid(spark, sf_dir).where("z = 5 AND size > 3 OR z = 4 AND size > 20 OR z = 3").select(*KEY, "size")
+    want = points(spark, sf_dir).withColumn("z", F.explode(F.array(*[F.lit(z).cast("bigint") for z in (4, 6, 7)])))
+    return want.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")}).select(KEY).distinct(), src
+
+
+@query(_WANTED + """ SELECT w.z, w.x, w.y, least(w.z, 5) AS source_z, w.x % CAST(pow(2, greatest(w.z - 5, 0)) AS BIGINT) AS sub_x, w.y % CAST(pow(2, greatest(w.z - 5, 0)) AS BIGINT) AS sub_y, src.size
+FROM want w JOIN src ON src.z = least(w.z, 5) AND src.x = CAST(floor(w.x / pow(2, greatest(w.z - 5, 0))) AS BIGINT) AND src.y = CAST(floor(w.y / pow(2, greatest(w.z - 5, 0))) AS BIGINT)""")
+def overscale_parent(spark, sf_dir):
+    want, src = _wanted(spark, sf_dir)
+    return levels.overscale(want, src, 5)
+
+
+@query(_WANTED + """ SELECT w.z, w.x, w.y, src.z AS source_z, src.size FROM want w JOIN src ON src.z BETWEEN 3 AND least(w.z, 5)
+AND src.x = CAST(floor(w.x / pow(2, w.z - src.z)) AS BIGINT) AND src.y = CAST(floor(w.y / pow(2, w.z - src.z)) AS BIGINT) QUALIFY row_number() OVER (PARTITION BY w.z, w.x, w.y ORDER BY src.z DESC) = 1""")
+def climbing_asof(spark, sf_dir):
+    want, src = _wanted(spark, sf_dir)
+    return levels.climb(want, src, 5, 3)
+
+
+@query("""SELECT z + 1 AS z, x * 2 + q % 2 AS x, y * 2 + q // 2 AS y, size, q AS quadrant FROM s, (SELECT CAST(range AS BIGINT) AS q FROM range(0, 4)) WHERE z <= 3
+UNION ALL SELECT z, x, y, size, NULL FROM s WHERE z = 0""")
+def resize_split(spark, sf_dir):
+    return levels.split_tiles(pyramid(spark, sf_dir).where("z <= 3").select(*KEY, "size"))
+
+
+@query("SELECT z - 1 AS z, x // 2 AS x, y // 2 AS y, CAST(sum(size) AS BIGINT) AS size FROM s WHERE z = 6 GROUP BY ALL")
+def resize_merge(spark, sf_dir):
+    return levels.merge_tiles(sized(spark, sf_dir, 6), {"size": F.sum("size")})
+
+
+@query("""SELECT 5::BIGINT AS z, x * 2 + i AS x, y * 2 + j AS y, id, CAST(floor((px - i * 2048) * 2 + 0.5) AS BIGINT) AS px, CAST(floor((py - j * 2048) * 2 + 0.5) AS BIGINT) AS py
+FROM (SELECT z, x, y, event_id AS id, event_id * 31 % 4096 AS px, event_id * 57 % 4096 AS py FROM t WHERE z = 4), (SELECT CAST(range AS BIGINT) AS i FROM range(0, 2)), (SELECT CAST(range AS BIGINT) AS j FROM range(0, 2))
+WHERE px BETWEEN i * 2048 - 40 AND (i + 1) * 2048 + 40 AND py BETWEEN j * 2048 - 40 AND (j + 1) * 2048 + 40
+UNION ALL SELECT z, x, y, event_id, event_id * 31 % 4096, event_id * 57 % 4096 FROM t WHERE z = 4""")
+def overzoom_points(spark, sf_dir):
+    p = tiled(spark, sf_dir, 4).select(*KEY, F.col("event_id").alias("id"), (F.col("event_id") * 31 % 4096).alias("px"), (F.col("event_id") * 57 % 4096).alias("py"))
+    return levels.overzoom_points(p, 4, 5)
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query("SELECT z, count(*) AS tiles FROM s WHERE z <= 6 GROUP BY ROLLUP (z)")
+def count_tiles_rollup(spark, sf_dir):
+    return reports.count_tiles(pyramid(spark, sf_dir))
+
+
+@query("SELECT z, count(*) AS tiles, CAST(sum(size) AS BIGINT) AS bytes, CAST(floor(sum(size) / count(*)) AS BIGINT) AS average FROM s WHERE z <= 6 GROUP BY z")
+def size_stats(spark, sf_dir):
+    return reports.size_stats(pyramid(spark, sf_dir))
+
+
+@query("SELECT z, x, y, size FROM s WHERE z = 6 ORDER BY size DESC, z, x, y LIMIT 10")
+def top10_tiles(spark, sf_dir):
+    return reports.biggest_tiles(sized(spark, sf_dir, 6))
+
+
+@query("SELECT z, x, y, size FROM s WHERE z = 4 AND size <= 40")
+def size_cap(spark, sf_dir):
+    return reports.within_cap(sized(spark, sf_dir, 4), 40).select(*KEY, "size")
+
+
+@query("SELECT z, layer, count(DISTINCT x * 1000 + y) AS tiles, count(*) AS features FROM f GROUP BY z, layer")
+def layer_stats(spark, sf_dir):
+    return reports.layer_stats(features(spark, sf_dir))
+
+
+@query("SELECT z, x // 8 AS x, y // 8 AS y, CAST(floor(10 * log10(greatest(floor(sum(size * 1000) / 64), 1)) + 1e-9) AS BIGINT) AS level FROM s WHERE z = 6 GROUP BY ALL")
+def size_raster(spark, sf_dir):
+    return reports.size_raster(sized(spark, sf_dir, 6).withColumn("size", F.col("size") * 1000), 8)
+
+
+def _windows_sql() -> str:
+    return " OR ".join(f"(z = {z} AND x BETWEEN {a} AND {c} AND y BETWEEN {b} AND {d})" for z in (6, 8, 10) for a, b, c, d in reports.sample_windows(z, 0.02, 4**10))
+
+
+@query(f"SELECT z, x, y, size FROM s WHERE {_windows_sql()}")
+def sample_windows(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("z", F.explode(F.array(*[F.lit(z).cast("bigint") for z in (6, 8, 10)])))
+    tiles = p.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")}).groupBy(KEY).agg(F.count(F.lit(1)).alias("size"))
+    return reports.sample_tiles(tiles, 0.02, 4**10, range(6, 11))
+
+
+@query("SELECT z, x, y, size FROM s WHERE z = 5 AND x BETWEEN 3 AND 8 AND y = 10")
+def select_tiles(spark, sf_dir):
+    return reports.select_tiles(sized(spark, sf_dir, 5), "5/3-8/10").select(*KEY, "size")
+
+
+@query("""SELECT size AS median, CAST(greatest(0, least(14, round(log2(4 * 2 * pi() * 6378137.0 / (size * 4096))))) AS BIGINT) AS zoom
+FROM (SELECT CAST(l_quantity * 10 AS BIGINT) AS size, row_number() OVER (ORDER BY l_quantity) - 1 AS i, count(*) OVER () AS n FROM lineitem) WHERE i = n // 2""")
+def auto_max_zoom(spark, sf_dir):
+    sizes = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 10).cast("bigint").alias("size"))
+    return reports.auto_max_zoom(sizes, C.WORLD)
+
+
+@query(""", e AS (SELECT y * 64 + x AS id, size % 3 AS hash FROM s WHERE z = 6), n AS (
+SELECT id, hash, CASE WHEN lag(id) OVER w = id - 1 AND lag(hash) OVER w = hash THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (ORDER BY id)),
+g AS (SELECT id, hash, sum(fresh) OVER (ORDER BY id) AS run FROM n) SELECT min(id) AS first, count(*) AS run, any_value(hash) AS hash FROM g GROUP BY g.run""")
+def run_merge(spark, sf_dir):
+    return reports.merge_runs(sized(spark, sf_dir, 6).select((F.col("y") * 64 + F.col("x")).alias("id"), (F.col("size") % 3).alias("hash")))
+
+
+@query("SELECT size, min(y * 64 + x) AS first_id, count(*) AS uses FROM s WHERE z = 6 GROUP BY size")
+def dedup_blobs(spark, sf_dir):
+    return reports.dedup_blobs(sized(spark, sf_dir, 6).withColumn("id", F.col("y") * 64 + F.col("x")), "size")
+
+
+@query(""", r AS (SELECT o_orderkey * 1000 AS "offset", o_custkey AS length FROM orders WHERE o_orderkey % 3 <> 0), n AS (
+SELECT *, CASE WHEN "offset" - max("offset" + length) OVER (ORDER BY "offset", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 900 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT *, sum(fresh) OVER (ORDER BY "offset", length ROWS UNBOUNDED PRECEDING) AS chunk FROM n)
+SELECT min("offset") AS "offset", max("offset" + length) - min("offset") AS length, count(*) AS ranges FROM g GROUP BY chunk""")
+def coalesce_ranges(spark, sf_dir):
+    r = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select((F.col("o_orderkey") * 1000).alias("offset"), F.col("o_custkey").alias("length"))
+    return reports.coalesce_ranges(r, 900)
+
+
+@query("""SELECT CAST(max(open) AS BIGINT) AS peak FROM (SELECT sum(d) OVER (ORDER BY t) AS open FROM (SELECT t, sum(d) AS d FROM (
+SELECT o_orderkey AS t, 1 AS d FROM orders UNION ALL SELECT o_orderkey + o_custkey % 100 + 1, -1 FROM orders) GROUP BY t))""")
+def peak_in_flight(spark, sf_dir):
+    return reports.peak_in_flight(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + F.col("o_custkey") % 100).alias("stop")))
+
+
+@query("""SELECT layer, value, uses, row_number() OVER (PARTITION BY layer ORDER BY uses, value) - 1 AS number FROM (
+SELECT layer, value, count(*) AS uses FROM (SELECT layer, '"' || uid || '"' AS value FROM f UNION ALL SELECT layer, CAST(n AS VARCHAR) FROM f WHERE n IS NOT NULL UNION ALL SELECT layer, CASE WHEN big THEN 'true' ELSE 'false' END FROM f) GROUP BY ALL)""")
+def value_dictionary(spark, sf_dir):
+    return reports.value_dictionary(features(spark, sf_dir))
+
+
+@query(r"""SELECT event_id, text, CASE WHEN text IN ('true', 'false') THEN 'Bool' WHEN regexp_matches(text, '^-?(0|[1-9][0-9]*)(\.[0-9]+([eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)$') THEN 'Double'
+WHEN regexp_matches(text, '^-[1-9][0-9]*$') THEN 'Int' WHEN regexp_matches(text, '^(0|[1-9][0-9]*)$') THEN 'UInt' ELSE 'String' END AS kind FROM (
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '0' || event_id WHEN 3 THEN event_id || '.5' WHEN 4 THEN 'true' ELSE event_type END AS text FROM p)""")
+def parse_value(spark, sf_dir):
+    i = F.col("event_id").cast("string")
+    k = F.col("event_id") % 6
+    text = F.when(k == 0, F.col("v").cast("string")).when(k == 1, F.concat(F.lit("-"), i)).when(k == 2, F.concat(F.lit("0"), i)).when(k == 3, F.concat(i, F.lit(".5"))).when(k == 4, "true").otherwise(F.col("event_type"))
+    return points(spark, sf_dir).select("event_id", text.alias("text")).select("event_id", "text", V.value_type("text").alias("kind"))
+
+
+@query("SELECT event_id, CAST(greatest(1, ceil(length(bin(event_id * event_id)) / 7.0)) AS INTEGER) AS bytes FROM p")
+def varint_length(spark, sf_dir):
+    return points(spark, sf_dir).select("event_id", V.varint_length(F.col("event_id") * F.col("event_id")).alias("bytes"))
+
+
+@query("""SELECT event_id, 'CRS3035RES1000mN' || (event_id * 1000) || 'E' || (user_id * 1000) AS inspire, '1kmN' || lpad(CAST(event_id AS VARCHAR), 4, '0') AS geostat FROM p WHERE event_id < 10000""")
+def grid_ids(spark, sf_dir):
+    p = points(spark, sf_dir).where("event_id < 10000")
+    fields = {"epsg": F.lit("3035"), "size": F.lit("1000"), "size_km": F.lit("1km"), "y": F.col("event_id") * 1000, "x": F.col("user_id") * 1000}
+    return p.select("event_id", V.format_template(V.ID_PRESETS["inspire"], fields).alias("inspire"), V.format_template("{size_km}N{y/1000:04}", fields).alias("geostat"))
