@@ -18,7 +18,7 @@ BANDS, ROWS = 32, 6
 #: Members that one group of a star verifies against its centre.
 STAR_MEMBERS = 128
 #: Rows of a bucket that are compared with one another at once; larger buckets are compared block by block.
-BLOCK = 1024
+BLOCK = 512
 #: Bins may agree by so many standard deviations less than the threshold before a pair is given up.
 SLACK = 4.0
 _U = np.uint64
@@ -95,6 +95,14 @@ def _signatures(size: int, column: str, id_column: str):
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked: equal neighbours in their merge are shared."""
+    merged = np.concatenate([a, b])
+    merged.sort(kind="stable")
+    shared = int((merged[1:] == merged[:-1]).sum())
+    return 100 * shared >= percent * (len(merged) - shared)
+
+
 def _confirm(size: int, percent: int):
     """Rows of one star arrive together, its centre first; emits the members that are linked with it."""
 
@@ -111,11 +119,7 @@ def _confirm(size: int, percent: int):
                 if roles[i] == 0:
                     at, centre = (hubs[i], salts[i]), own
                 elif at == (hubs[i], salts[i]):
-                    # Both are sorted and distinct: equal neighbours in the merge are shared shingles.
-                    merged = np.concatenate([centre, own])
-                    merged.sort(kind="stable")
-                    shared = int((merged[1:] == merged[:-1]).sum())
-                    if 100 * shared >= percent * (len(merged) - shared):
+                    if similar(centre, own, percent):
                         a.append(hubs[i])
                         b.append(members[i])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -136,63 +140,107 @@ def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return dealt.mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def _promising(percent: int, best_only: bool):
-    """Rows of one bucket's pair of blocks arrive together. Emits pairs of different components whose
-    sketches agree nearly often enough: each row's best partner only, or all."""
-    least = percent / 100 - SLACK * np.sqrt(percent / 100 * (1 - percent / 100) / (BANDS * ROWS))
-
-    def pairs(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        doc, component, n, block = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
-        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-        left, right = (np.flatnonzero(block == rows[0][1]), np.flatnonzero(block == rows[0][2]))
-        agree = np.zeros((len(left), len(right)), np.uint8)
-        for k in range(sketch.shape[1]):
-            agree += sketch[left, k][:, None] == sketch[right, k]
-        most, fewest = np.maximum(n[left][:, None], n[right]), np.minimum(n[left][:, None], n[right])
-        fit = (component[left][:, None] != component[right]) & (100 * fewest >= percent * most) & (agree >= least * sketch.shape[1])
-        if not fit.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if best_only:
-            agree = np.where(fit, agree, 0)
-            i, j = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
-            i, j = np.concatenate([i, agree[:, j].argmax(axis=0)]), np.concatenate([agree[i].argmax(axis=1), j])
-        else:
-            i, j = np.nonzero(fit)
-        return doc[left[i]], doc[right[j]]
+_OPEN = ("key", "i", "j", "doc", "component", "n", "block", "place", "sketch")
+_OPEN_SCHEMA = "key long, i int, j int, doc long, component long, n long, block int, place int, sketch binary"
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (key, i, j)."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            here = tuple(marks[:, a].tolist())
+            if here != at and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of different components, of fitting sizes, whose sketches agree nearly often
+    enough, best first. A pair is taken from the first band that it shares."""
+    component, n, block = (np.asarray(rows.column(c).combine_chunks()) for c in ("component", "n", "block"))
+    i, j, place = (rows.column(c)[0].as_py() for c in ("i", "j", "place"))
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(sketch.shape[1]):
+        agree += sketch[left, k][:, None] == sketch[right, k]
+    share = percent / 100
+    least = (share - SLACK * np.sqrt(share * (1 - share) / (BANDS * ROWS))) * sketch.shape[1]
+    most, fewest = np.maximum(n[left][:, None], n[right]), np.minimum(n[left][:, None], n[right])
+    fit = (component[left][:, None] != component[right]) & (100 * fewest >= percent * most) & (agree >= least)
+    if i == j:
+        fit = np.triu(fit)
+    x, y = np.nonzero(fit)
+    earlier = (sketch[left[x], : place * ROWS] == sketch[right[y], : place * ROWS]).reshape(len(x), place, ROWS)
+    fresh = ~earlier.all(axis=2).any(axis=1)
+    x, y = x[fresh], y[fresh]
+    order = np.argsort(-agree[x, y].astype(np.int64), kind="stable")
+    return left[x[order]], right[y[order]]
+
+
+def _promising(percent: int):
+    """Of a bucket's pair of blocks, the rows that are in a candidate pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            some = np.unique(np.concatenate(_candidates(rows, percent)))
+            if len(some):
+                yield from rows.take(pa.array(some)).to_batches()
+
+    return run
+
+
+def _settle(size: int, percent: int):
+    """Confirms the candidate pairs of a bucket's pair of blocks on full sets, but those whose components
+    have been joined there already; emits the links found, fewer than there are rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def flush() -> pa.RecordBatch:
-            a, b = pairs(held)
-            both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["hub", "doc"])
-
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != at and held:
-                    yield flush()
-                    held = []
-                at = r[:3]
-                held.append(r)
-        if held:
-            yield flush()
+        hasher = Hasher()
+        for rows in _grouped(batches):
+            first, second = _candidates(rows, percent)
+            words = hasher.words(rows.column("text").combine_chunks(), lower=True)
+            row, hashes = shingle_sets(hasher, words, size)
+            starts = np.searchsorted(row, np.arange(rows.num_rows + 1))
+            doc, component = rows.column("doc").to_pylist(), rows.column("component").to_pylist()
+            parent = {c: c for c in component}
+
+            def root(c: int, parent=parent) -> int:
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            a, b = [], []
+            for x, y in zip(first.tolist(), second.tolist(), strict=True):
+                p, q = root(component[x]), root(component[y])
+                if p != q and similar(hashes[starts[x] : starts[x + 1]], hashes[starts[y] : starts[y + 1]], percent):
+                    parent[p] = q
+                    a.append(doc[x])
+                    b.append(doc[y])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, label: DataFrame, tested: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (hub, doc) still to be confirmed, of buckets that hold several components."""
+def _open_links(members: DataFrame, classes: DataFrame, label: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within buckets that still hold several."""
     rows = members.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
     rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    rows = rows.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc")
-    other = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    other = other.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "n", "block", "sketch")
-    dealt = other.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = dealt.mapInArrow(_promising(percent, best_only), "hub long, doc long").distinct()
-    known = tested.select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc"))
-    return store(pairs.join(known, ["hub", "doc"], "left_anti"))
+    rows = rows.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*_OPEN)
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_promising(percent), _OPEN_SCHEMA)
+    texts = docs.join(maybe_broadcast(store(rows), 280), "doc").select(*_OPEN, "text")
+    return store(texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(size, percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -207,16 +255,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: s
     Rows with equal sets become one representative. Representatives that share a band are candidates in
     the shape of a star: the member of a bucket that meets most others over all its buckets, against the
     rest; links are confirmed on full sets. Where a bucket then still holds several components, its rows'
-    sketches are compared block by block, and pairs of different components that agree nearly often
-    enough are confirmed too: first each row's best partner, then all that are left. So pairs within a
-    joined group are never expanded, and no link that the bands and sketches show is lost.
+    sketches are compared block by block; pairs of different components that agree nearly often enough
+    are confirmed on full sets in the same block, best first, until their components are joined. So pairs
+    within a joined group are never expanded, no pair leaves a task unless it is a link, and no link
+    that the bands and sketches show is lost.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(column).alias("text"))
     rows = store(texts.mapInArrow(_signatures(size, "text", "doc"), "doc long, n_shingles long, sig_a long, sig_b long, bands array<long>, sketch binary"))
     full = rows.where("n_shingles > 0 AND doc IS NOT NULL")
     classes = full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min(F.struct("doc", "bands", "sketch")).alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = store(classes.select("sig_a", "sig_b", F.col("n_shingles").alias("n"), F.col("least.doc").alias("rep"), "least.bands", "least.sketch", "copies"))
-    keys = classes.select(F.col("rep").alias("doc"), "n", F.explode("bands").alias("key"))
+    keys = classes.select(F.col("rep").alias("doc"), "n", F.posexplode("bands").alias("place", "key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = store(keys.join(buckets, "key"))
     reach = members.groupBy("doc").agg(F.sum("m").alias("reach"))
@@ -226,15 +275,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, column: s
     tested = store(members.join(hubs, "key").where((F.col("doc") != F.col("hub")) & alike).select("hub", "doc").distinct())
     links = store(confirmed(tested, texts, size, percent))
     label = components(links)
-    for best_only in (True, False):
-        fresh = _open_pairs(members, classes, label, tested, percent, best_only)
-        if not fresh.limit(1).count():
-            break
-        more = store(confirmed(fresh, texts, size, percent))
-        tested = tested.unionByName(fresh)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            label = components(links)
+    more = _open_links(members, classes, label, texts, size, percent)
+    if more.limit(1).count():
+        label = components(links.unionByName(more))
     # Copies follow their class; classes of one row need no join.
     classes = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = classes.select("sig_a", "sig_b", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep"), "copies")
