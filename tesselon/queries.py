@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesselon.functions import coords as C
 from tesselon.functions import values as V
-from tesselon.operators import general, levels, reports, vector
+from tesselon.operators import general, levels, reports, tiles, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -538,3 +538,63 @@ def grid_ids(spark, sf_dir):
     p = points(spark, sf_dir).where("event_id < 10000")
     fields = {"epsg": F.lit("3035"), "size": F.lit("1000"), "size_km": F.lit("1km"), "y": F.col("event_id") * 1000, "x": F.col("user_id") * 1000}
     return p.select("event_id", V.format_template(V.ID_PRESETS["inspire"], fields).alias("inspire"), V.format_template("{size_km}N{y/1000:04}", fields).alias("geostat"))
+
+
+# --- blobs: no SQL, tested in tests/test_engine.py -------------------------------------------------
+
+
+def _point_features(spark, sf_dir, z: int = 3) -> DataFrame:
+    f = features(spark, sf_dir, z)
+    at = lambda a: (F.col("id") * a % 4096).cast("bigint")
+    return f.select(*KEY, "layer", "feat_no", "id", F.lit(1).alias("kind"), F.array(F.array(F.array(at(31), at(57)))).alias("parts"), "props")
+
+
+@query()
+def mvt_roundtrip(spark, sf_dir):
+    return tiles.decode(tiles.encode(_point_features(spark, sf_dir))).select(*KEY, "layer", "id", "props")
+
+
+@query()
+def mvt_validate(spark, sf_dir):
+    return tiles.validate(tiles.encode(_point_features(spark, sf_dir)))
+
+
+@query()
+def mvt_overzoom(spark, sf_dir):
+    return tiles.overzoom(_point_features(spark, sf_dir), 3, 5).select(*KEY, "layer", "id")
+
+
+@query()
+def min_distance(spark, sf_dir):
+    p = points(spark, sf_dir).select("event_id", "event_type", C.mercator_x("lon").alias("mx"), C.mercator_y("lat").alias("my"))
+    return tiles.thin_min_distance(p, 500_000.0, "event_type", "event_id")
+
+
+@query()
+def draw_cells(spark, sf_dir):
+    from tesselon.plans.vpl import run_vpl
+
+    return run_vpl(spark, "from_grid epsg=4326 size=5 bbox=[0, 40, 30, 60] max_zoom=5 | filter level_min=3").tiles.select(*KEY, F.length("data").alias("size"))
+
+
+@query()
+def alpha_blend(spark, sf_dir):
+    from tesselon.plans.vpl import run_vpl
+
+    out = run_vpl(spark, "from_stacked_raster [from_color color=ff000080 size=16 level_max=3, from_color color=0000ff size=16 level_max=2] | raster_flatten | raster_levels gamma=1.2")
+    return out.tiles.select(*KEY, F.length("data").alias("size"))
+
+
+@query()
+def raster_pyramid(spark, sf_dir):
+    from tesselon.plans.vpl import run_vpl
+
+    return run_vpl(spark, "from_color color=336699 size=16 level_max=3 | filter level_min=3 | raster_overview level=3").tiles.select(*KEY, F.length("data").alias("size"))
+
+
+@query()
+def debug_pipeline(spark, sf_dir):
+    from tesselon.plans.vpl import run_vpl
+
+    out = run_vpl(spark, "from_debug level_max=3 | vector_filter_layers filter=[debug_z] | vector_filter_properties regex='/index$' | remap_coords flip_y=true")
+    return tiles.decode(out.tiles).select(*KEY, "layer", "props")

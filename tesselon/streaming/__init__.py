@@ -1 +1 @@
-
+"""Incremental forms of the stateless operators and counts."""
