@@ -22,9 +22,9 @@ PROBES, BITS_PER_ENTRY = 4, 12
 #: bigrams, then of words, are left out of the filter and scored by what is below them.
 MOST_BITS = 1 << 28
 #: Words whose exact counts are broadcast, at most: those of the highest levels. All others are joined.
-HEAVY_WORDS = 1 << 20
+HEAVY_WORDS = 1 << 19
 #: Words counted in a task before it hands on what it has.
-FLUSH_WORDS = 1 << 22
+FLUSH_WORDS = 1 << 21
 #: Weight of the bigram estimate where its history is known.
 BIGRAM_WEIGHT = 0.3
 _U = np.uint64
@@ -291,9 +291,11 @@ def _score(shared, column: str):
             part = np.bincount(row, np.log10(count + 1.0)[back], rows)
             known = np.bincount(row, (count > 0)[back], rows).astype(np.int64)
             some = np.flatnonzero(rare[back])
-            names = np.stack([row[some].astype(_U), token[some]], axis=1)
-            names, times = np.unique(names, axis=0, return_counts=True) if len(names) else (names, np.zeros(0, np.int64))
-            who = names[:, 0].astype(np.int64)
+            some = some[np.lexsort((back[some], row[some]))]
+            who, what = row[some], back[some]
+            new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (what[1:] != what[:-1]))) if len(some) else some
+            times = np.diff(np.append(new, len(some)))
+            who, what = who[new], unique[what[new]].view(np.int64)
             ids, keys, held = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "held_out"))
             n, blank = rows, len(who)
             join = lambda a, b: pa.concat_arrays([a, b])
@@ -307,7 +309,7 @@ def _score(shared, column: str):
                     join(pa.array(known), pa.nulls(blank, pa.int64())),
                     join(pa.array(part), pa.nulls(blank, pa.float64())),
                     join(pa.array(score), pa.nulls(blank, pa.float64())),
-                    join(pa.nulls(n, pa.int64()), pa.array(names[:, 1].view(np.int64) if blank else np.zeros(0, np.int64))),
+                    join(pa.nulls(n, pa.int64()), pa.array(what)),
                     join(pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))),
                 ],
                 names=["doc_id", "text_key", "held_out", "n_tokens", "n_known", "part", "score", "token", "times"],

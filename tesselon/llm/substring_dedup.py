@@ -13,6 +13,8 @@ from tesselon.llm._text import Hasher, slices, utf8
 
 #: Windows held at once by a task that matches them.
 FLUSH_WINDOWS = 1 << 20
+#: Bytes of text within which a map task settles windows that it holds more than once.
+SHIP_BYTES = 1 << 21
 #: Words of the short grams whose smallest hash in a window is the window's anchor.
 ANCHOR_WORDS = 10
 _SCHEMA = "anchor long, doc_id long, text_key long, start int, runs int, hashes binary"
@@ -61,7 +63,7 @@ def _ship_windows(window: int, column: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, gram = Hasher(), min(ANCHOR_WORDS, window)
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, SHIP_BYTES):
             words = hasher.words(batch.column(batch.schema.get_field_index(column)), lower=False)
             row, pos, hashes = hasher.windows(words, window)
             if not len(row):
