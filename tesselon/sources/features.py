@@ -28,10 +28,9 @@ def read_csv(spark: SparkSession, path: str, lon_column: str, lat_column: str, i
         if column not in rows.columns:
             raise ValueError(f"no column {column} in {path}")
     lon, lat = (F.col(c).try_cast("double") for c in (lon_column, lat_column))
-    names = [c for c in rows.columns if c not in (lon_column, lat_column) and (not include or c in include) and (not exclude or c not in exclude)]
-    text = lambda c: F.to_json(F.array(F.col(c)))
-    pairs = [x for c in names for x in (F.lit(c), F.when(F.col(c).isNotNull(), F.regexp_replace(text(c), r"^\[|\]$", "")))]
-    props = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    names = [c for c in rows.columns if c not in (lon_column, lat_column, id_column) and (not include or c in include) and (not exclude or c not in exclude)]
+    text = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c), F.lit("")))), r"^\[|\]$", "")
+    props = F.create_map(*[x for c in names for x in (F.lit(c), text(c))]) if names else F.create_map().cast("map<string,string>")
     number = F.col(id_column).try_cast("bigint") if id_column else F.lit(None).cast("bigint")
     geometry = F.concat(F.lit('{"type":"Point","coordinates":['), lon.cast("string"), F.lit(","), lat.cast("string"), F.lit("]}"))
     return rows.where(lon.isNotNull() & lat.isNotNull() & lat.between(-90, 90)).select(number.alias("id"), geometry.alias("geometry"), props.alias("props"))

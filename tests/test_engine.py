@@ -88,7 +88,7 @@ def test_vector_pipeline(spark, tmp_path):
     out = run_vpl(spark, text)
     rows = tiles.decode(out.tiles).collect()
     assert {(r.z, r.id) for r in rows} == {(0, 1), (1, 1), (2, 1)}
-    assert all(r.props["name"] == '"Berlin"' and r.props["people"] == "200" for r in rows)
+    assert all(r.props == {"name": '"Berlin"', "people": "200"} for r in rows)
     assert out.explain() == "from_csv | vector_update_properties | vector_filter_features"
     with pytest.raises(PipelineError, match="needs raster"):
         run_vpl(spark, "from_debug level_max=1 | raster_flatten")
