@@ -119,3 +119,15 @@ def weighted_bbox(tiles: DataFrame) -> DataFrame:
     levels = pyramid_summary(tiles)
     sides = {"west": tile_west("x_min", "z"), "south": tile_north(F.col("y_max") + 1, "z"), "east": tile_west(F.col("x_max") + 1, "z"), "north": tile_north("y_min", "z")}
     return levels.agg(*[F.round(F.sum(v * F.col("tiles")) / F.sum("tiles"), 6).alias(k) for k, v in sides.items()])
+
+
+def outline(cover: DataFrame) -> DataFrame:
+    """The outline of a coverage: (z, axis, line, first, last), edges in tile units that bound it on one
+    side only, neighbouring ones joined. axis v: vertical, at x = line from y = first to last."""
+    edge = lambda axis, line, along: F.struct(F.lit(axis).alias("axis"), line.alias("line"), along.alias("along"))
+    x, y = F.col("x"), F.col("y")
+    edges = coverage(cover).select("z", F.explode(F.array(edge("v", x, y), edge("v", x + 1, y), edge("h", y, x), edge("h", y + 1, x))).alias("e")).select("z", "e.*")
+    single = edges.groupBy("z", "axis", "line", "along").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    order = Window.partitionBy("z", "axis", "line").orderBy("along")
+    runs = single.withColumn("_run", F.col("along") - F.row_number().over(order))
+    return runs.groupBy("z", "axis", "line", "_run").agg(F.min("along").alias("first"), (F.max("along") + 1).alias("last")).drop("_run")

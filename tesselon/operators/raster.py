@@ -157,9 +157,14 @@ def overview(tiles: DataFrame, level: int, dem: bool = False) -> DataFrame:
     return out
 
 
-def overscaled(wanted: DataFrame, tiles: DataFrame, level_base: int) -> DataFrame:
-    """Images of wanted tiles below level_base, enlarged from their ancestor there."""
-    joined = overscale(wanted, tiles.select(*KEY, "data"), level_base)
+def overscaled(wanted: DataFrame, tiles: DataFrame, level_base: int, climbing: bool = False) -> DataFrame:
+    """Images of wanted tiles below level_base, enlarged from their ancestor there; with climbing from the
+    nearest ancestor at or above it that there is."""
+    from tesselon.operators.levels import climb
+
+    joined = (climb if climbing else overscale)(wanted, tiles.select(*KEY, "data"), level_base)
+    size = F.pow(F.lit(2.0), F.col("z") - F.col("source_z")).cast("bigint")
+    joined = joined.withColumns({"sub_x": F.pmod("x", size), "sub_y": F.pmod("y", size)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,3 +211,26 @@ def resize(tiles: DataFrame, tile_size: int, dem: bool = False) -> DataFrame:
     placed = tiles.where("z > 0").withColumn("place", (F.col("x") % 2 + F.col("y") % 2 * 2).cast("int"))
     up = placed.withColumns({"x": ancestor("x", F.lit(1)), "y": ancestor("y", F.lit(1)), "z": F.col("z") - 1})
     return up.groupBy(KEY).agg(F.collect_list(F.struct("place", "data")).alias("parts")).mapInPandas(join, "z long, x long, y long, data binary")
+
+
+def stack_overscaled(sources: list[DataFrame], level_max: int | None = None) -> DataFrame:
+    """``stack_images`` of sources of different depth: a source that lacks a tile lends its nearest
+    ancestor, enlarged; tiles that no source has natively are left out."""
+    from tesselon.operators.levels import climb
+
+    keys = sources[0].select(KEY)
+    for s in sources[1:]:
+        keys = keys.union(s.select(KEY))
+    keys = keys.distinct() if level_max is None else keys.where(F.col("z") <= level_max).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                steps = int(r.z - r.source_z)
+                inside = (1 << steps) - 1
+                out.append(bytes(r.data) if steps == 0 else P.encode_png(P.enlarge(P.decode_png(bytes(r.data)), steps, int(r.x) & inside, int(r.y) & inside)))
+            yield batch[KEY].assign(data=out, native=batch["z"] == batch["source_z"])
+
+    lent = [climb(keys, s.select(*KEY, "data"), 30).mapInPandas(run, "z long, x long, y long, data binary, native boolean") for s in sources]
+    return stack_images(lent, native="native")

@@ -181,3 +181,58 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
     kids = kids.withColumns({"z": F.col("z") + F.col("steps"), "x": F.col("x") * size + F.col("i"), "y": F.col("y") * size + F.col("j")})
     names = [*KEY, "layer", "feat_no", "id", "kind", "parts", "props"]
     return out.select(names).unionByName(kids.select(*names, "steps", "i", "j").mapInPandas(run, FEATURES))
+
+
+BYTES = ("features", "vertices", "geometry", "tags", "keys", "vals", "ids", "encoded", "other")
+
+
+def layer_bytes(tiles: DataFrame) -> DataFrame:
+    """By level and layer the tiles, features, vertices and bytes of vector tiles; the largest layers first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(z, s["layer"], *(s[k] for k in BYTES)) for z, data in zip(batch["z"], batch["data"], strict=True) for s in mvt.layer_bytes(bytes(data))]
+            yield pd.DataFrame(rows, columns=["z", "layer", *BYTES])
+
+    each = tiles.select("z", "data").mapInPandas(run, "z long, layer string, " + ", ".join(f"{k} long" for k in BYTES))
+    return each.groupBy("z", "layer").agg(F.count(F.lit(1)).alias("tiles"), *[F.sum(k).cast("bigint").alias(k) for k in BYTES]).orderBy("z", F.desc("encoded"), "layer")
+
+
+def largest_features(features: DataFrame, n: int = 10) -> DataFrame:
+    vertices = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p))
+    return features.select(*KEY, "layer", "feat_no", "id", vertices.alias("vertices")).orderBy(F.desc("vertices"), *KEY, "layer", "feat_no").limit(n)
+
+
+def attribute_use(features: DataFrame) -> DataFrame:
+    """By layer and attribute: features that have it, distinct values, bytes of the values' texts."""
+    each = features.select("layer", F.explode("props").alias("attribute", "value"))
+    return each.groupBy("layer", "attribute").agg(F.count(F.lit(1)).alias("features"), F.countDistinct("value").alias("distinct_values"), F.sum(F.octet_length("value")).cast("bigint").alias("bytes"))
+
+
+def drop_rate(points: DataFrame, ratio: float, index: str = "id") -> DataFrame:
+    """Keeps the points whose hashed number lies below the ratio: the same ones in every run and at every size."""
+    from tesselon.operators.reports import M64, splitmix64
+
+    @F.pandas_udf("boolean")
+    def keep(number: pd.Series) -> pd.Series:
+        return number.map(lambda i: (splitmix64(int(i) & M64) >> 11) / (1 << 53) < ratio)
+
+    return points.where(keep(F.col(index)))
+
+
+def overzoom_climbing(features: DataFrame, level_base: int, level_max: int, level_min: int = 0, extent: int = 4096, buffer: int = 80) -> DataFrame:
+    """As ``overzoom``; where level_base has no tile, features come from the nearest ancestor down to level_min.
+
+    Levels are filled from below: what a level draws into the base is kept only where no deeper level has a tile."""
+    base = features.where(F.col("z") == level_base)
+    taken = base.select("x", "y").distinct()
+    for level in range(level_base - 1, level_min - 1, -1):
+        steps = level_base - level
+        own = features.where(F.col("z") == level)
+        here = overzoom(own, level, level_base, extent, buffer).where(F.col("z") == level_base)
+        base = base.unionByName(here.join(taken, ["x", "y"], "left_anti").select(base.columns))
+        side = F.sequence(F.lit(0).cast("bigint"), F.lit((1 << steps) - 1).cast("bigint"))
+        below = own.select("x", "y").distinct().withColumn("_i", F.explode(side)).withColumn("_j", F.explode(side))
+        taken = taken.unionByName(below.select((F.col("x") * (1 << steps) + F.col("_i")).alias("x"), (F.col("y") * (1 << steps) + F.col("_j")).alias("y"))).distinct()
+    low = features.where(F.col("z") < level_base)
+    return low.unionByName(overzoom(base, level_base, level_max, extent, buffer).select(low.columns))

@@ -232,10 +232,11 @@ def from_merged_vector(spark, sources, *, unused: str = "") -> TileSet:
 
 
 @operator(READ)
-def from_stacked_raster(spark, sources, *, format: str = "png") -> TileSet:
+def from_stacked_raster(spark, sources, *, format: str = "png", auto_overscale: bool = False) -> TileSet:
     if format != "png" or not all(s.is_raster for s in sources):
         raise PipelineError("from_stacked_raster needs PNG sources and gives PNG")
-    return TileSet(raster.stack_images([s.tiles for s in sources]), "png", tilejson=_merged(sources), lineage=("from_stacked_raster",))
+    draw = raster.stack_overscaled if auto_overscale else raster.stack_images
+    return TileSet(draw([s.tiles for s in sources]), "png", tilejson=_merged(sources), lineage=("from_stacked_raster",))
 
 
 def _merged(sources: list[TileSet]) -> TileJSON:
@@ -280,6 +281,15 @@ def from_grid(spark, *, epsg: int, size: float, bbox: list[float], id_preset: st
     return _shapes(spark, shapes, layer_name, min(low, max_zoom), max_zoom, "from_grid", tolerance=0.0)
 
 
+@operator(READ)
+def from_tilejson(spark, *, url: str, max_retries: int = 3, max_concurrent_requests: int = 4) -> TileSet:
+    from tesselon.sources.remote import read_tilejson
+
+    fetched, known = read_tilejson(spark, url, max_retries, max_concurrent_requests)
+    kind = "mvt" if known.vector_layers or known.values.get("format") in ("pbf", "mvt") else "png"
+    return TileSet(fetched, kind, tilejson=known, lineage=("from_tilejson",))
+
+
 @operator(READ)
 def from_color(spark, *, color: str = "000000", size: int = 512, level_max: int = 4, bbox: list[float] = None) -> TileSet:
     keys = features.coordinates(spark, range(level_max + 1), tuple(bbox or WHOLE))
@@ -357,9 +367,10 @@ def vector_repair(source, *, drop_offenders: bool = False) -> TileSet:
 
 
 @operator(TRANSFORM, "vector")
-def vector_overzoom(source, *, level_base: int, level_max: int = None, buffer: int = 80) -> TileSet:
+def vector_overzoom(source, *, level_base: int, level_max: int = None, enable_climbing: bool = False, buffer: int = 80) -> TileSet:
     top = min(MAX_LEVEL, level_base + 4 if level_max is None else level_max)
-    return _on_features(source, "vector_overzoom", lambda f: tiles.overzoom(f, level_base, top, buffer=buffer))
+    zoom = tiles.overzoom_climbing if enable_climbing else tiles.overzoom
+    return _on_features(source, "vector_overzoom", lambda f: zoom(f, level_base, top, buffer=buffer))
 
 
 @operator(TRANSFORM, "raster")
@@ -394,9 +405,9 @@ def raster_overview(source, *, level: int) -> TileSet:
 
 
 @operator(TRANSFORM, "raster")
-def raster_overscale(source, *, level_base: int, level_max: int, bbox: list[float] = None) -> TileSet:
+def raster_overscale(source, *, level_base: int, level_max: int, enable_climbing: bool = False, bbox: list[float] = None) -> TileSet:
     keys = features.coordinates(source.tiles.sparkSession, range(level_max + 1), tuple(bbox or WHOLE))
-    return source.with_tiles(raster.overscaled(keys, source.tiles, level_base), "raster_overscale")
+    return source.with_tiles(raster.overscaled(keys, source.tiles, level_base, enable_climbing), "raster_overscale")
 
 
 @operator(TRANSFORM, "raster")

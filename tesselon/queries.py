@@ -235,6 +235,21 @@ def weighted_bbox(spark, sf_dir):
     return general.weighted_bbox(pyramid(spark, sf_dir))
 
 
+@query("""SELECT z, axis, line, min(along) AS first, max(along) + 1 AS last FROM (
+SELECT *, along - row_number() OVER (PARTITION BY z, axis, line ORDER BY along) AS run FROM (
+SELECT z, axis, line, along FROM (
+SELECT z, 'v' AS axis, x AS line, y AS along FROM c UNION ALL SELECT z, 'v', x + 1, y FROM c UNION ALL SELECT z, 'h', y, x FROM c UNION ALL SELECT z, 'h', y + 1, x FROM c)
+GROUP BY ALL HAVING count(*) = 1)) GROUP BY z, axis, line, run""".replace("FROM c", "FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 3 = 0)"))
+def cover_outline(spark, sf_dir):
+    return general.outline(tiled(spark, sf_dir, 6).where("event_id % 3 = 0"))
+
+
+@query("""SELECT layer, attribute, count(*) AS features, count(DISTINCT value) AS distinct_values, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM (
+SELECT layer, 'uid' AS attribute, '"' || uid || '"' AS value FROM f UNION ALL SELECT layer, 'n', CAST(n AS VARCHAR) FROM f WHERE n IS NOT NULL UNION ALL SELECT layer, 'big', CASE WHEN big THEN 'true' ELSE 'false' END FROM f) GROUP BY ALL""")
+def attribute_use(spark, sf_dir):
+    return tiles.attribute_use(features(spark, sf_dir))
+
+
 # --- features ------------------------------------------------------------------------------------
 
 _FLAT = "z, x, y, layer, id, uid, n, big"
@@ -598,3 +613,19 @@ def debug_pipeline(spark, sf_dir):
 
     out = run_vpl(spark, "from_debug level_max=3 | vector_filter_layers filter=[debug_z] | vector_filter_properties regex='/index$' | remap_coords flip_y=true")
     return tiles.decode(out.tiles).select(*KEY, "layer", "props")
+
+
+@query()
+def layer_bytes(spark, sf_dir):
+    return tiles.layer_bytes(tiles.encode(_point_features(spark, sf_dir)))
+
+
+@query()
+def overzoom_climbing(spark, sf_dir):
+    f = _point_features(spark, sf_dir, 2).unionByName(_point_features(spark, sf_dir, 3).where("x % 2 = 0"))
+    return tiles.overzoom_climbing(f, 3, 4).select(*KEY, "layer", "id")
+
+
+@query()
+def drop_rate(spark, sf_dir):
+    return tiles.drop_rate(points(spark, sf_dir).select("event_id"), 0.3, "event_id")

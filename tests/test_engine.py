@@ -207,3 +207,58 @@ def test_no_training_operator_is_imported():
 
     code = "import sys, tesselon.queries, tesselon.plans.vpl; sys.exit(any('llm' in m for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__))).returncode == 0
+
+
+def test_tilejson_address(spark, tmp_path):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/t.json":
+                body = json.dumps({"tiles": [f"http://127.0.0.1:{server.server_port}/{{z}}/{{x}}/{{y}}"], "maxzoom": 1, "format": "png", "name": "n"}).encode()
+            else:
+                body = b"" if self.path == "/1/1/1" else self.path.encode()
+            self.send_response(200 if body else 404)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    out = run_vpl(spark, f'from_tilejson url="http://127.0.0.1:{server.server_port}/t.json"')
+    assert sorted(bytes(r.data) for r in out.tiles.collect()) == [b"/0/0/0", b"/1/0/0", b"/1/0/1", b"/1/1/0"]
+    assert (out.tilejson.values["name"], out.tilejson.maxzoom, out.format) == ("n", 1, "png")
+    server.shutdown()
+
+
+def test_overscaled_stack(spark):
+    t = lambda color, levels: features.color_tiles(features.coordinates(spark, levels), color, 4)
+    out = {(r.z, r.x, r.y): P.decode_png(bytes(r.data))[0, 0].tolist() for r in raster.stack_overscaled([t("ff0000", range(2)), t("0000ff", range(3))]).collect()}
+    assert len(out) == 21 and out[(2, 3, 3)] == [255, 0, 0]
+
+
+def test_climbing_overzoom(spark):
+    row = lambda z, x, i: (z, x, 0, "l", 0, i, 1, [[[10, 10]]], {})
+    f = spark.createDataFrame([row(0, 0, 1), row(1, 1, 2)], tiles.FEATURES)
+    out = tiles.overzoom_climbing(f, 1, 2).collect()
+    assert sorted((r.z, r.x, r.y, r.id) for r in out) == [(0, 0, 0, 1), (1, 0, 0, 1), (1, 1, 0, 2), (2, 0, 0, 1), (2, 2, 0, 2)]
+
+
+def test_layer_bytes(spark):
+    t = tiles.encode(spark.createDataFrame([(0, 0, 0, "l", i, i, 1, [[[i, 10]]], {"k": "1"}) for i in range(5)], tiles.FEATURES))
+    r = tiles.layer_bytes(t).collect()[0]
+    assert (r.tiles, r.features, r.vertices, r.tags) == (1, 5, 5, 10) and r.encoded == r.geometry + r.tags + r["keys"] + r.vals + r.ids + r.other
+
+
+def test_convert_and_probe(spark, tmp_path):
+    from tesselon.convert import convert, open_source, probe
+
+    convert(spark, "vpl:from_debug level_max=3", str(tmp_path / "a.pmtiles"), max_zoom=2, flip_y=True, compress="gzip")
+    source = open_source(spark, str(tmp_path / "a.pmtiles"))
+    report = probe(source, 3)
+    assert report["pyramid"].count() == 3 and report["issues"].count() == 0 and report["layers"].count() == 9
+    assert source.format == "mvt" and source.tile(2, 3, 3) is not None and source.tile(3, 0, 0) is None
+    assert {r.props["char"] for r in tiles.decode(source.tiles.where("z = 1 AND y = 0")).where("layer = 'debug_y'").collect()} == {'"1"'}
