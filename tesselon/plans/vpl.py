@@ -258,8 +258,13 @@ def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_colum
 
 
 @operator(READ)
-def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0) -> TileSet:
+def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0, shared_borders: float = 0.0) -> TileSet:
+    """shared_borders: tolerance in degrees of a simplification before all levels that keeps common borders."""
+    from tesselon.operators.borders import simplify_shared
+
     shapes = features.read_shapefile(spark, filename) if filename.lower().endswith(".shp") else features.read_geojson(spark, filename)
+    if shared_borders > 0:
+        shapes = simplify_shared(shapes, shared_borders)
     return _shapes(spark, shapes, layer_name, min_zoom, max_zoom, "from_geo", tolerance=polygon_simplify, min_area=polygon_min_area, min_length=line_min_length)
 
 

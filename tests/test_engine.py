@@ -262,3 +262,20 @@ def test_convert_and_probe(spark, tmp_path):
     assert report["pyramid"].count() == 3 and report["issues"].count() == 0 and report["layers"].count() == 9
     assert source.format == "mvt" and source.tile(2, 3, 3) is not None and source.tile(3, 0, 0) is None
     assert {r.props["char"] for r in tiles.decode(source.tiles.where("z = 1 AND y = 0")).where("layer = 'debug_y'").collect()} == {'"1"'}
+
+
+def test_shared_borders_stay_shared(spark):
+    from tesselon.operators.borders import lines_of, simplify_shared
+
+    border = [[6 + 0.3 * (i % 2), i / 4] for i in range(1, 40)]
+    left = [[0, 0], [6, 0], *border, [6, 10], [0, 10], [0, 0]]
+    right = [[12, 0], [12, 10], [6, 10], *border[::-1], [6, 0], [12, 0]]
+    alone = [[20, 0], [20.01, 5], [20, 10], [30, 10], [30, 0], [20, 0]]
+    poly = lambda i, ring: (i, json.dumps({"type": "Polygon", "coordinates": [ring]}), {})
+    shapes = spark.createDataFrame([poly(1, left), poly(2, right), poly(3, alone)], "id long, geometry string, props map<string,string>")
+    out = {r.id: lines_of(json.loads(r.geometry))[0] for r in simplify_shared(shapes, 0.5).collect()}
+    edges = {i: {frozenset(map(tuple, e)) for e in zip(r, r[1:], strict=False)} for i, r in out.items()}
+    shared = [e for e in edges[1] & edges[2]]
+    assert len(shared) >= 1 and len(out[1]) < 12 and len(out[3]) == 5
+    assert {p for e in shared for p in e} >= {(6, 0), (6, 10)}
+    assert {tuple(p) for p in out[1]} & {tuple(p) for p in out[2]} == {p for e in shared for p in e}
