@@ -24,7 +24,7 @@ MOST_BITS = 1 << 28
 #: Words whose exact counts are broadcast, at most: those of the highest levels. All others are joined.
 HEAVY_WORDS = 1 << 19
 #: Words counted in a task before it hands on what it has.
-FLUSH_WORDS = 1 << 21
+FLUSH_WORDS = 1 << 20
 #: Weight of the bigram estimate where its history is known.
 BIGRAM_WEIGHT = 0.3
 _U = np.uint64
