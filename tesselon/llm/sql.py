@@ -90,6 +90,30 @@ SELECT dealt.doc_id, dealt.size, parts.source_size, parts.target,
 FROM dealt JOIN parts ON dealt.source IS NOT DISTINCT FROM parts.source AND dealt.cell = parts.cell
 """
 
+ORACLE_SQL["op3_minhash_near_dedup"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x09-\x0D\x20]+') AS l
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(l[i : i + 2], ' ')) AS s
+  FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 1, 2))) AS i FROM docs WHERE len(l) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)
+), ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT reached.a, ends.b FROM reached JOIN ends ON reached.b = ends.a
+), least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, component_id, docs.doc_id = component_id AS kept
+FROM docs JOIN least ON least.a = docs.doc_id LEFT JOIN sizes ON sizes.doc_id = docs.doc_id
+"""
+
 ORACLE_SQL["op7_embedding_dedup"] = r"""
 WITH RECURSIVE rows AS (
   SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
