@@ -555,7 +555,7 @@ def grid_ids(spark, sf_dir):
     return p.select("event_id", V.format_template(V.ID_PRESETS["inspire"], fields).alias("inspire"), V.format_template("{size_km}N{y/1000:04}", fields).alias("geostat"))
 
 
-# --- blobs: no SQL, tested in tests/test_engine.py -------------------------------------------------
+# --- blobs: most have no SQL and are tested in tests/test_engine.py -------------------------------------------------
 
 
 def _point_features(spark, sf_dir, z: int = 3) -> DataFrame:
@@ -564,9 +564,9 @@ def _point_features(spark, sf_dir, z: int = 3) -> DataFrame:
     return f.select(*KEY, "layer", "feat_no", "id", F.lit(1).alias("kind"), F.array(F.array(F.array(at(31), at(57)))).alias("parts"), "props")
 
 
-@query()
+@query(f"SELECT {_FLAT} FROM f")
 def mvt_roundtrip(spark, sf_dir):
-    return tiles.decode(tiles.encode(_point_features(spark, sf_dir))).select(*KEY, "layer", "id", "props")
+    return flat(tiles.decode(tiles.encode(_point_features(spark, sf_dir, 4))))
 
 
 @query()
