@@ -31,10 +31,10 @@ def convert(
     compress: str = "none",
 ) -> None:
     s = open_source(spark, source)
-    kept = general.filter_tiles(s.tiles, bbox, bbox_border, min_zoom, max_zoom)
+    kept = general.filter_tiles(s.relation, bbox, bbox_border, min_zoom, max_zoom)
     if flip_y or swap_xy:
         kept = general.remap_coords(kept, flip_y=flip_y, swap_xy=swap_xy)
-    containers.write_container(containers.recompress(kept, s.compression, compress), target, s.format, compress)
+    containers.write_container(containers.recompress(s.then(kept, "convert").tiles, s.compression, compress), target, s.format, compress)
 
 
 def probe(source: TileSet, depth: int = 1) -> dict[str, DataFrame]:

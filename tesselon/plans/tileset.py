@@ -61,9 +61,12 @@ def merge_layers(a: dict, b: dict) -> dict:
 
 @dataclass(frozen=True)
 class TileSet:
-    """tiles: (z, x, y, data) or, for vector work, feature rows in ``features``; decoded on demand."""
+    """A relation of blobs (z, x, y, data) or of feature rows, whichever its last operator made.
 
-    tiles: DataFrame
+    The other form is derived when it is asked for, so a chain of vector operators decodes once and
+    encodes once, and a filter on rows or blobs is the same filter."""
+
+    relation: DataFrame
     format: str
     compression: str = "none"
     tilejson: TileJSON = field(default_factory=TileJSON)
@@ -77,12 +80,25 @@ class TileSet:
     def is_vector(self) -> bool:
         return self.format in VECTOR
 
-    def with_tiles(self, tiles: DataFrame, step: str, **changes) -> TileSet:
-        return replace(self, tiles=tiles, lineage=(*self.lineage, step), **changes)
+    @property
+    def tiles(self) -> DataFrame:
+        from tesselon.operators.tiles import encode
+
+        return self.relation if "data" in self.relation.columns else encode(self.relation)
+
+    @property
+    def features(self) -> DataFrame:
+        from tesselon.operators.tiles import decode
+
+        return decode(self.relation) if "data" in self.relation.columns else self.relation
+
+    def then(self, relation: DataFrame, step: str, **changes) -> TileSet:
+        return replace(self, relation=relation, lineage=(*self.lineage, step), **changes)
 
     def tile(self, z: int, x: int, y: int) -> bytes | None:
-        """One tile, by a point look-up."""
-        row = self.tiles.where((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y)).select("data").head()
+        """One tile, by a point look-up before anything is encoded."""
+        own = self.relation.where((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
+        row = replace(self, relation=own).tiles.select("data").head()
         return None if row is None else bytes(row.data)
 
     def explain(self) -> str:

@@ -227,8 +227,7 @@ def from_stacked(spark, sources, *, unused: str = "") -> TileSet:
 def from_merged_vector(spark, sources, *, unused: str = "") -> TileSet:
     if not all(s.is_vector for s in sources):
         raise PipelineError("from_merged_vector needs vector sources")
-    merged = general.merge_features([tiles.decode(s.tiles) for s in sources])
-    return TileSet(tiles.encode(merged), "mvt", tilejson=_merged(sources), lineage=("from_merged_vector",))
+    return TileSet(general.merge_features([s.features for s in sources]), "mvt", tilejson=_merged(sources), lineage=("from_merged_vector",))
 
 
 @operator(READ)
@@ -248,7 +247,7 @@ def _merged(sources: list[TileSet]) -> TileJSON:
 
 def _shapes(spark, shapes, layer: str, min_zoom: int, max_zoom: int, step: str, **reduce) -> TileSet:
     drawn = tiles.draw_shapes(shapes, range(min_zoom, max_zoom + 1), layer, **reduce)
-    return TileSet(tiles.encode(drawn), "mvt", tilejson=TileJSON(minzoom=min_zoom, maxzoom=max_zoom, vector_layers={layer: {"fields": {}}}), lineage=(step,))
+    return TileSet(drawn, "mvt", tilejson=TileJSON(minzoom=min_zoom, maxzoom=max_zoom, vector_layers={layer: {"fields": {}}}), lineage=(step,))
 
 
 @operator(READ)
@@ -305,7 +304,7 @@ def from_color(spark, *, color: str = "000000", size: int = 512, level_max: int
 def from_debug(spark, *, level_max: int = 4, bbox: list[float] = None) -> TileSet:
     keys = features.coordinates(spark, range(level_max + 1), tuple(bbox or WHOLE))
     layers = {f"debug_{c}": {"fields": {"char": "String", "index": "Number"}} for c in "zxy"}
-    return TileSet(tiles.encode(features.debug_features(keys)), "mvt", tilejson=TileJSON(vector_layers=layers), lineage=("from_debug",))
+    return TileSet(features.debug_features(keys), "mvt", tilejson=TileJSON(vector_layers=layers), lineage=("from_debug",))
 
 
 @operator(READ)
@@ -319,14 +318,14 @@ def from_tile(spark, *, filename: str, level_max: int = 4, bbox: list[float] = N
 
 @operator(TRANSFORM)
 def filter_(source, *, bbox: list[float] = None, bbox_border: int = None, level_min: int = None, level_max: int = None, filename: str = None) -> TileSet:
-    mask = containers.read_container(source.tiles.sparkSession, filename) if filename else None
-    out = general.filter_tiles(source.tiles, tuple(bbox) if bbox else None, bbox_border, level_min, level_max, mask)
-    return source.with_tiles(out, "filter", tilejson=source.tilejson.update(center=None, bounds=tuple(bbox) if bbox else source.tilejson.bounds))
+    mask = containers.read_container(source.relation.sparkSession, filename) if filename else None
+    out = general.filter_tiles(source.relation, tuple(bbox) if bbox else None, bbox_border, level_min, level_max, mask)
+    return source.then(out, "filter", tilejson=source.tilejson.update(center=None, bounds=tuple(bbox) if bbox else source.tilejson.bounds))
 
 
 @operator(TRANSFORM)
 def remap_coords(source, *, flip_x: bool = False, flip_y: bool = False, swap_xy: bool = False) -> TileSet:
-    return source.with_tiles(general.remap_coords(source.tiles, flip_x, flip_y, swap_xy), "remap_coords")
+    return source.then(general.remap_coords(source.relation, flip_x, flip_y, swap_xy), "remap_coords")
 
 
 @operator(TRANSFORM)
@@ -338,11 +337,11 @@ def meta_update(source, *, attribution: str = None, bounds: list[float] = None,
         now = now.update(**{k: tuple(v) if k in ("bounds", "center") else {x["id"]: x for x in v} if k == "vector_layers" else v for k, v in json.loads(text).items()})
     scalars = {"attribution": attribution, "description": description, "fillzoom": fillzoom, "legend": legend, "name": name, "tile_schema": schema}
     now = now.update(**scalars, **({"bounds": tuple(bounds)} if bounds else {}), **({"center": tuple(center)} if center else {}), **({"vector_layers": json.loads(vector_layers)} if vector_layers else {}))
-    return source.with_tiles(source.tiles, "meta_update", tilejson=now)
+    return source.then(source.relation, "meta_update", tilejson=now)
 
 
 def _on_features(source: TileSet, step: str, change: Callable) -> TileSet:
-    return source.with_tiles(tiles.encode(change(tiles.decode(source.tiles))), step)
+    return source.then(change(source.features), step)
 
 
 @operator(TRANSFORM, "vector")
@@ -362,13 +361,13 @@ def vector_filter_features(source, *, layer: list, expr: str) -> TileSet:
 
 @operator(TRANSFORM, "vector")
 def vector_update_properties(source, *, data_source_path: str, layer_name: str, id_field_tiles: str, id_field_data: str, replace_properties: bool = False, remove_non_matching: bool = False, include_id: bool = False, field_separator: str = ",", decimal_separator: str = ".") -> TileSet:
-    rows = source.tiles.sparkSession.read.csv(data_source_path, header=True, sep=field_separator)
+    rows = source.relation.sparkSession.read.csv(data_source_path, header=True, sep=field_separator)
     return _on_features(source, "vector_update_properties", lambda f: vector.update_properties(f, rows, layer_name, id_field_tiles, id_field_data, replace_properties, remove_non_matching, include_id, decimal_separator))
 
 
 @operator(TRANSFORM, "vector")
 def vector_repair(source, *, drop_offenders: bool = False) -> TileSet:
-    return source.with_tiles(tiles.repair(source.tiles, drop_offenders), "vector_repair")
+    return source.then(tiles.repair(source.tiles, drop_offenders), "vector_repair")
 
 
 @operator(TRANSFORM, "vector")
@@ -380,58 +379,58 @@ def vector_overzoom(source, *, level_base: int, level_max: int = None, enable_cl
 
 @operator(TRANSFORM, "raster")
 def raster_flatten(source, *, color: str = "ffffff") -> TileSet:
-    return source.with_tiles(raster.flatten(source.tiles, features.parse_color(color)[:3]), "raster_flatten")
+    return source.then(raster.flatten(source.tiles, features.parse_color(color)[:3]), "raster_flatten")
 
 
 @operator(TRANSFORM, "raster")
 def raster_levels(source, *, brightness: float = 0.0, contrast: float = 1.0, gamma: float = 1.0) -> TileSet:
-    return source.with_tiles(raster.adjust_levels(source.tiles, brightness, contrast, gamma), "raster_levels")
+    return source.then(raster.adjust_levels(source.tiles, brightness, contrast, gamma), "raster_levels")
 
 
 @operator(TRANSFORM, "raster")
 def raster_format(source, *, format: str = "png", effort: int = 6) -> TileSet:
     if format != "png":
         raise PipelineError(f"no encoder for {format}")
-    return source.with_tiles(raster.reencode(source.tiles, effort), "raster_format")
+    return source.then(raster.reencode(source.tiles, effort), "raster_format")
 
 
 @operator(TRANSFORM, "raster")
 def raster_mask(source, *, geojson: str, buffer: float = 0.0, blur: float = 0.0, blur_function: str = "linear") -> TileSet:
     from tesselon.functions.geometry import shape_parts
 
-    shapes = features.read_geojson(source.tiles.sparkSession, geojson).select("geometry").collect()
+    shapes = features.read_geojson(source.relation.sparkSession, geojson).select("geometry").collect()
     rings = [ring for s in shapes for kind, parts in [shape_parts(json.loads(s.geometry))] if kind == 3 for ring in parts]
-    return source.with_tiles(raster.mask(source.tiles, rings, buffer, blur, blur_function), "raster_mask")
+    return source.then(raster.mask(source.tiles, rings, buffer, blur, blur_function), "raster_mask")
 
 
 @operator(TRANSFORM, "raster")
 def raster_overview(source, *, level: int) -> TileSet:
-    return source.with_tiles(raster.overview(source.tiles, level), "raster_overview")
+    return source.then(raster.overview(source.tiles, level), "raster_overview")
 
 
 @operator(TRANSFORM, "raster")
 def raster_overscale(source, *, level_base: int, level_max: int, enable_climbing: bool = False, bbox: list[float] = None) -> TileSet:
-    keys = features.coordinates(source.tiles.sparkSession, range(level_max + 1), tuple(bbox or WHOLE))
-    return source.with_tiles(raster.overscaled(keys, source.tiles, level_base, enable_climbing), "raster_overscale")
+    keys = features.coordinates(source.relation.sparkSession, range(level_max + 1), tuple(bbox or WHOLE))
+    return source.then(raster.overscaled(keys, source.tiles, level_base, enable_climbing), "raster_overscale")
 
 
 @operator(TRANSFORM, "raster")
 def raster_tile_resize(source, *, tile_size: int) -> TileSet:
-    return source.with_tiles(raster.resize(source.tiles, tile_size), "raster_tile_resize")
+    return source.then(raster.resize(source.tiles, tile_size), "raster_tile_resize")
 
 
 @operator(TRANSFORM, "raster")
 def dem_overview(source, *, level: int) -> TileSet:
-    return source.with_tiles(raster.overview(source.tiles, level, dem=True), "dem_overview")
+    return source.then(raster.overview(source.tiles, level, dem=True), "dem_overview")
 
 
 @operator(TRANSFORM, "raster")
 def dem_quantize(source, *, elevation_error: float = 0.1, slope_error: float = 1.0, encoding: str = "mapbox") -> TileSet:
-    return source.with_tiles(raster.dem_quantize(source.tiles, elevation_error, slope_error, encoding), "dem_quantize")
+    return source.then(raster.dem_quantize(source.tiles, elevation_error, slope_error, encoding), "dem_quantize")
 
 
 @operator(TRANSFORM, "raster")
 def dem_tile_resize(source, *, tile_size: int) -> TileSet:
-    return source.with_tiles(raster.resize(source.tiles, tile_size, dem=True), "dem_tile_resize")
+    return source.then(raster.resize(source.tiles, tile_size, dem=True), "dem_tile_resize")
 
 

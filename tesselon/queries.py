@@ -612,7 +612,7 @@ def debug_pipeline(spark, sf_dir):
     from tesselon.plans.vpl import run_vpl
 
     out = run_vpl(spark, "from_debug level_max=3 | vector_filter_layers filter=[debug_z] | vector_filter_properties regex='/index$' | remap_coords flip_y=true")
-    return tiles.decode(out.tiles).select(*KEY, "layer", "props")
+    return out.features.select(*KEY, "layer", "props")
 
 
 @query()
