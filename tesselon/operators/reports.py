@@ -40,9 +40,8 @@ def layer_stats(features: DataFrame) -> DataFrame:
 def schema_violations(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Breaches of rules (layer, attribute, type, required, minzoom) with the number of features concerned.
 
-    Rules are joined with the layer's features, so the rule table is what is broadcast; it has one row for
-    each attribute of a schema."""
-    rule = F.broadcast(rules.withColumnRenamed("layer", "_layer").withColumnRenamed("type", "wanted"))
+    A rule table has one row for each attribute of a schema; Spark broadcasts it if it is as small as that."""
+    rule = rules.withColumnRenamed("layer", "_layer").withColumnRenamed("type", "wanted")
     joined = features.select("layer", "z", "props").join(rule, F.col("layer") == F.col("_layer"))
     value = F.try_element_at("props", F.col("attribute"))
     kind = F.when(value.isin("true", "false"), "Boolean").when(value.startswith('"'), "String").otherwise("Number")

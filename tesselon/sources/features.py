@@ -150,8 +150,10 @@ def color_tiles(keys: DataFrame, color: str = "000000", size: int = 512) -> Data
 
 def one_tile(keys: DataFrame, path: str) -> DataFrame:
     """The content of one file at every key."""
-    blob = keys.sparkSession.read.format("binaryFile").load(path).select(F.col("content").alias("data"))
-    return keys.crossJoin(F.broadcast(blob))  # one row
+    content = keys.sparkSession.read.format("binaryFile").load(path).select("content").head()
+    if content is None:
+        raise ValueError(f"no file {path}")
+    return keys.withColumn("data", F.lit(bytes(content[0])))
 
 
 def debug_features(keys: DataFrame) -> DataFrame:

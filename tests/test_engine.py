@@ -279,3 +279,24 @@ def test_shared_borders_stay_shared(spark):
     assert len(shared) >= 1 and len(out[1]) < 12 and len(out[3]) == 5
     assert {p for e in shared for p in e} >= {(6, 0), (6, 10)}
     assert {tuple(p) for p in out[1]} & {tuple(p) for p in out[2]} == {p for e in shared for p in e}
+
+
+def test_one_tile(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(P.encode_png(np.zeros((2, 2, 3), np.uint8)))
+    out = run_vpl(spark, f"from_tile filename='{tmp_path}/a.png' level_max=2 | filter level_min=1 | remap_coords swap_xy=true")
+    assert out.tiles.count() == 20 and out.format == "png"
+    with pytest.raises(PipelineError, match="needs vector"):
+        run_vpl(spark, "from_color | vector_repair")
+
+
+def test_meta_update(spark):
+    out = run_vpl(spark, """from_color level_max=1 | meta_update tilejson_update='{"name": "a", "bounds": [0, 0, 1, 1]}' attribution=me | meta_update name=b""")
+    assert out.tilejson.bounds == (0, 0, 1, 1) and out.tilejson.values == {"name": "b", "attribution": "me"}
+
+
+def test_dem_quantize(spark):
+    t = features.color_tiles(features.coordinates(spark, range(0, 1)), "018753", 4)
+    out = P.dem_raw(P.decode_png(bytes(raster.dem_quantize(t, 0.001, 0.01).head().data)))[0, 0]
+    pixel = np.cos(0.0) * 2 * np.pi * 6378137 / 256
+    bits = int(np.log2(min(0.001 * pixel, pixel * np.tan(np.radians(0.01))) / 0.1 + 1))
+    assert out == ((0x018753 + (1 << bits >> 1)) >> bits) << bits and bits > 3
