@@ -75,27 +75,47 @@ def ground_size(z, y) -> Column:
     return F.cos(F.radians(tile_north(_c(y) + 0.5, z))) * WORLD / side(z)
 
 
-def laea_forward(lon, lat) -> tuple[Column, Column]:
-    """Easting and northing in EPSG:3035 (Lambert azimuthal equal area on GRS80, centre 10 E 52 N)."""
+def _laea() -> dict[str, float]:
+    """Numbers of EPSG:3035: Lambert azimuthal equal area on GRS80, centre 10 E 52 N."""
     # GRS80 and the projection's origin.
     a, f = 6_378_137.0, 1 / 298.257222101
     e2 = f * (2 - f)
     e = math.sqrt(e2)
-    lat0, lon0, east0, north0 = math.radians(52), math.radians(10), 4_321_000.0, 3_210_000.0
+    lat0 = math.radians(52)
 
     def q_number(s: float) -> float:
         return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
-    qp, q0 = q_number(1.0), q_number(math.sin(lat0))
-    beta0 = math.asin(q0 / qp)
+    qp = q_number(1.0)
+    beta0 = math.asin(q_number(math.sin(lat0)) / qp)
     rq = a * math.sqrt(qp / 2)
     d = a * math.cos(lat0) / math.sqrt(1 - e2 * math.sin(lat0) ** 2) / (rq * math.cos(beta0))
+    return {"e": e, "e2": e2, "qp": qp, "sin": math.sin(beta0), "cos": math.cos(beta0), "rq": rq, "d": d, "lon": math.radians(10), "east": 4_321_000.0, "north": 3_210_000.0}
+
+
+def laea_forward(lon, lat) -> tuple[Column, Column]:
+    """Easting and northing in EPSG:3035."""
+    k = _laea()
     s = F.sin(F.radians(_c(lat)))
-    q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    beta = F.asin(q / qp)
-    turn = F.radians(_c(lon)) - lon0
-    b = rq * F.sqrt(2 / (1 + math.sin(beta0) * F.sin(beta) + math.cos(beta0) * F.cos(beta) * F.cos(turn)))
-    return b * d * F.cos(beta) * F.sin(turn) + east0, b / d * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(turn)) + north0
+    q = (1 - k["e2"]) * (s / (1 - k["e2"] * s * s) - F.log((1 - k["e"] * s) / (1 + k["e"] * s)) / (2 * k["e"]))
+    beta = F.asin(q / k["qp"])
+    turn = F.radians(_c(lon)) - k["lon"]
+    b = k["rq"] * F.sqrt(2 / (1 + k["sin"] * F.sin(beta) + k["cos"] * F.cos(beta) * F.cos(turn)))
+    return b * k["d"] * F.cos(beta) * F.sin(turn) + k["east"], b / k["d"] * (k["cos"] * F.sin(beta) - k["sin"] * F.cos(beta) * F.cos(turn)) + k["north"]
+
+
+def laea_inverse(east, north) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in EPSG:3035, by the series of the authalic latitude."""
+    k = _laea()
+    e2 = k["e2"]
+    x, y = _c(east) - k["east"], _c(north) - k["north"]
+    rho = F.sqrt(x * x / k["d"] ** 2 + y * y * k["d"] ** 2)
+    far = F.when(rho > 0, rho).otherwise(1.0)
+    c = 2 * F.asin(F.least(F.lit(1.0), rho / (2 * k["rq"])))
+    beta = F.when(rho > 0, F.asin(F.cos(c) * k["sin"] + k["d"] * y * F.sin(c) * k["cos"] / far)).otherwise(math.asin(k["sin"]))
+    lon = k["lon"] + F.atan2(x * F.sin(c), k["d"] * rho * k["cos"] * F.cos(c) - k["d"] ** 2 * y * k["sin"] * F.sin(c))
+    lat = beta + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * F.sin(2 * beta) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * F.sin(4 * beta) + 761 * e2**3 / 45360 * F.sin(6 * beta)
+    return F.degrees(F.when(rho > 0, lon).otherwise(k["lon"])), F.degrees(lat)
 
 
 # --- arithmetic on coordinates -------------------------------------------------------------------

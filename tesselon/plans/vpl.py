@@ -269,18 +269,24 @@ def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: in
 
 @operator(READ)
 def from_grid(spark, *, epsg: int, size: float, bbox: list[float], id_preset: str = None, id_template: str = None, id_field: str = "id", layer_name: str = "grid", max_cells_per_tile: int = 4096, max_zoom: int = 10) -> TileSet:
-    """Cells of EPSG:4326 or 3857 as polygons; the box is in the grid's units."""
+    """Cells of EPSG:4326, 3857 or 3035 as polygons; the box is in the grid's units."""
     from pyspark.sql import functions as F
 
-    if epsg not in (3857, 4326):
-        raise PipelineError("from_grid draws EPSG:3857 and 4326; cells of 3035 come from grid_cells")
+    from tesselon.functions.coords import laea_inverse
+
     cells = features.grid_cells(spark, epsg, size, tuple(bbox), id_preset=id_preset, id_template=id_template)
-    lon = lambda v: v if epsg == 4326 else v / 6_378_137.0 * 180 / F.pi()
-    lat = lambda v: v if epsg == 4326 else F.degrees(2 * F.atan(F.exp(v / 6_378_137.0)) - F.pi() / 2)
-    corner = lambda a, b: F.concat(F.lit("["), lon(F.col(a)).cast("string"), F.lit(","), lat(F.col(b)).cast("string"), F.lit("]"))
+
+    def place(a: str, b: str):
+        if epsg == 3035:
+            return laea_inverse(a, b)
+        if epsg == 4326:
+            return F.col(a), F.col(b)
+        return F.col(a) / 6_378_137.0 * 180 / F.pi(), F.degrees(2 * F.atan(F.exp(F.col(b) / 6_378_137.0)) - F.pi() / 2)
+
+    corner = lambda a, b: F.concat(F.lit("["), F.concat_ws(",", *[v.cast("string") for v in place(a, b)]), F.lit("]"))
     ring = F.concat_ws(",", *[corner(a, b) for a, b in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
     shapes = cells.select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geometry"), F.create_map(F.lit(id_field), F.concat(F.lit('"'), "id_text", F.lit('"'))).alias("props"))
-    metres = size if epsg == 3857 else size * 111_319.49
+    metres = size * 111_319.49 if epsg == 4326 else size
     low = features.grid_zoom(metres, max_cells_per_tile)
     return _shapes(spark, shapes, layer_name, min(low, max_zoom), max_zoom, "from_grid", tolerance=0.0)
 

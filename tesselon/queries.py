@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tesselon.functions import coords as C
 from tesselon.functions import values as V
 from tesselon.operators import general, levels, reports, tiles, vector
+from tesselon.sources import features as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -555,6 +556,30 @@ def grid_ids(spark, sf_dir):
     return p.select("event_id", V.format_template(V.ID_PRESETS["inspire"], fields).alias("inspire"), V.format_template("{size_km}N{y/1000:04}", fields).alias("geostat"))
 
 
+def _laea_sql() -> str:
+    k = {n: f"{v!r}::DOUBLE" for n, v in C._laea().items()}
+    return f"""SELECT event_id, round(b * {k['d']} * cos(beta) * sin(turn) + {k['east']}, 2) AS east,
+round(b / {k['d']} * ({k['cos']} * sin(beta) - {k['sin']} * cos(beta) * cos(turn)) + {k['north']}, 2) AS north FROM (
+SELECT *, {k['rq']} * sqrt(2 / (1 + {k['sin']} * sin(beta) + {k['cos']} * cos(beta) * cos(turn))) AS b FROM (
+SELECT event_id, radians(lon) - {k['lon']} AS turn,
+asin((1 - {k['e2']}) * (s / (1 - {k['e2']} * s * s) - ln((1 - {k['e']} * s) / (1 + {k['e']} * s)) / (2 * {k['e']})) / {k['qp']}) AS beta FROM (
+SELECT event_id, lon, sin(radians(lat)) AS s FROM p WHERE lon BETWEEN -10 AND 40 AND lat BETWEEN 30 AND 72)))"""
+
+
+@query(_laea_sql())
+def laea_points(spark, sf_dir):
+    p = points(spark, sf_dir).where("lon BETWEEN -10 AND 40 AND lat BETWEEN 30 AND 72")
+    east, north = C.laea_forward("lon", "lat")
+    return p.select("event_id", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
+
+
+for _name, _epsg, _size, _bbox in (("grid_cells_3035", 3035, 50_000, (4_000_000, 2_990_000, 4_600_000, 3_500_000)), ("grid_cells_3857", 3857, 250_000, (-1_000_000, 0, 2_000_001, 3_000_000)), ("grid_cells_4326", 4326, 5, (-10, 30, 41, 60))):
+    QUERIES[_name] = lambda spark, sf_dir, a=(_epsg, _size, _bbox): sources.grid_cells(spark, *a).select("id_text", "cx", "cy", F.col("west").cast("double").alias("west"), F.col("north").cast("double").alias("north"))
+    _x, _y = (f"range(CAST(floor({_bbox[i]} / {_size}.0) AS BIGINT), CAST(ceil({_bbox[i + 2]} / {_size}.0) AS BIGINT))" for i in (0, 1))
+    ORACLE_SQL[_name] = f"""SELECT 'CRS{_epsg}RES{_size}mN' || (cy * {_size}) || 'E' || (cx * {_size}) AS id_text, cx, cy, CAST(cx * {_size} AS DOUBLE) AS west, CAST((cy + 1) * {_size} AS DOUBLE) AS north
+FROM (SELECT CAST(range AS BIGINT) AS cx FROM {_x}), (SELECT CAST(range AS BIGINT) AS cy FROM {_y})"""
+
+
 # --- blobs: most have no SQL and are tested in tests/test_engine.py -------------------------------------------------
 
 

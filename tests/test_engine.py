@@ -300,3 +300,19 @@ def test_dem_quantize(spark):
     pixel = np.cos(0.0) * 2 * np.pi * 6378137 / 256
     bits = int(np.log2(min(0.001 * pixel, pixel * np.tan(np.radians(0.01))) / 0.1 + 1))
     assert out == ((0x018753 + (1 << bits >> 1)) >> bits) << bits and bits > 3
+
+
+def test_laea(spark):
+    from tesselon.functions.coords import laea_forward, laea_inverse
+
+    p = spark.createDataFrame([(10.0, 52.0), (5.0, 50.0), (-9.5, 38.7), (31.2, 70.1)], "lon double, lat double")
+    there = p.select("*", *[c.alias(n) for c, n in zip(laea_forward("lon", "lat"), ("e", "n"), strict=True)])
+    back = there.select("*", *[c.alias(n) for c, n in zip(laea_inverse("e", "n"), ("x", "y"), strict=True)]).collect()
+    assert all(abs(r.lon - r.x) < 1e-8 and abs(r.lat - r.y) < 1e-8 for r in back)
+    assert [round(v, 2) for v in (back[0].e, back[0].n, back[1].e, back[1].n)] == [4321000.0, 3210000.0, 3962799.45, 2999718.85]
+
+
+def test_grid_of_3035_is_drawn(spark):
+    out = run_vpl(spark, "from_grid epsg=3035 size=100000 bbox=[4200000, 3100000, 4400000, 3300000] max_zoom=6 | filter level_min=6")
+    names = {r.props["id"] for r in out.features.collect()}
+    assert names == {f'"CRS3035RES100000mN{n}E{e}"' for n in (3100000, 3200000) for e in (4200000, 4300000)}
