@@ -172,11 +172,13 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
         return out
     points = F.flatten("parts")
     reach = lambda axis, f: f(F.transform(points, lambda p: p[axis]))
-    cell = lambda v: F.greatest(F.lit(0), F.least(F.pow(F.lit(2.0), "steps") - 1, F.floor(v * F.pow(F.lit(2.0), "steps") / extent))).cast("int")
-    edge = buffer / F.pow(F.lit(2.0), "steps")
+    edge, side = buffer / F.pow(F.lit(2.0), "steps"), F.pow(F.lit(2.0), "steps")
+    within = lambda v: F.greatest(F.lit(0), F.least(side - 1, v)).cast("int")
+    # Children whose box, edges included, the feature's range touches.
+    first = lambda axis: within(F.ceil((reach(axis, F.array_min) - edge) * side / extent) - 1)
+    last = lambda axis: within(F.floor((reach(axis, F.array_max) + edge) * side / extent))
     kids = base.withColumn("steps", steps)
-    kids = kids.withColumn("i", F.explode(F.sequence(cell(reach(0, F.array_min) - edge), cell(reach(0, F.array_max) + edge))))
-    kids = kids.withColumn("j", F.explode(F.sequence(cell(reach(1, F.array_min) - edge), cell(reach(1, F.array_max) + edge))))
+    kids = kids.withColumn("i", F.explode(F.sequence(first(0), last(0)))).withColumn("j", F.explode(F.sequence(first(1), last(1))))
     size = F.pow(F.lit(2.0), "steps").cast("bigint")
     kids = kids.withColumns({"z": F.col("z") + F.col("steps"), "x": F.col("x") * size + F.col("i"), "y": F.col("y") * size + F.col("j")})
     names = [*KEY, "layer", "feat_no", "id", "kind", "parts", "props"]

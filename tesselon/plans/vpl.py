@@ -117,6 +117,25 @@ def parse(text: str) -> list[Node]:
     return nodes
 
 
+def render(nodes: list[Node]) -> str:
+    """The text of a pipeline in one standing form; parsing it gives the same nodes."""
+
+    def value(v: str) -> str:
+        if _PLAIN.fullmatch(v):
+            return v
+        escaped = v.replace("\\", "\\\\").replace('"', '\\"')
+        return f'"{escaped}"'
+
+    def one(node: Node) -> str:
+        parts = [node.name]
+        parts += [f"{k}={value(v[0])}" if len(v) == 1 else f"{k}=[{', '.join(map(value, v))}]" for k, v in node.args.items()]
+        if node.sources:
+            parts.append(f"[{', '.join(map(render, node.sources))}]")
+        return " ".join(parts)
+
+    return " | ".join(map(one, nodes))
+
+
 # --- registry ------------------------------------------------------------------------------------
 
 READ: dict[str, Callable] = {}
@@ -155,6 +174,15 @@ def parameters(f: Callable) -> dict[str, inspect.Parameter]:
     return {k: p for k, p in inspect.signature(f).parameters.items() if p.kind == p.KEYWORD_ONLY}
 
 
+def describe() -> list[tuple[str, str, str, list[str]]]:
+    """(kind, operator, what it says of itself, parameters with their kinds and defaults)."""
+    return [
+        (kind, name, inspect.getdoc(f) or "", [f"{k}: {p.annotation}" + ("" if p.default is p.empty else f" = {p.default}") for k, p in parameters(f).items() if k != "unused"])
+        for kind, table in (("read", READ), ("transform", TRANSFORM))
+        for name, f in sorted(table.items())
+    ]
+
+
 def check(nodes: list[Node]) -> list[str]:
     """Problems of a pipeline that can be told without reading anything."""
     out = []

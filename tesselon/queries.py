@@ -599,7 +599,10 @@ def mvt_validate(spark, sf_dir):
     return tiles.validate(tiles.encode(_point_features(spark, sf_dir)))
 
 
-@query()
+@query("""SELECT z + d AS z, x * CAST(pow(2, d) AS BIGINT) + i AS x, y * CAST(pow(2, d) AS BIGINT) + j AS y, layer, id
+FROM (SELECT z, x, y, event_type AS layer, event_id AS id, event_id * 31 % 4096 AS px, event_id * 57 % 4096 AS py FROM t WHERE z = 3),
+(SELECT CAST(range AS BIGINT) AS d FROM range(0, 3)), (SELECT CAST(range AS BIGINT) AS i FROM range(0, 4)), (SELECT CAST(range AS BIGINT) AS j FROM range(0, 4))
+WHERE i < pow(2, d) AND j < pow(2, d) AND (d = 0 OR px * pow(2, d) BETWEEN i * 4096 - 80 AND (i + 1) * 4096 + 80 AND py * pow(2, d) BETWEEN j * 4096 - 80 AND (j + 1) * 4096 + 80)""")
 def mvt_overzoom(spark, sf_dir):
     return tiles.overzoom(_point_features(spark, sf_dir), 3, 5).select(*KEY, "layer", "id")
 
@@ -651,6 +654,9 @@ def overzoom_climbing(spark, sf_dir):
     return tiles.overzoom_climbing(f, 3, 4).select(*KEY, "layer", "id")
 
 
-@query()
+@query("""SELECT event_id FROM (SELECT event_id, xor(b, b // 2147483648::UHUGEINT) AS h FROM (
+SELECT event_id, (xor(a, a // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS b FROM (
+SELECT event_id, (xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS a FROM (SELECT event_id, event_id::UHUGEINT AS x FROM p))))
+WHERE h // 2048 < CAST(floor(0.3::DOUBLE * 9007199254740992) + 1 AS UHUGEINT)""")
 def drop_rate(spark, sf_dir):
     return tiles.drop_rate(points(spark, sf_dir).select("event_id"), 0.3, "event_id")

@@ -174,3 +174,16 @@ def test_colors_and_tables():
     with pytest.raises(ValueError):
         S.parse_color("12345")
     assert S.grid_zoom(1000, 4096) == 10
+
+
+@given(st.lists(st.text(max_size=12), min_size=1, max_size=3))
+def test_rendered_pipeline_parses_back(values):
+    nodes = [vpl.Node("from_stacked", {}, [[vpl.Node("from_debug", {"a": values})], [vpl.Node("from_color"), vpl.Node("filter", {"b_c": ["1"]})]]), vpl.Node("remap_coords", {"flip_x": ["true"]})]
+    assert vpl.parse(vpl.render(nodes)) == nodes
+
+
+def test_all_operators_are_described():
+    known = {name for _, name, _, _ in vpl.describe()}
+    read = "from_color from_container from_csv from_debug from_geo from_grid from_merged_vector from_stacked from_stacked_raster from_tile from_tilejson"
+    change = "filter meta_update remap_coords dem_overview dem_quantize dem_tile_resize raster_flatten raster_format raster_levels raster_mask raster_overscale raster_overview raster_tile_resize vector_filter_features vector_filter_layers vector_filter_properties vector_overzoom vector_repair vector_update_properties"
+    assert known == set(f"{read} {change}".split())
