@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, at most; those with a longer text are not taken.
-MAX_FIT_ROWS = 8000
+MAX_FIT_ROWS = 6000
 MAX_FIT_CHARS = 32_000
 #: Documents that must hold a learnt stem, and the share of them that must be toxic.
 MIN_SUPPORT, MIN_PRECISION = 4, 0.9
@@ -134,45 +134,56 @@ def features(counts: list[int]) -> np.ndarray:
     return np.where(x > 0, 1 + 0.25 * np.log2(np.maximum(x, 1)), 0.0)
 
 
+def row_keys(text: bytes, fixed: dict[bytes, int]) -> set[bytes]:
+    """A row's words, marked by a final NUL, and their beginnings of 4 to 8 bytes."""
+    own: set[bytes] = set()
+    for word in {w for w, _ in tokens(text)}:
+        if word and word not in fixed:
+            own.add(word + b"\0")
+            own.update(word[:n] for n in range(4, min(9, len(word) + 1)))
+    return own
+
+
 def learn_stems(rows: list[tuple[bytes, int]]) -> tuple[dict[bytes, int], frozenset, tuple[int, ...]]:
-    """Words and word beginnings of 4 to 8 bytes that stand almost only in toxic rows.
+    """Words and word beginnings that stand almost only in toxic rows.
 
     Taken by support, the shorter first; each must explain enough toxic rows that neither the seed
     lexicon nor an earlier one explains, so that the common words of copied texts are not learnt."""
     fixed = fixed_symbols()
-    toxic, clean, seeded = Counter(), Counter(), set()
-    found: list[set[tuple[bytes, bool]]] = []
-    for i, (text, label) in enumerate(rows):
-        own: set[tuple[bytes, bool]] = set()
-        for word in {w for w, _ in tokens(text)}:
-            if fixed.get(word) == _SEED:
-                seeded.add(i)
-            elif word and word not in fixed:
-                own.add((word, True))
-                own.update((word[:n], False) for n in range(4, min(9, len(word) + 1)))
-        (toxic if label else clean).update(own)
-        found.append(own if label else set())
+    toxic, clean = Counter(), Counter()
+    for text, label in rows:
+        if label:
+            toxic.update(row_keys(text, fixed))
+    keys = len(toxic)
+    toxic = {k: n for k, n in toxic.items() if n >= MIN_SUPPORT}
+    for text, label in rows:
+        if not label:
+            clean.update(k for k in row_keys(text, fixed) if k in toxic)
     share = sum(y for _, y in rows) / max(1, len(rows))
     weight = lambda n, against: n * math.log(1 / max(share, 1e-6)) + against * math.log(1 - MIN_PRECISION)
-    least = math.log(len(toxic) + 1) + 2
-    good = {k for k, n in toxic.items() if n >= MIN_SUPPORT and n >= MIN_PRECISION * (n + clean[k]) and weight(n, clean[k]) > least}
-    holders: dict[tuple[bytes, bool], list[int]] = {k: [] for k in good}
-    for i, own in enumerate(found):
-        for k in own & good:
-            holders[k].append(i)
-    explained, stems, words = set(seeded), {}, set()
-    for k in sorted(good, key=lambda k: (-toxic[k], len(k[0]), k)):
+    least = math.log(keys + 1) + 2
+    good = {k for k, n in toxic.items() if n >= MIN_PRECISION * (n + clean[k]) and weight(n, clean[k]) > least}
+    holders: dict[bytes, list[int]] = {k: [] for k in good}
+    explained = set()
+    for i, (text, label) in enumerate(rows):
+        if label:
+            for k in row_keys(text, fixed) & good:
+                holders[k].append(i)
+            if any(fixed.get(w) == _SEED for w, _ in tokens(text)):
+                explained.add(i)
+    stems, words = {}, set()
+    for k in sorted(good, key=lambda k: (-toxic[k], len(k), k)):
         fresh = [i for i in holders[k] if i not in explained]
         if len(fresh) >= MIN_SUPPORT and weight(len(fresh), clean[k]) > least:
             explained.update(holders[k])
-            if k[1]:
-                words.add(k[0])
+            if k.endswith(b"\0"):
+                words.add(k[:-1])
             else:
-                stems[k[0]] = toxic[k]
+                stems[k] = toxic[k]
     return stems, frozenset(words), tuple(sorted({len(s) for s in stems}))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 2000, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 2000, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
     """Logistic regression by full gradient steps, drawn to the standing weights of patterns that are rarely
     seen; weights are kept non-negative: no pattern makes a text cleaner."""
     prior = np.array(STANDING)
