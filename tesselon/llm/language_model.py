@@ -218,7 +218,7 @@ def _words_between(low: int, high: int):
 def count_ngrams(docs: DataFrame, column: str) -> tuple[DataFrame, int]:
     """Stored counts of the documents' words and word pairs in 2**n buckets by hash, and n."""
     chars = docs.select(F.sum(F.length(column))).first()[0] or 0
-    log_buckets = min(16, max(6, int(chars // 6_000_000).bit_length()))
+    log_buckets = min(20, max(6, int(chars // 6_000_000).bit_length()))
     partial = docs.select(column).mapInArrow(_partial_counts(column, log_buckets), _COUNTS)
     dealt = partial.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     return store(dealt.mapInArrow(_total_counts, "kind int, bucket int, keys binary, counts binary, total long, histogram array<long>")), log_buckets
