@@ -231,13 +231,14 @@ def corpus_findings(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
 
 
 def fit_network(docs: DataFrame, column: str, id_column: str, seed: int = 5) -> Network:
-    """Trains on the findings of at most MAX_FIT_DOCS documents, the first by a hash of the id among those
-    with a base word or digits, and on GENERATED findings."""
+    """Trains on the findings of MAX_FIT_DOCS documents at most, picked by a hash among those with a base
+    word, and on GENERATED findings. They are counted first, so that only the picked texts reach the driver."""
     text = F.col(column)
     near = text.contains("AKIA") | F.lower(text).rlike("passw|secret|token|api_?key")
-    few = docs.where(near & (F.length(text) <= MAX_FIT_CHARS)).select(id_column, column)
-    few = few.orderBy(F.xxhash64(F.col(id_column).cast("string"), text)).limit(MAX_FIT_DOCS)
-    texts = sorted(r[1].encode() for r in few.collect())
+    few = docs.where(near & (F.length(text) <= MAX_FIT_CHARS)).select(column, F.pmod(F.xxhash64(F.col(id_column).cast("string"), text), F.lit(1 << 30)).alias("_pick"))
+    rate = min(1.0, MAX_FIT_DOCS / max(1, few.count()))
+    picked = few.where(F.col("_pick") < int(rate * (1 << 30))).orderBy("_pick", column).limit(MAX_FIT_DOCS).collect()
+    texts = [r[0].encode() for r in picked]
     codes, labels = corpus_findings(texts)
     more, tags = generated_findings(GENERATED, seed)
     return train(np.array(codes + more), np.array(labels + tags, np.float32), seed)
