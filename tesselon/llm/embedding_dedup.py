@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,18 +14,27 @@ from tesselon.llm._components import components
 from tesselon.llm._shared import store
 from tesselon.llm._text import mix
 
-#: Tables of sign bits: vectors at cosine 0.98 agree on a bit with probability 0.936, so they meet in no
-#: table with probability (1 - 0.936**16)**40 = 4e-8.
-TABLES, BITS = 40, 16
+#: Sign bits of a table's key: at least so many, and about the binary logarithm of the number of vectors,
+#: so that buckets of unrelated vectors stay small at every size.
+LEAST_BITS, MOST_BITS = 16, 32
+#: A pair at the threshold meets in no table with this probability at most.
+MISS = 4e-8
 #: Vectors of a bucket that are compared with one another at once; larger buckets go block by block.
 BLOCK = 2048
 _U = np.uint64
 
 
-def _signs(seed: int, kind: str):
+def table_shape(vectors: int, threshold: float) -> tuple[int, int]:
+    """(tables, bits): a bit agrees with probability 1 - angle / pi."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, vectors)))))
+    meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(meet, 1 - 1e-9)))), bits
+
+
+def _signs(seed: int, kind: str, tables: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = (1 << np.arange(BITS)).astype(np.int64)
+        weights = (1 << np.arange(width)).astype(np.int64)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("vector"))
             label = np.asarray(batch.column(batch.schema.get_field_index("label")))
@@ -33,13 +43,13 @@ def _signs(seed: int, kind: str):
                 at = np.flatnonzero(sizes == size)
                 x = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), size)
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), TABLES * BITS))
-                bits = (x / np.linalg.norm(x, axis=1, keepdims=True) @ planes[size] > 0).reshape(len(at), TABLES, BITS) @ weights
-                salt = mix(label[at].astype(np.int64).view(_U)[:, None] * _U(0x9E3779B97F4A7C15) + mix(np.arange(TABLES, dtype=_U) + _U(int(size) << 8)))
+                    planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), tables * width))
+                bits = (x / np.linalg.norm(x, axis=1, keepdims=True) @ planes[size] > 0).reshape(len(at), tables, width) @ weights
+                salt = mix(label[at].astype(np.int64).view(_U)[:, None] * _U(0x9E3779B97F4A7C15) + mix(np.arange(tables, dtype=_U) + _U(int(size) << 8)))
                 keys = mix(salt + bits.astype(_U))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
                 own = [batch.column(batch.schema.get_field_index(c)).take(pa.array(at)) for c in ("rep", "copies")]
-                raw = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (x.astype(kind), bits.astype(np.uint16))]
+                raw = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (x.astype(kind), bits.astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([*own, *raw, lists], names=["rep", "copies", "raw", "signs", "keys"])
 
     return run
@@ -62,7 +72,7 @@ def _compare(threshold: float, kind: str):
             np.fill_diagonal(near, False)
         if not near.any():
             return None
-        signs = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
+        signs = np.frombuffer(b"".join(r[8] for r in rows), np.uint32).reshape(len(rows), -1)
         new = near.copy()
         for t in range(table):  # counted where they met first
             new &= signs[left, t][:, None] != signs[right, t]
@@ -112,10 +122,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     Vectors that are null, empty, zero or hold null or non-finite components, and those of a null label,
     are linked with nothing and are their own component. Vectors of different lengths are not compared.
     Rows that share an id and a vector are counted each; where one id has several vectors, their links
-    are summed. A null id is linked with nothing, its component is null and it is kept. An empty table gives no rows. Other columns are not read.
+    are summed. A null id is linked with nothing, its component is null and it is kept. An empty table
+    gives no rows. Other columns are not read.
 
     Equal vectors of a label are one representative with a count, so copies are never expanded.
-    Representatives meet in the buckets of TABLES hash tables; within a bucket all cosines are computed as
+    Representatives meet in the buckets of hash tables, whose bits grow with the logarithm of their number; within a bucket all cosines are computed as
     matrix products of at most BLOCK rows a side, larger buckets in several tasks, and pairs that met in
     an earlier table are not counted again. What leaves a task is a count and one link for each vector.
     """
@@ -129,7 +140,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     rows = rows.select("id", "label", F.when(F.col("sound"), F.xxhash64("vector")).alias("mark"), F.when(F.col("sound"), F.col("vector")).alias("vector"))
     classes = rows.where("vector IS NOT NULL").groupBy("label", "mark", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = store(classes)
-    hashed = classes.select("rep", "copies", "label", "vector").mapInArrow(_signs(seed, kind), "rep long, copies long, raw binary, signs binary, keys array<long>")
+    hashed = classes.select("rep", "copies", "label", "vector").mapInArrow(_signs(seed, kind, *table_shape(classes.count(), threshold)), "rep long, copies long, raw binary, signs binary, keys array<long>")
     hashed = store(hashed)
     met = hashed.select("rep", F.posexplode("keys").alias("place", "bucket"))
     large = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
