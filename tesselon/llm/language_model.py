@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ QUANTUM = 1.5
 LEVELS = 64
 PROBES, BITS_PER_ENTRY = 4, 12
 #: The broadcast filter has at most so many bits. Where the corpus would need more, the rarest levels of
-#: bigrams, then of words, are left out of the filter and scored by what is below them.
+#: bigrams, then of words, are in one filter for each bucket, and what is asked of them is shuffled there.
 MOST_BITS = 1 << 28
 #: Words whose exact counts are broadcast, at most: those of the highest levels. All others are joined.
 HEAVY_WORDS = 1 << 19
@@ -66,15 +67,15 @@ def buckets_of(keys: np.ndarray, kind: int, log_buckets: int) -> np.ndarray:
 
 
 def _pack(keys: np.ndarray, kind: int) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if kind == PAIR else keys.tobytes()
+    """Sorted keys as differences, the lowest bytes of all first: the highest are mostly 0 and compress away."""
+    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)[:, : 6 if kind == PAIR else 8].T.tobytes()
 
 
 def _unpack(blob: bytes, kind: int) -> np.ndarray:
-    if kind == WORD:
-        return np.frombuffer(blob, _U)
-    wide = np.zeros((len(blob) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return wide.view(_U)[:, 0]
+    size = 6 if kind == PAIR else 8
+    wide = np.zeros((len(blob) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(blob, np.uint8).reshape(size, -1).T
+    return np.cumsum(wide.view(_U)[:, 0], dtype=_U)
 
 
 def _partial_counts(column: str, log_buckets: int):
@@ -108,7 +109,7 @@ def _partial_counts(column: str, log_buckets: int):
 
 
 def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the rows of each bucket, merging as they stream by. Pairs seen once are counted, not kept."""
+    """Adds up the rows of each bucket, merging as they stream by."""
 
     def add(a: tuple, b: tuple) -> tuple:
         keys, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
@@ -122,14 +123,13 @@ def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         while stack:
             total = add(stack.pop(), total)
         keys, counts = total
-        kept = slice(None) if at[0] == WORD else counts > 1
         histogram = np.bincount(levels(counts), minlength=LEVELS)
         return pa.RecordBatch.from_pydict(
             {
                 "kind": pa.array([at[0]], pa.int32()),
                 "bucket": pa.array([at[1]], pa.int32()),
-                "keys": pa.array([keys[kept].tobytes()], pa.binary()),
-                "counts": pa.array([counts[kept].tobytes()], pa.binary()),
+                "keys": pa.array([_pack(keys, at[0])], pa.binary()),
+                "counts": pa.array([counts.tobytes()], pa.binary()),
                 "total": pa.array([int(counts.sum())], pa.int64()),
                 "histogram": pa.array([histogram], pa.list_(pa.int64())),
             }
@@ -163,6 +163,8 @@ class Model:
     total: int
     distinct: int
     texts: int
+    #: Levels of words and pairs from which on n-grams are in the filter; below, they are in their bucket's.
+    least: tuple[int, int] = (1, 1)
 
     def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Level of each key: the last of an unbroken run of entries."""
@@ -184,18 +186,28 @@ def entry_bit(keys: np.ndarray, kind: int, level: int, probe: int, segment_bits:
     return mix(keys + _U(salt)) & _U(segment_bits - 1)
 
 
+def fill(keys: np.ndarray, level: np.ndarray, kind: int, segment_bits: int) -> np.ndarray:
+    """A segment with the entries (key, 1) .. (key, level) of each key, packed."""
+    bits = np.zeros(segment_bits, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        keys, level = keys[level >= j], level[level >= j]
+        for probe in range(PROBES):
+            bits[entry_bit(keys, kind, j, probe, segment_bits)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _unpack_counts(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    return _unpack(keys, kind), np.frombuffer(counts, np.int64)
+
+
 def _segments(log_buckets: int, segment_bits: int, least: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for kind, bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, level = np.frombuffer(keys, _U), levels(np.frombuffer(counts, np.int64))
-                bits = np.zeros(segment_bits, bool)
-                keys, level = keys[level >= least[kind]], level[level >= least[kind]]
-                for j in range(1, int(level.max(initial=0)) + 1):
-                    keys, level = keys[level >= j], level[level >= j]
-                    for probe in range(PROBES):
-                        bits[entry_bit(keys, kind, j, probe, segment_bits)] = True
-                packed = pa.compress(np.packbits(bits, bitorder="little").tobytes(), codec="zstd", asbytes=True)
+                keys, counts = _unpack_counts(keys, counts, kind)
+                level = levels(counts)
+                bits = fill(keys[level >= least[kind]], level[level >= least[kind]], kind, segment_bits)
+                packed = pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([packed], pa.binary())})
 
     return run
@@ -207,7 +219,7 @@ def _words_between(low: int, high: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+                keys, counts = _unpack(keys, WORD).view(np.int64), np.frombuffer(counts, np.int64)
                 level = levels(counts)
                 some = (level >= low) & (level < high)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some])], names=["token", "count"])
@@ -232,8 +244,8 @@ def build_model(counts: DataFrame, log_buckets: int, texts: int) -> tuple[Model,
         histogram[r.kind, r.level] = r.n
     total = counts.where(F.col("kind") == WORD).select(F.sum("total")).first()[0] or 0
     entries = histogram * np.arange(LEVELS)
-    # Pairs seen once are left out as a rule; more levels only if the filter would grow too large.
-    least = [1, 2]
+    # Low levels go to the buckets' own filters only if this one would grow too large.
+    least = [1, 1]
     while BITS_PER_ENTRY * (entries[WORD, least[0] :].sum() + entries[PAIR, least[1] :].sum()) > MOST_BITS:
         least[PAIR if least[1] <= 2 * least[0] + 2 else WORD] += 1
     need = BITS_PER_ENTRY * int(entries[WORD, least[0] :].sum() + entries[PAIR, least[1] :].sum())
@@ -253,16 +265,20 @@ def build_model(counts: DataFrame, log_buckets: int, texts: int) -> tuple[Model,
     keys = np.asarray(table.column("token").combine_chunks()).view(_U)
     order = np.argsort(keys)
     heavy_counts = np.asarray(table.column("count").combine_chunks())[order]
-    return Model(bits, log_buckets, segment_bits, least[WORD] == 1, keys[order], heavy_counts, int(total), int(histogram[WORD].sum()), texts), heavy_level
+    return Model(bits, log_buckets, segment_bits, least[WORD] == 1, keys[order], heavy_counts, int(total), int(histogram[WORD].sum()), texts, (least[WORD], least[PAIR])), heavy_level
 
 
 def pair_scores(model: Model, row: np.ndarray, token: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """log10 of each token's probability: bigram estimate and add-one word estimate, interpolated where the history is known."""
     unique, back = np.unique(token, return_inverse=True)
-    count = expected(model.level(unique, WORD))[back]
+    return smoothed(model, row, model.level(unique, WORD)[back], model.level(pair, PAIR))
+
+
+def smoothed(model: Model, row: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
+    count = expected(word_level)
     first = np.append(True, row[1:] != row[:-1])
     history = np.where(first, float(model.texts), np.append(0.0, count[:-1]))
-    both = expected(model.level(pair, PAIR))
+    both = expected(pair_level)
     alone = (count + 1) / (model.total + model.distinct + 1)
     ratio = np.minimum(1.0, both / np.maximum(history, 1.0))
     return np.log10(np.where(history > 0, BIGRAM_WEIGHT * ratio + (1 - BIGRAM_WEIGHT) * alone, alone))
@@ -279,7 +295,8 @@ def _score(shared, column: str):
         for batch in slices(batches, column):
             row, token, pair = token_stream(hasher, batch, column)
             rows = batch.num_rows
-            score = np.bincount(row, pair_scores(model, row, token, pair), rows)
+            whole = model.least == (1, 1)
+            score = pa.array(np.bincount(row, pair_scores(model, row, token, pair), rows)) if whole else pa.nulls(rows, pa.float64())
             unique, back = np.unique(token, return_inverse=True)
             count = np.zeros(len(unique), np.int64)
             if len(model.heavy):
@@ -308,7 +325,7 @@ def _score(shared, column: str):
                     join(pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.nulls(blank, pa.int64())),
                     join(pa.array(known), pa.nulls(blank, pa.int64())),
                     join(pa.array(part), pa.nulls(blank, pa.float64())),
-                    join(pa.array(score), pa.nulls(blank, pa.float64())),
+                    join(score, pa.nulls(blank, pa.float64())),
                     join(pa.nulls(n, pa.int64()), pa.array(what)),
                     join(pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))),
                 ],
@@ -318,6 +335,140 @@ def _score(shared, column: str):
     return run
 
 
+#: Rows of a batch that are unpacked at once.
+UNPACKED = 256
+#: role 0: the counts of a bucket; 1: what a group of texts asks of it; 2: a part of a group's texts.
+_ROUTED = "kind int, bucket int, role int, grp long, keys binary, counts binary, doc_ids array<long>, text_keys array<long>, sizes binary, levels binary, places binary"
+_ROUTED_NAMES = tuple(c.split()[0] for c in _ROUTED.split(", "))
+_ROUTED_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+
+
+def _planes(places: np.ndarray) -> bytes:
+    return places.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _routed(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_ROUTED_NAMES, _ROUTED_TYPES, strict=True)], names=list(_ROUTED_NAMES))
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, UNPACKED):
+            yield batch.slice(i, UNPACKED).to_pylist()
+
+
+def _asks(shared, column: str):
+    """For each group of some FLUSH_WORDS words: the n-grams that the broadcast filter has not, once each and
+    by bucket; and its texts in parts, with the level of each n-gram, or its place among those asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, hasher = shared.value, Hasher()
+        task, serial, amount = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+
+        def flush(group: int) -> Iterator[pa.RecordBatch]:
+            cuts = np.cumsum([len(t) for _, _, t, _ in held])[:-1]
+            levels_of, places_of, rows = [], [], []
+            for kind in (WORD, PAIR):
+                unique, back = np.unique(np.concatenate([h[2 + kind] for h in held]), return_inverse=True)
+                level = model.level(unique, kind)
+                missing = level == 0
+                number = np.cumsum(missing) - 1
+                levels_of.append(np.split(level.astype(np.uint8)[back], cuts))
+                places_of.append(np.split(np.where(missing, number, 0).astype(np.int32)[back], cuts))
+                if model.least[kind] > 1:  # else what the filter has not was never seen
+                    asked = unique[missing]
+                    at = np.searchsorted(buckets_of(asked, kind, model.log_buckets), np.arange((1 << model.log_buckets) + 1))
+                    for b in np.flatnonzero(np.diff(at)).tolist():
+                        rows.append({"kind": kind, "bucket": b, "role": 1, "grp": group, "keys": _pack(asked[at[b] : at[b + 1]], kind)})
+            if rows:
+                yield _routed(rows)
+            for i, (docs, sizes, _, _) in enumerate(held):
+                places = [p[i][v[i] == 0] if model.least[k] > 1 else p[i][:0] for k, (p, v) in enumerate(zip(places_of, levels_of, strict=True))]
+                part = {"kind": 2, "bucket": 0, "role": 2, "grp": group, "doc_ids": docs[0], "text_keys": docs[1], "sizes": sizes.tobytes()}
+                yield _routed([{**part, "levels": levels_of[WORD][i].tobytes() + levels_of[PAIR][i].tobytes(), "places": _planes(places[WORD]) + _planes(places[PAIR])}])
+
+        for batch in slices(batches, column):
+            row, token, pair = token_stream(hasher, batch, column)
+            ids = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text_key")]
+            held.append((ids, np.bincount(row, minlength=batch.num_rows).astype(np.int32), token, pair))
+            amount += len(token)
+            if amount >= FLUSH_WORDS:
+                yield from flush(task << 32 | serial)
+                held, amount, serial = [], 0, serial + 1
+        if held:
+            yield from flush(task << 32 | serial)
+
+    return run
+
+
+def _answers(least: tuple[int, int]):
+    """Answers what is asked of a bucket from a filter of its levels below ``least``."""
+    none = np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = at = None
+        for rows in _few(batches):
+            out = []
+            for r in rows:
+                kind = r["kind"]
+                if r["role"] == 0:
+                    keys, counts = _unpack_counts(r["keys"], r["counts"], kind)
+                    level = levels(counts)
+                    keys, level = keys[level < least[kind]], level[level < least[kind]]
+                    size = 1 << max(6, (BITS_PER_ENTRY * int(level.sum())).bit_length())
+                    model, at = Model(fill(keys, level, kind, size), 0, size, True, none.view(_U), none, 0, 0, 0), (kind, r["bucket"])
+                else:
+                    keys = _unpack(r["keys"], kind)
+                    found = model.level(keys, kind) if at == (kind, r["bucket"]) else np.zeros(len(keys), np.int64)
+                    out.append({**r, "keys": None, "levels": found.astype(np.uint8).tobytes()})
+            if out:
+                yield _routed(out)
+
+    return run
+
+
+def _finish(shared):
+    """Scores the texts of each group; its answers come first, in the order of what was asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, at = shared.value, None
+        told: list[list[bytes]] = [[], []]
+        joined: list[np.ndarray] | None = None
+        for rows in _few(batches):
+            for r in rows:
+                if r["grp"] != at:
+                    at, told, joined = r["grp"], [[], []], None
+                if r["role"] == 1:
+                    told[r["kind"]].append(r["levels"])
+                    continue
+                if joined is None:
+                    joined = [np.frombuffer(b"".join(t), np.uint8) for t in told]
+                sizes = np.frombuffer(r["sizes"], np.int32)
+                both, places, used = np.frombuffer(r["levels"], np.uint8).reshape(2, -1).astype(np.int64), np.frombuffer(r["places"], np.uint8), 0
+                for kind in (WORD, PAIR):
+                    if model.least[kind] > 1:
+                        open_ = np.flatnonzero(both[kind] == 0)
+                        end = used + 4 * len(open_)
+                        both[kind, open_] = joined[kind][np.ascontiguousarray(places[used:end].reshape(4, -1).T).view(np.int32)[:, 0]]
+                        used = end
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                score = np.bincount(row, smoothed(model, row, both[WORD], both[PAIR]), len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["text_keys"], pa.int64()), pa.array(score)], names=["doc_id", "text_key", "score"])
+
+    return run
+
+
+def _full_scores(texts: DataFrame, counts: DataFrame, shared, least: tuple[int, int]) -> DataFrame:
+    """(doc_id, text_key, score) where the broadcast filter has only the higher levels."""
+    held = counts.where(F.when(F.col("kind") == WORD, F.lit(least[WORD])).otherwise(F.lit(least[PAIR])) > 1)
+    sent = store(texts.mapInArrow(_asks(shared, "text"), _ROUTED))  # groups differ from run to run if the input's order does
+    asked, parts = (sent.where(F.col("role") == role) for role in (1, 2))
+    routed = asked.unionByName(held.select("kind", "bucket", F.lit(0).alias("role"), "keys", "counts"), allowMissingColumns=True)
+    told = routed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "role").mapInArrow(_answers(least), _ROUTED)
+    return told.unionByName(parts).repartition("grp").sortWithinPartitions("grp", "kind", "bucket").mapInArrow(_finish(shared), "doc_id long, text_key long, score double")
+
+
 def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -325,13 +476,16 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     whose ``held_out`` is not true. base_score sums log10((c + 1) / (N + V + 1)) with exact counts c of
     the training tokens, N of them in all and V distinct; n_known counts tokens with c > 0. score is the
     model's log10 probability of the text: word and bigram counts quantised to powers of 1.5 in a
-    log-frequency Bloom filter, probed level by level, bigrams interpolated with add-one words. Null
+    log-frequency Bloom filter, probed level by level, bigrams interpolated with add-one words; every
+    n-gram of the training rows is in it, those seen once, too. Null
     and empty texts are one end token. Repeated rows are counted and returned each; a null id is not held
     out by a test of it. Without training rows c, N and V are 0 and scores are 0. An empty table gives no
     rows. Only the id, the text and what held_out needs are read.
 
     Scale: n-grams are counted in each task first and shuffled as packed blobs, one for each bucket of
-    hashes. The filter is bounded by MOST_BITS. Exact counts of the most frequent words, at most
+    hashes. The filter grows with the n-grams: the highest levels are broadcast, as many as MOST_BITS
+    takes; the others are one filter for each bucket, built where that bucket's counts are, and what the
+    broadcast part has not is asked there, once for each FLUSH_WORDS words. Exact counts of the most frequent words, at most
     HEAVY_WORDS, are broadcast; other words are joined with their counts, which are low, so no key is hot.
     """
     spark = docs.sparkSession
@@ -340,11 +494,14 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     counts, log_buckets = count_ngrams(train, "text")
     model, heavy_level = build_model(counts, log_buckets, train.count())
     shared = spark.sparkContext.broadcast(model)
-    scored = store(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_score(shared, "text"), _SCORED))
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    scored = store(texts.mapInArrow(_score(shared, "text"), _SCORED))
     rare = counts.where(F.col("kind") == WORD).select("keys", "counts").mapInArrow(_words_between(0, heavy_level), "token long, count long")
     joined = scored.where("token IS NOT NULL").select("doc_id", "text_key", "token", "times").join(rare, "token")
     joined = joined.select("doc_id", "text_key", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("count") + 1)).alias("more_part"))
     rows = scored.where("token IS NULL").drop("token", "times").unionByName(joined, allowMissingColumns=True)
+    if model.least != (1, 1):
+        rows = rows.unionByName(_full_scores(texts, counts, shared, model.least), allowMissingColumns=True)
     one = rows.groupBy("doc_id", "text_key").agg(
         F.count("n_tokens").alias("copies"), *[F.max(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "part", "score")], F.sum("more").alias("more"), F.sum("more_part").alias("more_part")
     )

@@ -138,6 +138,29 @@ def test_language_model(docs, rows, monkeypatch):
     assert sum(got[i].score for i in trained) > sum(got[i].base_score for i in trained)
 
 
+@pytest.mark.parametrize("most_bits", [1 << 10, 1 << 16, 1 << 28])
+def test_language_model_scores_every_ngram(docs, rows, monkeypatch, most_bits):
+    for name, value in (("MOST_BITS", most_bits), ("FLUSH_WORDS", 600), ("BITS_PER_ENTRY", 96)):
+        monkeypatch.setattr(language_model, name, value)
+    stream = {r[0]: [*words(lower(r[1] or "")), None] for r in rows}
+    trained = [s for i, s in stream.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for s in trained for w in s)
+    pairs = Counter(p for s in trained for p in zip([0, *s], s, strict=False))
+    assert sum(n == 1 for n in pairs.values()) > 1000
+    total, distinct = sum(count.values()), len(count)
+    seen = lambda n: float(language_model.expected(language_model.levels(np.array([n])))[0]) if n else 0.0
+    got = {r.doc_id: r.score for r in language_model.digest(docs).collect()}
+    close = 0
+    for i, s in stream.items():
+        want = 0.0
+        for before, w in zip([0, *s], s, strict=False):
+            history = float(len(trained)) if before == 0 else seen(count[before])
+            alone = (seen(count[w]) + 1) / (total + distinct + 1)
+            want += math.log10(0.3 * min(1.0, seen(pairs[before, w]) / max(history, 1.0)) + 0.7 * alone if history else alone)
+        close += math.isclose(got[i], want, rel_tol=1e-9)
+    assert close > 0.95 * len(stream)
+
+
 def test_filter_levels():
     keys = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64)
     counts = np.random.default_rng(4).integers(1, 500, 4000)
