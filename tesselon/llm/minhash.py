@@ -140,8 +140,8 @@ def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return dealt.mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-_OPEN = ("key", "i", "j", "doc", "component", "n", "block", "place", "sketch")
-_OPEN_SCHEMA = "key long, i int, j int, doc long, component long, n long, block int, place int, sketch binary"
+_OPEN = ("key", "i", "j", "doc", "component", "n", "block", "place", "sketch", "bands")
+_OPEN_SCHEMA = "key long, i int, j int, doc long, component long, n long, block int, place int, sketch binary, bands array<long>"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -166,7 +166,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of pairs of different components, of fitting sizes, whose sketches agree nearly often
-    enough, best first. A pair is taken from the first band that it shares."""
+    enough, best first. A pair is taken from the first band whose key it shares, where it met first."""
     component, n, block = (np.asarray(rows.column(c).combine_chunks()) for c in ("component", "n", "block"))
     i, j, place = (rows.column(c)[0].as_py() for c in ("i", "j", "place"))
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
@@ -181,8 +181,8 @@ def _candidates(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if i == j:
         fit = np.triu(fit)
     x, y = np.nonzero(fit)
-    earlier = (sketch[left[x], : place * ROWS] == sketch[right[y], : place * ROWS]).reshape(len(x), place, ROWS)
-    fresh = ~earlier.all(axis=2).any(axis=1)
+    bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(rows.num_rows, -1)
+    fresh = ~(bands[left[x], :place] == bands[right[y], :place]).any(axis=1)
     x, y = x[fresh], y[fresh]
     order = np.argsort(-agree[x, y].astype(np.int64), kind="stable")
     return left[x[order]], right[y[order]]
@@ -236,10 +236,10 @@ def _open_links(members: DataFrame, classes: DataFrame, label: DataFrame, docs:
     rows = members.join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
     rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-    rows = rows.join(classes.select(F.col("rep").alias("doc"), "sketch"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(classes.select(F.col("rep").alias("doc"), "sketch", "bands"), "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*_OPEN)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_promising(percent), _OPEN_SCHEMA)
-    texts = docs.join(maybe_broadcast(store(rows), 280), "doc").select(*_OPEN, "text")
+    texts = docs.join(maybe_broadcast(store(rows), 540), "doc").select(*_OPEN, "text")
     return store(texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(size, percent), "a long, b long"))
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,19 @@ def test_near_duplicates(docs, rows, size, percent):
     assert got == expected and any(not v[2] for v in expected.values())
 
 
+def test_pairs_that_only_look_met_are_compared():
+    sketch = np.arange(2 * minhash.BANDS * minhash.ROWS, dtype=np.uint8).reshape(1, 2, -1)[0, :1].repeat(2, axis=0)
+    bands = np.stack([np.arange(minhash.BANDS)] * 2)
+    bands[1, :2] += 1000  # equal sketches, but the first two bands' keys differ
+    table = lambda place: pa.table(
+        {
+            **{c: pa.array([v, v]) for c, v in (("key", 7), ("i", 0), ("j", 0), ("n", 50), ("block", 0), ("place", place))},
+            **{"doc": [1, 2], "component": [1, 2], "sketch": [x.tobytes() for x in sketch], "bands": bands.tolist()},
+        }
+    )
+    assert [len(minhash._candidates(table(place), 80)[0]) for place in (2, 3)] == [1, 0]
+
+
 def test_near_duplicates_of_a_crowd(spark, monkeypatch):
     """A crowd of near copies, many of which are only linked with others than the hub."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
