@@ -23,8 +23,10 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: A candidate is a run of at least so many characters that keys are written in, with digits and letters.
 CANDIDATE = 16
-#: The network sees so many characters before the candidate, and so many from its start on.
+#: The network sees so many characters before a place of the candidate, and so many from there on.
 BEFORE, WITHIN = 24, 40
+#: Long candidates are seen in windows so many characters apart, the last one with as many behind the candidate.
+STEP = 16
 WIDTH, FILTERS = 5, 24
 #: Documents whose findings the network is trained on, at most, and generated findings.
 MAX_FIT_DOCS, MAX_FIT_CHARS, GENERATED = 1500, 32_000, 3000
@@ -44,17 +46,24 @@ _CLASS[128:] = 14
 _CHANNELS = 17  # 15 classes, outside the text, inside the candidate
 
 
-def encode(context: bytes, start: int, end: int) -> np.ndarray:
-    """Class of each place seen (15: outside), and whether it is in the candidate, as one byte each."""
+def encode(context: bytes, start: int, end: int, at: int | None = None) -> np.ndarray:
+    """Class of each place seen around ``at``, by default the start (15: outside), and whether it is in the
+    candidate, as one byte each."""
+    at = start if at is None else at
     seen = np.full(BEFORE + WITHIN, 15, np.uint8)
-    first = max(0, start - BEFORE)
-    part = _CLASS[np.frombuffer(context[first : start + WITHIN], np.uint8)]
-    at = BEFORE - (start - first)
-    seen[at : at + len(part)] = part
-    seen[BEFORE : BEFORE + min(WITHIN, end - start)] |= 16
+    first = max(0, at - BEFORE)
+    part = _CLASS[np.frombuffer(context[first : at + WITHIN], np.uint8)]
+    skip = BEFORE - (at - first)
+    seen[skip : skip + len(part)] = part
+    seen[max(0, BEFORE + start - at) : min(BEFORE + WITHIN, BEFORE + end - at)] |= 16
     return seen
 
 
+def windows(start: int, end: int) -> range:
+    """Places whose windows cover a candidate and STEP characters behind it."""
+    return range(start, max(start + 1, end - WITHIN + 2 * STEP), STEP)
+
+
 @dataclass
 class Network:
     """One convolution, maximum and mean over places, one hidden layer, a calibrated output."""
@@ -208,8 +217,9 @@ def generated_findings(count: int, seed: int) -> tuple[list[np.ndarray], list[in
             lead = pick(["see ", "at ", "file ", "https:/", "page ", "on ", "ref ", word() + " ", word() + ": ", "("])
         before = " ".join(word() for _ in range(5)) + " " + lead
         text = (before + value + pick([" ", "\n", "'", ",", ". "]) + " ".join(word() for _ in range(4))).encode()
-        codes.append(encode(text, len(before), len(before) + len(value)))
-        labels.append(int(secret))
+        for at in windows(len(before), len(before) + len(value)):
+            codes.append(encode(text, len(before), len(before) + len(value), at))
+            labels.append(int(secret))
     return codes, labels
 
 
@@ -225,8 +235,10 @@ def corpus_findings(texts: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
             if is_mixed(text[a:b]):
                 hit = any(a < end and start < b for start, _, end in base)
                 if hit or not any(abs(start - a) < BEFORE + WITHIN for start, _, _ in base):
-                    codes.append(encode(text, a, b))
-                    labels.append(int(hit))
+                    for at in windows(a, b):
+                        if not hit or any(at - BEFORE < end and start < at + WITHIN for start, _, end in base):
+                            codes.append(encode(text, a, b, at))
+                            labels.append(int(hit))
     return codes, labels
 
 
@@ -261,12 +273,13 @@ def _scan(network, column: str):
                 spans = base_spans(text, runs)
                 for a, b in runs:
                     if is_mixed(text[a:b]) and not any(a < end and start < b for start, _, end in spans):
-                        asked.append((r, a, b))
-                        codes.append(encode(text, a, b))
+                        for at in windows(a, b):
+                            asked.append((r, a, b))
+                            codes.append(encode(text, a, b, at))
                 found.append(spans)
             chance = net.probability(np.array(codes)) if codes else []
             for (r, a, b), p in zip(asked, chance, strict=True):
-                if p >= net.threshold:
+                if p >= net.threshold and (a, 3, b) != (found[r][-1] if found[r] else None):
                     found[r].append((a, 3, b))
             spans_out = []
             for r, spans in enumerate(found):
@@ -288,7 +301,8 @@ def find_secrets(docs: DataFrame, column: str = "text", id_column: str = "doc_id
 
     Kinds assign, access and hex are what the fixed patterns match, leftmost and non-overlapping for each
     kind. Kind model is every other run of 16 or more key characters with letters and three digits that
-    the network, from the run and 24 characters before it, scores at or above its threshold. Whole texts
+    the network scores at or above its threshold in any of its windows, which cover the run, 24 characters
+    before it and 16 behind it. Whole texts
     are scanned; null and empty ones have none. Repeated rows are scanned alike; an empty table gives no
     rows, and the network is then trained on generated findings only. Other columns pass through; a
     column named secrets is replaced.

@@ -410,6 +410,16 @@ def test_secrets(docs, rows, spark):
     assert f"model:{text.index('ghp_')}:{len(text)}" in got[9001].spans
 
 
+def test_tails_of_long_runs_are_scanned(spark):
+    rng = random.Random(6)
+    keys = ["ghp_" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(36)) for _ in range(40)]
+    texts = [(i, "see client.credential.for.production.environment.of.the.service=" + k + " for more") for i, k in enumerate(keys)]
+    got = secrets.digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sum(r.n_model for r in got) >= 38
+    start, end = 4, 4 + len(texts[0][1].split()[1])
+    assert secrets.windows(start, end)[-1] + secrets.WITHIN >= end + secrets.STEP
+
+
 def test_network_on_unseen_findings():
     codes, labels = secrets.generated_findings(1500, 1)
     network = secrets.train(np.array(codes), np.array(labels, np.float32))
