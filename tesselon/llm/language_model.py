@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,30 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselon.llm._shared import store
-from tesselon.llm._text import Hasher, mix, slices
+from tesselon.llm._text import Hasher, mix, slices, utf8
 
 #: Level of a count c: 1 + floor(log(c) to this base); an n-gram of level L is entered L times.
 QUANTUM = 1.5
 LEVELS = 64
 PROBES, BITS_PER_ENTRY = 4, 12
-#: The broadcast filter has at most so many bits. Where the corpus would need more, the rarest levels of
-#: bigrams, then of words, are in one filter for each bucket, and what is asked of them is shuffled there.
-MOST_BITS = 1 << 28
-#: Words whose exact counts are broadcast, at most: those of the highest levels. All others are joined.
-HEAVY_WORDS = 1 << 19
-#: Words counted in a task before it hands on what it has.
-FLUSH_WORDS = 1 << 20
-#: Weight of the bigram estimate where its history is known.
-BIGRAM_WEIGHT = 0.3
+#: Bytes of text in a group, about, and characters of the corpus for each bucket of hashes, about.
+GROUP_BYTES, BUCKET_CHARS = 6 << 20, 12_000_000
+#: Pseudo-counts of the shorter n-gram's estimate in that of the longer.
+PRIOR = 5.0
 _U = np.uint64
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-_LOW48 = np.uint64((1 << 48) - 1)
-WORD, PAIR = 0, 1
-_COUNTS = "kind int, bucket int, ones binary, many binary, counts binary"
+WORD, PAIR = KINDS = (0, 1)
+#: Bytes of a key: pairs are told apart by 56 bits, far below the filter's own error up to some 10**13 of them.
+KEY_BYTES = (8, 7)
+_KEY_MASK = np.uint64((1 << 56) - 1)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(QUANTUM) + 1e-9).astype(np.int64)
+    """Level of each count, 0 for none."""
+    return np.where(counts > 0, 1 + np.floor(np.log(np.maximum(counts, 1)) / math.log(QUANTUM) + 1e-9), 0).astype(np.int64)
 
 
 def expected(level: np.ndarray) -> np.ndarray:
@@ -45,478 +41,275 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (QUANTUM ** (level - 1) + QUANTUM**level - 1) / 2, 0.0)
 
 
-def token_stream(hasher: Hasher, batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, pair with the token before) of each row's words and its end, in order."""
-    words = hasher.words(batch.column(batch.schema.get_field_index(column)), lower=True)
+def token_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of each text, token, pair with the token before): each text's words and its end, in order."""
+    words = hasher.words(texts, lower=True)
     n = words.counts + 1
-    row = np.repeat(np.arange(len(n)), n)
     last = np.cumsum(n) - 1
-    token = np.empty(len(row), _U)
-    inner = np.ones(len(row), bool)
+    token = np.empty(int(n.sum()), _U)
+    inner = np.ones(len(token), bool)
     inner[last] = False
     token[inner] = words.hashes
     token[last] = _END
-    before = np.empty(len(row), _U)
+    before = np.empty(len(token), _U)
     before[1:] = token[:-1]
     before[last - words.counts] = _START
-    return row, token, mix(before * _U(0x9E3779B97F4A7C15) + token) & _LOW48
+    return n, token, mix(before * _U(0x9E3779B97F4A7C15) + token) & _KEY_MASK
 
 
-def buckets_of(keys: np.ndarray, kind: int, log_buckets: int) -> np.ndarray:
-    return (keys >> _U((48 if kind == PAIR else 64) - log_buckets)).astype(np.int64)
+def group_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As token_stream, in slices of bounded size."""
+    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [token_stream(hasher, part.column(0)) for part in slices(iter([whole]), "text")]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _pack(keys: np.ndarray, kind: int) -> bytes:
-    """Sorted keys as differences, the lowest bytes of all first: the highest are mostly 0 and compress away."""
-    return np.diff(keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8)[:, : 6 if kind == PAIR else 8].T.tobytes()
+def bucket_cuts(keys: np.ndarray, kind: int, log_buckets: int) -> np.ndarray:
+    """Where each bucket of the sorted keys begins, and their end: a bucket holds the keys with the same first bits."""
+    top = (keys >> _U(8 * KEY_BYTES[kind] - log_buckets)).astype(np.int64)
+    return np.searchsorted(top, np.arange((1 << log_buckets) + 1))
 
 
-def _unpack(blob: bytes, kind: int) -> np.ndarray:
-    size = 6 if kind == PAIR else 8
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of 64-bit values, the lowest bytes of all first: the highest are mostly 0 and compress away."""
+    return values.view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _values(blob: bytes, size: int) -> np.ndarray:
     wide = np.zeros((len(blob) // size, 8), np.uint8)
     wide[:, :size] = np.frombuffer(blob, np.uint8).reshape(size, -1).T
-    return np.cumsum(wide.view(_U)[:, 0], dtype=_U)
+    return wide.view(_U)[:, 0]
 
 
-def _partial_counts(column: str, log_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held = Hasher(), ([], [])
-        amount = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for kind in (WORD, PAIR):
-                keys, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
-                cuts = np.searchsorted(buckets_of(keys, kind, log_buckets), np.arange((1 << log_buckets) + 1))
-                out: dict[str, list] = {"kind": [], "bucket": [], "ones": [], "many": [], "counts": []}
-                for bucket in np.flatnonzero(np.diff(cuts)).tolist():
-                    part, n = keys[cuts[bucket] : cuts[bucket + 1]], counts[cuts[bucket] : cuts[bucket + 1]]
-                    for name, value in zip(out, (kind, bucket, _pack(part[n == 1], kind), _pack(part[n > 1], kind), n[n > 1].astype(np.uint32).tobytes()), strict=True):
-                        out[name].append(value)
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
-
-        for batch in slices(batches, column):
-            _, token, pair = token_stream(hasher, batch, column)
-            held[WORD].append(token)
-            held[PAIR].append(pair)
-            amount += len(token)
-            if amount >= FLUSH_WORDS:
-                yield from flush()
-                held, amount = ([], []), 0
-        if amount:
-            yield from flush()
+def pack_keys(keys: np.ndarray, kind: int) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=_U(0)), KEY_BYTES[kind])
 
-    return run
 
+def unpack_keys(blob: bytes, kind: int) -> np.ndarray:
+    return np.cumsum(_values(blob, KEY_BYTES[kind]), dtype=_U)
 
-def _total_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the rows of each bucket, merging as they stream by."""
-
-    def add(a: tuple, b: tuple) -> tuple:
-        keys, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[new], np.add.reduceat(counts, new) if len(new) else counts
-
-    def flush(at: tuple, stack: list[tuple]) -> pa.RecordBatch:
-        total = stack.pop()
-        while stack:
-            total = add(stack.pop(), total)
-        keys, counts = total
-        histogram = np.bincount(levels(counts), minlength=LEVELS)
-        return pa.RecordBatch.from_pydict(
-            {
-                "kind": pa.array([at[0]], pa.int32()),
-                "bucket": pa.array([at[1]], pa.int32()),
-                "keys": pa.array([_pack(keys, at[0])], pa.binary()),
-                "counts": pa.array([counts.tobytes()], pa.binary()),
-                "total": pa.array([int(counts.sum())], pa.int64()),
-                "histogram": pa.array([histogram], pa.list_(pa.int64())),
-            }
-        )
 
-    at, stack = None, []
-    for batch in batches:
-        for kind, bucket, ones, many, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (kind, bucket) != at and at is not None:
-                yield flush(at, stack)
-                stack = []
-            at = (kind, bucket)
-            single, more = _unpack(ones, kind), _unpack(many, kind)
-            stack.append((np.concatenate([single, more]), np.concatenate([np.ones(len(single), np.int64), np.frombuffer(counts, np.uint32).astype(np.int64)])))
-            while len(stack) > 1 and len(stack[-2][0]) <= 2 * len(stack[-1][0]):
-                stack.append(add(stack.pop(), stack.pop()))
-    if at is not None:
-        yield flush(at, stack)
-
-
-@dataclass
-class Model:
-    """What workers get: the filter, exact counts of the most frequent words, totals. Bounded by MOST_BITS and HEAVY_WORDS."""
-
-    bits: np.ndarray
-    log_buckets: int
-    segment_bits: int
-    all_words: bool
-    heavy: np.ndarray
-    heavy_counts: np.ndarray
-    total: int
-    distinct: int
-    texts: int
-    #: Levels of words and pairs from which on n-grams are in the filter; below, they are in their bucket's.
-    least: tuple[int, int] = (1, 1)
-
-    def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Level of each key: the last of an unbroken run of entries."""
+def entry_bit(keys: np.ndarray, kind: int, level: int, probe: int, bits: int) -> np.ndarray:
+    """Place of one bit of the entry (key, level) in a filter of so many bits, a power of two."""
+    salt = ((level * 2 + kind) * PROBES + probe + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF
+    return mix(keys + _U(salt)) & _U(bits - 1)
+
+
+class LogFilter:
+    """Bloom filter with the entries (key, 1) .. (key, level) of each key of one bucket."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray, kind: int):
+        self.kind = kind
+        self.size = 1 << max(6, (BITS_PER_ENTRY * int(level.sum()) - 1).bit_length())
+        bits = np.zeros(self.size, bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            keys, level = keys[level >= j], level[level >= j]
+            for probe in range(PROBES):
+                bits[entry_bit(keys, kind, j, probe, self.size)] = True
+        self.bits = np.packbits(bits, bitorder="little")
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key: the last of an unbroken run of entries; never below the true one."""
         out, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for level in range(1, LEVELS):
-            for at in range(PROBES):
+            for probe in range(PROBES):
                 if not len(open_):
                     return out
-                base = buckets_of(keys[open_], kind, self.log_buckets).astype(_U) * _U(self.segment_bits)
-                place = entry_bit(keys[open_], kind, level, at, self.segment_bits) + base
+                place = entry_bit(keys[open_], self.kind, level, probe, self.size)
                 open_ = open_[(self.bits[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1]
             out[open_] = level
         return out
 
 
-def entry_bit(keys: np.ndarray, kind: int, level: int, probe: int, segment_bits: int) -> np.ndarray:
-    """Place within its bucket's segment of one bit of the entry (key, level)."""
-    salt = ((level * 2 + kind) * PROBES + probe + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF
-    return mix(keys + _U(salt)) & _U(segment_bits - 1)
-
-
-def fill(keys: np.ndarray, level: np.ndarray, kind: int, segment_bits: int) -> np.ndarray:
-    """A segment with the entries (key, 1) .. (key, level) of each key, packed."""
-    bits = np.zeros(segment_bits, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        keys, level = keys[level >= j], level[level >= j]
-        for probe in range(PROBES):
-            bits[entry_bit(keys, kind, j, probe, segment_bits)] = True
-    return np.packbits(bits, bitorder="little")
-
+_GROUPED = "grp long, ids array<long>, held array<boolean>, texts array<string>, n_train long"
 
-def _unpack_counts(keys: bytes, counts: bytes, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    return _unpack(keys, kind), np.frombuffer(counts, np.int64)
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in groups of some GROUP_BYTES of text, one row for each group."""
+    task, serial, kept, amount = TaskContext.get().partitionId(), 0, [], 0
 
-def _segments(log_buckets: int, segment_bits: int, least: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for kind, bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = _unpack_counts(keys, counts, kind)
-                level = levels(counts)
-                bits = fill(keys[level >= least[kind]], level[level >= least[kind]], kind, segment_bits)
-                packed = pa.compress(bits.tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([packed], pa.binary())})
-
-    return run
+    def flush() -> pa.RecordBatch:
+        columns = [pa.concat_arrays([b.column(i) for b in kept]) for i in range(3)]
+        ends = pa.array([0, len(columns[0])], pa.int32())
+        n_train = len(columns[1]) - (columns[1].true_count if len(columns[1]) else 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([task << 32 | serial], pa.int64()), *[pa.ListArray.from_arrays(ends, c) for c in columns], pa.array([n_train], pa.int64())],
+            names=["grp", "ids", "held", "texts", "n_train"],
+        )
 
+    for batch in slices(batches, "text"):
+        kept.append(batch)
+        amount += len(utf8(batch.column(2))[1])
+        if amount >= GROUP_BYTES:
+            yield flush()
+            kept, amount, serial = [], 0, serial + 1
+    if kept:
+        yield flush()
 
-def _words_between(low: int, high: int):
-    """Words of levels low .. high - 1, one row each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, counts = _unpack(keys, WORD).view(np.int64), np.frombuffer(counts, np.int64)
-                level = levels(counts)
-                some = (level >= low) & (level < high)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some])], names=["token", "count"])
-
-    return run
+def _groups(batches: Iterator[pa.RecordBatch], column: str = "texts") -> Iterator[tuple[dict, pa.Array]]:
+    """Each row without its texts, and these."""
+    for batch in batches:
+        rest = batch.drop_columns([column]) if column in batch.schema.names else batch
+        texts = batch.column(batch.schema.get_field_index(column))
+        for i in range(batch.num_rows):
+            yield rest.slice(i, 1).to_pylist()[0], texts[i].values
 
 
-def count_ngrams(docs: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Stored counts of the documents' words and word pairs in 2**n buckets by hash, and n."""
-    chars = docs.select(F.sum(F.length(column))).first()[0] or 0
-    log_buckets = min(20, max(6, int(chars // 6_000_000).bit_length()))
-    partial = docs.select(column).mapInArrow(_partial_counts(column, log_buckets), _COUNTS)
-    dealt = partial.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return store(dealt.mapInArrow(_total_counts, "kind int, bucket int, keys binary, counts binary, total long, histogram array<long>")), log_buckets
-
-
-def build_model(counts: DataFrame, log_buckets: int, texts: int) -> tuple[Model, int]:
-    """The model, and the level from which words are in its exact table."""
-    spent = counts.select("kind", "total", F.posexplode("histogram").alias("level", "n")).groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()
-    histogram = np.zeros((2, LEVELS), np.int64)
-    for r in spent:
-        histogram[r.kind, r.level] = r.n
-    total = counts.where(F.col("kind") == WORD).select(F.sum("total")).first()[0] or 0
-    entries = histogram * np.arange(LEVELS)
-    # Low levels go to the buckets' own filters only if this one would grow too large.
-    least = [1, 1]
-    while BITS_PER_ENTRY * (entries[WORD, least[0] :].sum() + entries[PAIR, least[1] :].sum()) > MOST_BITS:
-        least[PAIR if least[1] <= 2 * least[0] + 2 else WORD] += 1
-    need = BITS_PER_ENTRY * int(entries[WORD, least[0] :].sum() + entries[PAIR, least[1] :].sum())
-    segment_bits = 1 << max(6, (max(1, need) // (1 << log_buckets)).bit_length())
-    while segment_bits << log_buckets > MOST_BITS:
-        segment_bits >>= 1
-    size = segment_bits // 8
-    bits = np.zeros(size << log_buckets, np.uint8)
-    segments = counts.select("kind", "bucket", "keys", "counts").mapInArrow(_segments(log_buckets, segment_bits, tuple(least)), "bucket int, bits binary")
-    for bucket, blob in segments.toLocalIterator():  # MOST_BITS bounds what comes to the driver
-        bits[bucket * size : (bucket + 1) * size] |= np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), np.uint8)
-    heavy_level = LEVELS
-    while heavy_level > 1 and histogram[WORD, heavy_level - 1 :].sum() <= HEAVY_WORDS:
-        heavy_level -= 1
-    words = counts.where(F.col("kind") == WORD).select("keys", "counts")
-    table = words.mapInArrow(_words_between(heavy_level, LEVELS), "token long, count long").toArrow()
-    keys = np.asarray(table.column("token").combine_chunks()).view(_U)
-    order = np.argsort(keys)
-    heavy_counts = np.asarray(table.column("count").combine_chunks())[order]
-    return Model(bits, log_buckets, segment_bits, least[WORD] == 1, keys[order], heavy_counts, int(total), int(histogram[WORD].sum()), texts, (least[WORD], least[PAIR])), heavy_level
-
-
-def pair_scores(model: Model, row: np.ndarray, token: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability: bigram estimate and add-one word estimate, interpolated where the history is known."""
-    unique, back = np.unique(token, return_inverse=True)
-    return smoothed(model, row, model.level(unique, WORD)[back], model.level(pair, PAIR))
-
-
-def smoothed(model: Model, row: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> np.ndarray:
-    count = expected(word_level)
-    first = np.append(True, row[1:] != row[:-1])
-    history = np.where(first, float(model.texts), np.append(0.0, count[:-1]))
-    both = expected(pair_level)
-    alone = (count + 1) / (model.total + model.distinct + 1)
-    ratio = np.minimum(1.0, both / np.maximum(history, 1.0))
-    return np.log10(np.where(history > 0, BIGRAM_WEIGHT * ratio + (1 - BIGRAM_WEIGHT) * alone, alone))
-
-
-_SCORED = "doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, part double, score double, token long, times long"
-
-
-def _score(shared, column: str):
-    """One row for each document, and one for each of its words whose exact count must be joined."""
+def _partial_counts(log_buckets: int):
+    """For each group and bucket the n-grams of its texts, those of held-out texts too, and how often training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hasher = shared.value, Hasher()
-        for batch in slices(batches, column):
-            row, token, pair = token_stream(hasher, batch, column)
-            rows = batch.num_rows
-            whole = model.least == (1, 1)
-            score = pa.array(np.bincount(row, pair_scores(model, row, token, pair), rows)) if whole else pa.nulls(rows, pa.float64())
-            unique, back = np.unique(token, return_inverse=True)
-            count = np.zeros(len(unique), np.int64)
-            if len(model.heavy):
-                at = np.minimum(np.searchsorted(model.heavy, unique), len(model.heavy) - 1)
-                count = np.where(model.heavy[at] == unique, model.heavy_counts[at], 0)
-            rare = count == 0
-            if model.all_words:  # the filter has every word: what it has not was never seen
-                rare[rare] = model.level(unique[rare], WORD) > 0
-            part = np.bincount(row, np.log10(count + 1.0)[back], rows)
-            known = np.bincount(row, (count > 0)[back], rows).astype(np.int64)
-            some = np.flatnonzero(rare[back])
-            some = some[np.lexsort((back[some], row[some]))]
-            who, what = row[some], back[some]
-            new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (what[1:] != what[:-1]))) if len(some) else some
-            times = np.diff(np.append(new, len(some)))
-            who, what = who[new], unique[what[new]].view(np.int64)
-            ids, keys, held = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key", "held_out"))
-            n, blank = rows, len(who)
-            join = lambda a, b: pa.concat_arrays([a, b])
-            take = pa.array(who)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    join(ids, ids.take(take)),
-                    join(keys, keys.take(take)),
-                    join(held, pa.nulls(blank, pa.bool_())),
-                    join(pa.array(np.bincount(row, minlength=rows).astype(np.int64)), pa.nulls(blank, pa.int64())),
-                    join(pa.array(known), pa.nulls(blank, pa.int64())),
-                    join(pa.array(part), pa.nulls(blank, pa.float64())),
-                    join(score, pa.nulls(blank, pa.float64())),
-                    join(pa.nulls(n, pa.int64()), pa.array(what)),
-                    join(pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))),
-                ],
-                names=["doc_id", "text_key", "held_out", "n_tokens", "n_known", "part", "score", "token", "times"],
-            )
+        hasher = Hasher()
+        for row, texts in _groups(batches):
+            sizes, *streams = group_stream(hasher, texts)
+            trains = np.repeat(~np.array(row["held"], bool), sizes)
+            for kind in KINDS:
+                keys, back = np.unique(streams[kind], return_inverse=True)
+                counts = np.bincount(back[trains], minlength=len(keys)).astype(_U)
+                cuts = bucket_cuts(keys, kind, log_buckets)
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+                columns = [
+                    pa.array([kind] * len(some), pa.int32()),
+                    pa.array(some, pa.int32()),
+                    pa.array([row["grp"]] * len(some), pa.int64()),
+                    pa.array([pack_keys(keys[p], kind) for p in parts], pa.binary()),
+                    pa.array([_planes(counts[p], 4) for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "grp", "keys", "counts"])
 
     return run
 
 
-#: Rows of a batch that are unpacked at once.
-UNPACKED = 256
-#: role 0: the counts of a bucket; 1: what a group of texts asks of it; 2: a part of a group's texts.
-_ROUTED = "kind int, bucket int, role int, grp long, keys binary, counts binary, doc_ids array<long>, text_keys array<long>, sizes binary, levels binary, places binary"
-_ROUTED_NAMES = tuple(c.split()[0] for c in _ROUTED.split(", "))
-_ROUTED_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-
-
-def _planes(places: np.ndarray) -> bytes:
-    return places.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _routed(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_ROUTED_NAMES, _ROUTED_TYPES, strict=True)], names=list(_ROUTED_NAMES))
-
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up each bucket's counts, builds its filter, and tells each group the levels that the filter has for its
+    n-grams, and the exact counts of its words."""
+    at, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        kind, bucket = at
+        sizes = [len(k) for _, k, _ in held]
+        keys = np.concatenate([k for _, k, _ in held])
+        counts = np.concatenate([c for _, _, c in held])
+        unique, back = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, back, counts.astype(np.int64))
+        level = levels(total)
+        known = total > 0
+        found = LogFilter(unique[known], level[known], kind).level(unique).astype(np.uint8)
+        ends = np.cumsum(sizes)[:-1]
+        told = [x.tobytes() for x in np.split(found[back], ends)]
+        exact = [_planes(x, 8) for x in np.split(total.astype(_U)[back], ends)] if kind == WORD else [None] * len(sizes)
+        rest = [0] * (len(sizes) - 1)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind] * len(sizes), pa.int32()),
+                pa.array([bucket] * len(sizes), pa.int32()),
+                pa.array([g for g, _, _ in held], pa.int64()),
+                pa.array(told, pa.binary()),
+                pa.array(exact, pa.binary()),
+                pa.array([int(total.sum()), *rest], pa.int64()),
+                pa.array([int(known.sum()), *rest], pa.int64()),
+            ],
+            names=["kind", "bucket", "grp", "levels", "exact", "total", "distinct"],
+        )
 
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     for batch in batches:
-        for i in range(0, batch.num_rows, UNPACKED):
-            yield batch.slice(i, UNPACKED).to_pylist()
-
-
-def _asks(shared, column: str):
-    """For each group of some FLUSH_WORDS words: the n-grams that the broadcast filter has not, once each and
-    by bucket; and its texts in parts, with the level of each n-gram, or its place among those asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hasher = shared.value, Hasher()
-        task, serial, amount = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
-
-        def flush(group: int) -> Iterator[pa.RecordBatch]:
-            cuts = np.cumsum([len(t) for _, _, t, _ in held])[:-1]
-            levels_of, places_of, rows = [], [], []
-            for kind in (WORD, PAIR):
-                unique, back = np.unique(np.concatenate([h[2 + kind] for h in held]), return_inverse=True)
-                level = model.level(unique, kind)
-                missing = level == 0
-                number = np.cumsum(missing) - 1
-                levels_of.append(np.split(level.astype(np.uint8)[back], cuts))
-                places_of.append(np.split(np.where(missing, number, 0).astype(np.int32)[back], cuts))
-                if model.least[kind] > 1:  # else what the filter has not was never seen
-                    asked = unique[missing]
-                    at = np.searchsorted(buckets_of(asked, kind, model.log_buckets), np.arange((1 << model.log_buckets) + 1))
-                    for b in np.flatnonzero(np.diff(at)).tolist():
-                        rows.append({"kind": kind, "bucket": b, "role": 1, "grp": group, "keys": _pack(asked[at[b] : at[b + 1]], kind)})
-            if rows:
-                yield _routed(rows)
-            for i, (docs, sizes, _, _) in enumerate(held):
-                places = [p[i][v[i] == 0] if model.least[k] > 1 else p[i][:0] for k, (p, v) in enumerate(zip(places_of, levels_of, strict=True))]
-                part = {"kind": 2, "bucket": 0, "role": 2, "grp": group, "doc_ids": docs[0], "text_keys": docs[1], "sizes": sizes.tobytes()}
-                yield _routed([{**part, "levels": levels_of[WORD][i].tobytes() + levels_of[PAIR][i].tobytes(), "places": _planes(places[WORD]) + _planes(places[PAIR])}])
-
-        for batch in slices(batches, column):
-            row, token, pair = token_stream(hasher, batch, column)
-            ids = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text_key")]
-            held.append((ids, np.bincount(row, minlength=batch.num_rows).astype(np.int32), token, pair))
-            amount += len(token)
-            if amount >= FLUSH_WORDS:
-                yield from flush(task << 32 | serial)
-                held, amount, serial = [], 0, serial + 1
-        if held:
-            yield from flush(task << 32 | serial)
-
-    return run
+        for i in range(batch.num_rows):
+            kind, bucket, grp, keys, counts = (c[i].as_py() for c in batch.columns)
+            if (kind, bucket) != at and at is not None:
+                yield flush()
+                held = []
+            at = (kind, bucket)
+            held.append((grp, unpack_keys(keys, kind), _values(counts, 4)))
+    if at is not None:
+        yield flush()
 
 
-def _answers(least: tuple[int, int]):
-    """Answers what is asked of a bucket from a filter of its levels below ``least``."""
-    none = np.zeros(0, np.int64)
+def smoothed(count: np.ndarray, both: np.ndarray, first: np.ndarray, total: int, distinct: int, texts: int) -> np.ndarray:
+    """log10 of each token's probability: its pair's count with PRIOR pseudo-counts of the add-one word estimate."""
+    alone = (count + 1) / (total + distinct + 1)
+    history = np.where(first, float(texts), np.append(0.0, count[:-1]))
+    return np.log10((np.minimum(both, history) + PRIOR * alone) / (history + PRIOR))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = at = None
-        for rows in _few(batches):
-            out = []
-            for r in rows:
-                kind = r["kind"]
-                if r["role"] == 0:
-                    keys, counts = _unpack_counts(r["keys"], r["counts"], kind)
-                    level = levels(counts)
-                    keys, level = keys[level < least[kind]], level[level < least[kind]]
-                    size = 1 << max(6, (BITS_PER_ENTRY * int(level.sum())).bit_length())
-                    model, at = Model(fill(keys, level, kind, size), 0, size, True, none.view(_U), none, 0, 0, 0), (kind, r["bucket"])
-                else:
-                    keys = _unpack(r["keys"], kind)
-                    found = model.level(keys, kind) if at == (kind, r["bucket"]) else np.zeros(len(keys), np.int64)
-                    out.append({**r, "keys": None, "levels": found.astype(np.uint8).tobytes()})
-            if out:
-                yield _routed(out)
 
-    return run
+_SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _finish(shared):
-    """Scores the texts of each group; its answers come first, in the order of what was asked."""
+def _score(total: int, distinct: int, n_texts: int):
+    """Scores each group's texts; its answers come first, in the order of its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at = shared.value, None
-        told: list[list[bytes]] = [[], []]
-        joined: list[np.ndarray] | None = None
-        for rows in _few(batches):
-            for r in rows:
-                if r["grp"] != at:
-                    at, told, joined = r["grp"], [[], []], None
-                if r["role"] == 1:
-                    told[r["kind"]].append(r["levels"])
-                    continue
-                if joined is None:
-                    joined = [np.frombuffer(b"".join(t), np.uint8) for t in told]
-                sizes = np.frombuffer(r["sizes"], np.int32)
-                both, places, used = np.frombuffer(r["levels"], np.uint8).reshape(2, -1).astype(np.int64), np.frombuffer(r["places"], np.uint8), 0
-                for kind in (WORD, PAIR):
-                    if model.least[kind] > 1:
-                        open_ = np.flatnonzero(both[kind] == 0)
-                        end = used + 4 * len(open_)
-                        both[kind, open_] = joined[kind][np.ascontiguousarray(places[used:end].reshape(4, -1).T).view(np.int32)[:, 0]]
-                        used = end
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                score = np.bincount(row, smoothed(model, row, both[WORD], both[PAIR]), len(sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(r["text_keys"], pa.int64()), pa.array(score)], names=["doc_id", "text_key", "score"])
+        hasher, at = Hasher(), None
+        told: list[list[np.ndarray]] = [[], []]
+        exact: list[np.ndarray] = []
+        for row, texts in _groups(batches):
+            if row["grp"] != at:
+                at, told, exact = row["grp"], [[], []], []
+            if row["kind"] >= 0:
+                told[row["kind"]].append(np.frombuffer(row["levels"], np.uint8))
+                if row["kind"] == WORD:
+                    exact.append(_values(row["exact"], 8).astype(np.int64))
+                continue
+            sizes, token, pair = group_stream(hasher, texts)
+            n = len(sizes)
+            word, back = np.unique(token, return_inverse=True)
+            count = expected(np.concatenate(told[WORD]))[back]
+            seen = np.concatenate(exact)
+            both = expected(np.concatenate(told[PAIR]))[np.unique(pair, return_inverse=True)[1]]
+            first = np.zeros(len(token), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            owner = np.repeat(np.arange(n), sizes)
+            base = np.bincount(owner, np.log10(seen + 1.0)[back], n) - sizes * math.log10(total + distinct + 1)
+            columns = [
+                pa.array(row["ids"], pa.int64()),
+                pa.array(row["held"], pa.bool_()),
+                pa.array(sizes.astype(np.int64)),
+                pa.array(np.bincount(owner, (seen > 0)[back], n).astype(np.int64)),
+                pa.array(base),
+                pa.array(np.bincount(owner, smoothed(count, both, first, total, distinct, n_texts), n)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _full_scores(texts: DataFrame, counts: DataFrame, shared, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, text_key, score) where the broadcast filter has only the higher levels."""
-    held = counts.where(F.when(F.col("kind") == WORD, F.lit(least[WORD])).otherwise(F.lit(least[PAIR])) > 1)
-    sent = store(texts.mapInArrow(_asks(shared, "text"), _ROUTED))  # groups differ from run to run if the input's order does
-    asked, parts = (sent.where(F.col("role") == role) for role in (1, 2))
-    routed = asked.unionByName(held.select("kind", "bucket", F.lit(0).alias("role"), "keys", "counts"), allowMissingColumns=True)
-    told = routed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "role").mapInArrow(_answers(least), _ROUTED)
-    return told.unionByName(parts).repartition("grp").sortWithinPartitions("grp", "kind", "bucket").mapInArrow(_finish(shared), "doc_id long, text_key long, score double")
-
-
 def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Tokens are the words between blanks, A-Z in lower case, then one end. The model learns from all rows
     whose ``held_out`` is not true. base_score sums log10((c + 1) / (N + V + 1)) with exact counts c of
     the training tokens, N of them in all and V distinct; n_known counts tokens with c > 0. score is the
-    model's log10 probability of the text: word and bigram counts quantised to powers of 1.5 in a
-    log-frequency Bloom filter, probed level by level, bigrams interpolated with add-one words; every
-    n-gram of the training rows is in it, those seen once, too. Null
-    and empty texts are one end token. Repeated rows are counted and returned each; a null id is not held
-    out by a test of it. Without training rows c, N and V are 0 and scores are 0. An empty table gives no
-    rows. Only the id, the text and what held_out needs are read.
-
-    Scale: n-grams are counted in each task first and shuffled as packed blobs, one for each bucket of
-    hashes. The filter grows with the n-grams: the highest levels are broadcast, as many as MOST_BITS
-    takes; the others are one filter for each bucket, built where that bucket's counts are, and what the
-    broadcast part has not is asked there, once for each FLUSH_WORDS words. Exact counts of the most frequent words, at most
-    HEAVY_WORDS, are broadcast; other words are joined with their counts, which are low, so no key is hot.
+    model's log10 probability of the text: word and bigram counts, those of 1 too, quantised to powers of
+    1.5 in log-frequency Bloom filters, probed level by level; a bigram's count is smoothed by PRIOR
+    pseudo-counts of its word's add-one estimate. Null and empty texts are one end token. Repeated rows
+    are counted and returned each; a null id is not held out by a test of it. Without training rows c, N
+    and V are 0. An empty table gives no rows; a text of any length is read whole, its n-grams being held
+    by one task. Only the id, the text and what held_out needs are read; other columns, whatever their
+    names, are left out.
+
+    Scale: rows are dealt into groups of some GROUP_BYTES of text. A group sends each of its n-grams once
+    to the n-gram's bucket of hashes, of which there is one for every BUCKET_CHARS of the corpus. There the
+    counts are added up, the bucket's filter is built and probed for what each group sent, and the levels
+    go back to the group in the order of its n-grams, without their keys. So the filter grows with the
+    corpus, is nowhere held whole, and nothing is broadcast or brought to the driver but three sums. The
+    most frequent word comes once from each group, so no bucket is hot.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(column).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    train = texts.where(~F.col("held_out"))
-    counts, log_buckets = count_ngrams(train, "text")
-    model, heavy_level = build_model(counts, log_buckets, train.count())
-    shared = spark.sparkContext.broadcast(model)
-    texts = texts.withColumn("text_key", F.xxhash64("text"))
-    scored = store(texts.mapInArrow(_score(shared, "text"), _SCORED))
-    rare = counts.where(F.col("kind") == WORD).select("keys", "counts").mapInArrow(_words_between(0, heavy_level), "token long, count long")
-    joined = scored.where("token IS NOT NULL").select("doc_id", "text_key", "token", "times").join(rare, "token")
-    joined = joined.select("doc_id", "text_key", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("count") + 1)).alias("more_part"))
-    rows = scored.where("token IS NULL").drop("token", "times").unionByName(joined, allowMissingColumns=True)
-    if model.least != (1, 1):
-        rows = rows.unionByName(_full_scores(texts, counts, shared, model.least), allowMissingColumns=True)
-    one = rows.groupBy("doc_id", "text_key").agg(
-        F.count("n_tokens").alias("copies"), *[F.max(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "part", "score")], F.sum("more").alias("more"), F.sum("more_part").alias("more_part")
-    )
-    per_token = F.log10(F.lit(float(model.total + model.distinct + 1)))
-    out = one.select(
-        F.col("doc_id").alias(id_column),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0)).cast("long")).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce(F.col("more_part") / F.col("copies"), F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        "score",
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
-    )
-    return out.drop("_copy")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(column), F.lit("")).alias("text"))
+    groups = store(texts.mapInArrow(_grouped, _GROUPED))  # which rows meet in a group must not change from here on
+    chars, n_texts = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0], groups.select(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
+    log_buckets = min(24, max(6, int(chars // BUCKET_CHARS).bit_length()))
+    sent = groups.select("grp", "held", "texts").mapInArrow(_partial_counts(log_buckets), "kind int, bucket int, grp long, keys binary, counts binary")
+    dealt = sent.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    told = store(dealt.mapInArrow(_answers, "kind int, bucket int, grp long, levels binary, exact binary, total long, distinct long"))
+    total, distinct = (int(x or 0) for x in told.where(F.col("kind") == WORD).select(F.sum("total"), F.sum("distinct")).first())
+    asked = groups.select("grp", F.lit(-1).alias("kind"), "ids", "held", "texts")
+    # A group's own row comes last: kinds are sorted downwards.
+    both = asked.unionByName(told.drop("total", "distinct"), allowMissingColumns=True).repartition("grp").sortWithinPartitions("grp", F.desc("kind"), "bucket")
+    out = both.mapInArrow(_score(total, distinct, int(n_texts)), _SCORED)
+    return out.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:

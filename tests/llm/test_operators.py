@@ -122,59 +122,56 @@ def test_line_dedup_full_filter(docs, monkeypatch):
     assert sorted(map(tuple, line_dedup.digest(docs).collect())) == before
 
 
-def test_language_model(docs, rows, monkeypatch):
-    monkeypatch.setattr(language_model, "HEAVY_WORDS", 40)
+@pytest.mark.parametrize(("group", "bucket"), [(1 << 12, 1000), (6 << 20, 12_000_000)])
+def test_language_model(docs, rows, monkeypatch, group, bucket):
+    """Both scores against counted n-grams, for many small groups and buckets and for one of each."""
+    for name, value in (("GROUP_BYTES", group), ("BUCKET_CHARS", bucket), ("BITS_PER_ENTRY", 96)):
+        monkeypatch.setattr(language_model, name, value)
     stream = {r[0]: [*words(lower(r[1] or "")), None] for r in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in stream}
-    count = Counter(w for i, s in stream.items() if not held[i] for w in s)
+    trained = [s for i, s in stream.items() if not held[i]]
+    count = Counter(w for s in trained for w in s)
+    pairs = Counter(p for s in trained for p in zip([0, *s], s, strict=False))
+    assert sum(n == 1 for n in pairs.values()) > 1000
     total, distinct = sum(count.values()), len(count)
+    seen = lambda n: float(language_model.expected(language_model.levels(np.array([n])))[0])
     got = {r.doc_id: r for r in language_model.digest(docs).collect()}
     assert len(got) == len(rows)
+    close = 0
     for i, s in stream.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(s), sum(count[w] > 0 for w in s), total)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in s), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
-    trained = [i for i in stream if not held[i]]
-    assert sum(got[i].score for i in trained) > sum(got[i].base_score for i in trained)
-
-
-@pytest.mark.parametrize("most_bits", [1 << 10, 1 << 16, 1 << 28])
-def test_language_model_scores_every_ngram(docs, rows, monkeypatch, most_bits):
-    for name, value in (("MOST_BITS", most_bits), ("FLUSH_WORDS", 600), ("BITS_PER_ENTRY", 96)):
-        monkeypatch.setattr(language_model, name, value)
-    stream = {r[0]: [*words(lower(r[1] or "")), None] for r in rows}
-    trained = [s for i, s in stream.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for s in trained for w in s)
-    pairs = Counter(p for s in trained for p in zip([0, *s], s, strict=False))
-    assert sum(n == 1 for n in pairs.values()) > 1000
-    total, distinct = sum(count.values()), len(count)
-    seen = lambda n: float(language_model.expected(language_model.levels(np.array([n])))[0]) if n else 0.0
-    got = {r.doc_id: r.score for r in language_model.digest(docs).collect()}
-    close = 0
-    for i, s in stream.items():
         want = 0.0
         for before, w in zip([0, *s], s, strict=False):
             history = float(len(trained)) if before == 0 else seen(count[before])
             alone = (seen(count[w]) + 1) / (total + distinct + 1)
-            want += math.log10(0.3 * min(1.0, seen(pairs[before, w]) / max(history, 1.0)) + 0.7 * alone if history else alone)
-        close += math.isclose(got[i], want, rel_tol=1e-9)
+            want += math.log10((min(seen(pairs[before, w]), history) + language_model.PRIOR * alone) / (history + language_model.PRIOR))
+        close += math.isclose(r.score, want, rel_tol=1e-9)
     assert close > 0.95 * len(stream)
 
 
+def test_language_model_scores_apart_what_occurs_twice(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(120))
+    texts = [prose() for _ in range(300)]
+    rows = list(enumerate(texts + texts[:60]))
+    got = {r.doc_id: r for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    each = lambda ids: [got[i].score / got[i].n_tokens for i in ids]
+    assert np.mean(np.array(each(range(60))) > np.quantile(each(range(60, 300)), 0.9)) > 0.95
+
+
 def test_filter_levels():
     keys = np.random.default_rng(3).integers(0, 2**63, 4000).astype(np.uint64)
     counts = np.random.default_rng(4).integers(1, 500, 4000)
     level = language_model.levels(counts)
-    assert (language_model.levels(np.array([1, 2, 3, 4])) == [1, 2, 3, 4]).all()
-    bits = np.zeros(1 << 20, bool)
-    for j in range(1, level.max() + 1):
-        for probe in range(language_model.PROBES):
-            bits[language_model.entry_bit(keys[level >= j], 0, j, probe, 1 << 20)] = True
-    model = language_model.Model(np.packbits(bits, bitorder="little"), 0, 1 << 20, True, keys[:0], counts[:0], 1, 1, 1)
-    found = model.level(keys, 0)
-    assert (found >= level).all() and (found == level).mean() > 0.9
-    assert (model.level(keys + np.uint64(1), 0) == 0).mean() > 0.9
+    assert (language_model.levels(np.array([0, 1, 2, 3, 4])) == [0, 1, 2, 3, 4]).all()
+    for kind in language_model.KINDS:
+        model = language_model.LogFilter(keys, level, kind)
+        assert (model.level(keys) >= level).all() and (model.level(keys) == level).mean() > 0.95
+        assert (model.level(keys + np.uint64(1)) == 0).mean() > 0.95
+        some = np.unique(keys & language_model._KEY_MASK)
+        assert (language_model.unpack_keys(language_model.pack_keys(some, kind), kind) == some).all()
 
 
 def brute_components(rows, size, percent):
