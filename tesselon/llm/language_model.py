@@ -19,14 +19,14 @@ QUANTUM = 1.5
 LEVELS = 64
 PROBES, BITS_PER_ENTRY = 4, 12
 #: Bytes of text in a group, about, and characters of the corpus for each bucket of hashes, about.
-GROUP_BYTES, BUCKET_CHARS = 6 << 20, 12_000_000
+GROUP_BYTES, BUCKET_CHARS = 4 << 20, 12_000_000
 #: Pseudo-counts of the shorter n-gram's estimate in that of the longer.
 PRIOR = 5.0
 _U = np.uint64
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-WORD, PAIR = KINDS = (0, 1)
-#: Bytes of a key: pairs are told apart by 56 bits, far below the filter's own error up to some 10**13 of them.
-KEY_BYTES = (8, 7)
+WORD, PAIR, TRIPLE = KINDS = (0, 1, 2)
+#: Bytes of a key: pairs and triples are told apart by 56 bits, far below the filter's own error up to some 10**13 of them.
+KEY_BYTES = (8, 7, 7)
 _KEY_MASK = np.uint64((1 << 56) - 1)
 
 
@@ -41,8 +41,8 @@ def expected(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (QUANTUM ** (level - 1) + QUANTUM**level - 1) / 2, 0.0)
 
 
-def token_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of each text, token, pair with the token before): each text's words and its end, in order."""
+def token_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(tokens of each text, then each token, pair and triple with the tokens before): each text's words and its end, in order."""
     words = hasher.words(texts, lower=True)
     n = words.counts + 1
     last = np.cumsum(n) - 1
@@ -51,13 +51,16 @@ def token_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
     inner[last] = False
     token[inner] = words.hashes
     token[last] = _END
-    before = np.empty(len(token), _U)
-    before[1:] = token[:-1]
-    before[last - words.counts] = _START
-    return n, token, mix(before * _U(0x9E3779B97F4A7C15) + token) & _KEY_MASK
+    first = last - words.counts
+    before = np.append(_START, token[:-1])
+    before[first] = _START
+    pair = mix(before * _U(0x9E3779B97F4A7C15) + token)
+    earlier = np.append(_START, pair[:-1])
+    earlier[first] = _START
+    return n, token, pair & _KEY_MASK, mix(earlier * _U(0x9E3779B97F4A7C15) + token) & _KEY_MASK
 
 
-def group_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def group_stream(hasher: Hasher, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """As token_stream, in slices of bounded size."""
     whole = pa.RecordBatch.from_arrays([texts], names=["text"])
     parts = [token_stream(hasher, part.column(0)) for part in slices(iter([whole]), "text")]
@@ -122,7 +125,7 @@ class LogFilter:
         return out
 
 
-_GROUPED = "grp long, ids array<long>, held array<boolean>, texts array<string>, n_train long"
+_GROUPED = "grp long, packed binary, n_train long"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +133,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, serial, kept, amount = TaskContext.get().partitionId(), 0, [], 0
 
     def flush() -> pa.RecordBatch:
-        columns = [pa.concat_arrays([b.column(i) for b in kept]) for i in range(3)]
-        ends = pa.array([0, len(columns[0])], pa.int32())
-        n_train = len(columns[1]) - (columns[1].true_count if len(columns[1]) else 0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([task << 32 | serial], pa.int64()), *[pa.ListArray.from_arrays(ends, c) for c in columns], pa.array([n_train], pa.int64())],
-            names=["grp", "ids", "held", "texts", "n_train"],
-        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            for part in kept:
+                writer.write_batch(part)
+        n_train = sum(b.num_rows - (b.column(1).true_count or 0) for b in kept)
+        return pa.RecordBatch.from_pydict({"grp": pa.array([task << 32 | serial], pa.int64()), "packed": pa.array([sink.getvalue()], pa.binary()), "n_train": pa.array([n_train], pa.int64())})
 
     for batch in slices(batches, "text"):
         kept.append(batch)
@@ -148,37 +150,40 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: str = "texts") -> Iterator[tuple[dict, pa.Array]]:
-    """Each row without its texts, and these."""
-    for batch in batches:
-        rest = batch.drop_columns([column]) if column in batch.schema.names else batch
-        texts = batch.column(batch.schema.get_field_index(column))
-        for i in range(batch.num_rows):
-            yield rest.slice(i, 1).to_pylist()[0], texts[i].values
+def unpacked(blob: pa.BinaryScalar) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    """(ids, whether held out, texts) of a group."""
+    table = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+    ids, held, texts = (c.chunk(0) for c in table.columns)
+    return ids, np.array(held.to_pylist(), bool), texts
 
 
 def _partial_counts(log_buckets: int):
     """For each group and bucket the n-grams of its texts, those of held-out texts too, and how often training texts have them."""
 
+    def counted(hasher: Hasher, grp: int, blob: pa.BinaryScalar) -> Iterator[pa.RecordBatch]:
+        _, held, texts = unpacked(blob)
+        sizes, *streams = group_stream(hasher, texts)
+        trains = np.repeat(~held, sizes)
+        for kind in KINDS:
+            keys, back = np.unique(streams[kind], return_inverse=True)
+            counts = np.bincount(back[trains], minlength=len(keys)).astype(_U)
+            cuts = bucket_cuts(keys, kind, log_buckets)
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            parts = [slice(cuts[b], cuts[b + 1]) for b in some]
+            columns = [
+                pa.array([kind] * len(some), pa.int32()),
+                pa.array(some, pa.int32()),
+                pa.array([grp] * len(some), pa.int64()),
+                pa.array([pack_keys(keys[p], kind) for p in parts], pa.binary()),
+                pa.array([_planes(counts[p], 4) for p in parts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "grp", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for row, texts in _groups(batches):
-            sizes, *streams = group_stream(hasher, texts)
-            trains = np.repeat(~np.array(row["held"], bool), sizes)
-            for kind in KINDS:
-                keys, back = np.unique(streams[kind], return_inverse=True)
-                counts = np.bincount(back[trains], minlength=len(keys)).astype(_U)
-                cuts = bucket_cuts(keys, kind, log_buckets)
-                some = np.flatnonzero(np.diff(cuts)).tolist()
-                parts = [slice(cuts[b], cuts[b + 1]) for b in some]
-                columns = [
-                    pa.array([kind] * len(some), pa.int32()),
-                    pa.array(some, pa.int32()),
-                    pa.array([row["grp"]] * len(some), pa.int64()),
-                    pa.array([pack_keys(keys[p], kind) for p in parts], pa.binary()),
-                    pa.array([_planes(counts[p], 4) for p in parts], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "grp", "keys", "counts"])
+        for batch in batches:
+            for grp, blob in zip(*batch.columns, strict=True):
+                yield from counted(hasher, grp.as_py(), blob)
 
     return run
 
@@ -228,11 +233,14 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def smoothed(count: np.ndarray, both: np.ndarray, first: np.ndarray, total: int, distinct: int, texts: int) -> np.ndarray:
-    """log10 of each token's probability: its pair's count with PRIOR pseudo-counts of the add-one word estimate."""
-    alone = (count + 1) / (total + distinct + 1)
-    history = np.where(first, float(texts), np.append(0.0, count[:-1]))
-    return np.log10((np.minimum(both, history) + PRIOR * alone) / (history + PRIOR))
+def smoothed(counts: list[np.ndarray], first: np.ndarray, total: int, distinct: int, texts: int) -> np.ndarray:
+    """log10 of each token's probability: its triple's count with PRIOR pseudo-counts of its pair's estimate, and that
+    with as many of the add-one word estimate."""
+    estimate = (counts[WORD] + 1) / (total + distinct + 1)
+    for kind in (PAIR, TRIPLE):
+        history = np.where(first, float(texts), np.append(0.0, counts[kind - 1][:-1]))
+        estimate = (np.minimum(counts[kind], history) + PRIOR * estimate) / (history + PRIOR)
+    return np.log10(estimate)
 
 
 _SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -241,37 +249,42 @@ _SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score do
 def _score(total: int, distinct: int, n_texts: int):
     """Scores each group's texts; its answers come first, in the order of its n-grams."""
 
+    def scored(hasher: Hasher, blob: pa.BinaryScalar, told: list[list[np.ndarray]], exact: list[np.ndarray]) -> pa.RecordBatch:
+        ids, held, texts = unpacked(blob)
+        sizes, *streams = group_stream(hasher, texts)
+        n, counts = len(sizes), []
+        for kind in KINDS:
+            _, back = np.unique(streams[kind], return_inverse=True)
+            counts.append(expected(np.concatenate(told[kind]))[back])
+            if kind == WORD:
+                seen = np.concatenate(exact)[back]
+        first = np.zeros(len(seen), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        owner = np.repeat(np.arange(n), sizes)
+        columns = [
+            ids,
+            pa.array(held),
+            pa.array(sizes.astype(np.int64)),
+            pa.array(np.bincount(owner, seen > 0, n).astype(np.int64)),
+            pa.array(np.bincount(owner, np.log10(seen + 1.0), n) - sizes * math.log10(total + distinct + 1)),
+            pa.array(np.bincount(owner, smoothed(counts, first, total, distinct, n_texts), n)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, at = Hasher(), None
-        told: list[list[np.ndarray]] = [[], []]
+        told: list[list[np.ndarray]] = []
         exact: list[np.ndarray] = []
-        for row, texts in _groups(batches):
-            if row["grp"] != at:
-                at, told, exact = row["grp"], [[], []], []
-            if row["kind"] >= 0:
-                told[row["kind"]].append(np.frombuffer(row["levels"], np.uint8))
-                if row["kind"] == WORD:
-                    exact.append(_values(row["exact"], 8).astype(np.int64))
-                continue
-            sizes, token, pair = group_stream(hasher, texts)
-            n = len(sizes)
-            word, back = np.unique(token, return_inverse=True)
-            count = expected(np.concatenate(told[WORD]))[back]
-            seen = np.concatenate(exact)
-            both = expected(np.concatenate(told[PAIR]))[np.unique(pair, return_inverse=True)[1]]
-            first = np.zeros(len(token), bool)
-            first[np.cumsum(sizes) - sizes] = True
-            owner = np.repeat(np.arange(n), sizes)
-            base = np.bincount(owner, np.log10(seen + 1.0)[back], n) - sizes * math.log10(total + distinct + 1)
-            columns = [
-                pa.array(row["ids"], pa.int64()),
-                pa.array(row["held"], pa.bool_()),
-                pa.array(sizes.astype(np.int64)),
-                pa.array(np.bincount(owner, (seen > 0)[back], n).astype(np.int64)),
-                pa.array(base),
-                pa.array(np.bincount(owner, smoothed(count, both, first, total, distinct, n_texts), n)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        for batch in batches:
+            for grp, kind, levels_, exact_, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                if grp != at:
+                    at, told, exact = grp, [[] for _ in KINDS], []
+                if kind < 0:
+                    yield scored(hasher, blob, told, exact)
+                    continue
+                told[kind].append(np.frombuffer(levels_.as_py(), np.uint8))
+                if kind == WORD:
+                    exact.append(_values(exact_.as_py(), 8).astype(np.int64))
 
     return run
 
@@ -282,9 +295,9 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     Tokens are the words between blanks, A-Z in lower case, then one end. The model learns from all rows
     whose ``held_out`` is not true. base_score sums log10((c + 1) / (N + V + 1)) with exact counts c of
     the training tokens, N of them in all and V distinct; n_known counts tokens with c > 0. score is the
-    model's log10 probability of the text: word and bigram counts, those of 1 too, quantised to powers of
-    1.5 in log-frequency Bloom filters, probed level by level; a bigram's count is smoothed by PRIOR
-    pseudo-counts of its word's add-one estimate. Null and empty texts are one end token. Repeated rows
+    model's log10 probability of the text: counts of one, two and three tokens, those of 1 too, quantised to
+    powers of 1.5 in log-frequency Bloom filters, probed level by level; the longer estimate is smoothed by
+    PRIOR pseudo-counts of the shorter, the shortest by adding one. Null and empty texts are one end token. Repeated rows
     are counted and returned each; a null id is not held out by a test of it. Without training rows c, N
     and V are 0. An empty table gives no rows; a text of any length is read whole, its n-grams being held
     by one task. Only the id, the text and what held_out needs are read; other columns, whatever their
@@ -301,14 +314,14 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     groups = store(texts.mapInArrow(_grouped, _GROUPED))  # which rows meet in a group must not change from here on
     chars, n_texts = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0], groups.select(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     log_buckets = min(24, max(6, int(chars // BUCKET_CHARS).bit_length()))
-    sent = groups.select("grp", "held", "texts").mapInArrow(_partial_counts(log_buckets), "kind int, bucket int, grp long, keys binary, counts binary")
+    sent = groups.select("grp", "packed").mapInArrow(_partial_counts(log_buckets), "kind int, bucket int, grp long, keys binary, counts binary")
     dealt = sent.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     told = store(dealt.mapInArrow(_answers, "kind int, bucket int, grp long, levels binary, exact binary, total long, distinct long"))
     total, distinct = (int(x or 0) for x in told.where(F.col("kind") == WORD).select(F.sum("total"), F.sum("distinct")).first())
-    asked = groups.select("grp", F.lit(-1).alias("kind"), "ids", "held", "texts")
+    asked = groups.select("grp", F.lit(-1).alias("kind"), "packed")
     # A group's own row comes last: kinds are sorted downwards.
     both = asked.unionByName(told.drop("total", "distinct"), allowMissingColumns=True).repartition("grp").sortWithinPartitions("grp", F.desc("kind"), "bucket")
-    out = both.mapInArrow(_score(total, distinct, int(n_texts)), _SCORED)
+    out = both.select("grp", "kind", "levels", "exact", "packed").mapInArrow(_score(total, distinct, int(n_texts)), _SCORED)
     return out.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -131,7 +131,8 @@ def test_language_model(docs, rows, monkeypatch, group, bucket):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in stream}
     trained = [s for i, s in stream.items() if not held[i]]
     count = Counter(w for s in trained for w in s)
-    pairs = Counter(p for s in trained for p in zip([0, *s], s, strict=False))
+    grams = lambda s, n: list(zip(*([0] * (n - 1 - k) + s for k in range(n)), strict=False))
+    pairs, triples = (Counter(g for s in trained for g in grams(s, n)) for n in (2, 3))
     assert sum(n == 1 for n in pairs.values()) > 1000
     total, distinct = sum(count.values()), len(count)
     seen = lambda n: float(language_model.expected(language_model.levels(np.array([n])))[0])
@@ -143,10 +144,12 @@ def test_language_model(docs, rows, monkeypatch, group, bucket):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(s), sum(count[w] > 0 for w in s), total)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in s), rel_tol=1e-9, abs_tol=1e-9)
         want = 0.0
-        for before, w in zip([0, *s], s, strict=False):
-            history = float(len(trained)) if before == 0 else seen(count[before])
-            alone = (seen(count[w]) + 1) / (total + distinct + 1)
-            want += math.log10((min(seen(pairs[before, w]), history) + language_model.PRIOR * alone) / (history + language_model.PRIOR))
+        for pair, triple in zip(grams(s, 2), grams(s, 3), strict=True):
+            p = (seen(count[pair[1]]) + 1) / (total + distinct + 1)
+            for n, history in ((seen(pairs[pair]), seen(count[pair[0]])), (seen(triples[triple]), seen(pairs[triple[:2]]))):
+                history = float(len(trained)) if pair[0] == 0 else history
+                p = (min(n, history) + language_model.PRIOR * p) / (history + language_model.PRIOR)
+            want += math.log10(p)
         close += math.isclose(r.score, want, rel_tol=1e-9)
     assert close > 0.95 * len(stream)
 
