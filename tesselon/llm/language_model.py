@@ -138,7 +138,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in kept:
                 writer.write_batch(part)
         n_train = sum(b.num_rows - (b.column(1).true_count or 0) for b in kept)
-        return pa.RecordBatch.from_pydict({"grp": pa.array([task << 32 | serial], pa.int64()), "packed": pa.array([sink.getvalue()], pa.binary()), "n_train": pa.array([n_train], pa.int64())})
+        return pa.RecordBatch.from_pydict({"grp": pa.array([task << 32 | serial], pa.int64()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "n_train": pa.array([n_train], pa.int64())})
 
     for batch in slices(batches, "text"):
         kept.append(batch)
