@@ -84,6 +84,15 @@ def _values(blob: bytes, size: int) -> np.ndarray:
     return wide.view(_U)[:, 0]
 
 
+def squeezed(blob: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(blob).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+
+
 def pack_keys(keys: np.ndarray, kind: int) -> bytes:
     """Sorted keys as differences."""
     return _planes(np.diff(keys, prepend=_U(0)), KEY_BYTES[kind])
@@ -205,8 +214,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = total > 0
         found = LogFilter(unique[known], level[known], kind).level(unique).astype(np.uint8)
         ends = np.cumsum(sizes)[:-1]
-        told = [x.tobytes() for x in np.split(found[back], ends)]
-        exact = [_planes(x, 8) for x in np.split(total.astype(_U)[back], ends)] if kind == WORD else [None] * len(sizes)
+        told = [squeezed(x.tobytes()) for x in np.split(found[back], ends)]
+        exact = [squeezed(_planes(x, 8)) for x in np.split(total.astype(_U)[back], ends)] if kind == WORD else [None] * len(sizes)
         rest = [0] * (len(sizes) - 1)
         return pa.RecordBatch.from_arrays(
             [
@@ -282,9 +291,9 @@ def _score(total: int, distinct: int, n_texts: int):
                 if kind < 0:
                     yield scored(hasher, blob, told, exact)
                     continue
-                told[kind].append(np.frombuffer(levels_.as_py(), np.uint8))
+                told[kind].append(np.frombuffer(unsqueezed(levels_.as_py()), np.uint8))
                 if kind == WORD:
-                    exact.append(_values(exact_.as_py(), 8).astype(np.int64))
+                    exact.append(_values(unsqueezed(exact_.as_py()), 8).astype(np.int64))
 
     return run
 
