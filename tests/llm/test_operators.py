@@ -416,17 +416,45 @@ def test_tails_of_long_runs_are_scanned(spark):
     texts = [(i, "see client.credential.for.production.environment.of.the.service=" + k + " for more") for i, k in enumerate(keys)]
     got = secrets.digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sum(r.n_model for r in got) >= 38
-    start, end = 4, 4 + len(texts[0][1].split()[1])
-    assert secrets.windows(start, end)[-1] + secrets.WITHIN >= end + secrets.STEP
+
+
+def test_windows_cover_candidates_and_both_sides():
+    text = b"some words before " + b"a1" * 60 + b" and some after it"
+    for start, end in ((18, 138), (18, 26), (18, 58), (0, 138)):
+        owner, at = secrets.windows(np.array([start]), np.array([end]))
+        assert (owner == 0).all() and at[0] == start and at[-1] + secrets.WITHIN >= end + secrets.STEP and (np.diff(at) == secrets.STEP).all()
+    seen = lambda t, a, b: secrets.encoded([(t, a, b, 0)])[0]
+    whole = seen(text, 18, 138)
+    for other in (text[:137] + b"Z" + text[138:], text.replace(b" and", b"=and"), text.replace(b"before ", b"before:")):
+        assert (seen(other, 18, 138) != whole).any()
+
+
+def test_convolution_by_look_up():
+    codes, owner, labels = secrets.encoded(secrets.generated_findings(200, 4))
+    network = secrets.train(codes, owner, labels, epochs=1)
+    assert np.allclose(network.logits(codes), network.forward(codes)[-1], atol=1e-3)
 
 
 def test_network_on_unseen_findings():
-    codes, labels = secrets.generated_findings(1500, 1)
-    network = secrets.train(np.array(codes), np.array(labels, np.float32))
-    fresh, truth = secrets.generated_findings(800, 2)
-    hit = network.probability(np.array(fresh)) >= network.threshold
-    truth = np.array(truth) > 0
-    assert hit[truth].mean() >= 0.95 and hit[~truth].mean() <= 0.1
+    network = secrets.train(*secrets.encoded(secrets.generated_findings(secrets.GENERATED, 1)))
+    assert network.recall >= 0.98 and network.precision >= 0.97
+    rng = random.Random(7)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, of=mixed: "".join(rng.choice(of) for _ in range(n))
+    word = lambda: draw(rng.randint(3, 8), "aeioulnrst")
+    # Forms that were never generated, none of which a base pattern matches.
+    keys = [lambda: "glpat-" + draw(20), lambda: "npm_" + draw(36), lambda: "SG." + draw(22) + "." + draw(43), lambda: "pk_live_" + draw(24), lambda: draw(43, mixed + "+/") + "=", lambda: draw(32, "0123456789ABCDEF"), lambda: draw(24) + "-" + draw(24), lambda: draw(28, mixed[:52])]
+    plain = [lambda: "/".join(word() for _ in range(4)) + ".html", lambda: "_".join(word() for _ in range(5)), lambda: word() + "-" + word() + "-" + word(), lambda: word() + word() + word(), lambda: draw(13, "0123456789"), lambda: word() + "." + word() + "." + word(), lambda: "www." + word() + ".org/" + word() + "/2024"]
+    for forms, test in ((keys, lambda share: share >= 0.95), (plain, lambda share: share <= 0.05)):
+        findings = []
+        for i in range(400):
+            before, value = f"{word()} {word()} {word()} ", forms[i % len(forms)]()
+            findings.append(((before + value + " " + word()).encode(), len(before), len(before) + len(value), 0))
+        codes, owner, _ = secrets.encoded(findings)
+        best = np.zeros(len(findings))
+        np.maximum.at(best, owner, network.probability(codes))
+        share = (best >= network.threshold).mean()
+        assert test(share), share
 
 
 def test_empty_tables(empty, spark):
