@@ -201,7 +201,7 @@ def base_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int,
 
 
 #: What needs no network to be known as harmless: words, joined by what names and paths are joined by.
-_PLAIN = re.compile(rb"[+/_.=-]*([A-Z]?[a-z]+[+/_.=-]+)*[A-Z]?[a-z]+[+/_.=-]*")
+_PLAIN = re.compile(rb"[+/_.=-]*(([A-Z]?[a-z]+|[A-Z]+)[+/_.=-]+)*([A-Z]?[a-z]+|[A-Z]+)[+/_.=-]*")
 
 
 def generated_findings(count: int, seed: int) -> list[tuple[bytes, int, int, int]]:
@@ -249,15 +249,19 @@ def generated_findings(count: int, seed: int) -> list[tuple[bytes, int, int, int
                     lambda: word() + draw(digits, 1) + "." + word() + pick([".com", ".org", ".net"]),
                     lambda: word() + word() + word() + pick(["", "."]),
                     lambda: "-".join(word() for _ in range(3)),
+                    lambda: (word() + word() + word()).upper() + pick(["", "."]),
+                    lambda: "_".join(word() for _ in range(3)).upper(),
                     lambda: word() + word() + "." + draw(digits, 2),
                     lambda: "/".join(word() for _ in range(4)) + "." + word(),
                     lambda: f"20{draw(digits, 2)}-0{pick('123456789')}-1{pick(digits)}",
                 ]
             )()
-            value = value if len(value) >= CANDIDATE else value + draw(digits, CANDIDATE - len(value))
+            value = value if len(value) >= CANDIDATE else value + draw(digits if value[-1] in digits else lower, CANDIDATE - len(value))
             lead = pick(["see ", "at ", "file ", "https:/", "page ", "on ", "ref ", word() + " ", word() + ": ", "(", word() + "@"])
-        before = " ".join(word() for _ in range(5)) + " " + lead
-        text = (before + value + pick([" ", "\n", "'", ",", ". "]) + " ".join(word() for _ in range(4))).encode()
+        before, after = " ".join(word() for _ in range(5)) + " " + lead, pick([" ", "\n", "'", ",", ". "]) + " ".join(word() for _ in range(4))
+        if rng.random() < (0.1 if secret or not value.isupper() else 0.7):
+            before, after = before.upper(), after.upper()
+        text = (before + value + after).encode()
         found.append((text, len(before), len(before) + len(value), int(secret)))
     return found
 
