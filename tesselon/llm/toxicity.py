@@ -1,258 +1,402 @@
 """Toxicity: a weighted finite-state grammar scores clauses by the patterns that they match.
 
-Each word becomes a symbol (insult of some strength, threat, target, negation, report, quote, plain).
-Five small transducers read the symbols of a clause side by side: insult and threat count what they
-meet, target links a person to an insult within a few words, negation and reported speech turn what
-follows inside their scope into a weaker symbol. Their composition labels every insult or threat of a
-clause with one pattern; patterns have weights, and a clause scores the sum of its patterns' weights.
-
-The lexicon of the insult transducer has a general seed and stems learnt from labelled rows; the
-patterns' weights are learnt from the same rows by logistic regression.
+Each word becomes a symbol: insult, learnt, echo (a weaker learnt word), threat, target, negation,
+report, intent or plain. Transducers for target, negation, report and intent mark what stands within a
+few words of theirs; they are composed into one that reads a clause forwards, and the same composition
+reads it backwards, so that marks come from both sides. A last transducer turns each marked insult or
+threat into a pattern: aimed at a target, bare, weakened by negation or reported speech, or again after
+an earlier one of the document. All are tables of (state, symbol) -> (state, output).
+
+Patterns have weights a >= 0. A clause scores 1 - exp(-(sum of the weights of its patterns)), and a
+document 1 - exp(-base) * product of (1 - clause score): one bad clause is enough, and further ones add.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselon.llm._text import Hasher, slices, utf8
+
 #: Labelled rows that the model is fitted on, at most; those with a longer text are not taken.
 MAX_FIT_ROWS = 6000
 MAX_FIT_CHARS = 32_000
-#: Documents that must hold a learnt stem, and the share of them that must be toxic.
+#: Toxic documents that must hold a learnt stem, and the share of its documents that must be toxic.
 MIN_SUPPORT, MIN_PRECISION = 4, 0.9
-#: A clause ends after so many words if no punctuation ends it: bounds what a target or negation reaches.
+#: Parts of the labelled rows, each of which is read with stems of the others to fit the weights.
+FOLDS = 4
+#: Characters of a learnt stem.
+STEM_CHARS = range(4, 9)
+#: Words over which a target, negation, report or intent reaches within its clause.
 SCOPE = 6
 
 #: The seed lexicon.
-INSULTS = frozenset("idiot idiots moron morons stupid dumb scum trash garbage loser losers pathetic worthless disgusting clown fool imbecile cretin vermin filth pig".split())
-THREATS = frozenset("kill hurt destroy beat burn hang shoot stab crush".split())
-TARGETS = frozenset("you your yourself u he she they them him her his their these those this that such people".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't don't nicht kein keine pas jamais ne nunca non".split())
-REPORTS = frozenset("said says say claimed claims called reported wrote quoted alleged sagte dit dijo".split())
-INTENTS = frozenset("will gonna shall going must should i'll we'll".split())
-_EDGE = b" \t\r\n\x0b\x0c.,;:!?\"'()[]{}*#$%&<>-_/\\|"
-_CLAUSE_END = frozenset(b".;:!?\n")
-PATTERNS = ("seed_plain", "seed_target", "seed_weak", "learnt_plain", "learnt_target", "learnt_weak", "threat_intent", "threat_plain", "threat_weak")
-#: Weights before anything is learnt.
-STANDING, STANDING_BIAS = (4.0, 5.0, 1.0, 4.0, 5.0, 1.0, 5.0, 1.0, 0.3), -2.0
-_PLAIN, _SEED, _LEARNT, _THREAT, _TARGET, _NEGATION, _REPORT, _INTENT = range(8)
+INSULTS = "idiot idiots moron morons stupid dumb scum trash garbage loser losers pathetic worthless disgusting clown fool imbecile cretin vermin filth pig".split()
+THREATS = "kill hurt destroy beat burn hang shoot stab crush".split()
+TARGETS = "you your yourself u he she they them him her his their these those this that such people".split()
+NEGATIONS = "not no never nobody isn't aren't wasn't don't nicht kein keine pas jamais ne nunca non".split()
+REPORTS = "said says say claimed claims called reported wrote quoted alleged sagte dit dijo".split()
+INTENTS = "will gonna shall going must should i'll we'll".split()
+PLAIN, INSULT, LEARNT, ECHO, THREAT, TARGET, NEGATION, REPORT, INTENT = range(9)
+SYMBOLS = 9
+LEXICON = ((INTENTS, INTENT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT))
+#: Marks of a word, as bits.
+AIMED, DENIED, REPORTED, MEANT = 1, 2, 4, 8
+MARKS = 16
+_FAMILY = {INSULT: "insult", LEARNT: "learnt", ECHO: "echo", THREAT: "threat"}
+#: Weights before anything is learnt, and the least probability that a bare insult leaves to a text.
+STANDING = {"insult_aimed": 1.9, "insult_bare": 0.7, "learnt_aimed": 1.9, "learnt_bare": 0.7, "echo_aimed": 0.2, "echo_bare": 0.2, "threat_meant": 1.9, "threat_bare": 0.2, "insult_again": 0.9, "learnt_again": 0.9, "echo_again": 0.9, "weakened": 0.1}
+STANDING_BASE, LONE = 0.02, 0.4
+PATTERNS = tuple(STANDING)
+_WORD_BREAK = np.zeros(256, bool)
+_WORD_BREAK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+_CLAUSE_END = np.zeros(256, bool)
+_CLAUSE_END[[*b".;:!?\n"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 
 
 @dataclass
-class Grammar:
-    """Lexicon and pattern weights; what the workers get. Bounded: stems come from MAX_FIT_ROWS rows."""
-
-    stems: dict[bytes, int] = field(default_factory=dict)
-    words: frozenset = frozenset()
-    lengths: tuple[int, ...] = ()
-    weights: tuple[float, ...] = ()
-    bias: float = -3.0
-
-    def symbol(self, word: bytes) -> int:
-        for n in self.lengths:
-            if word[:n] in self.stems and len(word) >= n:
-                return _LEARNT
-        return _LEARNT if word in self.words else _PLAIN
-
-
-def fixed_symbols() -> dict[bytes, int]:
-    table: dict[bytes, int] = {}
-    for words, symbol in ((INTENTS, _INTENT), (REPORTS, _REPORT), (NEGATIONS, _NEGATION), (TARGETS, _TARGET), (THREATS, _THREAT), (INSULTS, _SEED)):
-        table.update(dict.fromkeys((w.encode() for w in words), symbol))
-    return table
-
-
-def tokens(text: bytes) -> list[tuple[bytes, bool]]:
-    """(word in lower case without punctuation at its ends, whether a clause ends after it)."""
-    out = []
-    for line in text.lower().split(b"\n"):
-        words = line.split()
-        for i, raw in enumerate(words):
-            out.append((raw.strip(_EDGE), raw[-1] in _CLAUSE_END or i == len(words) - 1))
+class Transducer:
+    """After reading symbol s in state q: state follow[q, s] and output output[q, s]. It starts in state 0."""
+
+    follow: np.ndarray
+    output: np.ndarray
+
+    def read(self, symbols: np.ndarray) -> np.ndarray:
+        """Outputs for rows of symbols, all rows in step."""
+        state, out = np.zeros(len(symbols), np.int64), np.empty(symbols.shape, np.int64)
+        for i in range(symbols.shape[1]):
+            out[:, i] = self.output[state, symbols[:, i]]
+            state = self.follow[state, symbols[:, i]]
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that gives what ``second`` makes of the output of ``first``; its states are pairs."""
+    n = len(second.follow)
+    a, b = np.divmod(np.arange(len(first.follow) * n), n)
+    middle = first.output[a]
+    return Transducer(first.follow[a] * n + second.follow[b[:, None], middle], second.output[b[:, None], middle])
+
+
+def scope(trigger: int, mark: int, reach: int = SCOPE) -> Transducer:
+    """Adds a mark to the words up to ``reach`` places behind the trigger; reads and gives symbol * MARKS + marks.
+    State k: the mark is added to k more words."""
+    states, symbols = np.arange(reach + 1)[:, None], np.arange(SYMBOLS * MARKS)[None, :]
+    opens = symbols // MARKS == trigger
+    return Transducer(np.where(opens, reach, np.maximum(states - 1, 0)), np.where(states > 0, symbols | mark, symbols))
+
+
+def marker() -> Transducer:
+    """The four scopes, composed; it reads bare symbols."""
+    given = Transducer(np.zeros((1, SYMBOLS), np.int64), np.arange(SYMBOLS)[None, :] * MARKS)
+    out = given
+    for trigger, mark in ((TARGET, AIMED), (NEGATION, DENIED), (REPORT, REPORTED), (INTENT, MEANT)):
+        out = compose(out, scope(trigger, mark))
     return out
 
 
-def matches(text: bytes, grammar: Grammar, fixed: dict[bytes, int], memo: dict[bytes, int]) -> list[int]:
-    """How often each of PATTERNS is accepted in the text's clauses."""
-    counts = [0] * len(PATTERNS)
-    target = negation = report = intent = -1
-    waiting: list[tuple[int, int]] = []  # insults of this clause before a target came, by place
-    for at, (word, ends) in enumerate(tokens(text)):
-        symbol = memo.get(word)
-        if symbol is None:
-            symbol = fixed.get(word, -1)
-            if symbol < 0:
-                symbol = grammar.symbol(word)
-            if len(memo) > 200_000:
-                memo.clear()
-            memo[word] = symbol
-        if symbol == _TARGET:
-            target = at
-            for kind, place in waiting:
-                if at - place <= SCOPE:
-                    counts[kind] -= 1
-                    counts[kind + 1] += 1
-            waiting = []
-        elif symbol == _NEGATION:
-            negation = at
-        elif symbol == _REPORT:
-            report = at
-        elif symbol == _INTENT:
-            intent = at
-        elif symbol in (_SEED, _LEARNT):
-            kind = 0 if symbol == _SEED else 3
-            if 0 <= negation and at - negation <= SCOPE or 0 <= report and at - report <= SCOPE:
-                counts[kind + 2] += 1
-            elif 0 <= target and at - target <= SCOPE:
-                counts[kind + 1] += 1
-            else:
-                counts[kind] += 1
-                waiting.append((kind, at))
-        elif symbol == _THREAT:
-            if 0 <= negation and at - negation <= SCOPE or 0 <= report and at - report <= SCOPE:
-                counts[8] += 1
-            elif 0 <= intent and at - intent <= SCOPE:
-                counts[6] += 1
-            else:
-                counts[7] += 1
-        if ends:
-            target = negation = report = intent = -1
-            waiting = []
-    return counts
-
-
-def features(counts: list[int]) -> np.ndarray:
-    """Saturating: a pattern counts fully once, and a little more where it recurs."""
-    x = np.array(counts, float)
-    return np.where(x > 0, 1 + 0.25 * np.log2(np.maximum(x, 1)), 0.0)
-
-
-def row_keys(text: bytes, fixed: dict[bytes, int]) -> set[bytes]:
-    """A row's words, marked by a final NUL, and their beginnings of 4 to 8 bytes."""
-    own: set[bytes] = set()
-    for word in {w for w, _ in tokens(text)}:
-        if word and word not in fixed:
-            own.add(word + b"\0")
-            own.update(word[:n] for n in range(4, min(9, len(word) + 1)))
-    return own
-
-
-def learn_stems(rows: list[tuple[bytes, int]]) -> tuple[dict[bytes, int], frozenset, tuple[int, ...]]:
-    """Words and word beginnings that stand almost only in toxic rows.
-
-    Taken by support, the shorter first; each must explain enough toxic rows that neither the seed
-    lexicon nor an earlier one explains, so that the common words of copied texts are not learnt."""
-    fixed = fixed_symbols()
-    toxic, clean = Counter(), Counter()
-    for text, label in rows:
-        if label:
-            toxic.update(row_keys(text, fixed))
-    keys = len(toxic)
-    toxic = {k: n for k, n in toxic.items() if n >= MIN_SUPPORT}
-    for text, label in rows:
-        if not label:
-            clean.update(k for k in row_keys(text, fixed) if k in toxic)
-    share = sum(y for _, y in rows) / max(1, len(rows))
+def labeller() -> Transducer:
+    """Reads symbol * MARKS + marks of both sides; gives 0, or 1 + a pattern. States: bit k is set once an
+    insult of the k-th family was met, so that the next one of the document comes again."""
+    families = (INSULT, LEARNT, ECHO)
+    follow, output = np.zeros((8, SYMBOLS * MARKS), np.int64), np.zeros((8, SYMBOLS * MARKS), np.int64)
+    number = {p: i + 1 for i, p in enumerate(PATTERNS)}
+    for state in range(8):
+        for symbol in range(SYMBOLS):
+            for marks in range(MARKS):
+                at, after = symbol * MARKS + marks, state
+                if symbol in _FAMILY:
+                    name = _FAMILY[symbol]
+                    if marks & (DENIED | REPORTED):
+                        output[state, at] = number["weakened"]
+                    elif symbol == THREAT:
+                        output[state, at] = number["threat_meant" if marks & MEANT else "threat_bare"]
+                    else:
+                        bit = 1 << families.index(symbol)
+                        output[state, at] = number[f"{name}_again" if state & bit else f"{name}_aimed" if marks & AIMED else f"{name}_bare"]
+                        after |= bit
+                follow[state, at] = after
+    return Transducer(follow, output)
+
+
+class Tokens:
+    """Words of a run of texts, A-Z in lower case: hashes, byte spans, the text and the clause of each."""
+
+    def __init__(self, hasher: Hasher, column: pa.Array):
+        offsets, data = utf8(column)
+        data = _FOLD[data]
+        breaks = _WORD_BREAK[data]
+        inner = np.zeros(len(data), bool)  # an apostrophe between letters belongs to its word
+        inner[1:-1] = (data[1:-1] == 0x27) & _LETTER[data[:-2]] & _LETTER[data[2:]]
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = ~breaks | inner
+        starts, ends = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        starts[edges] |= inside[1:-1][edges]
+        ends[edges - 1] |= inside[1:-1][edges - 1]
+        self.data, self.starts, self.ends = data, np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        self.hasher = hasher
+        self.hashes = hasher.spans(data, self.starts, self.ends)
+        self.text = np.searchsorted(offsets, self.starts, "right") - 1
+        stops = np.append(0, np.cumsum(_CLAUSE_END[data]))
+        new = np.ones(len(self.starts), bool)
+        new[1:] = (stops[self.starts[1:]] > stops[self.ends[:-1]]) | (self.text[1:] != self.text[:-1])
+        self.clause = np.cumsum(new) - 1
+
+    def stems(self, chars: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words of at least so many characters, hash of their first ones); characters are never cut."""
+        begins = np.flatnonzero((self.data & 0xC0) != 0x80)
+        nth = np.searchsorted(begins, self.starts) + chars
+        ends = np.append(begins, len(self.data))[np.minimum(nth, len(begins))]
+        some = np.flatnonzero((nth <= len(begins)) & (ends <= self.ends))
+        return some, self.hasher.spans(self.data, self.starts[some], ends[some])
+
+
+def _hash_words(hasher: Hasher, words: list[str]) -> np.ndarray:
+    joined = "".join(words).encode()
+    ends = np.cumsum([len(w.encode()) for w in words])
+    return hasher.spans(np.frombuffer(joined, np.uint8), np.append(0, ends[:-1]), ends)
+
+
+@dataclass
+class Grammar:
+    """Learnt stems by their length, as sorted hashes with their symbols, and weights. What workers get; bounded by
+    MAX_FIT_ROWS rows."""
+
+    stems: dict[int, tuple[np.ndarray, np.ndarray]]
+    weights: np.ndarray
+    base: float
+
+
+class Reader:
+    """Counts patterns; holds the fixed lexicon and the composed transducers."""
+
+    def __init__(self) -> None:
+        self.hasher, self.marker, self.labeller = Hasher(), marker(), labeller()
+        words = [(w, s) for ws, s in LEXICON for w in ws]
+        hashes = _hash_words(self.hasher, [w for w, _ in words])
+        order = np.argsort(hashes)
+        self.fixed = hashes[order], np.array([s for _, s in words])[order]
+
+    def symbols(self, tokens: Tokens, stems: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.full(len(tokens.hashes), PLAIN)
+        for chars, table in sorted(stems.items(), reverse=True):  # the shorter, the stronger
+            some, hashes = tokens.stems(chars)
+            found = _look_up(table, hashes)
+            out[some[found > 0]] = found[found > 0]
+        found = _look_up(self.fixed, tokens.hashes)
+        return np.where(found > 0, found, out)
+
+    def patterns(self, column: pa.Array, stems: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, clause, pattern) of each match."""
+        tokens = Tokens(self.hasher, column)
+        symbols = self.symbols(tokens, stems)
+        at = np.flatnonzero(np.isin(symbols, list(_FAMILY)))
+        # Marks reach SCOPE words: windows around the matches, blank outside the clause, hold all that counts.
+        place = at[:, None] + np.arange(-SCOPE, SCOPE + 1)
+        safe = np.clip(place, 0, len(symbols) - 1) if len(symbols) else place
+        near = np.where((place == safe) & (tokens.clause[safe] == tokens.clause[at][:, None]), symbols[safe], PLAIN)
+        marks = (self.marker.read(near[:, : SCOPE + 1])[:, -1] | self.marker.read(near[:, : SCOPE - 1 : -1])[:, -1]) % MARKS
+        read = symbols[at] * MARKS + marks
+        # The last transducer reads a text's matches in order, all texts in step.
+        text = tokens.text[at]
+        rank = np.arange(len(at)) - np.searchsorted(text, text)
+        state, out = np.zeros(len(column), np.int64), np.zeros(len(at), np.int64)
+        order = np.argsort(rank, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1):
+            out[some] = self.labeller.output[state[text[some]], read[some]]
+            state[text[some]] = self.labeller.follow[state[text[some]], read[some]]
+        return text, tokens.clause[at], out - 1
+
+    def counts(self, column: pa.Array, stems: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        text, _, pattern = self.patterns(column, stems)
+        return np.bincount(text * len(PATTERNS) + pattern, minlength=len(column) * len(PATTERNS)).reshape(-1, len(PATTERNS))
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Symbol of each hash, 0 where the table has it not."""
+    keys, symbols = table
+    if not len(keys):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, symbols[at], 0)
+
+
+def _held_stems(reader: Reader, column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, stem, how often) for each text and stem, and (stem, its length); fixed words hold none."""
+    texts, keys, seen = [], [], []
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+        tokens = Tokens(reader.hasher, part.column(0))
+        free = _look_up(reader.fixed, tokens.hashes) == 0
+        first = seen[-1] if seen else 0
+        for chars in STEM_CHARS:
+            some, hashes = tokens.stems(chars)
+            good = free[some] if only is None else free[some] & np.isin(hashes, only)
+            texts.append(tokens.text[some[good]] + first)
+            keys.append((hashes[good] & ~np.uint64(15)) | np.uint64(chars))
+        seen.append(first + part.num_rows)
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    text, key = np.concatenate(texts), np.concatenate(keys)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(text) else np.zeros(0, np.int64)
+    return text[new], key[new], np.diff(np.append(new, len(text)))
+
+
+def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Word beginnings that stand almost only in toxic texts (learnt), or almost only there twice or thrice (echo).
+
+    Taken by support, of equal ones the longest first; each must explain enough toxic texts that neither
+    the seed lexicon nor an earlier one explains, so that the common words of copied texts are not learnt."""
+    text, key, often = _held_stems(reader, toxic)
+    keys, of = np.unique(key, return_inverse=True)
+    once = np.bincount(of, minlength=len(keys))
+    frequent = keys[once >= MIN_SUPPORT]
+    _, clean_key, clean_often = _held_stems(reader, clean)
+    share = len(toxic) / max(1, len(toxic) + len(clean))
+    least = math.log(len(keys) + 1) + 2
     weight = lambda n, against: n * math.log(1 / max(share, 1e-6)) + against * math.log(1 - MIN_PRECISION)
-    least = math.log(keys + 1) + 2
-    good = {k for k, n in toxic.items() if n >= MIN_PRECISION * (n + clean[k]) and weight(n, clean[k]) > least}
-    holders: dict[bytes, list[int]] = {k: [] for k in good}
-    explained = set()
-    for i, (text, label) in enumerate(rows):
-        if label:
-            for k in row_keys(text, fixed) & good:
-                holders[k].append(i)
-            if any(fixed.get(w) == _SEED for w, _ in tokens(text)):
-                explained.add(i)
-    stems, words = {}, set()
-    for k in sorted(good, key=lambda k: (-toxic[k], len(k), k)):
-        fresh = [i for i in holders[k] if i not in explained]
-        if len(fresh) >= MIN_SUPPORT and weight(len(fresh), clean[k]) > least:
-            explained.update(holders[k])
-            if k.endswith(b"\0"):
-                words.add(k[:-1])
-            else:
-                stems[k] = toxic[k]
-    return stems, frozenset(words), tuple(sorted({len(s) for s in stems}))
-
-
-def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 2000, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression by full gradient steps, drawn to the standing weights of patterns that are rarely
-    seen; weights are kept non-negative: no pattern makes a text cleaner."""
-    prior = np.array(STANDING)
-    w, b = prior.copy(), STANDING_BIAS
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = p - y
-        w = np.maximum(0.0, w - 2.0 * (x.T @ g / len(y) + penalty * (w - prior)))
-        b -= 2.0 * g.mean()
-    return w, float(b)
-
-
-def fit(rows: list[tuple[bytes, int]]) -> Grammar:
+    offers = []
+    for symbol, times in ((LEARNT, 1), (ECHO, 2), (ECHO, 3)):
+        against = np.searchsorted(np.sort(clean_key[clean_often >= times]), np.stack([frequent, frequent + np.uint64(1)]))
+        against = dict(zip(frequent.tolist(), (against[1] - against[0]).tolist(), strict=True))
+        some = (often >= times) & np.isin(key, frequent)
+        order = np.argsort(key[some], kind="stable")
+        sorted_key, sorted_text = key[some][order], text[some][order]
+        cuts = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1])) if len(sorted_key) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), np.append(cuts, len(sorted_key))[1:].tolist(), strict=True):
+            k, n = int(sorted_key[a]), b - a
+            if n >= MIN_SUPPORT and n >= MIN_PRECISION * (n + against[k]) and weight(n, against[k]) > least:
+                offers.append((times, -n, -(k & 15), k, symbol, against[k], sorted_text[a:b]))
+    tokens_of = reader.counts(toxic, {})
+    explained = tokens_of[:, [PATTERNS.index("insult_aimed"), PATTERNS.index("insult_bare")]].sum(axis=1) > 0
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for *_, length, k, symbol, against, holders in sorted(offers, key=lambda o: o[:4]):
+        fresh = int((~explained[holders]).sum())
+        if fresh >= MIN_SUPPORT and weight(fresh, against) > least:
+            explained[holders] = True
+            taken.setdefault(-length, []).append((k, symbol))
+    out = {}
+    for chars, pairs in taken.items():
+        known = {k for k, _ in pairs}
+        hashes = _stem_hashes(reader, toxic, chars, known)
+        order = np.argsort([h for h, _ in hashes])
+        symbol_of = dict(pairs)
+        out[chars] = np.array([h for h, _ in hashes], np.uint64)[order], np.array([symbol_of[k] for _, k in hashes])[order]
+    return out
+
+
+def _stem_hashes(reader: Reader, column: pa.Array, chars: int, known: set[int]) -> list[tuple[int, int]]:
+    """(whole hash, key) of the stems with these keys; a key is the hash with its last bits replaced by the length."""
+    found = set()
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+        _, hashes = Tokens(reader.hasher, part.column(0)).stems(chars)
+        keys = (hashes & ~np.uint64(15)) | np.uint64(chars)
+        some = np.isin(keys, np.array(sorted(known), np.uint64))
+        found.update(zip(hashes[some].tolist(), keys[some].tolist(), strict=True))
+    return sorted(found)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 3000, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights that make the labels likely, by Adam on their logarithms, drawn to the standing ones. A lone bare
+    insult of the lexicon leaves a text at least LONE to be harmless."""
+    prior = np.log(np.append(np.array([STANDING[p] for p in PATTERNS]), STANDING_BASE))
+    z, wide = prior.copy(), np.column_stack([x, np.ones(len(x))])
+    m, v = np.zeros_like(z), np.zeros_like(z)
+    most = np.full(len(z), 4.0)
+    most[PATTERNS.index("insult_bare")] = -math.log(LONE) - 0.1
+    for step in range(1, rounds + 1):
+        a = np.exp(z)
+        s = np.minimum(wide @ a, 30.0)
+        # d/ds of -log(1 - exp(-s)) for toxic rows, 1 for the others
+        slope = np.where(y > 0, -1 / np.expm1(np.maximum(s, 1e-4)), 1.0)
+        g = (wide.T @ slope) * a + penalty * (z - prior)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        z = np.minimum(z - 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9), np.log(most))
+    return np.exp(z[:-1]), float(np.exp(z[-1]))
+
+
+def fit(rows: list[tuple[str, int]]) -> Grammar:
     """The grammar for labelled texts. With no toxic or no clean row, the seed lexicon with standing weights."""
-    labels = {y for _, y in rows}
-    if labels != {0, 1}:
-        return Grammar(weights=STANDING, bias=STANDING_BIAS)
-    # Stems of one half weigh in on the other: a stem seen by chance gets no credit from its own rows.
-    folds = [Grammar(*learn_stems(rows[i::2])) for i in (1, 0)]
-    fixed = fixed_symbols()
-    memos: list[dict] = [{}, {}]
-    x = np.array([features(matches(t, folds[i % 2], fixed, memos[i % 2])) for i, (t, _) in enumerate(rows)])
-    weights, bias = fit_weights(x, np.array([y for _, y in rows], float))
-    stems, words, lengths = learn_stems(rows)
-    return Grammar(stems, words, lengths, tuple(weights.tolist()), bias)
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, trains: F.Column, column: str, id_column: str) -> list[tuple[bytes, int]]:
-    """At most MAX_FIT_ROWS labelled training rows, the first by a hash of the id, without texts of over MAX_FIT_CHARS."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max("toxic").alias("_toxic"))
-    few = known.where(trains).orderBy(F.xxhash64(F.col(id_column)), F.col(id_column)).limit(MAX_FIT_ROWS)
-    sample = docs.select(id_column, F.coalesce(F.col(column), F.lit("")).alias("_text")).where(F.length("_text") <= MAX_FIT_CHARS).join(F.broadcast(few), id_column)
-    rows = sample.select(F.col(id_column).cast("string").alias("_id"), "_text", "_toxic").dropDuplicates(["_id"]).collect()
-    return [(r._text.encode(), int(r._toxic > 0)) for r in sorted(rows, key=lambda r: (r._id[::-1], r._text))]
-
-
-def _score(grammar, column: str):
+    standing = np.array([STANDING[p] for p in PATTERNS])
+    if {y for _, y in rows} != {0, 1}:
+        return Grammar({}, standing, STANDING_BASE)
+    reader = Reader()
+    split = lambda some: [pa.array([t for t, y in some if y == label], pa.large_string()) for label in (1, 0)]
+    # Stems of the other parts weigh in on each: a stem seen by chance gets no credit from its own rows.
+    parts = [rows[i::FOLDS] for i in range(FOLDS)]
+    x, y = [], []
+    for own in range(FOLDS):
+        stems = learn_stems(reader, *split([r for i, part in enumerate(parts) if i != own for r in part]))
+        texts = pa.RecordBatch.from_arrays([pa.array([t for t, _ in parts[own]], pa.large_string())], names=["text"])
+        x.extend(reader.counts(part.column(0), stems) for part in slices(iter([texts]), "text"))
+        y.extend(label for _, label in parts[own])
+    weights, base = fit_weights(np.concatenate(x).astype(float), np.array(y))
+    return Grammar(learn_stems(reader, *split(rows)), weights, base)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, trains: F.Column, column: str, id_column: str) -> list[tuple[str, int]]:
+    """At most MAX_FIT_ROWS labelled training rows, the first by a hash of the id, without texts of over MAX_FIT_CHARS;
+    of several texts of one id the first in order."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max("toxic").alias("toxic"), F.max(trains.cast("int")).alias("trains"))
+    few = known.where("trains = 1").orderBy(F.xxhash64("id"), "id").limit(MAX_FIT_ROWS)
+    sample = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text")).where(F.length("text") <= MAX_FIT_CHARS).join(F.broadcast(few), "id")
+    rows = sample.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    return [(r.text, int(r.toxic > 0)) for r in sorted(rows, key=lambda r: str(r.id)[::-1])]
+
+
+def _score(shared, column: str, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, fixed, memo = grammar.value, fixed_symbols(), {}
-        weights = np.array(model.weights)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
-            counts = [matches(t.as_py() or b"", model, fixed, memo) for t in texts]
-            z = np.array([features(c) @ weights for c in counts]) + model.bias if counts else np.zeros(0)
-            score = 1 / (1 + np.exp(-z))
-            hits = pa.array([[f"{p}:{n}" for p, n in zip(PATTERNS, c, strict=True) if n] for c in counts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), hits], names=[*batch.schema.names, "toxicity", "toxic_patterns"])
+        grammar, reader = shared.value, Reader()
+        for batch in slices(batches, column):
+            texts = batch.column(batch.schema.get_field_index(column))
+            text, clause, pattern = reader.patterns(texts, grammar.stems)
+            new = np.flatnonzero(np.append(True, clause[1:] != clause[:-1])) if len(clause) else np.zeros(0, np.int64)
+            clause_weight = np.add.reduceat(grammar.weights[pattern], new) if len(new) else np.zeros(0)
+            clause_score = -np.expm1(-clause_weight)
+            harmless = np.full(batch.num_rows, math.exp(-grammar.base))
+            np.multiply.at(harmless, text[new], 1 - clause_score)
+            hits = np.bincount(text * len(PATTERNS) + pattern, minlength=batch.num_rows * len(PATTERNS)).reshape(-1, len(PATTERNS))
+            listed = pa.array([[f"{PATTERNS[i]}:{row[i]}" for i in np.flatnonzero(row)] for row in hits], pa.list_(pa.string()))
+            worst = np.zeros(batch.num_rows)
+            np.maximum.at(worst, text[new], clause_score)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 - harmless), pa.array(worst), listed], names=[*batch.schema.names, *names])
 
     return run
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trains: F.Column | None = None, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The documents with toxicity (0 to 1) and toxic_patterns (pattern:count).
+    """The documents with toxicity (0 to 1), worst_clause (the largest clause score) and toxic_patterns (pattern:count).
 
     trains picks, by columns of ``labels``, the labelled rows that may be learnt from; None: all. Labels
     with a null id or a null toxic are left out; of several labels of one id the largest counts. Whole
-    texts are scored; null and empty ones match nothing and get the base rate. Labels, language, source
-    and id are no inputs of a score. An empty label table leaves the seed lexicon with standing weights;
-    an empty document table gives no rows. Repeated rows are scored alike. Other columns pass through;
-    toxicity and toxic_patterns are replaced.
-
-    Scale: one pass without a shuffle; the fit takes a bounded sample of labelled rows, the broadcast
-    grammar is bounded by that sample.
+    texts are scored, of any length; null and empty ones match nothing and get the base rate. A lone bare
+    insult of the seed lexicon never makes a text 0.7, whatever was learnt. Labels, language, source and id are no inputs of a
+    score. An empty label table leaves the seed lexicon with standing weights; an empty document table
+    gives no rows. Repeated rows are scored alike; of several texts of one labelled id the first in order
+    is learnt from. Other columns pass through; toxicity, worst_clause and toxic_patterns are replaced.
+
+    Scale: one pass without a shuffle, in slices of bounded size; the fit takes a bounded sample of
+    labelled rows, MAX_FIT_ROWS of MAX_FIT_CHARS characters at most, and the broadcast grammar is bounded
+    by that sample.
     """
-    docs = docs.drop("toxicity", "toxic_patterns")
+    names = ("toxicity", "worst_clause", "toxic_patterns")
+    docs = docs.drop(*names)
     rows = labelled_rows(docs, labels.select(id_column, "toxic"), F.lit(True) if trains is None else trains, column, id_column)
     grammar = docs.sparkSession.sparkContext.broadcast(fit(rows))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["toxicity double", "toxic_patterns array<string>"])
-    return docs.mapInArrow(_score(grammar, column), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["toxicity double, worst_clause double, toxic_patterns array<string>"])
+    return docs.mapInArrow(_score(grammar, column, names), schema)
 
 
 def remainder(id_column: str = "doc_id") -> F.Column:

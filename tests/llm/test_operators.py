@@ -271,11 +271,94 @@ def test_toxicity_learns(spark):
 
 
 def test_toxicity_grammar():
-    grammar, fixed = toxicity.Grammar(), toxicity.fixed_symbols()
-    named = lambda t: {p for p, n in zip(toxicity.PATTERNS, toxicity.matches(t.encode(), grammar, fixed, {}), strict=True) if n}
-    assert named("You are an idiot") == {"seed_target"} and named("Idiot! You there") == {"seed_plain"}
-    assert named("he is not stupid") == {"seed_weak"} and named('she said "moron"') == {"seed_weak"}
-    assert named("I will hurt you") == {"threat_intent"} and named("they beat eggs") == {"threat_plain"} and named("") == set()
+    reader = toxicity.Reader()
+    named = lambda t: [toxicity.PATTERNS[i] for i in reader.patterns(pa.array([t]), {})[2]]
+    for text, expected in (
+        ("You are an idiot", ["insult_aimed"]),
+        ("Idiot! You there", ["insult_bare"]),
+        ("a moron, that one", ["insult_aimed"]),
+        ("he is not stupid", ["weakened"]),
+        ('she said "moron"', ["weakened"]),
+        ('"moron", she said', ["weakened"]),
+        ("An idiot is what nobody would call you, ever", ["weakened"]),
+        ("not one two three four five six idiot", ["insult_bare"]),
+        ("I will hurt you", ["threat_meant"]),
+        ("they beat eggs", ["threat_bare"]),
+        ("You idiot. You moron", ["insult_aimed", "insult_again"]),
+        ("isn't stupid", ["weakened"]),
+        ("", []),
+    ):
+        assert named(text) == expected, text
+    text, clause, _ = reader.patterns(pa.array(["scum", None, "you scum and scum. Scum"]), {})
+    assert text.tolist() == [0, 2, 2, 2] and [(clause == c).sum() for c in np.unique(clause)] == [1, 2, 1]
+
+
+def test_transducers_compose():
+    rng = np.random.default_rng(2)
+    machine = lambda states, given, out: toxicity.Transducer(rng.integers(0, states, (states, given)), rng.integers(0, out, (states, given)))
+    first, second = machine(4, 5, 6), machine(3, 6, 7)
+    rows = rng.integers(0, 5, (50, 20))
+    assert (toxicity.compose(first, second).read(rows) == second.read(first.read(rows))).all()
+
+
+def test_marks_against_brute_force():
+    rng, reader = random.Random(3), toxicity.Reader()
+    pool = ["idiot", "you", "not", "said", "will", "hurt", "plain", "word"]
+    for _ in range(60):
+        text = [rng.choice(pool) for _ in range(rng.randint(1, 25))]
+        clauses, want, met = [[]], [], False
+        for w in text:
+            clauses[-1].append(w)
+            if rng.random() < 0.1:
+                clauses.append([])
+        for c in clauses:
+            for i, w in enumerate(c):
+                near = c[max(0, i - toxicity.SCOPE) : i] + c[i + 1 : i + 1 + toxicity.SCOPE]
+                if w in ("idiot", "hurt"):
+                    if "not" in near or "said" in near:
+                        want.append("weakened")
+                    elif w == "hurt":
+                        want.append("threat_meant" if "will" in near else "threat_bare")
+                    else:
+                        want.append("insult_again" if met else "insult_aimed" if "you" in near else "insult_bare")
+                        met = True
+        got = reader.patterns(pa.array([". ".join(" ".join(c) for c in clauses)]), {})[2]
+        assert [toxicity.PATTERNS[i] for i in got] == want
+
+
+def test_lone_insults_are_not_toxic(spark):
+    texts = ["Please take out the trash.", "Stupid weather today.", "He said it was garbage.", "You idiot.", "trash " * 3, "nothing", None]
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()}
+    assert [got[i] >= 0.7 for i in range(7)] == [False, False, False, True, True, False, False]
+    rows = [(t, 1) for t in ("one moron here", "a moron", "some moron there") * 60] + [("clean text here", 0)] * 400
+    grammar = toxicity.fit(rows)
+    weight = grammar.weights[toxicity.PATTERNS.index("insult_bare")]
+    assert 1 - math.exp(-weight - grammar.base) < 0.7
+
+
+def test_stems_of_whole_characters():
+    tokens = toxicity.Tokens(Hasher(), pa.array(["\u044f\u0431\u043b\u043e\u043a\u043e \u044f\u0431\u043b\u043e\u043a\u0438 abc"]))
+    some, hashes = tokens.stems(5)
+    assert some.tolist() == [0, 1] and hashes[0] == hashes[1] and len(set(tokens.stems(6)[1].tolist())) == 2 and len(tokens.stems(3)[0]) == 3
+
+
+def test_toxicity_of_labelled_documents(spark):
+    """Held-out precision and recall, over all and by language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.digest(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    toxic = [r for r in held if r.toxic]
+    assert np.mean([r.predicted for r in toxic]) > 0.8 and np.mean([r.predicted for r in held if not r.toxic]) < 0.01
+    for lang in ("en", "de", "fr", "es"):
+        assert np.mean([r.predicted for r in toxic if r.lang == lang]) > 0.4
+
+
+def test_repeated_ids_are_learnt_from_alike(spark):
+    rows = [(i % 50, f"word{j} text {'zorgulen zorgulen' if i % 5 == 0 else 'calm'} {i}", i % 5) for i in range(300) for j in (1,)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(50)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    known = lambda d: sorted(toxicity.labelled_rows(d, labels, F.lit(True), "text", "doc_id"))
+    assert known(docs) == known(docs.orderBy(F.desc("text")).repartition(3)) and len(known(docs)) == 50
 
 
 def test_toxicity_without_labels(docs, spark):
