@@ -233,25 +233,27 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.nda
 
 
 def _held_stems(reader: Reader, column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(text, stem, how often) for each text and stem, and (stem, its length); fixed words hold none."""
-    texts, keys, seen = [], [], []
+    """(text, stem, how often) for each text and each of its stems, or of those in ``only``; fixed words hold none."""
+    out, first = [], 0
     for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
         tokens = Tokens(reader.hasher, part.column(0))
         free = _look_up(reader.fixed, tokens.hashes) == 0
-        first = seen[-1] if seen else 0
+        texts, keys = [], []
         for chars in STEM_CHARS:
             some, hashes = tokens.stems(chars)
-            good = free[some] if only is None else free[some] & np.isin(hashes, only)
+            key = (hashes & ~np.uint64(15)) | np.uint64(chars)
+            good = free[some] if only is None else free[some] & np.isin(key, only)
             texts.append(tokens.text[some[good]] + first)
-            keys.append((hashes[good] & ~np.uint64(15)) | np.uint64(chars))
-        seen.append(first + part.num_rows)
-    if not texts:
+            keys.append(key[good])
+        text, key = np.concatenate(texts), np.concatenate(keys)
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        new = np.flatnonzero(np.append(len(text) > 0, (text[1:] != text[:-1]) | (key[1:] != key[:-1])))
+        out.append((text[new], key[new], np.diff(np.append(new, len(text)))))
+        first += part.num_rows
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text, key = np.concatenate(texts), np.concatenate(keys)
-    order = np.lexsort((key, text))
-    text, key = text[order], key[order]
-    new = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))) if len(text) else np.zeros(0, np.int64)
-    return text[new], key[new], np.diff(np.append(new, len(text)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -263,7 +265,7 @@ def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, t
     keys, of = np.unique(key, return_inverse=True)
     once = np.bincount(of, minlength=len(keys))
     frequent = keys[once >= MIN_SUPPORT]
-    _, clean_key, clean_often = _held_stems(reader, clean)
+    _, clean_key, clean_often = _held_stems(reader, clean, frequent)
     share = len(toxic) / max(1, len(toxic) + len(clean))
     least = math.log(len(keys) + 1) + 2
     weight = lambda n, against: n * math.log(1 / max(share, 1e-6)) + against * math.log(1 - MIN_PRECISION)
