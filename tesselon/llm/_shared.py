@@ -59,5 +59,13 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def private_names(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of one's own that none of ``columns`` has, however written."""
+    taken, prefix = {c.lower() for c in columns}, "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -7,19 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselon.llm._groups import pack, unpack
 from tesselon.llm._shared import store
-from tesselon.llm._text import Hasher, mix, slices, utf8
+from tesselon.llm._text import Hasher, mix, slices
 
 #: Level of a count c: 1 + floor(log(c) to this base); an n-gram of level L is entered L times.
 QUANTUM = 1.5
 LEVELS = 64
 PROBES, BITS_PER_ENTRY = 4, 12
-#: Bytes of text in a group, about, and characters of the corpus for each bucket of hashes, about.
-GROUP_BYTES, BUCKET_CHARS = 4 << 20, 12_000_000
+#: Bytes of text in a group, about, and of the corpus for each bucket of hashes, about.
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 12_000_000
 #: Pseudo-counts of the shorter n-gram's estimate in that of the longer.
 PRIOR = 5.0
 _U = np.uint64
@@ -134,35 +134,9 @@ class LogFilter:
         return out
 
 
-_GROUPED = "grp long, packed binary, n_train long"
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in groups of some GROUP_BYTES of text, one row for each group."""
-    task, serial, kept, amount = TaskContext.get().partitionId(), 0, [], 0
-
-    def flush() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            for part in kept:
-                writer.write_batch(part)
-        n_train = sum(b.num_rows - (b.column(1).true_count or 0) for b in kept)
-        return pa.RecordBatch.from_pydict({"grp": pa.array([task << 32 | serial], pa.int64()), "packed": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "n_train": pa.array([n_train], pa.int64())})
-
-    for batch in slices(batches, "text"):
-        kept.append(batch)
-        amount += len(utf8(batch.column(2))[1])
-        if amount >= GROUP_BYTES:
-            yield flush()
-            kept, amount, serial = [], 0, serial + 1
-    if kept:
-        yield flush()
-
-
 def unpacked(blob: pa.BinaryScalar) -> tuple[pa.Array, np.ndarray, pa.Array]:
     """(ids, whether held out, texts) of a group."""
-    table = pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
-    ids, held, texts = (c.chunk(0) for c in table.columns)
+    ids, held, texts = unpack(blob).columns
     return ids, np.array(held.to_pylist(), bool), texts
 
 
@@ -313,16 +287,16 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     names, are left out.
 
     Scale: rows are dealt into groups of some GROUP_BYTES of text. A group sends each of its n-grams once
-    to the n-gram's bucket of hashes, of which there is one for every BUCKET_CHARS of the corpus. There the
+    to the n-gram's bucket of hashes, of which there is one for every BUCKET_BYTES of the corpus. There the
     counts are added up, the bucket's filter is built and probed for what each group sent, and the levels
     go back to the group in the order of its n-grams, without their keys. So the filter grows with the
     corpus, is nowhere held whole, and nothing is broadcast or brought to the driver but three sums. The
     most frequent word comes once from each group, so no bucket is hot.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(column), F.lit("")).alias("text"))
-    groups = store(texts.mapInArrow(_grouped, _GROUPED))  # which rows meet in a group must not change from here on
-    chars, n_texts = docs.select(F.coalesce(F.sum(F.length(column)), F.lit(0))).first()[0], groups.select(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
-    log_buckets = min(24, max(6, int(chars // BUCKET_CHARS).bit_length()))
+    groups = pack(texts, GROUP_BYTES)
+    amount, n_texts = groups.select(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], texts.where(~F.col("held")).count()
+    log_buckets = min(24, max(6, int(amount // BUCKET_BYTES).bit_length()))
     sent = groups.select("grp", "packed").mapInArrow(_partial_counts(log_buckets), "kind int, bucket int, grp long, keys binary, counts binary")
     dealt = sent.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     told = store(dealt.mapInArrow(_answers, "kind int, bucket int, grp long, levels binary, exact binary, total long, distinct long"))
@@ -330,7 +304,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, column: str = "text", id_co
     asked = groups.select("grp", F.lit(-1).alias("kind"), "packed")
     # A group's own row comes last: kinds are sorted downwards.
     both = asked.unionByName(told.drop("total", "distinct"), allowMissingColumns=True).repartition("grp").sortWithinPartitions("grp", F.desc("kind"), "bucket")
-    out = both.select("grp", "kind", "levels", "exact", "packed").mapInArrow(_score(total, distinct, int(n_texts)), _SCORED)
+    out = both.select("grp", "kind", "levels", "exact", "packed").mapInArrow(_score(total, distinct, n_texts), _SCORED)
     return out.select(F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

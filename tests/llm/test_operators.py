@@ -116,16 +116,36 @@ def test_line_dedup(docs, rows, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in line_dedup.digest(docs).collect()} == expected
 
 
-def test_line_dedup_full_filter(docs, monkeypatch):
+@pytest.mark.parametrize(("group", "segment", "bits"), [(3000, 1000, 16), (1 << 23, 1 << 26, 1)])
+def test_line_dedup_of_any_size(docs, monkeypatch, group, segment, bits):
+    """Many groups and segments, and filters so full that clean lines are suspected, give the same result."""
     before = sorted(map(tuple, line_dedup.digest(docs).collect()))
-    monkeypatch.setattr(line_dedup, "MOST_BITS", 1 << 8)
+    for name, value in (("GROUP_BYTES", group), ("SEGMENT_BYTES", segment), ("BITS_PER_LINE", bits)):
+        monkeypatch.setattr(line_dedup, name, value)
     assert sorted(map(tuple, line_dedup.digest(docs).collect())) == before
 
 
+def test_line_filter_misses_no_repeat_and_few_others(spark):
+    rows = [(i, f"{'shared' if i % 3 == 0 else i} " + "x" * 40) for i in range(3000)]
+    found = line_dedup.suspected_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 40).collect()
+    shared = [r for r in found if r.key.startswith(b"shared")]
+    assert len(shared) == 1000 and len(found) < 1020
+
+
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_lines_of_repeated_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)
+    line = "a line that is long enough to be counted as one"
+    rows = [(1, line), (1, line), (1, line), (1, line), (2, line)]
+    count = lambda r: [x.n_dropped for x in line_dedup.dedup_lines(spark.createDataFrame(r, "doc_id long, text string"), min_docs=3).collect()]
+    assert count(rows) == [0] * 5
+    assert count([*rows, (None, line)]) == [1, 1, 1, 1, 0, 1]
+
+
 @pytest.mark.parametrize(("group", "bucket"), [(1 << 12, 1000), (6 << 20, 12_000_000)])
 def test_language_model(docs, rows, monkeypatch, group, bucket):
     """Both scores against counted n-grams, for many small groups and buckets and for one of each."""
-    for name, value in (("GROUP_BYTES", group), ("BUCKET_CHARS", bucket), ("BITS_PER_ENTRY", 96)):
+    for name, value in (("GROUP_BYTES", group), ("BUCKET_BYTES", bucket), ("BITS_PER_ENTRY", 96)):
         monkeypatch.setattr(language_model, name, value)
     stream = {r[0]: [*words(lower(r[1] or "")), None] for r in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in stream}
