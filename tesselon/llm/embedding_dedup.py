@@ -121,8 +121,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     linked; n_links counts the other rows linked directly, component_id is the smallest id reachable.
     Vectors that are null, empty, zero or hold null or non-finite components, and those of a null label,
     are linked with nothing and are their own component. Vectors of different lengths are not compared.
-    Rows that share an id and a vector are counted each; where one id has several vectors, their links
-    are summed. A null id is linked with nothing, its component is null and it is kept. An empty table
+    Each row is a vector of its own: rows that share an id are linked by what their own vectors link to,
+    and rows that share a vector are linked with one another. A null id is linked with nothing, its component is null and it is kept. An empty table
     gives no rows. Other columns are not read.
 
     Equal vectors of a label are one representative with a count, so copies are never expanded.
@@ -138,8 +138,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     # Minus zero equals zero, but not in a grouping of arrays.
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("vector", F.transform("vector", lambda v: (v + F.lit(0.0)).cast(element)))
     rows = rows.select("id", "label", F.when(F.col("sound"), F.xxhash64("vector")).alias("mark"), F.when(F.col("sound"), F.col("vector")).alias("vector"))
-    classes = rows.where("vector IS NOT NULL").groupBy("label", "mark", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = store(classes)
+    classes = rows.where("vector IS NOT NULL").groupBy("label", "mark", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = store(classes.withColumn("rep", F.monotonically_increasing_id()))  # fixed by being stored
     hashed = classes.select("rep", "copies", "label", "vector").mapInArrow(_signs(seed, kind, *table_shape(classes.count(), threshold)), "rep long, copies long, raw binary, signs binary, keys array<long>")
     hashed = store(hashed)
     met = hashed.select("rep", F.posexplode("keys").alias("place", "bucket"))
@@ -150,10 +150,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     dealt = sides.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = store(dealt.mapInArrow(_compare(threshold, kind), "rep long, n long, other long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    label = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    about = classes.join(counts, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    about = about.where("copies > 1 OR n > 0 OR component IS NOT NULL")
-    about = about.select("label", "mark", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    group = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    named = group.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    group = group.join(named, "component").select(F.col("node").alias("rep"), "smallest")
+    about = classes.join(counts, "rep", "left").join(group, "rep", "left")
+    about = about.where("copies > 1 OR n > 0 OR smallest IS NOT NULL")
+    about = about.select("label", "mark", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component"))
     out = rows.join(about, ["label", "mark", "vector"], "left")
     out = out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_column) == F.col("component_id"), F.lit(True)))
