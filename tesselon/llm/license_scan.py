@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3
 #: Diagonals at most so far apart belong to one alignment: words were put in or left out between them.
 NEIGHBOUR = 2
+#: Distinct grams of the templates up to which grams are sieved by a list of them before they are exploded.
+MOST_SIEVED = 20_000
 #: Share of a template's grams that an alignment must hold.
 LEAST_COVERAGE = 0.6
 
@@ -18,7 +22,7 @@ BASE_PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Opening sentences of common notices, at most 63 grams each.
+#: Opening sentences of common notices.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
@@ -42,53 +46,81 @@ def template_grams(phrases=BASE_PHRASES, notices=NOTICES) -> list[tuple[int, str
     for i, (label, text) in enumerate((*phrases, *notices)):
         words = text.split()
         n = len(words) - GRAM + 1
-        if not 1 <= n <= 63:
-            raise ValueError(f"a template needs {GRAM} to {GRAM + 62} words: {text}")
+        if n < 1:
+            raise ValueError(f"a template needs {GRAM} words: {text}")
         rows += [(i, label, i < len(phrases), n, k, tuple(words[k : k + GRAM])) for k in range(n)]
     return rows
 
 
-def _templates(spark: SparkSession, phrases, notices) -> DataFrame:
-    rows = [(i, label, base, n, k, *gram) for i, label, base, n, k, gram in template_grams(phrases, notices)]
-    words = [f"w{j}" for j in range(GRAM)]
-    table = spark.createDataFrame(rows, "template int, label string, base boolean, grams int, place int, " + ", ".join(f"{w} string" for w in words))
-    return table.select("template", "label", "base", "grams", "place", F.xxhash64(*words).alias("gram"))
+def rolling(words: list[F.Column]) -> F.Column:
+    """Hash of a gram, from the hash of all its words but the last and that one."""
+    out = F.xxhash64(words[0])
+    for w in words[1:]:
+        out = F.xxhash64(out, w)
+    return out
+
+
+def _templates(spark: SparkSession, grams: list[tuple]) -> DataFrame:
+    """The grams' rows with their hashes, made from literals; words hold no character that SQL would have to escape."""
+    rows = ", ".join(f"({i}, '{label}', {str(base).lower()}, {n}, {k}, '{' '.join(gram)}')" for i, label, base, n, k, gram in grams)
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, label, base, grams, place, words)")
+    words = F.split("words", " ")
+    return table.select("template", "label", "base", "grams", "place", rolling([words[j] for j in range(GRAM)]).alias("gram"))
+
+
+def lower_ascii(text: F.Column) -> F.Column:
+    """A-Z in lower case and nothing else changed; a text of ASCII only takes the faster way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, ascii_uppercase, ascii_lowercase))
+
+
+def gram_hashes(words: F.Column) -> F.Column:
+    """Rolling hashes of the words' grams. Each step reads two arrays side by side: no element is sought by its place."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for j in range(1, GRAM):
+        hashes = F.zip_with(hashes, F.slice(words, j + 1, F.greatest(F.size(words), F.lit(1))), lambda h, w: F.xxhash64(h, w))
+    return F.slice(hashes, 1, F.greatest(F.size(words) - F.lit(GRAM - 1), F.lit(0)))
 
 
 def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row.
 
-    Words are runs of ASCII letters and digits and of non-ASCII characters, in lower case. Every rolling
-    gram of three words is joined with the templates' grams; a match votes for the diagonal (place in the
-    text less place in the template). A phrase stands where one diagonal has all its grams: n_base counts
-    these places, first_word and last_word are their smallest and largest starts. For the notices, votes
-    of diagonals at most two apart are merged, and the span is kept if it holds at least 60 % of the
-    notice's grams. labels has the labels of both kinds, distinct, sorted, comma-joined; spans has
-    (label, first, last) word places; score is the largest share of a template's grams that was found, 1
-    where a phrase stands. Null, empty and shorter texts have no places: counts 0, first and last null,
-    labels empty, score 0. Each row gives a row, repeated ids too. An empty table gives no rows.
-
-    Scale: the template table is a constant of this module or a caller's list (a few hundred rows), and
-    the only thing broadcast. Misses fall away in map-side aggregation; what is shuffled is one row for
-    each document and each voted diagonal.
+    Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. Every
+    rolling gram of three words is joined with the templates' grams; a match votes for the diagonal (place
+    in the text less place in the template). A phrase stands where one diagonal has all its grams: n_base
+    counts these places, first_word and last_word are their smallest and largest starts. For the notices,
+    of any length, votes of diagonals at most two apart are merged, and the span is kept if it holds at
+    least 60 % of the notice's grams. labels has the labels of both kinds, distinct, sorted, comma-joined;
+    spans has (label, first, last) word places; score is the largest share of a template's grams that was
+    found, 1 where a phrase stands. Null, empty and shorter texts have no places: counts 0, first and last
+    null, labels empty, score 0. A text of any length is scanned whole, in time that grows with it. Each
+    row gives a row, repeated ids too. An empty table gives no rows. Other columns are not read.
+
+    Scale: the template table is a constant of this module or a caller's list, made from literals, and
+    the only thing broadcast. Grams that no template has are sieved out before the rest is exploded and
+    joined; what is shuffled is one row for each document and each voted diagonal.
     """
     spark = docs.sparkSession
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(WORD), F.lit(0))
+    grams = template_grams(phrases, notices)
+    words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(column), F.lit(""))), F.lit(WORD), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), words.alias("_words"))
-    last = F.size("_words") - F.lit(GRAM - 1)
-    gram = lambda i: F.xxhash64(*[F.get("_words", i + F.lit(j)) for j in range(GRAM)])
-    grams = F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), gram))
-    rows = rows.select("_row", "_id", F.size("_words").cast("long").alias("n_words"), F.posexplode_outer(grams).alias("_at", "gram"))
-    # Left, so that documents without a match stay; their rows meet in one group before the shuffle.
-    votes = rows.join(F.broadcast(_templates(spark, phrases, notices)), "gram", "left")
+    rows = rows.select("_row", "_id", F.size("_words").cast("long").alias("n_words"), gram_hashes(F.col("_words")).alias("_grams"))
+    distinct = sorted({g for *_, g in grams})
+    placed = F.transform("_grams", lambda g, i: F.struct(i.alias("at"), g.alias("gram")))
+    if len(distinct) <= MOST_SIEVED:
+        placed = F.filter(placed, lambda p: p["gram"].isin([rolling([F.lit(w) for w in g]) for g in distinct]))
+    rows = rows.select("_row", "_id", "n_words", F.explode_outer(placed).alias("_p")).select("_row", "_id", "n_words", F.col("_p.at").alias("_at"), F.col("_p.gram").alias("gram"))
+    # Left, so that documents without a match stay.
+    votes = rows.join(F.broadcast(_templates(spark, grams)), "gram", "left")
     diagonals = votes.groupBy("_row", "_id", "n_words", "template", "label", "base", "grams", (F.col("_at") - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.min("_at").alias("first"), F.max("_at").alias("last")
+        F.collect_set("place").alias("places"), F.min("_at").alias("first"), F.max("_at").alias("last")
     )
     in_doc = Window.partitionBy("_row", "template").orderBy("diagonal")
     gap = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(in_doc) > NEIGHBOUR).cast("int"), F.lit(0))
     merged = diagonals.withColumn("_gap", F.when(F.col("base"), 1).otherwise(gap)).withColumn("_group", F.sum("_gap").over(in_doc))
-    spans = merged.groupBy("_row", "_id", "n_words", "template", "label", "base", "grams", "_group").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"))
-    share = F.bit_count("mask") / F.col("grams")
+    spans = merged.groupBy("_row", "_id", "n_words", "template", "label", "base", "grams", "_group").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last")
+    )
+    share = F.col("held") / F.col("grams")
     stands = F.coalesce(F.col("base") & (share == 1), F.lit(False))
     good = stands | F.coalesce(~F.col("base") & (share >= LEAST_COVERAGE), F.lit(False))
     joined = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")

@@ -274,6 +274,19 @@ def test_license_scan(docs, rows, spark):
     assert got[9002].labels == "" and got[9004].n_base == 50
 
 
+def test_long_license_texts_and_letters_beyond_ascii(spark):
+    rng = random.Random(9)
+    whole = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2500))
+    edited = " ".join(w if k % 23 else "changed" for k, w in enumerate(whole.split()))
+    docs = spark.createDataFrame([(1, "so " + edited + " end"), (2, whole[: len(whole) // 3]), (3, "under the mit licen\u017fe wor\u212a"), (3, "UNDER the MIT license")], "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs, notices=[("own", whole)]).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id < 3}
+    assert got[1].labels == "own" and 0.8 < got[1].score < 1 and got[1].spans[0].first == 2 and got[2].labels == "" and 0.3 < got[2].score < 0.4
+    assert sorted(r.labels for r in rows if r.doc_id == 3) == ["", "mit"]
+    notice = [("work", "the \u212a word stands here")]
+    assert [r.labels for r in license_scan.scan_licenses(spark.createDataFrame([(1, "the k word stands here")], "doc_id long, text string"), notices=notice).collect()] == [""]
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(2)
     plain = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(k))
