@@ -426,17 +426,34 @@ def test_smith_waterman():
     assert decontaminate.smith_waterman(a, b) == (7, 1, 5)
     assert decontaminate.smith_waterman(a, np.array([7, 8]))[0] == 0
 
-    def plain(a, b):
+    def plain(a, b, low=-99, high=99):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
         for i in range(len(a)):
             for j in range(len(b)):
-                h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+                if low <= j - i <= high:
+                    h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         return h.max()
 
     rng = np.random.default_rng(1)
     for _ in range(100):
         x, y = rng.integers(0, 5, rng.integers(1, 15)), rng.integers(0, 5, rng.integers(1, 25))
         assert decontaminate.smith_waterman(x, y)[0] == plain(x, y)
+        low = int(rng.integers(-8, 8))
+        high = low + int(rng.integers(0, 12))
+        assert decontaminate.smith_waterman(x, y, low, high)[0] == plain(x, y, low, high)
+        score, first, last = decontaminate.smith_waterman(x, y)
+        assert not score or plain(x, y[first : last + 1]) == score
+
+
+def test_long_items_are_aligned_in_a_band(spark):
+    rng = random.Random(3)
+    prose = lambda k: ["".join(rng.choice("qrstuvw") for _ in range(rng.randint(3, 7))) for _ in range(k)]
+    item, other = prose(6000), prose(3000)
+    copy = [x for x in item if rng.random() > 0.01]
+    docs = spark.createDataFrame([(1, " ".join(prose(50) + copy + prose(20))), (2, " ".join(prose(9000))), (3, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    found = decontaminate.contaminated(docs, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 1)] and found[0].score > 0.9 and 49 <= found[0].first_word <= 52
 
 
 def test_near_vectors(spark, monkeypatch):
