@@ -213,9 +213,21 @@ def bbox_to_range(bbox: tuple[float, float, float, float], level: int, border: i
 
 def in_bbox(bbox, levels: range, border: int = 0, z="z", x="x", y="y") -> Column:
     """Predicate: the tile lies in the box (and a ring of ``border`` tiles). One range for each level,
-    so that it reaches the scan as plain comparisons."""
+    so that it reaches a scan as plain comparisons; where x and y are computed from other columns, ``near_bbox``
+    names them less often."""
     test = F.lit(False)
     for level in levels:
         x0, y0, x1, y1 = bbox_to_range(bbox, level, border)
         test = test | ((_c(z) == level) & _c(x).between(x0, x1) & _c(y).between(y0, y1))
     return test
+
+
+def near_bbox(bbox, border: int = 0, z="z", x="x", y="y") -> Column:
+    """As ``in_bbox`` for any level, with bounds that are computed from the level."""
+    west, south, east, north = bbox
+    bbox_to_range(bbox, 0)  # checks the box
+    side = F.pow(F.lit(2.0), _c(z))
+    share = lambda lat: 0.5 - 0.5 * math.log(math.tan(min(89.999999, max(-89.999999, lat)) * math.pi / 360 + math.pi / 4)) / math.pi
+    cell = lambda part: F.greatest(F.lit(0.0), F.least(side - 1, F.floor(side * F.lit(part))))
+    across = _c(x).between(cell((west + NUDGE) / 360 + 0.5) - border, cell((east - NUDGE) / 360 + 0.5) + border)
+    return across & _c(y).between(cell(share(north - NUDGE)) - border, cell(share(south + NUDGE)) + border)

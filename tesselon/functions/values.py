@@ -7,11 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Kinds of values in the order in which mixed ones are sorted.
 TYPE_ORDER = ("String", "Float", "Double", "Int", "UInt", "Bool", "Null")
 #: Texts that are read as numbers. Leading zeros keep a text a string.
-DOUBLE = r"^-?(0|[1-9][0-9]*)(\.[0-9]+([eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)$"
-NEGATIVE = r"^-[1-9][0-9]*$"
-UNSIGNED = r"^(0|[1-9][0-9]*)$"
+DOUBLE = r"^-?(?:0|[1-9]\d*)(?:(?:\.\d+)(?:[eE][+-]?\d+)?|[eE][+-]?\d+)$"
+NEGATIVE = r"^-(?:0|[1-9]\d*)$"
+UNSIGNED = r"^(?:0|[1-9]\d*)$"
 
 
 def value_type(text) -> Column:
@@ -105,7 +106,7 @@ def format_template(template: str, fields: dict[str, Column]) -> Column:
         if m[2]:
             value = F.floor(value / int(m[2]))
         text = value.cast("string")
-        parts.append(F.lpad(text, int(m[3]), "0") if m[3] else text)
+        parts.append(F.when(F.length(text) < int(m[3]), F.lpad(text, int(m[3]), "0")).otherwise(text) if m[3] else text)
         at = m.end()
     rest = template[at:]
     if "{" in rest or "}" in rest:

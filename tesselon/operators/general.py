@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselon.functions.coords import MAX_LEVEL, in_bbox, remap
+from tesselon.functions.coords import MAX_LEVEL, in_bbox, near_bbox, remap
 
 KEY = ["z", "x", "y"]
 
@@ -28,10 +28,19 @@ def filter_tiles(
         raise ValueError("bbox_border needs a bbox")
     out = tiles.where(F.col("z").between(low, high)) if level_min is not None or level_max is not None else tiles
     if bbox is not None:
-        out = out.where(in_bbox(bbox, range(low, high + 1), bbox_border or 0))
+        stored = _is_stored(tiles)
+        out = out.where(in_bbox(bbox, range(low, high + 1), bbox_border or 0) if stored else near_bbox(bbox, bbox_border or 0))
     return out if mask is None else out.join(mask.select(KEY), KEY, "left_semi")
 
 
+def _is_stored(tiles: DataFrame) -> bool:
+    """Whether the keys are columns of files, which comparisons with literals can be pushed into."""
+    plan = tiles._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter") and not any(a in plan.toString().split("\n")[0] for a in (" AS z#", " AS x#", " AS y#")):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation")
+
+
 def remap_coords(tiles: DataFrame, flip_x: bool = False, flip_y: bool = False, swap_xy: bool = False) -> DataFrame:
     a, b = remap("z", "x", "y", flip_x, flip_y, swap_xy)
     return tiles.withColumns({"x": a, "y": b})

@@ -234,3 +234,15 @@ def stack_overscaled(sources: list[DataFrame], level_max: int | None = None) ->
 
     lent = [climb(keys, s.select(*KEY, "data"), 30).mapInPandas(run, "z long, x long, y long, data binary, native boolean") for s in sources]
     return stack_images(lent, native="native")
+
+
+def corner_colors(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, first, last): the first and last pixel of each image as hexadecimal digits, opacity included."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            images = [P.decode_png(bytes(data)) for data in batch["data"]]
+            text = lambda v: "".join(f"{int(c):02x}" for c in (list(v) + [255] * (4 - len(v)) if len(v) >= 3 else [v[0]] * 3 + [v[1] if len(v) > 1 else 255]))
+            yield batch[["z", "x", "y"]].assign(first=[text(i[0, 0]) for i in images], last=[text(i[-1, -1]) for i in images])
+
+    return tiles.select("z", "x", "y", "data").mapInPandas(run, "z long, x long, y long, first string, last string")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 KEY = ["z", "x", "y"]
 M64 = (1 << 64) - 1
+#: Tiles along a side of a sample's windows.
+WINDOW = 64
 
 
 def count_tiles(tiles: DataFrame) -> DataFrame:
@@ -65,24 +67,36 @@ def splitmix64(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def sample_windows(level: int, fraction: float, deepest: int, window: int = 64) -> list[tuple[int, int, int, int]]:
-    """Hash-placed windows of a level, or the whole level if they would cover it."""
-    side = 1 << level
-    k = math.ceil(math.ceil(fraction * deepest) / (window * window))
-    if k * window * window >= side * side or side <= window:
-        return [(0, 0, side - 1, side - 1)]
-    out = []
-    for i in range(k):
-        h = splitmix64(((level << 32) + i + 0x9E3779B97F4A7C15) & M64)
-        x, y = (h & 0xFFFFFFFF) % (side - window + 1), (h >> 32) % (side - window + 1)
-        out.append((x, y, x + window - 1, y + window - 1))
-    return out
-
-
-def sample_tiles(tiles: DataFrame, fraction: float, deepest: int, levels: range) -> DataFrame:
+def windows_for_sample(fraction: float, deepest: int, window: int = WINDOW) -> int:
+    """Windows of a level that hold about a fraction of the largest level's tiles; one at least."""
+    if not 0 < fraction <= 1:
+        raise ValueError("the fraction is above 0 and 1 at most")
+    return max(1, -(-math.ceil(fraction * deepest) // (window * window)))
+
+
+def plan_windows(level: int, box: tuple[int, int, int, int], count: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Hash-placed square windows within the covered box of a level, or the whole box if they would cover it."""
+    x0, y0, x1, y1 = box
+    columns, rows = x1 - x0 + 1, y1 - y0 + 1
+    width, height = min(window, columns), min(window, rows)
+    if count * width * height >= columns * rows:
+        return [box]
+    corners: set[tuple[int, int]] = set()
+    for i in range(8 * count):
+        if len(corners) == count:
+            break
+        seed = level << 40 ^ i << 1
+        corners.add((x0 + splitmix64(seed) % (columns - width + 1), y0 + splitmix64(seed ^ 1) % (rows - height + 1)))
+    return [(x, y, x + width - 1, y + height - 1) for x, y in sorted(corners)]
+
+
+def sample_tiles(tiles: DataFrame, fraction: float, window: int = WINDOW) -> DataFrame:
+    """Tiles in the windows of each level's sample; what a level covers is found by an aggregation, one row a level."""
+    boxes = [tuple(r) for r in tiles.groupBy("z").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).collect()]
+    deepest = max(((x1 - x0 + 1) * (y1 - y0 + 1) for _, x0, y0, x1, y1 in boxes), default=0)
     test: Column = F.lit(False)
-    for level in levels:
-        for x0, y0, x1, y1 in sample_windows(level, fraction, deepest):
+    for level, *box in sorted(boxes):
+        for x0, y0, x1, y1 in plan_windows(level, tuple(box), windows_for_sample(fraction, deepest, window), window):
             test = test | ((F.col("z") == level) & F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
     return tiles.where(test)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,23 +14,67 @@ from tesselon.functions import geometry as G
 from tesselon.functions import mvt
 
 KEY = ["z", "x", "y"]
-FEATURES = "z long, x long, y long, layer string, feat_no long, id long, kind int, parts array<array<array<long>>>, props map<string,string>"
+#: What a tile that cannot be decoded raises.
+BROKEN = (ValueError, IndexError, UnicodeDecodeError)
+FEATURES = "z long, x long, y long, layer string, feat_no long, id long, kind int, parts array<array<array<long>>>, props map<string,string>, extent int, version int"
+COLUMNS = [c.split()[0] for c in FEATURES.split(", ")]
 
 
-def decode(tiles: DataFrame) -> DataFrame:
-    """Feature rows of vector tiles (z, x, y, data)."""
+def decode(tiles: DataFrame, skip_broken: bool = False) -> DataFrame:
+    """Feature rows of vector tiles (z, x, y, data). A tile that cannot be decoded stops the job, or with skip_broken
+    has no rows; ``broken`` lists such tiles."""
+
+    def rows_of(data: bytes) -> list[dict]:
+        try:
+            return mvt.to_rows(data)
+        except BROKEN:
+            if skip_broken:
+                return []
+            raise
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(z, x, y, *f.values()) for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True) for f in mvt.to_rows(bytes(data))]
-            out = pd.DataFrame(rows, columns=[*KEY, "layer", "feat_no", "id", "kind", "parts", "props"])
+            rows = [(z, x, y, *f.values()) for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True) for f in rows_of(bytes(data))]
+            out = pd.DataFrame(rows, columns=COLUMNS)
             yield out.assign(id=out["id"].astype("Int64"))
 
     return tiles.select(*KEY, "data").mapInPandas(run, FEATURES)
 
 
+def broken(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, error) of the vector tiles that cannot be decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True):
+                try:
+                    mvt.decode_tile(bytes(data))
+                except BROKEN as error:
+                    rows.append((z, x, y, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=[*KEY, "error"])
+
+    return tiles.select(*KEY, "data").mapInPandas(run, "z long, x long, y long, error string")
+
+
+def drop_layers(tiles: DataFrame, names: list[str], invert: bool = False) -> DataFrame:
+    """Vector tiles without the named layers, or with invert with no others. Features are not decoded, and tiles
+    that lose their last layer stay, empty."""
+    listed = set(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(data=[mvt.without_layers(bytes(data), listed, invert) for data in batch["data"]])
+
+    return tiles.select(*KEY, "data").mapInPandas(run, "z long, x long, y long, data binary")
+
+
 def encode(features: DataFrame, extent: int = 4096, version: int = 2) -> DataFrame:
-    """Vector tiles of feature rows. A tile's features meet in one group; tiles are bounded in size."""
+    """Vector tiles of feature rows. A tile's features meet in one group; tiles are bounded in size. Layers have the
+    extent and version of their rows; the parameters hold for rows without them. Rows of a layer that differ in
+    extent stop the job."""
+    for name, default in (("extent", extent), ("version", version)):
+        features = features.withColumn(name, F.coalesce(name, F.lit(default)) if name in features.columns else F.lit(default))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         layers = []
@@ -38,7 +83,9 @@ def encode(features: DataFrame, extent: int = 4096, version: int = 2) -> DataFra
                 {"id": None if pd.isna(r.id) else int(r.id), "kind": int(r.kind), "parts": [[(int(p[0]), int(p[1])) for p in part] for part in r.parts], "props": {k: json.loads(v) for k, v in dict(r.props).items()}}
                 for r in rows.itertuples()
             ]
-            layers.append({"name": name, "extent": extent, "version": version, "features": kept})
+            if rows["extent"].nunique() > 1:
+                raise ValueError(f"rows of layer {name} differ in extent")
+            layers.append({"name": name, "extent": int(rows["extent"].iloc[0]), "version": int(rows["version"].max()), "features": kept})
         return pd.DataFrame([(*(int(pdf[k].iloc[0]) for k in KEY), mvt.encode_tile(layers))], columns=[*KEY, "data"])
 
     return features.groupBy(KEY).applyInPandas(one, "z long, x long, y long, data binary")
@@ -53,7 +100,7 @@ def validate(tiles: DataFrame) -> DataFrame:
             for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True):
                 try:
                     rows += [(z, x, y, *i) for i in mvt.issues(mvt.decode_tile(bytes(data)))]
-                except (ValueError, IndexError, UnicodeDecodeError):
+                except BROKEN:
                     rows.append((z, x, y, "DecodeFailure", None, -1))
             yield pd.DataFrame(rows, columns=[*KEY, "issue", "layer", "feature"])
 
@@ -61,15 +108,21 @@ def validate(tiles: DataFrame) -> DataFrame:
 
 
 def repair(tiles: DataFrame, drop_offenders: bool = False) -> DataFrame:
-    """Tiles without issues as they are, others repaired."""
+    """Tiles without issues as they are, others repaired. Tiles that cannot be decoded stay as they are, or go with
+    drop_offenders."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for data in batch["data"]:
-                layers = mvt.decode_tile(bytes(data))
+                try:
+                    layers = mvt.decode_tile(bytes(data))
+                except BROKEN:
+                    out.append(None if drop_offenders else bytes(data))
+                    continue
                 out.append(mvt.encode_tile(mvt.repair(layers, drop_offenders)) if mvt.issues(layers) else bytes(data))
-            yield batch.assign(data=out)
+            batch = batch.assign(data=out)
+            yield batch[batch["data"].notna()]
 
     return tiles.mapInPandas(run, tiles.schema)
 
@@ -107,8 +160,8 @@ def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", exten
                 kind, parts = G.shape_parts(json.loads(r.geometry))
                 drawn = G.draw(kind, parts, int(r.z), int(r.x), int(r.y), extent, buffer, tolerance)
                 if drawn:
-                    rows.append((r.z, r.x, r.y, layer, 0, r.id, kind, [[list(p) for p in part] for part in drawn], r.props))
-            out = pd.DataFrame(rows, columns=[*KEY, "layer", "feat_no", "id", "kind", "parts", "props"])
+                    rows.append((r.z, r.x, r.y, layer, 0, r.id, kind, [[list(p) for p in part] for part in drawn], r.props, extent, 2))
+            out = pd.DataFrame(rows, columns=COLUMNS)
             yield out.assign(id=out["id"].astype("Int64"))
 
     drawn = at.select(*KEY, "id", "geometry", "props").mapInPandas(cut, FEATURES)
@@ -144,9 +197,12 @@ def thin_min_distance(points: DataFrame, distance: float, group: str, order: str
 
 def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int = 4096, buffer: int = 80) -> DataFrame:
     """Features of level_base cut to and enlarged for the deeper tiles up to level_max; levels up to
-    level_base pass through, deeper ones of the source go. Each feature's children are exploded in Spark."""
+    level_base pass through, deeper ones of the source go. Each feature's children are exploded in Spark.
+    A row's own extent counts; the parameter holds for rows without one."""
+    for name, default in (("extent", extent), ("version", 2)):
+        features = features.withColumn(name, (F.coalesce(name, F.lit(default)) if name in features.columns else F.lit(default)).cast("int"))
 
-    def child(kind: int, parts: list, steps: int, i: int, j: int) -> list:
+    def child(kind: int, parts: list, extent: int, steps: int, i: int, j: int) -> list:
         size = 1 << steps
         width, edge = extent / size, buffer / size
         box = (i * width - edge, j * width - edge, (i + 1) * width + edge, (j + 1) * width + edge)
@@ -161,7 +217,7 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [child(int(r.kind), r.parts, int(r.steps), int(r.i), int(r.j)) for r in batch.itertuples()]
+            parts = [child(int(r.kind), r.parts, int(r.extent), int(r.steps), int(r.i), int(r.j)) for r in batch.itertuples()]
             out = batch.assign(parts=parts)[[bool(p) for p in parts]].drop(columns=["steps", "i", "j"])
             yield out.assign(id=out["id"].astype("Int64"))
 
@@ -169,20 +225,19 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
     steps = F.explode(F.sequence(F.lit(1), F.lit(level_max - level_base))) if level_max > level_base else None
     out = features.where(F.col("z") <= level_base)
     if steps is None:
-        return out
+        return out.select(COLUMNS)
     points = F.flatten("parts")
     reach = lambda axis, f: f(F.transform(points, lambda p: p[axis]))
     edge, side = buffer / F.pow(F.lit(2.0), "steps"), F.pow(F.lit(2.0), "steps")
     within = lambda v: F.greatest(F.lit(0), F.least(side - 1, v)).cast("int")
     # Children whose box, edges included, the feature's range touches.
-    first = lambda axis: within(F.ceil((reach(axis, F.array_min) - edge) * side / extent) - 1)
-    last = lambda axis: within(F.floor((reach(axis, F.array_max) + edge) * side / extent))
+    first = lambda axis: within(F.ceil((reach(axis, F.array_min) - edge) * side / F.col("extent")) - 1)
+    last = lambda axis: within(F.floor((reach(axis, F.array_max) + edge) * side / F.col("extent")))
     kids = base.withColumn("steps", steps)
     kids = kids.withColumn("i", F.explode(F.sequence(first(0), last(0)))).withColumn("j", F.explode(F.sequence(first(1), last(1))))
     size = F.pow(F.lit(2.0), "steps").cast("bigint")
     kids = kids.withColumns({"z": F.col("z") + F.col("steps"), "x": F.col("x") * size + F.col("i"), "y": F.col("y") * size + F.col("j")})
-    names = [*KEY, "layer", "feat_no", "id", "kind", "parts", "props"]
-    return out.select(names).unionByName(kids.select(*names, "steps", "i", "j").mapInPandas(run, FEATURES))
+    return out.select(COLUMNS).unionByName(kids.select(*COLUMNS, "steps", "i", "j").mapInPandas(run, FEATURES))
 
 
 BYTES = ("features", "vertices", "geometry", "tags", "keys", "vals", "ids", "encoded", "other")
@@ -213,11 +268,12 @@ def attribute_use(features: DataFrame) -> DataFrame:
 
 def drop_rate(points: DataFrame, ratio: float, index: str = "id") -> DataFrame:
     """Keeps the points whose hashed number lies below the ratio: the same ones in every run and at every size."""
-    from tesselon.operators.reports import M64, splitmix64
-
     @F.pandas_udf("boolean")
     def keep(number: pd.Series) -> pd.Series:
-        return number.map(lambda i: (splitmix64(int(i) & M64) >> 11) / (1 << 53) < ratio)
+        x = number.to_numpy(np.int64).view(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return pd.Series(((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53) < ratio)
 
     return points.where(keep(F.col(index)))
 
@@ -226,6 +282,8 @@ def overzoom_climbing(features: DataFrame, level_base: int, level_max: int, leve
     """As ``overzoom``; where level_base has no tile, features come from the nearest ancestor down to level_min.
 
     Levels are filled from below: what a level draws into the base is kept only where no deeper level has a tile."""
+    for name, default in (("extent", extent), ("version", 2)):
+        features = features.withColumn(name, (F.coalesce(name, F.lit(default)) if name in features.columns else F.lit(default)).cast("int"))
     base = features.where(F.col("z") == level_base)
     taken = base.select("x", "y").distinct()
     for level in range(level_base - 1, level_min - 1, -1):

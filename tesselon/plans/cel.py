@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"""\s*(?:(?P<number>\d+\.\d+(?:[eE][+-]?\d+)?|\d+u?)|(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|&&|\|\||[<>!()\[\],.-]))""")
 
 
+_WHOLE = "decimal(20,0)"
+
+
 class ExpressionError(ValueError):
     """The expression cannot be compiled."""
 
@@ -28,6 +31,8 @@ class _Value:
     kind: str
     text: Column | None = None
     number: Column | None = None
+    #: The number where it is an integer of up to 64 bits, exactly.
+    whole: Column | None = None
     truth: Column | None = None
     items: list | None = None
 
@@ -105,7 +110,7 @@ class _Compiler:
             value = self.unary()
             if value.kind != "number":
                 raise ExpressionError("'-' needs a number")
-            return _Value("number", number=-value.number)
+            return _Value("number", number=-value.number, whole=None if value.whole is None else -value.whole)
         return self.postfix()
 
     def postfix(self) -> _Value:
@@ -130,7 +135,8 @@ class _Compiler:
     def primary(self) -> _Value:
         kind, text = self.take()
         if kind == "number":
-            return _Value("number", number=F.lit(float(text.rstrip("u"))))
+            plain = text.rstrip("u")
+            return _Value("number", number=F.lit(float(plain)), whole=F.lit(plain).cast(_WHOLE) if plain.isdigit() else None)
         if kind == "text":
             return _Value("text", text=F.lit(_unquote(text)))
         if kind == "op" and text == "(":
@@ -172,12 +178,14 @@ class _Compiler:
         return self.property(self.take()[1])
 
     def property(self, name: str) -> _Value:
-        literal = self.lookup(name)
+        # A property whose value is null is as one that is missing.
+        literal = F.nullif(self.lookup(name), F.lit("null"))
         quoted = literal.startswith('"')
         return _Value(
             "any",
             text=F.when(quoted, F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]).otherwise(literal),
             number=F.when(~quoted, literal.try_cast("double")),
+            whole=F.when(literal.rlike(r"^-?\d{1,20}$"), literal.try_cast(_WHOLE)),
             truth=F.when(literal.isin("true", "false"), literal == "true"),
         )
 
@@ -206,7 +214,7 @@ def _compare(op: str, a: _Value, b: _Value) -> Column:
     tests = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
     test = tests[op]
     branches = []
-    for side in ("number", "truth", "text"):
+    for side in ("whole", "number", "truth", "text"):
         x, y = getattr(a, side), getattr(b, side)
         if x is not None and y is not None:
             valid = x.isNotNull() & y.isNotNull()

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tesselon.functions.coords import MAX_LEVEL
 from tesselon.operators import general, raster, tiles, vector
@@ -298,8 +299,6 @@ def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: in
 @operator(READ)
 def from_grid(spark, *, epsg: int, size: float, bbox: list[float], id_preset: str = None, id_template: str = None, id_field: str = "id", layer_name: str = "grid", max_cells_per_tile: int = 4096, max_zoom: int = 10) -> TileSet:
     """Cells of EPSG:4326, 3857 or 3035 as polygons; the box is in the grid's units."""
-    from pyspark.sql import functions as F
-
     from tesselon.functions.coords import laea_inverse
 
     cells = features.grid_cells(spark, epsg, size, tuple(bbox), id_preset=id_preset, id_template=id_template)
@@ -380,7 +379,12 @@ def _on_features(source: TileSet, step: str, change: Callable) -> TileSet:
 
 @operator(TRANSFORM, "vector")
 def vector_filter_layers(source, *, filter: list, invert: bool = False) -> TileSet:
-    return _on_features(source, "vector_filter_layers", lambda f: vector.filter_layers(f, filter, invert))
+    """Tiles that lose their last layer stay, empty. Blobs are not decoded for it."""
+    if "data" in source.relation.columns:
+        return source.then(tiles.drop_layers(source.relation, filter, invert), "vector_filter_layers")
+    kept = vector.filter_layers(source.relation, filter, invert)
+    emptied = source.relation.select(tiles.KEY).distinct().join(kept.select(tiles.KEY).distinct(), tiles.KEY, "left_anti")
+    return source.then(tiles.encode(kept).unionByName(emptied.withColumn("data", F.lit(b""))), "vector_filter_layers")
 
 
 @operator(TRANSFORM, "vector")

@@ -45,6 +45,11 @@ def tiled(spark: SparkSession, sf_dir: str, z: int) -> DataFrame:
     return p.withColumns({"z": F.lit(z).cast("bigint"), "x": C.tile_x("lon", F.lit(z)), "y": C.tile_y("lat", F.lit(z))})
 
 
+def moved(spark: SparkSession, sf_dir: str, z: int, k: int) -> DataFrame:
+    """All events in tiles of a level, in columns that are dealt anew: another coverage of the same size."""
+    return tiled(spark, sf_dir, z).withColumn("x", (F.col("x") * (2 * k + 1) + k) % (1 << z))
+
+
 def sized(spark: SparkSession, sf_dir: str, z: int) -> DataFrame:
     """One row for each tile, its size the number of its events."""
     return tiled(spark, sf_dir, z).groupBy(KEY).agg(F.count(F.lit(1)).alias("size"), F.sum("v").alias("v"))
@@ -150,9 +155,11 @@ def filter_zoom(spark, sf_dir):
 
 
 def _box_sql(border: int) -> str:
-    ranges = {z: C.bbox_to_range((0, 0, 40, 20), z, border) for z in range(7)}
-    tests = " OR ".join(f"(z = {z} AND x BETWEEN {a} AND {c} AND y BETWEEN {b} AND {d})" for z, (a, b, c, d) in ranges.items())
-    return f"SELECT z, x, y, size FROM s WHERE {tests}"
+    side = "pow(2, z)"
+    column = lambda lon: f"least({side} - 1, greatest(0, floor({side} * (({lon})::DOUBLE / 360 + 0.5))))"
+    row = lambda lat: f"least({side} - 1, greatest(0, floor({side} * (0.5 - 0.5 * ln(tan(({lat})::DOUBLE * pi() / 360 + pi() / 4)) / pi()))))"
+    return f"""SELECT z, x, y, size FROM s WHERE z <= 6 AND x BETWEEN {column("0 + 1e-10")} - {border} AND {column("40 - 1e-10")} + {border}
+AND y BETWEEN {row("20 - 1e-10")} - {border} AND {row("0 + 1e-10")} + {border}"""
 
 
 @query(_box_sql(0))
@@ -165,9 +172,9 @@ def filter_bbox_border(spark, sf_dir):
     return general.filter_tiles(pyramid(spark, sf_dir), bbox=(0, 0, 40, 20), bbox_border=2).select(*KEY, "size")
 
 
-@query("SELECT z, x, y, size FROM s WHERE z = 5 AND EXISTS (SELECT 1 FROM t WHERE event_id % 7 = 0 AND t.z = 5 AND t.x = s.x AND t.y = s.y)")
+@query("SELECT z, x, y, size FROM s WHERE z = 8 AND EXISTS (SELECT 1 FROM t WHERE t.z = 8 AND (t.x * 3 + 1) % 256 = s.x AND t.y = s.y)")
 def filter_mask(spark, sf_dir):
-    return general.filter_tiles(sized(spark, sf_dir, 5), mask=tiled(spark, sf_dir, 5).where("event_id % 7 = 0")).select(*KEY, "size")
+    return general.filter_tiles(sized(spark, sf_dir, 8), mask=moved(spark, sf_dir, 8, 1)).select(*KEY, "size")
 
 
 for _name, _args, _sql in (
@@ -180,14 +187,11 @@ for _name, _args, _sql in (
     ORACLE_SQL[_name] = f"{_PRELUDE}\nSELECT z, {_sql}, size FROM s WHERE z = 6"
 
 
-def _third(spark, sf_dir, k: int, z: int = 5) -> DataFrame:
-    own = tiled(spark, sf_dir, z).where(F.col("event_id") % (3 * (k + 1)) == k)
-    return own.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.lit(k).cast("bigint").alias("src"))
+def _third(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return moved(spark, sf_dir, 8, k).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.lit(k).cast("bigint").alias("src"))
 
 
-_THIRDS = """, src AS (SELECT z, x, y, count(*) AS n, 0::BIGINT AS src FROM t WHERE z = 5 AND event_id % 3 = 0 GROUP BY z, x, y
-UNION ALL SELECT z, x, y, count(*), 1::BIGINT FROM t WHERE z = 5 AND event_id % 6 = 1 GROUP BY z, x, y
-UNION ALL SELECT z, x, y, count(*), 2::BIGINT FROM t WHERE z = 5 AND event_id % 9 = 2 GROUP BY z, x, y)"""
+_THIRDS = ", src AS (" + " UNION ALL ".join(f"SELECT z, (x * {2 * k + 1} + {k}) % 256 AS x, y, count(*) AS n, {k}::BIGINT AS src FROM t WHERE z = 8 GROUP BY ALL" for k in range(3)) + ")"
 
 
 @query(_THIRDS + " SELECT z, x, y, n, src FROM src QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY src) = 1")
@@ -195,9 +199,9 @@ def stacked(spark, sf_dir):
     return general.stack([_third(spark, sf_dir, k) for k in range(3)])
 
 
-@query(_THIRDS + " SELECT z, x, y, n, src FROM src QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY src) = 1 AND bool_or(n >= 4) OVER (PARTITION BY z, x, y)")
+@query(_THIRDS + " SELECT z, x, y, n, src FROM src QUALIFY row_number() OVER (PARTITION BY z, x, y ORDER BY src) = 1 AND bool_or(n >= 2) OVER (PARTITION BY z, x, y)")
 def stacked_native_policy(spark, sf_dir):
-    return general.stack_native([_third(spark, sf_dir, k) for k in range(3)], F.col("n") >= 4)
+    return general.stack_native([_third(spark, sf_dir, k) for k in range(3)], F.col("n") >= 2)
 
 
 @query("""SELECT z, x, y, layer, row_number() OVER (PARTITION BY z, x, y, layer ORDER BY id % 2, id) - 1 AS feat_no, id FROM f""")
@@ -211,16 +215,16 @@ def sink_first_wins(spark, sf_dir):
     return general.first_of_each(tiled(spark, sf_dir, 7).select(*KEY, "event_id"), "event_id")
 
 
-_A, _B = ("(SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 2 = 0)", "(SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 3 = 0)")
+_A, _B = "(SELECT DISTINCT z, x, y FROM t WHERE z = 8)", "(SELECT DISTINCT z, (x * 3 + 1) % 256 AS x, y FROM t WHERE z = 8)"
 for _name, _op, _word in (("cover_union", general.cover_union, "UNION"), ("cover_intersection", general.cover_intersection, "INTERSECT"), ("cover_difference", general.cover_difference, "EXCEPT")):
-    QUERIES[_name] = lambda spark, sf_dir, op=_op: op(tiled(spark, sf_dir, 6).where("event_id % 2 = 0"), tiled(spark, sf_dir, 6).where("event_id % 3 = 0"))
+    QUERIES[_name] = lambda spark, sf_dir, op=_op: op(tiled(spark, sf_dir, 8), moved(spark, sf_dir, 8, 1))
     ORACLE_SQL[_name] = f"{_PRELUDE}\nSELECT * FROM {_A} {_word} SELECT * FROM {_B}"
 
 
-@query("""SELECT DISTINCT z, x + dx AS x, y + dy AS y FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 50 = 0),
-(SELECT CAST(range AS BIGINT) AS dx FROM range(-2, 3)), (SELECT CAST(range AS BIGINT) AS dy FROM range(-2, 3)) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 63""")
+@query("""SELECT DISTINCT z, x + dx AS x, y + dy AS y FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 9),
+(SELECT CAST(range AS BIGINT) AS dx FROM range(-2, 3)), (SELECT CAST(range AS BIGINT) AS dy FROM range(-2, 3)) WHERE x + dx BETWEEN 0 AND 511 AND y + dy BETWEEN 0 AND 511""")
 def cover_buffer(spark, sf_dir):
-    return general.cover_buffer(tiled(spark, sf_dir, 6).where("event_id % 50 = 0"), 2)
+    return general.cover_buffer(tiled(spark, sf_dir, 9), 2)
 
 
 @query("""SELECT z, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS tiles,
@@ -240,9 +244,9 @@ def weighted_bbox(spark, sf_dir):
 SELECT *, along - row_number() OVER (PARTITION BY z, axis, line ORDER BY along) AS run FROM (
 SELECT z, axis, line, along FROM (
 SELECT z, 'v' AS axis, x AS line, y AS along FROM c UNION ALL SELECT z, 'v', x + 1, y FROM c UNION ALL SELECT z, 'h', y, x FROM c UNION ALL SELECT z, 'h', y + 1, x FROM c)
-GROUP BY ALL HAVING count(*) = 1)) GROUP BY z, axis, line, run""".replace("FROM c", "FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 6 AND event_id % 3 = 0)"))
+GROUP BY ALL HAVING count(*) = 1)) GROUP BY z, axis, line, run""".replace("FROM c", "FROM (SELECT DISTINCT z, x, y FROM t WHERE z = 8)"))
 def cover_outline(spark, sf_dir):
-    return general.outline(tiled(spark, sf_dir, 6).where("event_id % 3 = 0"))
+    return general.outline(tiled(spark, sf_dir, 8))
 
 
 @query("""SELECT layer, attribute, count(*) AS features, count(DISTINCT value) AS distinct_values, CAST(sum(strlen(value)) AS BIGINT) AS bytes FROM (
@@ -290,17 +294,19 @@ for _name, _expr, _sql in (
     ("has", 'has(props.n) && props["n"] != 0', "n IS NOT NULL AND n <> 0"),
     ("error_drops", "uid > 5", "FALSE"),
     ("not_boolean_drops", "n", "FALSE"),
+    ("json_null", "missing == null && n != null", "n IS NOT NULL"),
+    ("whole_numbers", "n >= 9007199254740993 || n == 4611 || n < 100", "n >= 9007199254740993 OR n = 4611 OR n < 100"),
 ):
     QUERIES[f"filter_features_{_name}"] = lambda spark, sf_dir, e=_expr: flat(vector.filter_features(features(spark, sf_dir), ["click", "purchase", "view", "signup", "error"], e))
     ORACLE_SQL[f"filter_features_{_name}"] = f"{_PRELUDE}\nSELECT {_FLAT} FROM f WHERE layer NOT IN ('click', 'purchase', 'view', 'signup', 'error') OR coalesce({_sql}, FALSE)"
 
 
 def _dim(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 120")
-    return c.select(F.col("c_custkey").cast("string").alias("key_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").alias("line"))
+    c = table(spark, sf_dir, "customer")
+    return c.select((F.col("c_custkey") * 2).cast("string").alias("key_id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").alias("line"))
 
 
-_DIM = ", d AS (SELECT CAST(c_custkey AS VARCHAR) AS key_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS dn FROM customer WHERE c_custkey < 120)"
+_DIM = ", d AS (SELECT CAST(c_custkey * 2 AS VARCHAR) AS key_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS dn FROM customer)"
 
 
 @query(_DIM + " SELECT z, x, y, layer, id, uid, coalesce(dn, n) AS n, big, name FROM f LEFT JOIN d ON layer = 'click' AND uid = key_id")
@@ -325,10 +331,11 @@ def field_schema_rank(spark, sf_dir):
     return vector.field_types(features(spark, sf_dir))
 
 
-@query("""SELECT layer, 'any' AS field, CASE WHEN bool_or(id % 2 = 0) AND bool_or(id % 2 = 1) THEN 'String' WHEN bool_or(id % 2 = 0) THEN 'Boolean' ELSE 'Number' END AS type,
-4::BIGINT AS minzoom, 4::BIGINT AS maxzoom FROM f WHERE id < 60 GROUP BY layer""")
+@query("""SELECT layer, 'any' AS field, CASE layer WHEN 'click' THEN 'Boolean' WHEN 'view' THEN 'Number' ELSE 'String' END AS type,
+4::BIGINT AS minzoom, 4::BIGINT AS maxzoom FROM f GROUP BY layer HAVING layer IN ('click', 'view') OR (bool_or(id % 2 = 0) AND bool_or(id % 2 = 1))""")
 def field_schema_conflict(spark, sf_dir):
-    f = features(spark, sf_dir).where("id < 60").withColumn("props", F.create_map(F.lit("any"), F.when(F.col("id") % 2 == 0, "true").otherwise("12")))
+    value = F.when(F.col("layer") == "click", "true").when(F.col("layer") == "view", "12").when(F.col("id") % 2 == 0, "true").otherwise("12")
+    f = features(spark, sf_dir).withColumn("props", F.create_map(F.lit("any"), value))
     return vector.field_types(f, "conflict")
 
 
@@ -478,15 +485,24 @@ def size_raster(spark, sf_dir):
     return reports.size_raster(sized(spark, sf_dir, 6).withColumn("size", F.col("size") * 1000), 8)
 
 
-def _windows_sql() -> str:
-    return " OR ".join(f"(z = {z} AND x BETWEEN {a} AND {c} AND y BETWEEN {b} AND {d})" for z in (6, 8, 10) for a, b, c, d in reports.sample_windows(z, 0.02, 4**10))
+def _mix_sql(x: str) -> str:
+    """The finaliser of splitmix64 in wide integers."""
+    step = lambda v, shift, factor: f"(xor({v}, {v} // {1 << shift}::UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    return f"list_transform(list_transform(list_transform([{x}], lambda a: {step('a', 30, 0xBF58476D1CE4E5B9)}), lambda b: {step('b', 27, 0x94D049BB133111EB)}), lambda c: xor(c, c // 2147483648::UHUGEINT))[1]"
 
 
-@query(f"SELECT z, x, y, size FROM s WHERE {_windows_sql()}")
+@query(f""", b AS (SELECT z, min(x) AS x0, min(y) AS y0, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM s WHERE z IN (6, 8, 10) GROUP BY z),
+k AS (SELECT b.*, least(64, w) AS sw, least(64, h) AS sh, greatest(1, CAST(ceil(ceil(0.02::DOUBLE * (SELECT max(w * h) FROM b)) / 4096) AS BIGINT)) AS k FROM b),
+i AS (SELECT k.*, CAST(range AS BIGINT) AS i, xor(z::UHUGEINT * 1099511627776::UHUGEINT, range::UHUGEINT * 2) AS seed FROM k, range(0, 4096) WHERE range < 8 * k),
+c AS (SELECT *, x0 + CAST({_mix_sql("seed")} % (w - sw + 1)::UHUGEINT AS BIGINT) AS cx, y0 + CAST({_mix_sql("xor(seed, 1::UHUGEINT)")} % (h - sh + 1)::UHUGEINT AS BIGINT) AS cy FROM i),
+d AS (SELECT z, cx, cy, any_value(sw) AS sw, any_value(sh) AS sh, any_value(k) AS k, min(i) AS i FROM c GROUP BY z, cx, cy),
+p2 AS (SELECT z, cx, cy, sw, sh FROM d QUALIFY row_number() OVER (PARTITION BY z ORDER BY i) <= k)
+SELECT z, x, y, size FROM s WHERE EXISTS (SELECT 1 FROM k WHERE k.z = s.z AND k.k * sw * sh >= w * h)
+OR EXISTS (SELECT 1 FROM p2 JOIN k USING (z) WHERE p2.z = s.z AND k.k * k.sw * k.sh < w * h AND x BETWEEN cx AND cx + p2.sw - 1 AND y BETWEEN cy AND cy + p2.sh - 1)""")
 def sample_windows(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("z", F.explode(F.array(*[F.lit(z).cast("bigint") for z in (6, 8, 10)])))
     tiles = p.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")}).groupBy(KEY).agg(F.count(F.lit(1)).alias("size"))
-    return reports.sample_tiles(tiles, 0.02, 4**10, range(6, 11))
+    return reports.sample_tiles(tiles, 0.02)
 
 
 @query("SELECT z, x, y, size FROM s WHERE z = 5 AND x BETWEEN 3 AND 8 AND y = 10")
@@ -513,12 +529,12 @@ def dedup_blobs(spark, sf_dir):
     return reports.dedup_blobs(sized(spark, sf_dir, 6).withColumn("id", F.col("y") * 64 + F.col("x")), "size")
 
 
-@query(""", r AS (SELECT o_orderkey * 1000 AS "offset", o_custkey AS length FROM orders WHERE o_orderkey % 3 <> 0), n AS (
+@query(""", r AS (SELECT o_orderkey * 1000 + o_orderkey // 3 * 1500 AS "offset", o_custkey AS length FROM orders), n AS (
 SELECT *, CASE WHEN "offset" - max("offset" + length) OVER (ORDER BY "offset", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 900 THEN 0 ELSE 1 END AS fresh FROM r),
 g AS (SELECT *, sum(fresh) OVER (ORDER BY "offset", length ROWS UNBOUNDED PRECEDING) AS chunk FROM n)
 SELECT min("offset") AS "offset", max("offset" + length) - min("offset") AS length, count(*) AS ranges FROM g GROUP BY chunk""")
 def coalesce_ranges(spark, sf_dir):
-    r = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select((F.col("o_orderkey") * 1000).alias("offset"), F.col("o_custkey").alias("length"))
+    r = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1000 + F.expr("o_orderkey div 3") * 1500).alias("offset"), F.col("o_custkey").alias("length"))
     return reports.coalesce_ranges(r, 900)
 
 
@@ -534,13 +550,12 @@ def value_dictionary(spark, sf_dir):
     return reports.value_dictionary(features(spark, sf_dir))
 
 
-@query(r"""SELECT event_id, text, CASE WHEN text IN ('true', 'false') THEN 'Bool' WHEN regexp_matches(text, '^-?(0|[1-9][0-9]*)(\.[0-9]+([eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+)$') THEN 'Double'
-WHEN regexp_matches(text, '^-[1-9][0-9]*$') THEN 'Int' WHEN regexp_matches(text, '^(0|[1-9][0-9]*)$') THEN 'UInt' ELSE 'String' END AS kind FROM (
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '0' || event_id WHEN 3 THEN event_id || '.5' WHEN 4 THEN 'true' ELSE event_type END AS text FROM p)""")
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN '-' || event_id WHEN 2 THEN '0' || event_id WHEN 3 THEN event_id || '.5' WHEN 4 THEN 'true' WHEN 5 THEN '-0' WHEN 6 THEN '-0' || event_id ELSE event_type END AS text,
+CASE event_id % 8 WHEN 0 THEN CASE WHEN v < 0 THEN 'Int' ELSE 'UInt' END WHEN 1 THEN 'Int' WHEN 3 THEN 'Double' WHEN 4 THEN 'Bool' WHEN 5 THEN 'Int' ELSE 'String' END AS kind FROM p""")
 def parse_value(spark, sf_dir):
     i = F.col("event_id").cast("string")
-    k = F.col("event_id") % 6
-    text = F.when(k == 0, F.col("v").cast("string")).when(k == 1, F.concat(F.lit("-"), i)).when(k == 2, F.concat(F.lit("0"), i)).when(k == 3, F.concat(i, F.lit(".5"))).when(k == 4, "true").otherwise(F.col("event_type"))
+    k = F.col("event_id") % 8
+    text = F.when(k == 0, F.col("v").cast("string")).when(k == 1, F.concat(F.lit("-"), i)).when(k == 2, F.concat(F.lit("0"), i)).when(k == 3, F.concat(i, F.lit(".5"))).when(k == 4, "true").when(k == 5, "-0").when(k == 6, F.concat(F.lit("-0"), i)).otherwise(F.col("event_type"))
     return points(spark, sf_dir).select("event_id", text.alias("text")).select("event_id", "text", V.value_type("text").alias("kind"))
 
 
@@ -549,26 +564,27 @@ def varint_length(spark, sf_dir):
     return points(spark, sf_dir).select("event_id", V.varint_length(F.col("event_id") * F.col("event_id")).alias("bytes"))
 
 
-@query("""SELECT event_id, 'CRS3035RES1000mN' || (event_id * 1000) || 'E' || (user_id * 1000) AS inspire, '1kmN' || lpad(CAST(event_id AS VARCHAR), 4, '0') AS geostat FROM p WHERE event_id < 10000""")
+@query("""SELECT event_id, 'CRS3035RES1000mN' || (event_id * 1000) || 'E' || (user_id * 1000) AS inspire, '1kmN' || CASE WHEN event_id < 1000 THEN lpad(CAST(event_id AS VARCHAR), 4, '0') ELSE CAST(event_id AS VARCHAR) END AS geostat FROM p""")
 def grid_ids(spark, sf_dir):
-    p = points(spark, sf_dir).where("event_id < 10000")
+    p = points(spark, sf_dir)
     fields = {"epsg": F.lit("3035"), "size": F.lit("1000"), "size_km": F.lit("1km"), "y": F.col("event_id") * 1000, "x": F.col("user_id") * 1000}
     return p.select("event_id", V.format_template(V.ID_PRESETS["inspire"], fields).alias("inspire"), V.format_template("{size_km}N{y/1000:04}", fields).alias("geostat"))
 
 
-def _laea_sql() -> str:
-    k = {n: f"{v!r}::DOUBLE" for n, v in C._laea().items()}
-    return f"""SELECT event_id, round(b * {k['d']} * cos(beta) * sin(turn) + {k['east']}, 2) AS east,
-round(b / {k['d']} * ({k['cos']} * sin(beta) - {k['sin']} * cos(beta) * cos(turn)) + {k['north']}, 2) AS north FROM (
-SELECT *, {k['rq']} * sqrt(2 / (1 + {k['sin']} * sin(beta) + {k['cos']} * cos(beta) * cos(turn))) AS b FROM (
-SELECT event_id, radians(lon) - {k['lon']} AS turn,
-asin((1 - {k['e2']}) * (s / (1 - {k['e2']} * s * s) - ln((1 - {k['e']} * s) / (1 + {k['e']} * s)) / (2 * {k['e']})) / {k['qp']}) AS beta FROM (
-SELECT event_id, lon, sin(radians(lat)) AS s FROM p WHERE lon BETWEEN -10 AND 40 AND lat BETWEEN 30 AND 72)))"""
+# EPSG:3035 by its definition: GRS 1980, centre 52 N 10 E, false easting 4321000 and northing 3210000.
+_LAEA_SQL = """, g AS (SELECT 6378137.0::DOUBLE AS a, sqrt(f * (2 - f)) AS e, f * (2 - f) AS e2 FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
+q AS (SELECT *, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp, (1 - e2) * (sin(radians(52)) / (1 - e2 * pow(sin(radians(52)), 2)) - ln((1 - e * sin(radians(52))) / (1 + e * sin(radians(52)))) / (2 * e)) AS q0 FROM g),
+h AS (SELECT *, asin(q0 / qp) AS b0, a * sqrt(qp / 2) AS rq FROM q),
+i AS (SELECT *, a * cos(radians(52)) / (sqrt(1 - e2 * pow(sin(radians(52)), 2)) * rq * cos(b0)) AS d FROM h),
+u AS (SELECT event_id, 15 + lon / 7.2::DOUBLE AS lon, 51 + lat / 4.0::DOUBLE AS lat FROM p),
+v AS (SELECT u.event_id, i.*, radians(lon - 10) AS turn, asin((1 - e2) * (sin(radians(lat)) / (1 - e2 * pow(sin(radians(lat)), 2)) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) / qp) AS beta FROM u, i),
+w AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(turn))) AS b FROM v)
+SELECT event_id, round(b * d * cos(beta) * sin(turn) + 4321000, 2) AS east, round(b / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(turn)) + 3210000, 2) AS north FROM w"""
 
 
-@query(_laea_sql())
+@query(_LAEA_SQL)
 def laea_points(spark, sf_dir):
-    p = points(spark, sf_dir).where("lon BETWEEN -10 AND 40 AND lat BETWEEN 30 AND 72")
+    p = points(spark, sf_dir).select("event_id", (15 + F.col("lon") / 7.2).alias("lon"), (51 + F.col("lat") / 4.0).alias("lat"))
     east, north = C.laea_forward("lon", "lat")
     return p.select("event_id", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
 
@@ -580,7 +596,7 @@ for _name, _epsg, _size, _bbox in (("grid_cells_3035", 3035, 50_000, (4_000_000,
 FROM (SELECT CAST(range AS BIGINT) AS cx FROM {_x}), (SELECT CAST(range AS BIGINT) AS cy FROM {_y})"""
 
 
-# --- blobs: most have no SQL and are tested in tests/test_engine.py -------------------------------------------------
+# --- blobs: some have no SQL and are tested in tests/test_engine.py -------------------------------------------------
 
 
 def _point_features(spark, sf_dir, z: int = 3) -> DataFrame:
@@ -594,9 +610,21 @@ def mvt_roundtrip(spark, sf_dir):
     return flat(tiles.decode(tiles.encode(_point_features(spark, sf_dir, 4))))
 
 
-@query()
+@query(f"SELECT {_FLAT}, CAST(512 AS INTEGER) AS extent, CAST(1 AS INTEGER) AS version, id * 31 % 512 AS px FROM f")
+def mvt_roundtrip_extent(spark, sf_dir):
+    """Extent and version of a layer outlive decoding and encoding."""
+    f = _point_features(spark, sf_dir, 4).withColumn("parts", F.transform("parts", lambda part: F.transform(part, lambda p: F.transform(p, lambda v: v % 512))))
+    once = tiles.decode(tiles.encode(f, extent=512, version=1))
+    out = tiles.decode(tiles.encode(vector.filter_properties(once, "/nothing$")))
+    rest = out.select("z", "x", "y", "layer", "id", "extent", "version", F.col("parts")[0][0][0].alias("px"))
+    return flat(out).join(rest, ["z", "x", "y", "layer", "id"])
+
+
+@query("""SELECT z, x, y, CASE WHEN event_id % 3 = 0 THEN 'UnknownGeometryType' ELSE 'EmptyGeometryForType' END AS issue, layer, CAST(feature AS INTEGER) AS feature FROM (
+SELECT z, x, y, event_id, event_type AS layer, row_number() OVER (PARTITION BY x, y, event_type ORDER BY event_id) - 1 AS feature FROM t WHERE z = 3) WHERE event_id % 3 <> 1""")
 def mvt_validate(spark, sf_dir):
-    return tiles.validate(tiles.encode(_point_features(spark, sf_dir)))
+    """Of every three features one is of unknown kind, one is a sound point, and one is a line of one vertex."""
+    return tiles.validate(tiles.encode(_point_features(spark, sf_dir).withColumn("kind", (F.col("id") % 3).cast("int"))))
 
 
 @query("""SELECT z + d AS z, x * CAST(pow(2, d) AS BIGINT) + i AS x, y * CAST(pow(2, d) AS BIGINT) + j AS y, layer, id
@@ -628,27 +656,46 @@ def alpha_blend(spark, sf_dir):
     return out.tiles.select(*KEY, F.length("data").alias("size"))
 
 
-@query()
+@query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b
+WHERE a.range < pow(2, z) AND b.range < pow(2, z)""")
 def raster_pyramid(spark, sf_dir):
+    from tesselon.operators.raster import corner_colors
     from tesselon.plans.vpl import run_vpl
 
-    return run_vpl(spark, "from_color color=336699 size=16 level_max=3 | filter level_min=3 | raster_overview level=3").tiles.select(*KEY, F.length("data").alias("size"))
+    return corner_colors(run_vpl(spark, "from_color color=336699 size=16 level_max=3 | filter level_min=3 | raster_overview level=3").tiles)
 
 
-@query()
+@query("""SELECT z, x, CAST(pow(2, z) AS BIGINT) - 1 - y AS y, layer, unnest(string_split(digits, '')) AS char FROM (
+SELECT z, x, y, 'debug_' || axis AS layer, CAST(CASE axis WHEN 'x' THEN x ELSE y END AS VARCHAR) AS digits FROM (
+SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b WHERE a.range < pow(2, z) AND b.range < pow(2, z)),
+(SELECT unnest(['x', 'y']) AS axis))""")
 def debug_pipeline(spark, sf_dir):
     from tesselon.plans.vpl import run_vpl
 
     out = run_vpl(spark, "from_debug level_max=3 | vector_filter_layers filter=[debug_z] | vector_filter_properties regex='/index$' | remap_coords flip_y=true")
-    return out.features.select(*KEY, "layer", "props")
+    return out.features.select(*KEY, "layer", vector.plain(F.try_element_at("props", F.lit("char"))).alias("char"))
 
 
-@query()
+_VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
+
+
+@query(f"""SELECT z, layer, count(DISTINCT x * 1000 + y) AS tiles, count(*) AS features, count(*) AS vertices,
+CAST(sum(1 + {_VARINT.format("2 * px")} + {_VARINT.format("2 * py")}) AS BIGINT) AS geometry, CAST(sum({_VARINT.format("id")}) AS BIGINT) AS ids
+FROM (SELECT z, x, y, event_type AS layer, event_id AS id, event_id * 31 % 4096 AS px, event_id * 57 % 4096 AS py FROM t WHERE z = 3) GROUP BY z, layer""")
 def layer_bytes(spark, sf_dir):
-    return tiles.layer_bytes(tiles.encode(_point_features(spark, sf_dir)))
+    return tiles.layer_bytes(tiles.encode(_point_features(spark, sf_dir))).select("z", "layer", "tiles", "features", "vertices", "geometry", "ids")
 
 
-@query()
+def _deeper_sql(source: str) -> str:
+    return f"""SELECT z + 1 AS z, x * 2 + i AS x, y * 2 + j AS y, layer, id, px * 2 - i * 4096 AS px, py * 2 - j * 4096 AS py
+FROM {source}, (SELECT CAST(range AS BIGINT) AS i FROM range(0, 2)), (SELECT CAST(range AS BIGINT) AS j FROM range(0, 2))
+WHERE px * 2 BETWEEN i * 4096 - 80 AND (i + 1) * 4096 + 80 AND py * 2 BETWEEN j * 4096 - 80 AND (j + 1) * 4096 + 80"""
+
+
+@query(f""", a AS (SELECT z, x, y, event_type AS layer, event_id AS id, event_id * 31 % 4096 AS px, event_id * 57 % 4096 AS py FROM t),
+low AS (SELECT * FROM a WHERE z = 2), own AS (SELECT * FROM a WHERE z = 3 AND x % 2 = 0),
+base AS (SELECT * FROM own UNION ALL SELECT * FROM ({_deeper_sql("low")}) AS c WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.x = c.x AND own.y = c.y))
+SELECT z, x, y, layer, id FROM low UNION ALL SELECT z, x, y, layer, id FROM base UNION ALL SELECT z, x, y, layer, id FROM ({_deeper_sql("base")})""")
 def overzoom_climbing(spark, sf_dir):
     f = _point_features(spark, sf_dir, 2).unionByName(_point_features(spark, sf_dir, 3).where("x % 2 = 0"))
     return tiles.overzoom_climbing(f, 3, 4).select(*KEY, "layer", "id")

@@ -154,8 +154,49 @@ def test_validate_and_repair(spark):
     assert tiles.validate(tiles.repair(t.where("z = 0"))).count() == 0
 
 
+def test_extent_is_kept(spark, tmp_path):
+    from tesselon.plans.vpl import run_vpl
+
+    point = lambda e: mvt.encode_tile([{"name": "a", "extent": e, "version": 1, "features": [{"id": 1, "kind": 1, "parts": [[(e // 2, e // 2)]], "props": {"n": 1}}]}])
+    for name, extent in (("small", 512), ("large", 4096)):
+        (tmp_path / name / "0" / "0").mkdir(parents=True)
+        (tmp_path / name / "0" / "0" / "0.mvt").write_bytes(point(extent))
+    small = f'from_container filename="{tmp_path}/small"'
+    out = run_vpl(spark, small + " | vector_filter_properties regex='/m$'").tiles.head()
+    layer = mvt.decode_tile(bytes(out.data))[0]
+    assert (layer["extent"], layer["version"], layer["features"][0]["parts"]) == (512, 1, [[(256, 256)]])
+    zoomed = run_vpl(spark, small + " | vector_overzoom level_base=0 level_max=1").features.where("z = 1").collect()
+    assert [(r.x, r.y, r.parts, r.extent) for r in zoomed if r.x == r.y == 1] == [(1, 1, [[[0, 0]]], 512)]
+    with pytest.raises(Exception, match="extent"):
+        run_vpl(spark, f'from_merged_vector [{small}, from_container filename="{tmp_path}/large"]').tiles.collect()
+    same = run_vpl(spark, f"from_merged_vector [{small}, {small}]").features.collect()
+    assert [(r.feat_no, r.extent) for r in sorted(same, key=lambda r: r.feat_no)] == [(0, 512), (1, 512)]
+
+
+def test_filter_layers_keeps_emptied_tiles(spark, tmp_path):
+    from tesselon.plans.vpl import run_vpl
+
+    layer = lambda n: {"name": n, "extent": 256, "version": 2, "features": [{"id": 1, "kind": 1, "parts": [[(1, 1)]], "props": {}}]}
+    for x, names in ((0, "ab"), (1, "a")):
+        (tmp_path / "1" / str(x)).mkdir(parents=True)
+        (tmp_path / "1" / str(x) / "0.mvt").write_bytes(mvt.encode_tile([layer(n) for n in names]))
+    source = f'from_container filename="{tmp_path}"'
+    for text in (source + " | vector_filter_layers filter=[a]", source + " | vector_filter_properties regex=q | vector_filter_layers filter=[a]", source + " | vector_filter_layers filter=[b] invert=true"):
+        got = {r.x: [x["name"] for x in mvt.decode_tile(bytes(r.data))] for r in run_vpl(spark, text).tiles.collect()}
+        assert got == {0: ["b"], 1: []}
+
+
+def test_broken_tiles(spark):
+    good = mvt.encode_tile([{"name": "a", "extent": 256, "version": 2, "features": [{"id": 1, "kind": 1, "parts": [[(1, 1)]], "props": {}}]}])
+    t = spark.createDataFrame([(0, 0, 0, bytearray(good)), (1, 0, 0, bytearray(b"\x1a\xff\xff"))], "z long, x long, y long, data binary")
+    assert tiles.decode(t, skip_broken=True).count() == 1 and [r.z for r in tiles.broken(t).collect()] == [1]
+    with pytest.raises(Exception):
+        tiles.decode(t).collect()
+    assert (tiles.repair(t).count(), tiles.repair(t, drop_offenders=True).count()) == (2, 1)
+
+
 def test_overzoom_lines(spark):
-    rows = [(0, 0, 0, "l", 0, 1, 2, [[[0, 100], [4096, 100]]], {"a": "1"}), (0, 0, 0, "l", 1, 2, 1, [[[3000, 3000]]], {})]
+    rows = [(0, 0, 0, "l", 0, 1, 2, [[[0, 100], [4096, 100]]], {"a": "1"}, 4096, 2), (0, 0, 0, "l", 1, 2, 1, [[[3000, 3000]]], {}, 4096, 2)]
     f = spark.createDataFrame(rows, tiles.FEATURES)
     out = tiles.overzoom(f, 0, 1).where("z = 1").collect()
     assert {(r.id, r.x, r.y) for r in out} == {(1, 0, 0), (1, 1, 0), (2, 1, 1)}
@@ -241,14 +282,14 @@ def test_overscaled_stack(spark):
 
 
 def test_climbing_overzoom(spark):
-    row = lambda z, x, i: (z, x, 0, "l", 0, i, 1, [[[10, 10]]], {})
+    row = lambda z, x, i: (z, x, 0, "l", 0, i, 1, [[[10, 10]]], {}, None, None)
     f = spark.createDataFrame([row(0, 0, 1), row(1, 1, 2)], tiles.FEATURES)
     out = tiles.overzoom_climbing(f, 1, 2).collect()
     assert sorted((r.z, r.x, r.y, r.id) for r in out) == [(0, 0, 0, 1), (1, 0, 0, 1), (1, 1, 0, 2), (2, 0, 0, 1), (2, 2, 0, 2)]
 
 
 def test_layer_bytes(spark):
-    t = tiles.encode(spark.createDataFrame([(0, 0, 0, "l", i, i, 1, [[[i, 10]]], {"k": "1"}) for i in range(5)], tiles.FEATURES))
+    t = tiles.encode(spark.createDataFrame([(0, 0, 0, "l", i, i, 1, [[[i, 10]]], {"k": "1"}, 4096, 2) for i in range(5)], tiles.FEATURES))
     r = tiles.layer_bytes(t).collect()[0]
     assert (r.tiles, r.features, r.vertices, r.tags) == (1, 5, 5, 10) and r.encoded == r.geometry + r.tags + r["keys"] + r.vals + r.ids + r.other
 

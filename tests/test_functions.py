@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -11,7 +12,7 @@ from tesselon.functions import geometry as G
 from tesselon.functions import mvt
 from tesselon.functions import png as P
 from tesselon.functions.coords import bbox_to_range
-from tesselon.operators.reports import sample_windows, splitmix64
+from tesselon.operators.reports import plan_windows, splitmix64, windows_for_sample
 from tesselon.plans import vpl
 from tesselon.plans.cel import ExpressionError, _tokens
 from tesselon.plans.tileset import TileJSON
@@ -164,9 +165,14 @@ def test_expression_tokens():
 
 def test_sampling():
     assert splitmix64(0) == 0 and splitmix64(1) == 0x5692161D100B05E5
-    assert sample_windows(4, 0.1, 4**10) == [(0, 0, 15, 15)]
-    windows = sample_windows(10, 0.02, 4**10)
-    assert len(windows) == 6 and all(0 <= a <= c < 1024 and c - a == 63 for a, _, c, _ in windows)
+    assert [windows_for_sample(*a) for a in ((1.0, 16_384), (0.1, 16_384), (0.1, 4_000_000), (0.001, 1))] == [4, 1, 98, 1]
+    with pytest.raises(ValueError):
+        windows_for_sample(0.0, 10)
+    assert plan_windows(4, (2, 3, 12, 9), 3) == [(2, 3, 12, 9)]
+    found = plan_windows(10, (100, 200, 900, 1000), 5)
+    assert len(found) == 5 == len(set(found)) and all(100 <= a and c <= 900 and 200 <= b and d <= 1000 and c - a == d - b == 63 for a, b, c, d in found)
+    first = (100 + splitmix64(10 << 40) % 738, 200 + splitmix64((10 << 40) ^ 1) % 738)
+    assert first in {w[:2] for w in found}
 
 
 def test_colors_and_tables():
@@ -187,3 +193,21 @@ def test_all_operators_are_described():
     read = "from_color from_container from_csv from_debug from_geo from_grid from_merged_vector from_stacked from_stacked_raster from_tile from_tilejson"
     change = "filter meta_update remap_coords dem_overview dem_quantize dem_tile_resize raster_flatten raster_format raster_levels raster_mask raster_overscale raster_overview raster_tile_resize vector_filter_features vector_filter_layers vector_filter_properties vector_overzoom vector_repair vector_update_properties"
     assert known == set(f"{read} {change}".split())
+
+
+def test_numbers_and_nulls_in_expressions(spark):
+    from tesselon.functions.values import format_template, value_type
+    from tesselon.plans.cel import compile_expression
+
+    texts = [("-0", "Int"), ("0", "UInt"), ("-42", "Int"), ("-042", "String"), ("-00.0", "String"), ("1e-3", "Double"), ("-0.5", "Double"), (".42", "String"), ("", "String"), (" 42", "String"), ("true", "Bool")]
+    got = {r.t: r.k for r in spark.createDataFrame(texts, "t string, want string").select("t", value_type("t").alias("k")).collect()}
+    assert got == dict(texts)
+    rows = [({"n": "9007199254740993"},), ({"n": "null"},), ({},), ({"n": "1.5"},), ({"n": "-3"},)]
+    df = spark.createDataFrame(rows, "props map<string,string>")
+    holds = lambda e: [r[0] for r in df.select(compile_expression(e)).collect()]
+    assert holds("n == null") == [False, True, True, False, False]
+    assert holds("has(props.n)") == [True, False, False, True, True]
+    assert holds("n == 9007199254740992") == [False] * 5 and holds("n == 9007199254740993")[0] and holds("n > 9007199254740992")[0]
+    assert holds("n == -3 || n == 1.5") == [False, False, False, True, True] and holds("n < 2") == [False, False, False, True, True]
+    short = spark.range(3).select(format_template("{v:03}", {"v": F.col("id") * 777}).alias("t")).collect()
+    assert [r.t for r in short] == ["000", "777", "1554"]
