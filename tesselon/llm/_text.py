@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], whole[at[0] : at[-1]]
 
 
+def give_back() -> None:
+    """Returns free memory to the system: a worker is used by many tasks, of different operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with at most ``limit`` bytes of text, or one row."""
+    give_back()
     for batch in batches:
         at, _ = utf8(batch.column(batch.schema.get_field_index(column)))
         i = 0
@@ -51,6 +62,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch
+    give_back()
 
 
 class Words:

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselon.llm._text import Hasher, slices, utf8
+from tesselon.llm._text import Hasher, give_back, slices, utf8
 
 #: Labelled rows that the model is fitted on, at most; those with a longer text are not taken.
 MAX_FIT_ROWS = 6000
 MAX_FIT_CHARS = 32_000
+#: Bytes of text that the driver works on at once when it fits.
+FIT_SLICE_BYTES = 1 << 18
 #: Toxic documents that must hold a learnt stem, and the share of its documents that must be toxic.
 MIN_SUPPORT, MIN_PRECISION = 4, 0.9
 #: Parts of the labelled rows, each of which is read with stems of the others to fit the weights.
@@ -235,7 +237,7 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.nda
 def _held_stems(reader: Reader, column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(text, stem, how often) for each text and each of its stems, or of those in ``only``; fixed words hold none."""
     out, first = [], 0
-    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", FIT_SLICE_BYTES):
         tokens = Tokens(reader.hasher, part.column(0))
         free = _look_up(reader.fixed, tokens.hashes) == 0
         texts, keys = [], []
@@ -302,7 +304,7 @@ def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, t
 def _stem_hashes(reader: Reader, column: pa.Array, chars: int, known: set[int]) -> list[tuple[int, int]]:
     """(whole hash, key) of the stems with these keys; a key is the hash with its last bits replaced by the length."""
     found = set()
-    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+    for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", FIT_SLICE_BYTES):
         _, hashes = Tokens(reader.hasher, part.column(0)).stems(chars)
         keys = (hashes & ~np.uint64(15)) | np.uint64(chars)
         some = np.isin(keys, np.array(sorted(known), np.uint64))
@@ -342,7 +344,7 @@ def fit(rows: list[tuple[str, int]]) -> Grammar:
     for own in range(FOLDS):
         stems = learn_stems(reader, *split([r for i, part in enumerate(parts) if i != own for r in part]))
         texts = pa.RecordBatch.from_arrays([pa.array([t for t, _ in parts[own]], pa.large_string())], names=["text"])
-        x.extend(reader.counts(part.column(0), stems) for part in slices(iter([texts]), "text"))
+        x.extend(reader.counts(part.column(0), stems) for part in slices(iter([texts]), "text", FIT_SLICE_BYTES))
         y.extend(label for _, label in parts[own])
     weights, base = fit_weights(np.concatenate(x).astype(float), np.array(y))
     return Grammar(learn_stems(reader, *split(rows)), weights, base)
@@ -397,6 +399,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: F.Column | None =
     docs = docs.drop(*names)
     rows = labelled_rows(docs, labels.select(id_column, "toxic"), F.lit(True) if trains is None else trains, column, id_column)
     grammar = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    del rows
+    give_back()
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["toxicity double, worst_clause double, toxic_patterns array<string>"])
     return docs.mapInArrow(_score(grammar, column, names), schema)
 
