@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,14 @@ def convert(
     kept = general.filter_tiles(s.relation, bbox, bbox_border, min_zoom, max_zoom)
     if flip_y or swap_xy:
         kept = general.remap_coords(kept, flip_y=flip_y, swap_xy=swap_xy)
-    containers.write_container(containers.recompress(s.then(kept, "convert").tiles, s.compression, compress), target, s.format, compress)
+    known = s.tilejson
+    if bbox:
+        old = known.bounds or containers.WORLD_BOUNDS
+        known = replace(known, center=None, bounds=(max(old[0], bbox[0]), max(old[1], bbox[1]), min(old[2], bbox[2]), min(old[3], bbox[3])))
+    limits = {"minzoom": (max, min_zoom), "maxzoom": (min, max_zoom)}
+    known = replace(known, **{k: v if getattr(known, k) is None else pick(getattr(known, k), v) for k, (pick, v) in limits.items() if v is not None})
+    out = containers.recompress(s.then(kept, "convert").tiles, s.compression, compress)
+    containers.write_container(out, target, s.format, compress, {**known.to_dict(), "format": s.format})
 
 
 def probe(source: TileSet, depth: int = 1) -> dict[str, DataFrame]:

@@ -21,6 +21,17 @@ class TileJSON:
     values: dict = field(default_factory=dict)
     vector_layers: dict = field(default_factory=dict)
 
+    @staticmethod
+    def from_dict(known: dict) -> TileJSON:
+        return _described(known)
+
+    def to_dict(self) -> dict:
+        """The JSON form, without what is not known."""
+        out = {"tilejson": "3.0.0", **self.values, "bounds": self.bounds and list(self.bounds), "center": self.center and list(self.center), "minzoom": self.minzoom, "maxzoom": self.maxzoom}
+        if self.vector_layers:
+            out["vector_layers"] = [{"id": k, **v} for k, v in self.vector_layers.items()]
+        return {k: v for k, v in out.items() if v is not None}
+
     def merge(self, other: TileJSON) -> TileJSON:
         """Bounds and levels grow; attribution and description are joined without repeats; the rest is overwritten."""
         both = lambda f, a, b: a if b is None else b if a is None else f(a, b)
@@ -44,6 +55,14 @@ class TileJSON:
         return replace(self, **known, values={**self.values, **{k: v for k, v in changes.items() if k not in known and v is not None}})
 
 
+def _described(known: dict) -> TileJSON:
+    """A description from the JSON form that servers and archives have."""
+    own = ("bounds", "center", "minzoom", "maxzoom", "vector_layers", "tiles", "tilejson")
+    layers = {v["id"]: {k: w for k, w in v.items() if k != "id"} for v in known.get("vector_layers") or []}
+    pick = lambda k: tuple(known[k]) if known.get(k) else None
+    return TileJSON(pick("bounds"), pick("center"), known.get("minzoom"), known.get("maxzoom"), {k: v for k, v in known.items() if k not in own}, layers)
+
+
 def merge_layers(a: dict, b: dict) -> dict:
     out = {k: dict(v) for k, v in a.items()}
     for name, layer in b.items():

@@ -234,15 +234,13 @@ WHOLE = [-180.0, -85.05112877980659, 180.0, 85.05112877980659]
 
 @operator(READ)
 def from_container(spark, *, filename: str) -> TileSet:
-    kind = "mvt"
-    read = containers.read_container(spark, filename)
+    """Tiles with the description that the container has. The format is that of the first blob; where there is none,
+    the described one."""
+    read, known = containers.read_container(spark, filename), containers.describe(filename)
     head = read.select("data").head()
-    compression = "gzip" if head and bytes(head.data)[:2] == b"\x1f\x8b" else "none"
-    if compression == "gzip":
-        read, compression = containers.recompress(read, "gzip", "none"), "none"
-    if head and bytes(head.data)[:4] == b"\x89PNG":
-        kind = "png"
-    return TileSet(read.select("z", "x", "y", "data"), kind, compression, lineage=("from_container",))
+    kind, packed = containers.sniff(bytes(head.data)) if head else ({"pbf": "mvt"}.get(known.get("format"), known.get("format") or "mvt"), "none")
+    known.pop("format", None)
+    return TileSet(containers.recompress(read, packed, "none").select("z", "x", "y", "data"), kind, "none", tilejson=TileJSON.from_dict(known), lineage=("from_container",))
 
 
 @operator(READ)
@@ -343,7 +341,8 @@ def from_debug(spark, *, level_max: int = 4, bbox: list[float] = None) -> TileSe
 @operator(READ)
 def from_tile(spark, *, filename: str, level_max: int = 4, bbox: list[float] = None) -> TileSet:
     keys = features.coordinates(spark, range(level_max + 1), tuple(bbox or WHOLE))
-    return TileSet(features.one_tile(keys, filename), "png" if filename.lower().endswith(".png") else "mvt", lineage=("from_tile",))
+    kind = next((k for k in ("png", "jpg", "webp", "avif") if filename.lower().endswith("." + k)), "mvt")
+    return TileSet(features.one_tile(keys, filename), kind, lineage=("from_tile",))
 
 
 # --- transforms ----------------------------------------------------------------------------------

@@ -31,6 +31,9 @@ from tesselon.functions.mvt import read_varint, varint
 from tesselon.operators.general import first_of_each
 
 TILES = "z bigint, x bigint, y bigint, data binary"
+WORLD_BOUNDS = (-180.0, -85.05112877980659, 180.0, 85.05112877980659)
+#: What blobs of image formats begin with, and from which byte on.
+_MAGIC = ((0, b"\x89PNG", "png"), (0, b"\xff\xd8\xff", "jpg"), (8, b"WEBP", "webp"), (4, b"ftypavif", "avif"))
 _NAME = re.compile(r"(?:^|/)(\d+)/(\d+)/(\d+)\.([a-z]+)(?:\.(gz|zst))?$")
 
 
@@ -83,7 +86,7 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
     return tiles.select("z", "x", "y", "data")
 
 
-def write_directory(tiles: DataFrame, path: str, extension: str) -> None:
+def write_directory(tiles: DataFrame, path: str, extension: str, metadata: dict | None = None) -> None:
     """Writes files from all tasks; of repeated keys the smallest content is kept, so that reruns agree."""
     once = first_of_each(tiles.select("z", "x", "y", "data"), "data")
 
@@ -99,6 +102,11 @@ def write_directory(tiles: DataFrame, path: str, extension: str) -> None:
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
     once.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    if metadata:
+        fs, root = open_path(path)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/tiles.json") as out:
+            out.write(json.dumps(metadata).encode())
 
 
 # --- tar -----------------------------------------------------------------------------------------
@@ -183,9 +191,13 @@ def _ordered(tiles: DataFrame) -> Iterator:
     return once.orderBy("id").toLocalIterator(prefetchPartitions=True)
 
 
-def write_tar(tiles: DataFrame, path: str, extension: str) -> None:
+def write_tar(tiles: DataFrame, path: str, extension: str, metadata: dict | None = None) -> None:
     fs, name = open_path(path)
     with fs.open_output_stream(name) as out, tarfile.open(fileobj=out, mode="w|") as tar:
+        if metadata:
+            info, text = tarfile.TarInfo("tiles.json"), json.dumps(metadata).encode()
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text))
         for r in _ordered(tiles):
             info = tarfile.TarInfo(f"{r.z}/{r.x}/{r.y}.{extension}")
             info.size = len(r.data)
@@ -232,6 +244,14 @@ class MBTilesSource(DataSource):
         return _MBTiles(self.options["path"])
 
 
+def mbtiles_metadata(kind: str, known: dict) -> dict[str, str]:
+    """The metadata table's rows: lists with commas, layers as JSON, everything as text."""
+    rows = {k: ",".join(map(str, v)) if k in ("bounds", "center") else v for k, v in known.items() if k not in ("tilejson", "vector_layers", "format")}
+    if known.get("vector_layers"):
+        rows["json"] = json.dumps({"vector_layers": known["vector_layers"]})
+    return {"format": "pbf" if kind == "mvt" else kind, **{k: v if isinstance(v, str) else json.dumps(v) for k, v in rows.items()}}
+
+
 def write_mbtiles(tiles: DataFrame, path: str, metadata: dict[str, str]) -> None:
     """Rows count from the south, as the format has it."""
     fs, name = open_path(path)
@@ -351,7 +371,7 @@ class PMTilesSource(DataSource):
         return _PMTiles(self.options["path"])
 
 
-def write_pmtiles(tiles: DataFrame, path: str, kind: str, compression: str = "none", metadata: dict | None = None, bounds=(-180.0, -85.0, 180.0, 85.0)) -> None:
+def write_pmtiles(tiles: DataFrame, path: str, kind: str, compression: str = "none", metadata: dict | None = None, bounds=WORLD_BOUNDS) -> None:
     """Clustered by Hilbert id; equal contents are stored once, consecutive equal tiles are one run."""
     import xxhash
 
@@ -401,6 +421,49 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def sniff(data: bytes) -> tuple[str, str]:
+    """(format, compression) of a blob: an image by its first bytes, else a vector tile."""
+    if data[:2] == b"\x1f\x8b":
+        return sniff(gzip.decompress(data))[0], "gzip"
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return sniff(decompress(data, "zstd"))[0], "zstd"
+    return next((kind for at, magic, kind in _MAGIC if data[at : at + len(magic)] == magic), "mvt"), "none"
+
+
+def describe(path: str) -> dict:
+    """What an archive says of itself, in the JSON form of a TileJSON; format as the archive names it."""
+    lower = path.lower()
+    if lower.endswith(".mbtiles"):
+        with sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True) as db:
+            rows = dict(db.execute("SELECT name, value FROM metadata"))
+        known = {**rows, **json.loads(rows.pop("json", "{}"))}
+        known.pop("json", None)
+        for key, kind in (("bounds", float), ("center", float)):
+            if key in known:
+                known[key] = [kind(v) for v in known[key].split(",")]
+        return known | {k: int(known[k]) for k in ("minzoom", "maxzoom") if k in known}
+    fs, name = open_path(path)
+    if lower.endswith(".pmtiles"):
+        with fs.open_input_file(name) as source:
+            header = read_header(source.read_at(127, 0))
+            known = json.loads(decompress(source.read_at(header["metadata_length"], header["metadata_offset"]), header["internal"]) or b"{}")
+        return known | {"bounds": header["bounds"], "minzoom": header["minzoom"], "maxzoom": header["maxzoom"], "format": header["type"]}
+    if lower.endswith(".tar"):
+        with fs.open_input_file(name) as source, tarfile.open(fileobj=io.BufferedReader(_Raw(source))) as tar:
+            for member in tar:
+                if member.isfile() and os.path.basename(member.name) in ("tiles.json", "metadata.json"):
+                    return json.loads(tar.extractfile(member).read())
+                if _NAME.search(member.name):  # descriptions come first
+                    break
+        return {}
+    if not lower.endswith(".parquet"):
+        for own in ("tiles.json", "metadata.json"):
+            if fs.get_file_info(f"{name}/{own}").type == pafs.FileType.File:
+                with fs.open_input_stream(f"{name}/{own}") as source:
+                    return json.loads(source.read())
+    return {}
+
+
 def read_container(spark: SparkSession, path: str) -> DataFrame:
     """Tiles of a container, by the path's extension; a path without one is a directory."""
     register(spark)
@@ -413,13 +476,14 @@ def read_container(spark: SparkSession, path: str) -> DataFrame:
 def write_container(tiles: DataFrame, path: str, kind: str, compression: str = "none", metadata: dict | None = None) -> None:
     suffix = {"none": "", "gzip": ".gz", "zstd": ".zst"}[compression]
     if path.lower().endswith(".pmtiles"):
-        write_pmtiles(tiles, path, kind, compression, metadata)
+        known = metadata or {}
+        write_pmtiles(tiles, path, kind, compression, {k: v for k, v in known.items() if k not in ("bounds", "center", "tilejson", "minzoom", "maxzoom")}, tuple(known.get("bounds") or WORLD_BOUNDS))
     elif path.lower().endswith(".mbtiles"):
-        write_mbtiles(tiles, path, {"format": "pbf" if kind == "mvt" else kind, **(metadata or {})})
+        write_mbtiles(tiles, path, mbtiles_metadata(kind, metadata or {}))
     elif path.lower().endswith(".tar"):
-        write_tar(tiles, path, kind + suffix)
+        write_tar(tiles, path, kind + suffix, metadata)
     elif path.lower().endswith(".parquet"):
         once = first_of_each(tiles.select("z", "x", "y", "data"), "data").withColumn("_id", hilbert_id("z", "x", "y"))
         once.repartitionByRange("_id").sortWithinPartitions("_id").drop("_id").write.mode("overwrite").parquet(path)
     else:
-        write_directory(tiles, path, kind + suffix)
+        write_directory(tiles, path, kind + suffix, metadata)

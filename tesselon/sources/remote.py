@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,10 @@ def fetch(url: str, retries: int = 3, wait: float = 0.5) -> bytes | None:
     return None
 
 
+#: Tiles of a frame that a task hands on.
+FRAME_TILES = 256
+
+
 def read_tilejson(spark: SparkSession, url: str, max_retries: int = 3, tasks: int = 4) -> tuple[DataFrame, TileJSON]:
     """Tiles of the address within the described bounds and levels. tasks bounds the requests at once."""
     text = json.loads(fetch(url, max_retries))
@@ -41,14 +46,17 @@ def read_tilejson(spark: SparkSession, url: str, max_retries: int = 3, tasks: in
     template = text["tiles"][0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for z, x, y in batch[["z", "x", "y"]].itertuples(index=False):
                 data = fetch(template.replace("{z}", str(z)).replace("{x}", str(x)).replace("{y}", str(y)), max_retries)
                 if data is not None:
-                    yield pd.DataFrame({"z": [z], "x": [x], "y": [y], "data": [data]})
+                    rows.append((z, x, y, data))
+                if len(rows) == FRAME_TILES:
+                    yield pd.DataFrame(rows, columns=["z", "x", "y", "data"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "data"])
 
     keys = coordinates(spark, levels, bounds).repartition(tasks)
-    layers = {v["id"]: {k: w for k, w in v.items() if k != "id"} for v in text.get("vector_layers", [])}
-    known = ("tiles", "bounds", "center", "minzoom", "maxzoom", "vector_layers")
-    center = tuple(text["center"]) if text.get("center") else None
-    return keys.mapInPandas(run, "z long, x long, y long, data binary"), TileJSON(bounds, center, levels.start, levels.stop - 1, {k: v for k, v in text.items() if k not in known}, layers)
+    return keys.mapInPandas(run, "z long, x long, y long, data binary"), replace(TileJSON.from_dict(text), bounds=bounds, minzoom=levels.start, maxzoom=levels.stop - 1)

@@ -305,6 +305,37 @@ def test_convert_and_probe(spark, tmp_path):
     assert {r.props["char"] for r in tiles.decode(source.tiles.where("z = 1 AND y = 0")).where("layer = 'debug_y'").collect()} == {'"1"'}
 
 
+@pytest.mark.parametrize("name", ["b.mbtiles", "b.pmtiles", "b.tar", "b"])
+def test_descriptions_are_kept(spark, tmp_path, name):
+    from tesselon.convert import convert, open_source
+
+    text = "vpl:from_debug level_max=2 | meta_update name=Try attribution='(c) me' description=some bounds=[-10, -20, 30, 40]"
+    convert(spark, text, str(tmp_path / name), min_zoom=1, bbox=(-5, -30, 35, 35), compress="gzip")
+    for again in (name, "c" + name):
+        source = open_source(spark, str(tmp_path / again))
+        known = source.tilejson
+        assert (known.values["name"], known.values["attribution"], known.values["description"]) == ("Try", "(c) me", "some")
+        assert known.bounds == (-5, -20, 30, 35) and known.minzoom == 1 and set(known.vector_layers) == {"debug_x", "debug_y", "debug_z"}
+        assert known.vector_layers["debug_x"]["fields"] == {"char": "String", "index": "Number"} and source.format == "mvt"
+        if again == name:
+            convert(spark, str(tmp_path / name), str(tmp_path / ("c" + name)))
+
+
+def test_images_pass_through(spark, tmp_path):
+    from tesselon.convert import convert, open_source
+    from tesselon.sources import containers
+
+    jpg, webp = b"\xff\xd8\xff\xe0 some picture", b"RIFF\0\0\0\0WEBPVP8 more"
+    for kind, data in (("jpg", jpg), ("webp", webp)):
+        assert containers.sniff(data) == (kind, "none")
+        (tmp_path / kind / "0" / "0").mkdir(parents=True)
+        (tmp_path / kind / "0" / "0" / f"0.{kind}").write_bytes(data)
+        for end in ("mbtiles", "pmtiles", "tar"):
+            convert(spark, str(tmp_path / kind), str(tmp_path / f"{kind}.{end}"))
+            source = open_source(spark, str(tmp_path / f"{kind}.{end}"))
+            assert source.format == kind and bytes(source.tiles.head().data) == data
+
+
 def test_shared_borders_stay_shared(spark):
     from tesselon.operators.borders import lines_of, simplify_shared
 
