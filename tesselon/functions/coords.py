@@ -231,3 +231,70 @@ def near_bbox(bbox, border: int = 0, z="z", x="x", y="y") -> Column:
     cell = lambda part: F.greatest(F.lit(0.0), F.least(side - 1, F.floor(side * F.lit(part))))
     across = _c(x).between(cell((west + NUDGE) / 360 + 0.5) - border, cell((east - NUDGE) / 360 + 0.5) + border)
     return across & _c(y).between(cell(share(north - NUDGE)) - border, cell(share(south + NUDGE)) + border)
+
+
+# --- tile boxes ----------------------------------------------------------------------------------
+# A box is (x_min, y_min, x_max, y_max) of one level, both ends included; None is the empty box.
+
+Box = tuple[int, int, int, int]
+
+
+def box_union(a: Box | None, b: Box | None) -> Box | None:
+    """The smallest box that holds both."""
+    if a is None or b is None:
+        return b if a is None else a
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def box_intersection(a: Box | None, b: Box | None) -> Box | None:
+    if a is None or b is None:
+        return None
+    out = max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
+    return out if out[0] <= out[2] and out[1] <= out[3] else None
+
+
+def box_grow(box: Box | None, size: int, level: int) -> Box | None:
+    """With a ring of ``size`` tiles, within the level."""
+    last = (1 << level) - 1
+    return box and (max(0, box[0] - size), max(0, box[1] - size), min(last, box[2] + size), min(last, box[3] + size))
+
+
+def box_shift(box: Box | None, dx: int, dy: int, level: int) -> Box | None:
+    """Moved; what leaves the level is cut off."""
+    last = (1 << level) - 1
+    return box and box_intersection((box[0] + dx, box[1] + dy, box[2] + dx, box[3] + dy), (0, 0, last, last))
+
+
+def box_at_level(box: Box | None, level: int, to: int) -> Box | None:
+    """The same area on another level, or the tiles that hold it."""
+    if box is None or to == level:
+        return box
+    if to > level:
+        steps = to - level
+        return box[0] << steps, box[1] << steps, (box[2] + 1 << steps) - 1, (box[3] + 1 << steps) - 1
+    return tuple(v >> level - to for v in box)
+
+
+def box_remapped(box: Box | None, level: int, flip_x: bool = False, flip_y: bool = False, swap_xy: bool = False) -> Box | None:
+    """As ``remap`` moves each tile of it."""
+    if box is None:
+        return None
+    last = (1 << level) - 1
+    x0, y0, x1, y1 = box
+    if flip_x:
+        x0, x1 = last - x1, last - x0
+    if flip_y:
+        y0, y1 = last - y1, last - y0
+    return (y0, x0, y1, x1) if swap_xy else (x0, y0, x1, y1)
+
+
+def box_index(box: Box, x="x", y="y") -> Column:
+    """Row-major place of a tile in the box; null outside."""
+    inside = _c(x).between(box[0], box[2]) & _c(y).between(box[1], box[3])
+    return F.when(inside, (_c(y) - box[1]) * (box[2] - box[0] + 1) + _c(x) - box[0]).cast("bigint")
+
+
+def box_tile(box: Box, index="index") -> tuple[Column, Column]:
+    """(x, y) of a row-major place: inverse of ``box_index``."""
+    width = box[2] - box[0] + 1
+    return (F.pmod(_c(index), F.lit(width)) + box[0]).cast("bigint"), (F.floor(_c(index) / width) + box[1]).cast("bigint")

@@ -42,12 +42,16 @@ def layer_stats(features: DataFrame) -> DataFrame:
 def schema_violations(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Breaches of rules (layer, attribute, type, required, minzoom) with the number of features concerned.
 
-    A rule table has one row for each attribute of a schema; Spark broadcasts it if it is as small as that."""
+    Rules may have enum, the allowed texts of a value (null: any); a breach of it has the problem enum. A rule
+    table has one row for each attribute of a schema; Spark broadcasts it if it is as small as that."""
     rule = rules.withColumnRenamed("layer", "_layer").withColumnRenamed("type", "wanted")
+    rule = rule if "enum" in rule.columns else rule.withColumn("enum", F.lit(None).cast("array<string>"))
     joined = features.select("layer", "z", "props").join(rule, F.col("layer") == F.col("_layer"))
-    value = F.try_element_at("props", F.col("attribute"))
+    value = F.nullif(F.try_element_at("props", F.col("attribute")), F.lit("null"))
     kind = F.when(value.isin("true", "false"), "Boolean").when(value.startswith('"'), "String").otherwise("Number")
-    problem = F.when(value.isNull() & F.col("required"), "missing").when(value.isNotNull() & (kind != F.col("wanted")), "type").when(F.col("z") < F.col("minzoom"), "zoom")
+    text = F.when(value.startswith('"'), F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]).otherwise(value)
+    problem = F.when(value.isNull() & F.col("required"), "missing").when(value.isNotNull() & (kind != F.col("wanted")), "type")
+    problem = problem.when(value.isNotNull() & F.col("enum").isNotNull() & ~F.array_contains("enum", text), "enum").when(F.col("z") < F.col("minzoom"), "zoom")
     return joined.select("layer", "attribute", problem.alias("problem")).where("problem IS NOT NULL").groupBy("layer", "attribute", "problem").agg(F.count(F.lit(1)).alias("features"))
 
 
@@ -132,6 +136,17 @@ def merge_runs(entries: DataFrame, partition: list[str] | None = None) -> DataFr
     return runs.groupBy(*(partition or []), "_run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("run"), F.first("hash").alias("hash")).drop("_run")
 
 
+def find_in_runs(runs: DataFrame, ids: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """The rows of ``ids`` (id, ...) with the columns of the run (first, run, ...) that holds them, null where none does.
+
+    An equi-join on parts of ``span`` ids, into which each run is dealt: no order over all rows is needed."""
+    part = F.explode(F.sequence(F.floor(F.col("first") / span), F.floor((F.col("first") + F.col("run") - 1) / span)))
+    dealt = runs.withColumn("_part", part)
+    asked = ids.withColumn("_part", F.floor(F.col("id") / span))
+    within = (F.col("id") >= F.col("first")) & (F.col("id") < F.col("first") + F.col("run"))
+    return asked.join(dealt, (asked["_part"] == dealt["_part"]) & within, "left").drop("_part")
+
+
 def dedup_blobs(tiles: DataFrame, content: str = "data") -> DataFrame:
     """Distinct contents with the smallest id that has them and their number of uses."""
     return tiles.groupBy(content).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("uses"))

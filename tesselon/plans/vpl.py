@@ -278,7 +278,9 @@ def _shapes(spark, shapes, layer: str, min_zoom: int, max_zoom: int, step: str,
 
 
 @operator(READ)
-def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, properties_include: list = None, properties_exclude: list = None) -> TileSet:
+def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", has_header: bool = True, layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, properties_include: list = None, properties_exclude: list = None) -> TileSet:
+    if not has_header:
+        raise PipelineError("from_csv needs a header")
     shapes = features.read_csv(spark, filename, lon_column, lat_column, id_column, delimiter, properties_include, properties_exclude)
     return _shapes(spark, shapes, layer_name, min_zoom, max_zoom, "from_csv")
 
@@ -295,11 +297,17 @@ def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: in
 
 
 @operator(READ)
-def from_grid(spark, *, epsg: int, size: float, bbox: list[float], id_preset: str = None, id_template: str = None, id_field: str = "id", layer_name: str = "grid", max_cells_per_tile: int = 4096, max_zoom: int = 10) -> TileSet:
-    """Cells of EPSG:4326, 3857 or 3035 as polygons; the box is in the grid's units."""
+def from_grid(spark, *, epsg: int, size: float, bbox: list[float], offset: list[float] = None, id_preset: str = None, id_template: str = None, id_field: str = "id", x_field: str = "x", y_field: str = "y", layer_name: str = "grid", max_cells_per_tile: int = 1024, max_zoom: int = None) -> TileSet:
+    """Cells of EPSG:4326, 3857 or 3035 as polygons, in all tiles that the box, in degrees, touches. Levels go from the
+    first whose tiles hold few enough cells to max_zoom, or three further ones."""
     from tesselon.functions.coords import laea_inverse
 
-    cells = features.grid_cells(spark, epsg, size, tuple(bbox), id_preset=id_preset, id_template=id_template)
+    metres = size * 111_319.49 if epsg == 4326 else size
+    low = features.grid_zoom(metres, max_cells_per_tile)
+    top = min(MAX_LEVEL, low + 3) if max_zoom is None else max_zoom
+    low = min(low, top)
+    box = features.grid_box(spark, epsg, features.tiles_box(tuple(bbox), low))
+    cells = features.grid_cells(spark, epsg, size, box, tuple(offset or (0.0, 0.0)), id_preset, id_template)
 
     def place(a: str, b: str):
         if epsg == 3035:
@@ -308,12 +316,14 @@ def from_grid(spark, *, epsg: int, size: float, bbox: list[float], id_preset: st
             return F.col(a), F.col(b)
         return F.col(a) / 6_378_137.0 * 180 / F.pi(), F.degrees(2 * F.atan(F.exp(F.col(b) / 6_378_137.0)) - F.pi() / 2)
 
+    number = lambda c: F.when(F.floor(c) == F.col(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string"))
     corner = lambda a, b: F.concat(F.lit("["), F.concat_ws(",", *[v.cast("string") for v in place(a, b)]), F.lit("]"))
     ring = F.concat_ws(",", *[corner(a, b) for a, b in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"), ("west", "south"))])
-    shapes = cells.select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geometry"), F.create_map(F.lit(id_field), F.concat(F.lit('"'), "id_text", F.lit('"'))).alias("props"))
-    metres = size * 111_319.49 if epsg == 4326 else size
-    low = features.grid_zoom(metres, max_cells_per_tile)
-    return _shapes(spark, shapes, layer_name, min(low, max_zoom), max_zoom, "from_grid", tolerance=0.0)
+    shapes = cells.select(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geometry"), F.create_map(F.lit(id_field), F.concat(F.lit('"'), "id_text", F.lit('"')), F.lit(x_field), number("west"), F.lit(y_field), number("south")).alias("props"))
+    drawn = _shapes(spark, shapes, layer_name, low, top, "from_grid", tolerance=0.0)
+    fields = {id_field: "String", x_field: "Number", y_field: "Number"}
+    known = TileJSON(bounds=tuple(bbox), minzoom=low, maxzoom=top, values={"name": layer_name}, vector_layers={layer_name: {"fields": fields, "minzoom": low, "maxzoom": top}})
+    return TileSet(general.filter_tiles(drawn.relation, tuple(bbox)), "mvt", tilejson=known, lineage=("from_grid",))
 
 
 @operator(READ)
@@ -372,6 +382,14 @@ def meta_update(source, *, attribution: str = None, bounds: list[float] = None,
     return source.then(source.relation, "meta_update", tilejson=now)
 
 
+def _deepest(source: TileSet) -> int:
+    """The deepest level that has tiles."""
+    found = source.relation.agg(F.max("z")).first()[0]
+    if found is None:
+        raise PipelineError("the source has no tiles")
+    return found
+
+
 def _on_features(source: TileSet, step: str, change: Callable) -> TileSet:
     return source.then(change(source.features), step)
 
@@ -408,7 +426,8 @@ def vector_repair(source, *, drop_offenders: bool = False) -> TileSet:
 
 
 @operator(TRANSFORM, "vector")
-def vector_overzoom(source, *, level_base: int, level_max: int = None, enable_climbing: bool = False, buffer: int = 80) -> TileSet:
+def vector_overzoom(source, *, level_base: int = None, level_max: int = None, enable_climbing: bool = False, buffer: int = 80) -> TileSet:
+    level_base = _deepest(source) if level_base is None else level_base
     top = min(MAX_LEVEL, level_base + 4 if level_max is None else level_max)
     zoom = tiles.overzoom_climbing if enable_climbing else tiles.overzoom
     return _on_features(source, "vector_overzoom", lambda f: zoom(f, level_base, top, buffer=buffer))
@@ -441,8 +460,8 @@ def raster_mask(source, *, geojson: str, buffer: float = 0.0, blur: float = 0.0,
 
 
 @operator(TRANSFORM, "raster")
-def raster_overview(source, *, level: int) -> TileSet:
-    return source.then(raster.overview(source.tiles, level), "raster_overview")
+def raster_overview(source, *, level: int = None) -> TileSet:
+    return source.then(raster.overview(source.tiles, _deepest(source) if level is None else level), "raster_overview")
 
 
 @operator(TRANSFORM, "raster")
@@ -457,8 +476,8 @@ def raster_tile_resize(source, *, tile_size: int) -> TileSet:
 
 
 @operator(TRANSFORM, "raster")
-def dem_overview(source, *, level: int) -> TileSet:
-    return source.then(raster.overview(source.tiles, level, dem=True), "dem_overview")
+def dem_overview(source, *, level: int = None) -> TileSet:
+    return source.then(raster.overview(source.tiles, _deepest(source) if level is None else level, dem=True), "dem_overview")
 
 
 @operator(TRANSFORM, "raster")

@@ -7,6 +7,7 @@ partitions through one writer, one partition at a time.
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import io
 import json
@@ -298,6 +299,19 @@ def tile_key(tile_id: int) -> tuple[int, int, int]:
     return z, x, y
 
 
+def hilbert_number(z: int, x: int, y: int) -> int:
+    """Hilbert id of one tile: the inverse of ``tile_key``."""
+    out, side = 0, 1 << z
+    for i in range(z - 1, -1, -1):
+        right, low = x >> i & 1, y >> i & 1
+        out += (3 * right ^ low) << 2 * i
+        if not low:
+            if right:
+                x, y = side - 1 - x, side - 1 - y
+            x, y = y, x
+    return out + (4**z - 1) // 3
+
+
 def encode_directory(entries: list[tuple[int, int, int, int]]) -> bytes:
     """entries: (id, offset, length, run), sorted by id."""
     out = bytearray(varint(len(entries)))
@@ -359,6 +373,25 @@ class _PMTiles(_ByteRanges):
                         yield (*tile_key(tile_id + i), header["data_offset"] + place, size)
 
 
+def pmtiles_tile(path: str, z: int, x: int, y: int) -> bytes | None:
+    """One tile of an archive as it is stored: the root and at most a few leaf directories are read, nothing else."""
+    wanted = hilbert_number(z, x, y)
+    fs, name = open_path(path)
+    with fs.open_input_file(name) as source:
+        header = read_header(source.read_at(127, 0))
+        offset, length = header["root_offset"], header["root_length"]
+        for _ in range(4):
+            entries = decode_directory(decompress(source.read_at(length, offset), header["internal"]))
+            at = bisect.bisect_right(entries, wanted, key=lambda e: e[0]) - 1
+            if at < 0:
+                return None
+            first, place, size, run = entries[at]
+            if run:
+                return source.read_at(size, header["data_offset"] + place) if wanted < first + run else None
+            offset, length = header["leaf_offset"] + place, size
+    return None
+
+
 class PMTilesSource(DataSource):
     @classmethod
     def name(cls) -> str:

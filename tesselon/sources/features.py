@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselon.functions import png as P
-from tesselon.functions.coords import WORLD, bbox_to_range
+from tesselon.functions.coords import WORLD, bbox_to_range, laea_forward, mercator_x, mercator_y
 from tesselon.functions.values import ID_PRESETS, format_template
 from tesselon.operators.vector import literal
 
@@ -168,6 +168,25 @@ def grid_zoom(cell: float, max_cells: int) -> int:
     return min(30, max(0, int(np.ceil(np.log2(WORLD / (cell * np.sqrt(max_cells)))))))
 
 
+def tiles_box(bbox: tuple[float, float, float, float], level: int, margin: float = 80 / 4096) -> tuple[float, float, float, float]:
+    """The degrees that the tiles of a level cover which a box touches, with a margin of tiles."""
+    x0, y0, x1, y1 = bbox_to_range(bbox, level)
+    n = 1 << level
+    lon = lambda x: min(180.0, max(-180.0, x / n * 360 - 180))
+    lat = lambda y: float(np.degrees(2 * np.arctan(np.exp(np.pi * (1 - 2 * min(1.0, max(0.0, y / n)))))) - 90)
+    return lon(x0 - margin), lat(y1 + 1 + margin), lon(x1 + 1 + margin), lat(y0 - margin)
+
+
+def grid_box(spark: SparkSession, epsg: int, bbox: tuple[float, float, float, float], samples: int = 64) -> tuple[float, float, float, float]:
+    """The box in the units of a known system that holds a box in degrees, by places along and within it."""
+    step = [F.lit(bbox[k]) + (bbox[k + 2] - bbox[k]) / samples * F.col(c) for k, c in ((0, "i"), (1, "j"))]
+    places = spark.range((samples + 1) ** 2).select((F.col("id") % (samples + 1)).alias("i"), F.floor(F.col("id") / (samples + 1)).alias("j")).select(step[0].alias("lon"), step[1].alias("lat"))
+    if epsg == 4326:
+        return bbox
+    x, y = laea_forward("lon", "lat") if epsg == 3035 else (mercator_x("lon"), mercator_y("lat"))
+    return tuple(places.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first())
+
+
 def grid_cells(spark: SparkSession, epsg: int, size: float, bbox: tuple[float, float, float, float], offset: tuple[float, float] = (0.0, 0.0), id_preset: str | None = None, id_template: str | None = None) -> DataFrame:
     """Cells (id_text, cx, cy, west, south, east, north in the grid's units) of a square grid that touch a
     box in those units. Known systems: 3035, 3857 (metres) and 4326 (degrees)."""

@@ -321,6 +321,18 @@ def test_descriptions_are_kept(spark, tmp_path, name):
             convert(spark, str(tmp_path / name), str(tmp_path / ("c" + name)))
 
 
+def test_look_up_in_an_archive(spark, tmp_path):
+    from tesselon.sources import containers
+
+    keys = features.coordinates(spark, range(0, 7))
+    data = F.when(F.col("x") % 3 == 0, F.lit("same")).otherwise(F.concat_ws("/", "z", "x", "y")).cast("binary")
+    containers.write_container(keys.withColumn("data", data), str(tmp_path / "a.pmtiles"), "mvt")
+    for z, x, y in ((0, 0, 0), (6, 1, 63), (6, 62, 3), (5, 31, 31), (4, 3, 2)):
+        assert containers.pmtiles_tile(str(tmp_path / "a.pmtiles"), z, x, y) == (b"same" if x % 3 == 0 else f"{z}/{x}/{y}".encode())
+        assert containers.tile_key(containers.hilbert_number(z, x, y)) == (z, x, y)
+    assert containers.pmtiles_tile(str(tmp_path / "a.pmtiles"), 7, 0, 0) is None
+
+
 def test_images_pass_through(spark, tmp_path):
     from tesselon.convert import convert, open_source
     from tesselon.sources import containers
@@ -385,6 +397,15 @@ def test_laea(spark):
 
 
 def test_grid_of_3035_is_drawn(spark):
-    out = run_vpl(spark, "from_grid epsg=3035 size=100000 bbox=[4200000, 3100000, 4400000, 3300000] max_zoom=6 | filter level_min=6")
-    names = {r.props["id"] for r in out.features.collect()}
-    assert names == {f'"CRS3035RES100000mN{n}E{e}"' for n in (3100000, 3200000) for e in (4200000, 4300000)}
+    """The box is in degrees; every tile that it touches is filled."""
+    from tesselon.functions.coords import bbox_to_range
+
+    box = (8.5, 50.8, 11.2, 52.8)
+    source = run_vpl(spark, f"from_grid epsg=3035 size=100000 bbox={list(box)} offset=[50000, 0] max_zoom=6 x_field=east")
+    out = source.features.where("z = 6").collect()
+    x0, y0, x1, y1 = bbox_to_range(box, 6)
+    assert {(r.x, r.y) for r in out} == {(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)}
+    props = {r.props["id"]: (r.props["east"], r.props["y"]) for r in out}
+    assert set(props) >= {f'"CRS3035RES100000mN{n}E{e}"' for n in (3100000, 3200000) for e in (4250000, 4350000)}
+    assert props['"CRS3035RES100000mN3100000E4250000"'] == ("4250000", "3100000") and len(props) > 8
+    assert source.tilejson.bounds == box and source.tilejson.vector_layers["grid"]["fields"] == {"id": "String", "east": "Number", "y": "Number"}

@@ -211,3 +211,34 @@ def test_numbers_and_nulls_in_expressions(spark):
     assert holds("n == -3 || n == 1.5") == [False, False, False, True, True] and holds("n < 2") == [False, False, False, True, True]
     short = spark.range(3).select(format_template("{v:03}", {"v": F.col("id") * 777}).alias("t")).collect()
     assert [r.t for r in short] == ["000", "777", "1554"]
+
+
+def test_boxes(spark):
+    from tesselon.functions import coords as C
+
+    a, b = (1, 1, 3, 4), (3, 0, 6, 2)
+    assert C.box_union(a, b) == (1, 0, 6, 4) and C.box_intersection(a, b) == (3, 1, 3, 2) and C.box_intersection(a, (5, 5, 6, 6)) is None
+    assert C.box_union(None, a) == a and C.box_intersection(None, a) is None
+    assert C.box_grow(a, 2, 3) == (0, 0, 5, 6) and C.box_shift(a, -2, 5, 3) == (0, 6, 1, 7) and C.box_shift(a, 9, 0, 3) is None
+    assert C.box_at_level(a, 3, 4) == (2, 2, 7, 9) and C.box_at_level((2, 3, 7, 9), 4, 3) == (1, 1, 3, 4)
+    assert C.box_remapped(a, 3, flip_x=True) == (4, 1, 6, 4) and C.box_remapped(a, 3, flip_y=True, swap_xy=True) == (3, 1, 6, 3)
+    x, y = C.box_tile(a)
+    rows = spark.range(12).withColumnRenamed("id", "index").select("index", x.alias("x"), y.alias("y")).select("*", C.box_index(a).alias("again")).collect()
+    assert all(r.index == r.again for r in rows) and (rows[4].x, rows[4].y) == (2, 2)
+    assert spark.range(1).select(C.box_index(a, F.lit(0), F.lit(1))).first()[0] is None
+
+
+def test_find_in_runs(spark):
+    from tesselon.operators.reports import find_in_runs
+
+    runs = spark.createDataFrame([(0, 3, "a"), (5, 100, "b"), (200, 1, "c")], "first long, run long, hash string")
+    got = {r.id: r.hash for r in find_in_runs(runs, spark.createDataFrame([(i,) for i in (0, 2, 3, 5, 104, 105, 200, 201)], "id long"), span=16).collect()}
+    assert got == {0: "a", 2: "a", 3: None, 5: "b", 104: "b", 105: None, 200: "c", 201: None}
+
+
+def test_rules_with_allowed_values(spark):
+    from tesselon.operators.reports import schema_violations
+
+    f = spark.createDataFrame([("l", 3, {"k": '"a"'}), ("l", 3, {"k": '"z"'}), ("l", 3, {"k": "null"}), ("l", 3, {"k": "5"})], "layer string, z long, props map<string,string>")
+    rules = spark.createDataFrame([("l", "k", "String", True, 0, ["a", "b"])], "layer string, attribute string, type string, required boolean, minzoom int, enum array<string>")
+    assert {(r.problem, r.features) for r in schema_violations(f, rules).collect()} == {("enum", 1), ("missing", 1), ("type", 1)}
