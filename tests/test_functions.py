@@ -152,7 +152,7 @@ def test_parse_pipeline():
 def test_check_pipeline():
     assert vpl.check(vpl.parse("from_nothing")) == ["unknown operator from_nothing"]
     assert vpl.check(vpl.parse("filter")) == ["filter is no read operator"]
-    assert vpl.check(vpl.parse("from_debug | raster_overview")) == ["raster_overview: level is missing"]
+    assert vpl.check(vpl.parse("from_debug | raster_overview")) == [] and vpl.check(vpl.parse("from_debug | raster_tile_resize")) == ["raster_tile_resize: tile_size is missing"]
     assert vpl.check(vpl.parse("from_debug what=1")) == ["from_debug: unknown parameter what"]
     assert vpl.check(vpl.parse("from_stacked [from_debug]")) == ["from_stacked needs two sources at least"]
 
