@@ -224,7 +224,7 @@ def test_boxes(spark):
     assert C.box_remapped(a, 3, flip_x=True) == (4, 1, 6, 4) and C.box_remapped(a, 3, flip_y=True, swap_xy=True) == (3, 1, 6, 3)
     x, y = C.box_tile(a)
     rows = spark.range(12).withColumnRenamed("id", "index").select("index", x.alias("x"), y.alias("y")).select("*", C.box_index(a).alias("again")).collect()
-    assert all(r.index == r.again for r in rows) and (rows[4].x, rows[4].y) == (2, 2)
+    assert all(r["index"] == r.again for r in rows) and (rows[4].x, rows[4].y) == (2, 2)
     assert spark.range(1).select(C.box_index(a, F.lit(0), F.lit(1))).first()[0] is None
 
 
