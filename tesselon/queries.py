@@ -635,10 +635,22 @@ def mvt_overzoom(spark, sf_dir):
     return tiles.overzoom(_point_features(spark, sf_dir), 3, 5).select(*KEY, "layer", "id")
 
 
-@query()
 def min_distance(spark, sf_dir):
     p = points(spark, sf_dir).select("event_id", "event_type", C.mercator_x("lon").alias("mx"), C.mercator_y("lat").alias("my"))
-    return tiles.thin_min_distance(p, 500_000.0, "event_type", "event_id")
+    return tiles.thin_min_distance(p, 500_000.0, "event_type", "event_id").select("event_id", "event_type", F.round("mx", 2).alias("mx"), F.round("my", 2).alias("my"))
+
+
+QUERIES["min_distance"] = min_distance
+ORACLE_SQL["min_distance"] = """WITH RECURSIVE o AS (
+  SELECT event_id, event_type, lon * pi() / 180 * 6378137.0 AS mx, 6378137.0 * ln(tan(lat * pi() / 360 + pi() / 4)) AS my, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn
+  FROM (SELECT event_id, event_type, -180.0::DOUBLE + 360.0::DOUBLE * ((event_id * 7919) % 100003) / 100003.0::DOUBLE AS lon, -85.0::DOUBLE + 170.0::DOUBLE * ((event_id * 104729) % 99991) / 99991.0::DOUBLE AS lat FROM events)
+), r AS (
+  SELECT event_id, event_type, mx, my, rn, [{'a': mx, 'b': my}] AS held, TRUE AS free FROM o WHERE rn = 1
+  UNION ALL
+  SELECT event_id, event_type, mx, my, rn, CASE WHEN free THEN list_append(held, {'a': mx, 'b': my}) ELSE held END, free FROM (
+    SELECT o.*, r.held, len(list_filter(r.held, lambda k: pow(k.a - o.mx, 2) + pow(k.b - o.my, 2) < 500000.0 * 500000.0)) = 0 AS free FROM r JOIN o ON o.event_type = r.event_type AND o.rn = r.rn + 1)
+)
+SELECT event_id, event_type, round(mx, 2) AS mx, round(my, 2) AS my FROM r WHERE free"""
 
 
 @query()
@@ -648,12 +660,17 @@ def draw_cells(spark, sf_dir):
     return run_vpl(spark, "from_grid epsg=4326 size=5 bbox=[0, 40, 30, 60] max_zoom=5 | filter level_min=3").tiles.select(*KEY, F.length("data").alias("size"))
 
 
-@query()
+@query("""SELECT z, x, y, color AS first, color AS last FROM (
+SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, printf('%02x%02x%02xff', CAST(round(255 * pow(red / 255.0, 1.2)) AS INTEGER), CAST(round(255 * pow(green / 255.0, 1.2)) AS INTEGER), CAST(round(255 * pow(blue / 255.0, 1.2)) AS INTEGER)) AS color
+FROM (SELECT CAST(range AS BIGINT) AS z, CASE WHEN range <= 2 THEN 128 ELSE 255 END AS red, CASE WHEN range <= 2 THEN 0 ELSE 255 - 128 END AS green, 255 - 128 AS blue FROM range(0, 4)) AS l,
+range(0, 8) AS a, range(0, 8) AS b WHERE a.range < pow(2, z) AND b.range < pow(2, z))""")
 def alpha_blend(spark, sf_dir):
+    """Red of opacity 128 in front of blue, which ends at level 2; below that, of white."""
+    from tesselon.operators.raster import corner_colors
     from tesselon.plans.vpl import run_vpl
 
     out = run_vpl(spark, "from_stacked_raster [from_color color=ff000080 size=16 level_max=3, from_color color=0000ff size=16 level_max=2] | raster_flatten | raster_levels gamma=1.2")
-    return out.tiles.select(*KEY, F.length("data").alias("size"))
+    return corner_colors(out.tiles)
 
 
 @query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b
