@@ -128,12 +128,26 @@ def auto_max_zoom(sizes: DataFrame, world: float, extent: int = 4096) -> DataFra
 # --- directories ---------------------------------------------------------------------------------
 
 
-def merge_runs(entries: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """Entries (id, hash) in runs of consecutive ids with equal content: (first, run, hash)."""
-    order = Window.partitionBy(*(partition or [])).orderBy("id")
-    new = F.when((F.lag("id").over(order) == F.col("id") - 1) & (F.lag("hash").over(order) == F.col("hash")), 0).otherwise(1)
-    runs = entries.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    return runs.groupBy(*(partition or []), "_run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("run"), F.first("hash").alias("hash")).drop("_run")
+def merge_runs(entries: DataFrame, partition: list[str] | None = None, span: int = 1 << 20) -> DataFrame:
+    """Entries (id, hash) in runs of consecutive ids with equal content: (first, run, hash).
+
+    Runs are found within parts of ``span`` ids; only those that touch a border, two a part at most, are then
+    put together across borders, in one order for each partition."""
+    keys = list(partition or [])
+
+    def joined(rows: DataFrame, order, follows: Column) -> DataFrame:
+        return rows.withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+
+    within = Window.partitionBy(*keys, "_part").orderBy("id")
+    follows = (F.lag("id").over(within) == F.col("id") - 1) & (F.lag("hash").over(within) == F.col("hash"))
+    runs = joined(entries.withColumn("_part", F.floor(F.col("id") / span)), within, follows)
+    runs = runs.groupBy(*keys, "_part", "_run").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("run"), F.first("hash").alias("hash"))
+    at_border = (F.col("first") == F.col("_part") * span) | (F.col("first") + F.col("run") == (F.col("_part") + 1) * span)
+    across = Window.partitionBy(*keys).orderBy("first")
+    follows = (F.lag(F.col("first") + F.col("run")).over(across) == F.col("first")) & (F.lag("hash").over(across) == F.col("hash"))
+    border = joined(runs.where(at_border).drop("_run"), across, follows).groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.sum("run").alias("run"), F.min_by("hash", "first").alias("hash"))
+    names = [*keys, "first", "run", "hash"]
+    return runs.where(~at_border).select(names).unionByName(border.select(names))
 
 
 def find_in_runs(runs: DataFrame, ids: DataFrame, span: int = 1 << 20) -> DataFrame:
@@ -152,19 +166,43 @@ def dedup_blobs(tiles: DataFrame, content: str = "data") -> DataFrame:
     return tiles.groupBy(content).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("uses"))
 
 
-def coalesce_ranges(ranges: DataFrame, gap: int = 256 * 1024, partition: list[str] | None = None) -> DataFrame:
-    """Byte ranges (offset, length) read together unless more than ``gap`` bytes lie between them."""
-    order = Window.partitionBy(*(partition or [])).orderBy("offset", "length")
-    before = F.max(F.col("offset") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    chunks = ranges.withColumn("_new", F.when(F.col("offset") - before <= gap, 0).otherwise(1)).withColumn("_chunk", F.sum("_new").over(order))
-    return chunks.groupBy(*(partition or []), "_chunk").agg(F.min("offset").alias("offset"), (F.max(F.col("offset") + F.col("length")) - F.min("offset")).alias("length"), F.count(F.lit(1)).alias("ranges")).drop("_chunk")
-
-
-def peak_in_flight(intervals: DataFrame) -> DataFrame:
-    """One row: the largest number of intervals (start, stop) open at once."""
+def coalesce_ranges(ranges: DataFrame, gap: int = 256 * 1024, partition: list[str] | None = None, span: int = 1 << 30) -> DataFrame:
+    """Byte ranges (offset, length) read together unless more than ``gap`` bytes lie between them.
+
+    Ranges are ordered within parts of ``span`` bytes; what a part must know of those before it, the furthest end
+    and the number of chunks, goes through one row for each part."""
+    keys = list(partition or [])
+    part = [*keys, "_part"]
+    rows = ranges.withColumns({"_part": F.floor(F.col("offset") / span), "_stop": F.col("offset") + F.col("length")})
+    within = Window.partitionBy(*part).orderBy("offset", "length")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda of, name, f: of.withColumn(name, f(name).over(earlier))
+    reach = carried(rows.groupBy(*part).agg(F.max("_stop").alias("_reach")), "_reach", F.max)
+    match = lambda a, b: [a[c].eqNullSafe(b[c]) for c in part]
+
+    def with_parts(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        test = match(a, b)[0]
+        for t in match(a, b)[1:]:
+            test = test & t
+        return a.join(b, test).select(a["*"], b[name])
+
+    known = with_parts(rows, reach, "_reach")
+    before = F.greatest(F.max("_stop").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    chunks = known.withColumn("_new", F.when(F.col("offset") - before <= gap, 0).otherwise(1)).withColumn("_local", F.sum("_new").over(within))
+    number = carried(chunks.groupBy(*part).agg(F.sum("_new").alias("_base")), "_base", F.sum)
+    chunks = with_parts(chunks, number, "_base").withColumn("_chunk", F.col("_local") + F.coalesce("_base", F.lit(0)))
+    return chunks.groupBy(*keys, "_chunk").agg(F.min("offset").alias("offset"), (F.max("_stop") - F.min("offset")).alias("length"), F.count(F.lit(1)).alias("ranges")).drop("_chunk")
+
+
+def peak_in_flight(intervals: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """One row: the largest number of intervals (start, stop) open at once. Sums run within parts of ``span`` moments;
+    across parts one row each is added up."""
     events = intervals.select(F.col("start").alias("t"), F.lit(1).alias("d")).union(intervals.select(F.col("stop") + 1, F.lit(-1)))
-    steps = events.groupBy("t").agg(F.sum("d").alias("d"))
-    return steps.withColumn("open", F.sum("d").over(Window.orderBy("t"))).agg(F.max("open").cast("bigint").alias("peak"))
+    steps = events.groupBy("t").agg(F.sum("d").alias("d")).withColumn("_part", F.floor(F.col("t") / span))
+    open_ = steps.withColumn("open", F.sum("d").over(Window.partitionBy("_part").orderBy("t")))
+    parts = open_.groupBy("_part").agg(F.max("open").alias("top"), F.sum("d").alias("d"))
+    before = F.coalesce(F.sum("d").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.select((F.col("top") + before).alias("open")).agg(F.max("open").cast("bigint").alias("peak"))
 
 
 def value_dictionary(features: DataFrame) -> DataFrame:

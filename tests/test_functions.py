@@ -242,3 +242,24 @@ def test_rules_with_allowed_values(spark):
     f = spark.createDataFrame([("l", 3, {"k": '"a"'}), ("l", 3, {"k": '"z"'}), ("l", 3, {"k": "null"}), ("l", 3, {"k": "5"})], "layer string, z long, props map<string,string>")
     rules = spark.createDataFrame([("l", "k", "String", True, 0, ["a", "b"])], "layer string, attribute string, type string, required boolean, minzoom int, enum array<string>")
     assert {(r.problem, r.features) for r in schema_violations(f, rules).collect()} == {("enum", 1), ("missing", 1), ("type", 1)}
+
+
+def test_orders_in_parts(spark):
+    """Parts of any size give what one order over all rows gives."""
+    from tesselon.operators import reports
+
+    rng = np.random.default_rng(5)
+    ids = np.flatnonzero(rng.random(400) < 0.8)
+    entries = spark.createDataFrame([(int(i), int(i) // 37 % 2, k) for i in ids for k in ("a", None)], "id long, hash int, k string")
+    offsets = np.sort(rng.integers(0, 5000, 200))
+    ranges = spark.createDataFrame([(int(o), int(rng.integers(0, 60)), "ab"[i % 2]) for i, o in enumerate(offsets)], "offset long, length long, k string")
+    spans = spark.createDataFrame([(int(a), int(a + rng.integers(0, 300))) for a in rng.integers(0, 3000, 300)], "start long, stop long")
+    for job in (
+        lambda n: reports.merge_runs(entries.where("k = 'a'").drop("k"), span=n),
+        lambda n: reports.merge_runs(entries, ["k"], span=n),
+        lambda n: reports.coalesce_ranges(ranges, 20, span=n),
+        lambda n: reports.coalesce_ranges(ranges, 20, ["k"], span=n),
+        lambda n: reports.peak_in_flight(spans, span=n),
+    ):
+        results = [sorted(map(str, job(n).collect())) for n in (1 << 40, 7, 64)]
+        assert results[0] == results[1] == results[2] and results[0]
