@@ -127,6 +127,47 @@ def rings_distance(x: float, y: float, rings: list[Ring]) -> float:
     return best
 
 
+def edges_distance(x: float, y: float, edges: np.ndarray) -> float:
+    """Distance of a point to the nearest of the edges (x0, y0, x1, y1)."""
+    a, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
+    n = (d * d).sum(axis=1)
+    t = np.clip((((x, y) - a) * d).sum(axis=1) / np.where(n > 0, n, 1), 0, 1)
+    return float(np.hypot(*((x, y) - a - t[:, None] * d).T).min())
+
+
+def inside_rows(xs: np.ndarray, ys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each place of a raster, rows ys by columns xs in rising order, whether it is inside by the even-odd rule.
+    Each row is crossed once; only edges at its height are looked at."""
+    low, high = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    some = edges[(low <= ys.max()) & (high >= ys.min()) & (low < high)]
+    out = np.zeros((len(ys), len(xs)), bool)
+    for j, y in enumerate(ys):
+        x0, y0, x1, y1 = some[(some[:, 1] > y) != (some[:, 3] > y)].T
+        crossings = np.sort((x1 - x0) * (y - y0) / (y1 - y0) + x0)
+        out[j] = (len(crossings) - np.searchsorted(crossings, xs, "right")) % 2 == 1
+    return out
+
+
+def near_distances(xs: np.ndarray, ys: np.ndarray, edges: np.ndarray, far: float) -> np.ndarray:
+    """Distance of each place of a raster, columns rising and rows falling, to the nearest edge; infinite where that
+    is beyond ``far``. An edge is measured only from the places around it."""
+    out = np.full((len(ys), len(xs)), np.inf)
+    left, right = np.minimum(edges[:, 0], edges[:, 2]) - far, np.maximum(edges[:, 0], edges[:, 2]) + far
+    low, high = np.minimum(edges[:, 1], edges[:, 3]) - far, np.maximum(edges[:, 1], edges[:, 3]) + far
+    i0, i1 = np.searchsorted(xs, left), np.searchsorted(xs, right, "right")
+    j0, j1 = np.searchsorted(-ys, -high), np.searchsorted(-ys, -low, "right")
+    for k in np.flatnonzero((i0 < i1) & (j0 < j1)):
+        x0, y0, x1, y1 = edges[k]
+        x, y = xs[i0[k] : i1[k]][None, :], ys[j0[k] : j1[k]][:, None]
+        dx, dy = x1 - x0, y1 - y0
+        n = dx * dx + dy * dy
+        t = np.clip(((x - x0) * dx + (y - y0) * dy) / (n if n > 0 else 1), 0, 1)
+        part = out[j0[k] : j1[k], i0[k] : i1[k]]
+        np.minimum(part, np.hypot(x - x0 - t * dx, y - y0 - t * dy), out=part)
+    out[out > far] = np.inf
+    return out
+
+
 def tile_box(z: int, x: int, y: int) -> Box:
     """Mercator box of a tile."""
     w = WORLD / 2**z

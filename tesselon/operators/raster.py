@@ -73,28 +73,28 @@ def mask(tiles: DataFrame, rings: list[list[tuple[float, float]]], buffer: float
     ``blur`` metres. Tiles wholly inside pass as they are, those wholly outside go."""
     if blur_function not in ("linear", "cosine"):
         raise ValueError("blur_function is linear or cosine")
-    everything = np.concatenate([np.asarray(r, float) for r in rings])
-    reach = (everything[:, 0].min() - buffer - blur, everything[:, 1].min() - buffer - blur, everything[:, 0].max() + buffer + blur, everything[:, 1].max() + buffer + blur)
-
-    def share(x: float, y: float) -> float:
-        edge = G.rings_distance(x, y, rings)
-        depth = edge if G.point_in_rings(x, y, rings) else -edge
-        if blur <= 0:
-            return float(depth >= -buffer)
-        t = min(1.0, max(0.0, (depth + buffer + blur / 2) / blur))
-        return t if blur_function == "linear" else (1 - math.cos(math.pi * t)) / 2
+    edges = np.concatenate([np.hstack([p[:-1], p[1:]]) for p in (np.asarray(r, float) for r in rings)])
+    far = abs(buffer) + max(0.0, blur)
+    reach = (edges[:, [0, 2]].min() - far, edges[:, [1, 3]].min() - far, edges[:, [0, 2]].max() + far, edges[:, [1, 3]].max() + far)
 
     def change(image: np.ndarray, key: tuple[int, int, int]) -> np.ndarray | None:
         box = G.tile_box(*key)
         if box[2] < reach[0] or box[0] > reach[2] or box[3] < reach[1] or box[1] > reach[3]:
             return None
         middle, half = ((box[0] + box[2]) / 2, (box[1] + box[3]) / 2), (box[2] - box[0]) / math.sqrt(2)
-        edge = G.rings_distance(*middle, rings)
-        if edge > half + buffer + blur:  # no edge comes near
-            return image if G.point_in_rings(*middle, rings) else None
+        if G.edges_distance(*middle, edges) > half + far:  # no edge comes near
+            return image if G.inside_rows(np.array(middle[:1]), np.array(middle[1:]), edges)[0, 0] else None
         size = image.shape[0]
         unit = (box[2] - box[0]) / size
-        alpha = np.array([[share(box[0] + (i + 0.5) * unit, box[3] - (j + 0.5) * unit) for i in range(size)] for j in range(size)])
+        xs, ys = box[0] + (np.arange(size) + 0.5) * unit, box[3] - (np.arange(size) + 0.5) * unit
+        inside = G.inside_rows(xs, ys, edges)
+        if far > 0:
+            edge = G.near_distances(xs, ys, edges, far + unit)
+            depth = np.where(inside, edge, -edge)
+            t = np.clip((depth + buffer + blur / 2) / blur, 0, 1) if blur > 0 else (depth >= -buffer).astype(float)
+        else:
+            t = inside.astype(float)
+        alpha = t if blur_function == "linear" or blur <= 0 else (1 - np.cos(np.pi * t)) / 2
         out = P.to_rgba(image)
         out[..., 3] = (out[..., 3] * np.round(alpha * 255).astype(np.int64) // 255).astype(np.uint8)
         return None if P.is_empty(out) else out

@@ -127,11 +127,12 @@ def repair(tiles: DataFrame, drop_offenders: bool = False) -> DataFrame:
     return tiles.mapInPandas(run, tiles.schema)
 
 
-def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", extent: int = 4096, buffer: int = 80, tolerance: float = 4.0, min_area: float = 4.0, min_length: float = 4.0) -> DataFrame:
+def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", extent: int = 4096, buffer: int = 80, tolerance: float = 4.0, min_area: float = 4.0, min_length: float = 4.0, line_tolerance: float | None = None) -> DataFrame:
     """Feature rows of shapes (id, geometry GeoJSON text, props) at each level.
 
     A spatial join by tiles: each shape's box is exploded into the tiles it touches, in Spark, and only
-    then cut, one (shape, tile) a row; shapes too small at a level go before that."""
+    then cut, one (shape, tile) a row; shapes too small at a level go before that. Lines are simplified by
+    line_tolerance, by default as polygons are."""
 
     def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,7 +159,7 @@ def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", exten
             rows = []
             for r in batch.itertuples():
                 kind, parts = G.shape_parts(json.loads(r.geometry))
-                drawn = G.draw(kind, parts, int(r.z), int(r.x), int(r.y), extent, buffer, tolerance)
+                drawn = G.draw(kind, parts, int(r.z), int(r.x), int(r.y), extent, buffer, tolerance if kind != 2 or line_tolerance is None else line_tolerance)
                 if drawn:
                     rows.append((r.z, r.x, r.y, layer, 0, r.id, kind, [[list(p) for p in part] for part in drawn], r.props, extent, 2))
             out = pd.DataFrame(rows, columns=COLUMNS)
@@ -168,6 +169,23 @@ def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", exten
     return drawn.withColumn("feat_no", F.coalesce("id", F.lit(0)))
 
 
+def shape_sizes(shapes: DataFrame) -> DataFrame:
+    """(size): what each shape counts for the choice of a deepest level, in metres of the Mercator plane. Points are 0,
+    lines count by their length, polygons by the root of their area; broken ones of no size are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text in batch["geometry"]:
+                kind, parts = G.shape_parts(json.loads(text))
+                size = 0.0 if kind == 1 else sum(map(G.length, parts)) if kind == 2 else sum(map(G.area, parts)) ** 0.5
+                if kind == 1 or 0 < size < float("inf"):
+                    found.append(size)
+            yield pd.DataFrame({"size": found}, dtype=float)
+
+    return shapes.select("geometry").mapInPandas(run, "size double")
+
+
 def thin_points(points: DataFrame, cell: float, order: str = "id") -> DataFrame:
     """At most one point (mx, my in metres) of each square cell, the first by ``order``: the distributed
     form of thinning. ``thin_min_distance`` is the exact, sequential one."""

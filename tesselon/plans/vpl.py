@@ -15,8 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tesselon.functions.coords import MAX_LEVEL
-from tesselon.operators import general, raster, tiles, vector
+from tesselon.functions.coords import MAX_LEVEL, WORLD
+from tesselon.operators import general, raster, reports, tiles, vector
 from tesselon.plans.tileset import TileJSON, TileSet
 from tesselon.sources import containers, features
 
@@ -272,28 +272,41 @@ def _merged(sources: list[TileSet]) -> TileJSON:
     return out
 
 
-def _shapes(spark, shapes, layer: str, min_zoom: int, max_zoom: int, step: str, **reduce) -> TileSet:
+def _shapes(spark, shapes, layer: str, min_zoom: int, max_zoom: int | None, step: str, **reduce) -> TileSet:
+    if max_zoom is None:
+        found = reports.auto_max_zoom(tiles.shape_sizes(shapes), WORLD).first()
+        max_zoom = 14 if found is None else found.zoom
     drawn = tiles.draw_shapes(shapes, range(min_zoom, max_zoom + 1), layer, **reduce)
     return TileSet(drawn, "mvt", tilejson=TileJSON(minzoom=min_zoom, maxzoom=max_zoom, vector_layers={layer: {"fields": {}}}), lineage=(step,))
 
 
+def _stem(filename: str) -> str:
+    return filename.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+
+
+def _without_ids(shapes, ignore: bool):
+    return shapes.withColumn("id", F.lit(None).cast("bigint")) if ignore else shapes
+
+
 @operator(READ)
-def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", has_header: bool = True, layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, properties_include: list = None, properties_exclude: list = None) -> TileSet:
+def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", has_header: bool = True, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, ignore_id: bool = False) -> TileSet:
+    """The layer is named after the file, and the deepest level chosen by the shapes' sizes, unless they are given."""
     if not has_header:
         raise PipelineError("from_csv needs a header")
     shapes = features.read_csv(spark, filename, lon_column, lat_column, id_column, delimiter, properties_include, properties_exclude)
-    return _shapes(spark, shapes, layer_name, min_zoom, max_zoom, "from_csv")
+    return _shapes(spark, _without_ids(shapes, ignore_id), layer_name or _stem(filename), min_zoom, max_zoom, "from_csv")
 
 
 @operator(READ)
-def from_geo(spark, *, filename: str, layer_name: str = "features", min_zoom: int = 0, max_zoom: int = 8, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0, shared_borders: float = 0.0) -> TileSet:
+def from_geo(spark, *, filename: str, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0, line_simplify: float = 4.0, ignore_id: bool = False, shared_borders: float = 0.0) -> TileSet:
     """shared_borders: tolerance in degrees of a simplification before all levels that keeps common borders."""
     from tesselon.operators.borders import simplify_shared
 
     shapes = features.read_shapefile(spark, filename) if filename.lower().endswith(".shp") else features.read_geojson(spark, filename)
     if shared_borders > 0:
         shapes = simplify_shared(shapes, shared_borders)
-    return _shapes(spark, shapes, layer_name, min_zoom, max_zoom, "from_geo", tolerance=polygon_simplify, min_area=polygon_min_area, min_length=line_min_length)
+    shapes = vector.select_properties(_without_ids(shapes, ignore_id), properties_include, properties_exclude)
+    return _shapes(spark, shapes, layer_name or _stem(filename), min_zoom, max_zoom, "from_geo", tolerance=polygon_simplify, min_area=polygon_min_area, min_length=line_min_length, line_tolerance=line_simplify)
 
 
 @operator(READ)

@@ -673,6 +673,18 @@ def alpha_blend(spark, sf_dir):
     return corner_colors(out.tiles)
 
 
+@query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(2, 6)) AS l, range(0, 32) AS a, range(0, 32) AS b
+WHERE a.range >> (z - 2) IN (1, 2) AND b.range >> (z - 2) IN (1, 2)""")
+def raster_mask(spark, sf_dir):
+    """A mask that ends at tile borders keeps the tiles within it."""
+    from tesselon.operators import raster
+    from tesselon.plans.vpl import run_vpl
+
+    edge = C.WORLD / 4
+    square = [(-edge, -edge), (edge, -edge), (edge, edge), (-edge, edge), (-edge, -edge)]
+    return raster.corner_colors(raster.mask(run_vpl(spark, "from_color color=336699 size=16 level_max=5 | filter level_min=2").tiles, [square]))
+
+
 @query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b
 WHERE a.range < pow(2, z) AND b.range < pow(2, z)""")
 def raster_pyramid(spark, sf_dir):

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tesselon.functions import coords as C
 from tesselon.functions import mvt
 from tesselon.functions import png as P
 from tesselon.operators import general, raster, tiles
@@ -321,6 +322,20 @@ def test_descriptions_are_kept(spark, tmp_path, name):
             convert(spark, str(tmp_path / name), str(tmp_path / ("c" + name)))
 
 
+def test_import_defaults(spark, tmp_path):
+    """The layer has the file's name; half of the shapes are squares of some 111 km, which span four units at level 1."""
+    square = lambda i: {"type": "Feature", "id": i, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i + 1, 1], [i, 1], [i, 0]]]}, "properties": {"a": i, "b": "x"}}
+    (tmp_path / "fields.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [square(i) for i in range(3)]}))
+    source = run_vpl(spark, f"from_geo filename='{tmp_path}/fields.geojson' polygon_min_area=0 properties_include=[a] ignore_id=true")
+    size = C.WORLD / 360
+    assert source.tilejson.maxzoom == max(0, min(14, round(float(np.log2(4 * C.WORLD / (size * 4096))))))
+    rows = source.features.collect()
+    assert {r.layer for r in rows} == {"fields"} and {r.id for r in rows} == {None} and all(set(r.props) == {"a"} for r in rows)
+    (tmp_path / "p.csv").write_text("lon,lat,n\n1,2,3\n")
+    points = run_vpl(spark, f"from_csv filename='{tmp_path}/p.csv' lon_column=lon lat_column=lat")
+    assert points.tilejson.maxzoom == 14 and {r.layer for r in points.features.collect()} == {"p"}
+
+
 def test_look_up_in_an_archive(spark, tmp_path):
     from tesselon.sources import containers
 

@@ -263,3 +263,21 @@ def test_orders_in_parts(spark):
     ):
         results = [sorted(map(str, job(n).collect())) for n in (1 << 40, 7, 64)]
         assert results[0] == results[1] == results[2] and results[0]
+
+
+def test_rasters_against_single_points():
+    from tesselon.functions import geometry as G
+
+    rng = np.random.default_rng(8)
+    angles = np.sort(rng.uniform(0, 2 * np.pi, 40))
+    ring = np.column_stack([np.cos(angles), np.sin(angles)]) * rng.uniform(20, 90, 40)[:, None] + 100
+    hole = [(90.0, 90.0), (110.0, 90.0), (110.0, 111.0), (90.0, 90.0)]
+    rings = [[*map(tuple, ring.tolist()), tuple(ring[0].tolist())], hole]
+    edges = np.concatenate([np.hstack([p[:-1], p[1:]]) for p in map(np.array, rings)])
+    xs, ys = np.arange(0.5, 200, 7.3), np.arange(199.5, 0, -6.1)
+    inside, near = G.inside_rows(xs, ys, edges), G.near_distances(xs, ys, edges, 15.0)
+    for j, y in enumerate(ys):
+        for i, x in enumerate(xs):
+            assert inside[j, i] == G.point_in_rings(x, y, rings)
+            d = G.rings_distance(x, y, rings)
+            assert abs(G.edges_distance(x, y, edges) - d) < 1e-9 and (abs(near[j, i] - d) < 1e-9 if d <= 15 else near[j, i] == np.inf)
