@@ -26,22 +26,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
     Each step sends every edge to the smallest neighbour of one of its ends, found by an aggregation
-    that combines on the map side; a hub's edges are split by the adaptive skew join. What a round
-    makes is written to the shared folder. Nodes without edges do not appear.
+    that combines on the map side and stored: beside a stored table a hub's edges are split by the
+    adaptive skew join, or not dealt at all where the table is small, beside an aggregation they are
+    not. What a round makes is written to the shared folder. Nodes without edges do not appear.
     """
     now = store(_pairs(edges))
     for _ in range(MAX_ROUNDS):
         if _starred(now):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        near = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(near, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = store(_pairs(large))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         after = store(_pairs(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))))
-        forget(now)
-        forget(large)
+        for done in (now, near, large, least):
+            forget(done)
         now = after
     else:
         raise RuntimeError("components did not settle")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tesselon.llm import decontaminate, embedding_dedup, language_model, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
+from tesselon.llm import _components, decontaminate, embedding_dedup, language_model, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
 from tesselon.llm._text import Hasher, slices
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -227,6 +227,31 @@ def test_near_duplicates(docs, rows, size, percent):
     assert got == expected and any(not v[2] for v in expected.values())
 
 
+def test_edges_of_a_hub_are_split(spark, monkeypatch):
+    """Of op3_ and op7_: one node with most edges, and chains; the joins of the steps deal the hub's edges to several tasks."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "8k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "2"}
+    plans, store = [], _components.store
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(_components, "store", seen)
+    star = spark.range(0, 20000, 1, 8).select(F.col("id") + 10, F.lit(5).cast("long"))
+    chain = spark.range(30000, 30004, 1, 2).select(F.col("id") + 1, F.col("id"))
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = dict(map(tuple, _components.components(star.union(chain).toDF("a", "b")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert got == {5: 5} | {i + 10: 5 for i in range(20000)} | {i: 30000 for i in range(30000, 30005)}
+    assert any("SortMergeJoin(skew=true)" in p for p in plans)
+
+
 def test_pairs_that_only_look_met_are_compared():
     sketch = np.arange(2 * minhash.BANDS * minhash.ROWS, dtype=np.uint8).reshape(1, 2, -1)[0, :1].repeat(2, axis=0)
     bands = np.stack([np.arange(minhash.BANDS)] * 2)
