@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesselon.llm import decontaminate, embedding_dedup, language_model, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity
+from tesselon.llm import decontaminate, embedding_dedup, fill_in_middle, fingerprints, language_model, license_scan, line_dedup, minhash, mixing, secrets, substring_dedup, toxicity, whitening
 from tesselon.llm._shared import read
 from tesselon.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -49,6 +49,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_model": op2_language_model,
@@ -60,4 +72,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_fingerprints": op13_fingerprints,
 }
