@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tesselon.llm._text import give_back, mix, slices, utf8
 
 #: Bytes of a feature; features among which the rarest is found; how often it must be the rarest to be taken.
-WINDOW, NEIGHBOURS, LEAST_WINS = 32, 64, 16
+WINDOW, NEIGHBOURS, LEAST_WINS = 16, 32, 8
 #: Bits of a filter, features in each and bits of each feature.
 BITS, CAPACITY, PROBES = 2048, 160, 5
 #: Steps of entropy that are told apart. Those in the lowest quarter are taken last, however rare: they are rules and blanks.
