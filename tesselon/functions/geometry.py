@@ -50,14 +50,22 @@ def clip_line(line: Ring, box: Box) -> list[Ring]:
 def clip_ring(ring: Ring, box: Box) -> Ring:
     """A closed ring cut to a box, side by side."""
     points = ring[:-1] if ring and ring[0] == ring[-1] else list(ring)
+    if not points:
+        return []
     for axis, bound, keep_above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        ends = [p[axis] for p in points]
+        if (min(ends) >= bound) if keep_above else (max(ends) <= bound):
+            continue
+        if (max(ends) < bound) if keep_above else (min(ends) > bound):
+            return []
         inside = (lambda p: p[axis] >= bound) if keep_above else (lambda p: p[axis] <= bound)  # noqa: B023
         out: Ring = []
         for i, here in enumerate(points):
             before = points[i - 1]
             if inside(here) != inside(before):
-                t = (bound - before[axis]) / (here[axis] - before[axis])
-                out.append((before[0] + t * (here[0] - before[0]), before[1] + t * (here[1] - before[1])))
+                other = 1 - axis
+                along = before[other] + (bound - before[axis]) / (here[axis] - before[axis]) * (here[other] - before[other])
+                out.append((along, bound) if axis else (bound, along))
             if inside(here):
                 out.append(here)
         points = out

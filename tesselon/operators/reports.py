@@ -56,10 +56,14 @@ def schema_violations(features: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def size_raster(tiles: DataFrame, scale: int) -> DataFrame:
-    """Cells of scale x scale tiles: ten times the decimal logarithm of the mean size, absent tiles 0 bytes."""
+    """Cells of scale x scale tiles: ten times the binary logarithm of the mean size, absent tiles 0 bytes, in a byte.
+
+    Logarithms of whole powers come out a little off in some libraries, so the level is set right by the powers."""
     cell = [F.floor(F.col(c) / scale).cast("bigint").alias(c) for c in ("x", "y")]
-    mean = F.floor(F.sum("size") / (scale * scale))
-    return tiles.groupBy("z", *cell).agg(F.floor(10 * F.log10(F.greatest(mean, F.lit(1)).cast("double")) + 1e-9).cast("bigint").alias("level"))
+    means = tiles.groupBy("z", *cell).agg(F.greatest(F.sum("size") / float(scale * scale), F.lit(1.0)).alias("mean"))
+    near = F.floor(10 * F.log2("mean") + 0.5)
+    level = F.when(F.pow(F.lit(2.0), near / 10) <= F.col("mean"), near).otherwise(near - 1)
+    return means.select("z", "x", "y", F.least(level, F.lit(255)).cast("bigint").alias("level"))
 
 
 # --- sampling ------------------------------------------------------------------------------------
@@ -167,7 +171,8 @@ def dedup_blobs(tiles: DataFrame, content: str = "data") -> DataFrame:
 
 
 def coalesce_ranges(ranges: DataFrame, gap: int = 256 * 1024, partition: list[str] | None = None, span: int = 1 << 30) -> DataFrame:
-    """Byte ranges (offset, length) read together unless more than ``gap`` bytes lie between them.
+    """Byte ranges (offset, length) read together where less than ``gap`` bytes lie between them; ``chunks.read_chunks``
+    limits their size besides.
 
     Ranges are ordered within parts of ``span`` bytes; what a part must know of those before it, the furthest end
     and the number of chunks, goes through one row for each part."""
@@ -188,7 +193,7 @@ def coalesce_ranges(ranges: DataFrame, gap: int = 256 * 1024, partition: list[st
 
     known = with_parts(rows, reach, "_reach")
     before = F.greatest(F.max("_stop").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
-    chunks = known.withColumn("_new", F.when(F.col("offset") - before <= gap, 0).otherwise(1)).withColumn("_local", F.sum("_new").over(within))
+    chunks = known.withColumn("_new", F.when(F.col("offset") - before < gap, 0).otherwise(1)).withColumn("_local", F.sum("_new").over(within))
     number = carried(chunks.groupBy(*part).agg(F.sum("_new").alias("_base")), "_base", F.sum)
     chunks = with_parts(chunks, number, "_base").withColumn("_chunk", F.col("_local") + F.coalesce("_base", F.lit(0)))
     return chunks.groupBy(*keys, "_chunk").agg(F.min("offset").alias("offset"), (F.max("_stop") - F.min("offset")).alias("length"), F.count(F.lit(1)).alias("ranges")).drop("_chunk")

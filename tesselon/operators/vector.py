@@ -97,13 +97,20 @@ def repair_layers(layers: DataFrame) -> DataFrame:
 
 
 def field_types(features: DataFrame, lattice: str = "rank") -> DataFrame:
-    """(layer, field, type, minzoom, maxzoom). rank: the widest of Boolean, Number, String; conflict: String
-    for every field whose values differ in kind."""
-    each = features.select("layer", "z", F.explode("props").alias("field", "value")).where("value <> 'null'")
-    kind = F.when(F.col("value").isin("true", "false"), 0).when(F.col("value").startswith('"'), 2).otherwise(1)
-    grouped = each.groupBy("layer", "field").agg(F.max(kind).alias("hi"), F.min(kind).alias("lo"), F.min("z").alias("minzoom"), F.max("z").alias("maxzoom"))
-    names = F.array(F.lit("Boolean"), F.lit("Number"), F.lit("String"))
-    widest = F.get(names, F.col("hi"))
+    """(layer, field, type, minzoom, maxzoom), the levels being those of the layer.
+
+    rank: the widest of Boolean, Number, String; a null says nothing, so a field that is only null is not
+    listed. conflict, as tiles are described: String for every field whose values differ in kind or are only null; a
+    layer without fields is one row with a field of null."""
     if lattice not in ("rank", "conflict"):
         raise ValueError("lattice is rank or conflict")
-    return grouped.select("layer", "field", (widest if lattice == "rank" else F.when(F.col("hi") != F.col("lo"), "String").otherwise(widest)).alias("type"), "minzoom", "maxzoom")
+    each = features.select("layer", "z", F.explode_outer("props").alias("field", "value"))
+    kind = F.when(F.col("value").isin("true", "false"), 0).when(F.col("value").startswith('"'), 2).when(F.col("value") != "null", 1)
+    grouped = each.groupBy("layer", "field").agg(F.max(kind).alias("hi"), F.min(kind).alias("lo"), F.min("z").alias("low"), F.max("z").alias("high"))
+    layer = Window.partitionBy("layer")
+    grouped = grouped.withColumns({"minzoom": F.min("low").over(layer), "maxzoom": F.max("high").over(layer), "known": F.count("field").over(layer)})
+    widest = F.get(F.array(F.lit("Boolean"), F.lit("Number"), F.lit("String")), F.col("hi"))
+    if lattice == "rank":
+        return grouped.where("hi IS NOT NULL").select("layer", "field", widest.alias("type"), "minzoom", "maxzoom")
+    name = F.when((F.col("hi") != F.col("lo")) | F.col("hi").isNull(), "String").otherwise(widest)
+    return grouped.where("field IS NOT NULL OR known = 0").select("layer", "field", F.when(F.col("field").isNotNull(), name).alias("type"), "minzoom", "maxzoom")

@@ -480,7 +480,7 @@ def layer_stats(spark, sf_dir):
     return reports.layer_stats(features(spark, sf_dir))
 
 
-@query("SELECT z, x // 8 AS x, y // 8 AS y, CAST(floor(10 * log10(greatest(floor(sum(size * 1000) / 64), 1)) + 1e-9) AS BIGINT) AS level FROM s WHERE z = 6 GROUP BY ALL")
+@query("SELECT z, x // 8 AS x, y // 8 AS y, CAST(least(255, floor(10 * log2(greatest(sum(size * 1000) / 64.0::DOUBLE, 1.0::DOUBLE)))) AS BIGINT) AS level FROM s WHERE z = 6 GROUP BY ALL")
 def size_raster(spark, sf_dir):
     return reports.size_raster(sized(spark, sf_dir, 6).withColumn("size", F.col("size") * 1000), 8)
 
@@ -530,7 +530,7 @@ def dedup_blobs(spark, sf_dir):
 
 
 @query(""", r AS (SELECT o_orderkey * 1000 + o_orderkey // 3 * 1500 AS "offset", o_custkey AS length FROM orders), n AS (
-SELECT *, CASE WHEN "offset" - max("offset" + length) OVER (ORDER BY "offset", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 900 THEN 0 ELSE 1 END AS fresh FROM r),
+SELECT *, CASE WHEN "offset" - max("offset" + length) OVER (ORDER BY "offset", length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 900 THEN 0 ELSE 1 END AS fresh FROM r),
 g AS (SELECT *, sum(fresh) OVER (ORDER BY "offset", length ROWS UNBOUNDED PRECEDING) AS chunk FROM n)
 SELECT min("offset") AS "offset", max("offset" + length) - min("offset") AS length, count(*) AS ranges FROM g GROUP BY chunk""")
 def coalesce_ranges(spark, sf_dir):
@@ -736,3 +736,18 @@ SELECT event_id, (xor(x, x // 1073741824::UHUGEINT) * 13787848793156543929::UHUG
 WHERE h // 2048 < CAST(floor(0.3::DOUBLE * 9007199254740992) + 1 AS UHUGEINT)""")
 def drop_rate(spark, sf_dir):
     return tiles.drop_rate(points(spark, sf_dir).select("event_id"), 0.3, "event_id")
+
+
+@query("""SELECT layer, field, CASE WHEN field IN ('uid', 'kind', 'nothing') THEN 'String' WHEN field = 'n' THEN 'Number' END AS type, min(least(low, 3)) AS minzoom, max(greatest(high, 3)) AS maxzoom FROM (
+SELECT layer, min(z) OVER (PARTITION BY layer) AS low, max(z) OVER (PARTITION BY layer) AS high, unnest(CASE WHEN layer = 'view' THEN [NULL] WHEN layer = 'click' THEN ['nothing'] ELSE ['uid', 'kind', 'nothing', 'n'] END) AS field FROM
+(SELECT event_type AS layer, z FROM t WHERE z = 3 OR z = 5 AND event_type <> 'signup')) GROUP BY layer, field""")
+def vector_layers(spark, sf_dir):
+    """Layers of two levels: one without fields, one whose only field is null, one that ends at the upper level."""
+    f = features(spark, sf_dir, 3).unionByName(features(spark, sf_dir, 5).where("layer <> 'signup'"))
+    kind = F.when(F.col("id") % 2 == 0, "true").otherwise('"a"')
+    more = F.create_map(F.lit("uid"), F.lit('"u"'), F.lit("kind"), kind, F.lit("nothing"), F.lit("null"), F.lit("n"), F.when(F.col("id") % 3 == 0, "null").otherwise("1.5"))
+    props = F.when(F.col("layer") == "view", F.expr("map()").cast("map<string,string>")).when(F.col("layer") == "click", F.create_map(F.lit("nothing"), F.lit("null"))).otherwise(more)
+    return vector.field_types(f.withColumn("props", props), "conflict")
+
+
+import tesselon.queries_shapes  # noqa: E402,F401  registers the queries of shapes, thinning and chunks
