@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,6 +129,16 @@ def repair(tiles: DataFrame, drop_offenders: bool = False) -> DataFrame:
     return tiles.mapInPandas(run, tiles.schema)
 
 
+def within_packed_cap(tiles: DataFrame, cap: int) -> DataFrame:
+    """The tiles whose content takes at most so many bytes when it is gzipped."""
+
+    @F.arrow_udf("bigint")
+    def packed(data: pa.Array) -> pa.Array:
+        return pa.array([len(zlib.compress(x.as_buffer(), wbits=31)) for x in data], pa.int64())
+
+    return tiles.where((F.length("data") <= cap) | (packed("data") <= cap))
+
+
 def draw_shapes(shapes: DataFrame, levels: range, layer: str = "features", extent: int = 4096, buffer: int = 80, tolerance: float = 4.0, min_area: float = 4.0, min_length: float = 4.0, line_tolerance: float | None = None) -> DataFrame:
     """Feature rows of shapes (id, geometry GeoJSON text, props) at each level.
 

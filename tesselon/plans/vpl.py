@@ -280,6 +280,24 @@ def _shapes(spark, shapes, layer: str, min_zoom: int, max_zoom: int | None, step
     return TileSet(drawn, "mvt", tilejson=TileJSON(minzoom=min_zoom, maxzoom=max_zoom, vector_layers={layer: {"fields": {}}}), lineage=(step,))
 
 
+def _imported(spark, shapes, layer: str, min_zoom: int, max_zoom: int | None, step: str, max_tile_bytes: str, **options) -> TileSet:
+    """Shapes at all levels by the cascade. Tiles above max_tile_bytes, gzipped, are left out; none keeps all."""
+    from tesselon.operators import importer
+
+    if max_zoom is None:
+        found = reports.auto_max_zoom(tiles.shape_sizes(shapes), WORLD).first()
+        max_zoom = 14 if found is None else found.zoom
+    if min_zoom > max_zoom:
+        raise PipelineError(f"min_zoom {min_zoom} is above max_zoom {max_zoom}")
+    try:
+        cap = None if max_tile_bytes == "none" else int(max_tile_bytes)
+        drawn = importer.import_shapes(shapes, range(min_zoom, max_zoom + 1), layer, **options)
+    except ValueError as error:
+        raise PipelineError(str(error)) from error
+    relation = drawn if cap is None else tiles.within_packed_cap(tiles.encode(drawn), cap)
+    return TileSet(relation, "mvt", tilejson=TileJSON(minzoom=min_zoom, maxzoom=max_zoom, vector_layers={layer: {"fields": {}}}), lineage=(step,))
+
+
 def _stem(filename: str) -> str:
     return filename.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
 
@@ -289,24 +307,27 @@ def _without_ids(shapes, ignore: bool):
 
 
 @operator(READ)
-def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", has_header: bool = True, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, ignore_id: bool = False) -> TileSet:
-    """The layer is named after the file, and the deepest level chosen by the shapes' sizes, unless they are given."""
+def from_csv(spark, *, filename: str, lon_column: str, lat_column: str, id_column: str = None, delimiter: str = ",", has_header: bool = True, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, point_reduction: str = "min_distance", point_reduction_value: float = None, max_tile_bytes: str = "1048576", ignore_id: bool = False) -> TileSet:
+    """The layer is named after the file, and the deepest level chosen by the shapes' sizes, unless they are given.
+    point_reduction is none, min_distance (16 units of a tile's extent) or drop_rate (keeps 0.5)."""
     if not has_header:
         raise PipelineError("from_csv needs a header")
     shapes = features.read_csv(spark, filename, lon_column, lat_column, id_column, delimiter, properties_include, properties_exclude)
-    return _shapes(spark, _without_ids(shapes, ignore_id), layer_name or _stem(filename), min_zoom, max_zoom, "from_csv")
+    return _imported(spark, _without_ids(shapes, ignore_id), layer_name or _stem(filename), min_zoom, max_zoom, "from_csv", max_tile_bytes, point_reduction=point_reduction, point_value=point_reduction_value)
 
 
 @operator(READ)
-def from_geo(spark, *, filename: str, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0, line_simplify: float = 4.0, ignore_id: bool = False, shared_borders: float = 0.0) -> TileSet:
-    """shared_borders: tolerance in degrees of a simplification before all levels that keeps common borders."""
+def from_geo(spark, *, filename: str, layer_name: str = None, min_zoom: int = 0, max_zoom: int = None, properties_include: list = None, properties_exclude: list = None, polygon_min_area: float = 4.0, polygon_simplify: float = 4.0, line_min_length: float = 4.0, line_simplify: float = 4.0, point_reduction: str = "min_distance", point_reduction_value: float = None, max_tile_bytes: str = "1048576", ignore_id: bool = False, shared_borders: float = 0.0) -> TileSet:
+    """Borders that shapes share stay shared at every level. shared_borders: tolerance in degrees of a simplification
+    before all levels."""
     from tesselon.operators.borders import simplify_shared
 
     shapes = features.read_shapefile(spark, filename) if filename.lower().endswith(".shp") else features.read_geojson(spark, filename)
     if shared_borders > 0:
         shapes = simplify_shared(shapes, shared_borders)
     shapes = vector.select_properties(_without_ids(shapes, ignore_id), properties_include, properties_exclude)
-    return _shapes(spark, shapes, layer_name or _stem(filename), min_zoom, max_zoom, "from_geo", tolerance=polygon_simplify, min_area=polygon_min_area, min_length=line_min_length, line_tolerance=line_simplify)
+    limits = {"polygon_simplify": polygon_simplify, "line_simplify": line_simplify, "polygon_min_area": polygon_min_area, "line_min_length": line_min_length}
+    return _imported(spark, shapes, layer_name or _stem(filename), min_zoom, max_zoom, "from_geo", max_tile_bytes, point_reduction=point_reduction, point_value=point_reduction_value, **limits)
 
 
 @operator(READ)
