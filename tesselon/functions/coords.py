@@ -185,9 +185,96 @@ def hilbert_id(z, x, y) -> Column:
     return F.aggregate(_bits(z), start, step, lambda acc: acc["rank"]) + _long(F.floor((F.pow(F.lit(4.0), _c(z)) - 1) / 3))
 
 
+#: First Hilbert id of each level, the number of tiles of all levels above.
+LEVEL_STARTS = [(4**z - 1) // 3 for z in range(32)]
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def hilbert_level(tile_id) -> Column:
-    """Level of a Hilbert id: inverse of the level offset."""
-    return F.floor(F.log(_c(tile_id) * 3 + 1) / math.log(4.0) + 1e-12).cast("bigint")
+    """Level of a Hilbert id: the last one that does not begin behind it."""
+    starts = F.array(*[F.lit(v).cast("bigint") for v in LEVEL_STARTS])
+    return _let(_c(tile_id), lambda t: (F.size(F.filter(starts, lambda v: v <= t)) - 1).cast("bigint"))
+
+
+def hilbert_tile(tile_id) -> Column:
+    """Struct (z, x, y) of a Hilbert id, the inverse of ``hilbert_id``: digits are read from the finest one up, each
+    of which turns or mirrors the square of the finer ones and puts it in its quarter. Negative ids give null."""
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    starts = F.array(*[F.lit(v).cast("bigint") for v in LEVEL_STARTS])
+
+    def step(acc: Column, i: Column, rank: Column) -> Column:
+        full = F.call_function("shiftleft", one, i)
+        digit = F.call_function("shiftright", rank, i * 2).bitwiseAND(F.lit(3))
+        right = F.shiftright(digit, 1)
+        low = digit.bitwiseXOR(right).bitwiseAND(F.lit(1))
+        x, y = acc["x"], acc["y"]
+        mirrored = (low == 0) & (right == 1)
+        nx = F.when(mirrored, full - 1 - y).when(low == 0, y).otherwise(x)
+        ny = F.when(mirrored, full - 1 - x).when(low == 0, x).otherwise(y)
+        return F.struct(_long(nx + full * right).alias("x"), _long(ny + full * low).alias("y"))
+
+    def place(z: Column, rank: Column) -> Column:
+        digits = F.when(z > 0, F.sequence(F.lit(0), z.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        at = F.aggregate(digits, F.struct(zero.alias("x"), zero.alias("y")), lambda acc, i: step(acc, i, rank))
+        return _let(at, lambda p: F.struct(z.alias("z"), p["x"].alias("x"), p["y"].alias("y")))
+
+    def of(t: Column) -> Column:
+        return F.when(t >= 0, _let(hilbert_level(t), lambda z: _let(t - F.element_at(starts, (z + 1).cast("int")), lambda rank: place(z, rank))))
+
+    return _let(_c(tile_id), of)
+
+
+def hilbert_ranges(level: int, box: tuple[int, int, int, int], most: int = 64) -> list[tuple[int, int]]:
+    """Runs of Hilbert ids, both ends included, that hold a box (x_min, y_min, x_max, y_max) of a level: those of the
+    quarters that lie in it, and where that makes more than ``most`` runs the nearest are joined, with ids of
+    tiles outside between them."""
+    x0, y0, x1, y1 = box
+    runs: list[list[int]] = []
+
+    def down(z: int, first: int, x: int, y: int, ux: tuple[int, int], uy: tuple[int, int]) -> None:
+        """A square of the curve with its corner and the two directions in which it is run through."""
+        n = 1 << level - z
+        ends = [(x + a * (n - 1) * ux[0] + b * (n - 1) * uy[0], y + a * (n - 1) * ux[1] + b * (n - 1) * uy[1]) for a in (0, 1) for b in (0, 1)]
+        left, right, top, low = min(e[0] for e in ends), max(e[0] for e in ends), min(e[1] for e in ends), max(e[1] for e in ends)
+        if right < x0 or left > x1 or low < y0 or top > y1:
+            return
+        if left >= x0 and right <= x1 and top >= y0 and low <= y1 or z == level:
+            if runs and runs[-1][1] == first - 1:
+                runs[-1][1] = first + n * n - 1
+            else:
+                runs.append([first, first + n * n - 1])
+            return
+        h, q = n // 2, n * n // 4
+        down(z + 1, first, x, y, uy, ux)
+        down(z + 1, first + q, x + h * uy[0], y + h * uy[1], ux, uy)
+        down(z + 1, first + 2 * q, x + h * (ux[0] + uy[0]), y + h * (ux[1] + uy[1]), ux, uy)
+        down(z + 1, first + 3 * q, x + (2 * h - 1) * ux[0] + (h - 1) * uy[0], y + (2 * h - 1) * ux[1] + (h - 1) * uy[1], (-uy[0], -uy[1]), (-ux[0], -ux[1]))
+
+    if x0 > x1 or y0 > y1:
+        return []
+    down(0, LEVEL_STARTS[level], 0, 0, (1, 0), (0, 1))
+    gaps = sorted((b[0] - a[1], i) for i, (a, b) in enumerate(zip(runs, runs[1:], strict=False)))
+    joined = {i for _, i in gaps[: max(0, len(runs) - most)]}
+    out: list[list[int]] = []
+    for i, run in enumerate(runs):
+        if i and i - 1 in joined:
+            out[-1][1] = run[1]
+        else:
+            out.append(list(run))
+    return [tuple(r) for r in out]
+
+
+def in_hilbert_box(level: int, box: tuple[int, int, int, int], tile_id="id", most: int = 64) -> Column:
+    """Predicate: the tile of a Hilbert id lies in a box of a level. The runs of ids reach a scan as plain comparisons, so that
+    a table sorted by id is read only where the box is; tiles between runs are told apart by their coordinates."""
+    runs = F.lit(False)
+    for first, last in hilbert_ranges(level, box, most):
+        runs = runs | _c(tile_id).between(first, last)
+    return runs & _let(hilbert_tile(tile_id), lambda at: at["x"].between(box[0], box[2]) & at["y"].between(box[1], box[3]))
 
 
 # --- bounding boxes ------------------------------------------------------------------------------

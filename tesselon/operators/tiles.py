@@ -43,6 +43,26 @@ def decode(tiles: DataFrame, skip_broken: bool = False) -> DataFrame:
     return tiles.select(*KEY, "data").mapInPandas(run, FEATURES)
 
 
+def decode_recorded(tiles: DataFrame):
+    """Features of vector tiles, and the tiles that cannot be decoded with what is wrong, from one pass: see ``errors``."""
+    from tesselon.operators.errors import split_errors
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True):
+                try:
+                    rows += [(z, x, y, *f.values(), None) for f in mvt.to_rows(bytes(data))]
+                except BROKEN as error:
+                    rows.append((z, x, y, *[None] * (len(COLUMNS) - len(KEY)), f"{type(error).__name__}: {error}"))
+            out = pd.DataFrame(rows, columns=[*COLUMNS, "error"])
+            whole = {c: "Int64" for c in ("feat_no", "id", "kind", "extent", "version")}
+            yield out.astype(whole)
+
+    made = tiles.select(*KEY, "data").mapInPandas(run, FEATURES + ", error string")
+    return split_errors(made, "error", "decode", KEY)
+
+
 def broken(tiles: DataFrame) -> DataFrame:
     """(z, x, y, error) of the vector tiles that cannot be decoded."""
 

@@ -149,3 +149,100 @@ def import_features(spark, sf_dir):
     f = importer.draw_levels(made, attributes)
     end = lambda axis, g: g(F.transform(F.flatten("parts"), lambda p: p[axis]))
     return f.select("z", "x", "y", "id", F.col("props")["status"].alias("status"), end(0, F.array_min).alias("x_min"), end(0, F.array_max).alias("x_max"), end(1, F.array_min).alias("y_min"), end(1, F.array_max).alias("y_max"))
+
+
+# --- outlines ------------------------------------------------------------------------------------
+
+_EDGES = """, c AS (SELECT DISTINCT x, y FROM t WHERE z = 8),
+sd AS (SELECT * FROM (VALUES (0, 1, 0, 0, -1), (1, 0, 1, 1, 0), (2, -1, 0, 0, 1), (3, 0, -1, -1, 0)) AS v(side, ax, ay, ox, oy)),
+e AS (SELECT x, y, side, ax, ay, ox, oy, (y * 256 + x) * 4 + side AS edge FROM c, sd WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.x = c.x + ox AND o.y = c.y + oy)),
+n AS (SELECT e.*, a.x IS NOT NULL AS ahead, b.x IS NOT NULL AS beyond FROM e LEFT JOIN c AS a ON a.x = e.x + ax AND a.y = e.y + ay LEFT JOIN c AS b ON b.x = e.x + ax + ox AND b.y = e.y + ay + oy),
+k AS (SELECT *, CASE WHEN NOT ahead THEN (y * 256 + x) * 4 + (side + 1) % 4 WHEN NOT beyond THEN ((y + ay) * 256 + x + ax) * 4 + side ELSE ((y + ay + oy) * 256 + x + ax + ox) * 4 + (side + 3) % 4 END AS onward FROM n)"""
+_WALK = """, w(start, cur) AS (SELECT edge, edge FROM k UNION SELECT w.start, k.onward FROM w JOIN k ON k.edge = w.cur),
+m AS (SELECT start AS edge, min(cur) AS ring FROM w GROUP BY start),
+g AS (SELECT m.ring, k.*, x + CASE WHEN side IN (1, 2) THEN 1 ELSE 0 END AS px, y + CASE WHEN side IN (2, 3) THEN 1 ELSE 0 END AS py FROM m JOIN k USING (edge)),
+r AS (SELECT ring, count(*) FILTER (NOT ahead OR beyond) AS corners, CAST(sum(px * ay - py * ax) / 2 AS BIGINT) AS area FROM g GROUP BY ring),
+h AS (SELECT ring, arg_min(x * 256 + y, x * 256 + y) AS place FROM g WHERE side = 1 AND ring IN (SELECT ring FROM r WHERE area < 0) GROUP BY ring),
+u(ring, up) AS (
+  SELECT h.ring, (SELECT arg_max(l.ring, l.x) FROM g AS l WHERE l.side = 3 AND l.y = place % 256 AND l.x <= place // 256) FROM h
+  UNION SELECT u.ring, (SELECT arg_max(l.ring, l.x) FROM g AS l, h WHERE h.ring = u.up AND l.side = 3 AND l.y = place % 256 AND l.x <= place // 256) FROM u WHERE u.up IN (SELECT ring FROM r WHERE area < 0))"""
+_RINGS_SQL = _EDGES + _WALK + " SELECT 8::BIGINT AS z, ring, corners, area, (SELECT max(up) FROM u JOIN r AS o ON o.ring = u.up WHERE u.ring = r.ring AND o.area > 0) AS parent FROM r"
+
+
+@query()
+def outline_rings(spark, sf_dir):
+    """Rings around the tiles with events, holes with the ring that they lie in."""
+    from tesselon.operators.outlines import outline_rings as rings
+
+    return rings(tiled(spark, sf_dir, 8))[0]
+
+
+def _recursive(sql: str) -> str:
+    from tesselon.queries import _PRELUDE
+
+    return _PRELUDE.replace("WITH p AS", "WITH RECURSIVE p AS", 1) + "\n" + sql
+
+
+ORACLE_SQL["outline_rings"] = _recursive(_RINGS_SQL)
+
+
+# --- the curve, back and in boxes ----------------------------------------------------------------
+
+
+@query("SELECT DISTINCT event_id, z, x, y, z AS level, x AS back_x, y AS back_y FROM t WHERE z IN (0, 1, 7, 14)")
+def hilbert_inverse(spark, sf_dir):
+    """Tiles of the events at four levels, to their Hilbert ids and back."""
+    p = points(spark, sf_dir).withColumn("z", F.explode(F.array(*[F.lit(z).cast("bigint") for z in (0, 1, 7, 14)])))
+    p = p.withColumns({"x": C.tile_x("lon", "z"), "y": C.tile_y("lat", "z")})
+    back = C.hilbert_tile(C.hilbert_id("z", "x", "y"))
+    return p.withColumn("b", back).select("event_id", "z", "x", "y", F.col("b.z").alias("level"), F.col("b.x").alias("back_x"), F.col("b.y").alias("back_y"))
+
+
+@query("SELECT event_id, x, y FROM t WHERE z = 10 AND x BETWEEN 301 AND 577 AND y BETWEEN 250 AND 700")
+def hilbert_box(spark, sf_dir):
+    """Events in a box of tiles, found by runs of Hilbert ids."""
+    t = tiled(spark, sf_dir, 10).withColumn("id", C.hilbert_id("z", "x", "y"))
+    return t.where(C.in_hilbert_box(10, (301, 250, 577, 700))).select("event_id", "x", "y")
+
+
+# --- errors and mosaics --------------------------------------------------------------------------
+
+
+@query(""", m AS (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN substr(props, 1, length(props) - 1) WHEN event_id % 11 = 4 THEN NULL ELSE props END AS props FROM p)
+SELECT event_id AS number, 'rejected' AS what FROM m WHERE props IS NOT NULL AND NOT json_valid(props)
+UNION ALL SELECT count(*), 'rows' FROM m UNION ALL SELECT count(*) FILTER (NOT json_valid(props)), 'errors' FROM m UNION ALL SELECT count(*) FILTER (props IS NULL OR json_valid(props)), 'sound' FROM m""")
+def rejected_rows(spark, sf_dir):
+    """Properties of events, every seventh of them cut short: the events that are rejected, and the counts of the pass."""
+    from tesselon.operators.errors import split_errors
+
+    k = F.col("event_id")
+    p = points(spark, sf_dir).select("event_id", F.when(k % 7 == 3, F.expr("substr(props, 1, length(props) - 1)")).when(k % 11 == 4, None).otherwise(F.col("props")).alias("props"))
+    bad = F.when(F.col("props").isNotNull() & F.try_parse_json("props").isNull(), F.lit("no JSON object"))
+    split = split_errors(p, bad, "properties", ["event_id"])
+    counts = [(split.total, "rows"), (split.errors, "errors"), (split.rows.count(), "sound")]
+    return split.failed.select(F.col("event_id").alias("number"), F.lit("rejected").alias("what")).unionByName(spark.createDataFrame(counts, "number bigint, what string"))
+
+
+_BLEND = """list_reduce(list(struct_pack(r := r, g := g, b := b, a := a) ORDER BY source), lambda t, u: CASE WHEN t.a + u.a = 0 THEN struct_pack(r := 0, g := 0, b := 0, a := 0) ELSE struct_pack(
+  r := CAST(least(255, (u.r * (CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END - t.a) + t.r * t.a + CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END // 2) // CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END) AS INTEGER),
+  g := CAST(least(255, (u.g * (CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END - t.a) + t.g * t.a + CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END // 2) // CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END) AS INTEGER),
+  b := CAST(least(255, (u.b * (CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END - t.a) + t.b * t.a + CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END // 2) // CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END) AS INTEGER),
+  a := CASE WHEN t.a + u.a >= 250 THEN 255 ELSE t.a + u.a END) END)"""
+
+
+@query(f""", o AS (SELECT o_orderkey % 1024 AS x, o_orderkey // 1024 % 2 AS y, o_custkey % 5 AS source, min(o_orderkey) AS k, max(CASE o_orderpriority WHEN '1-URGENT' THEN 1 ELSE 0 END) AS solid FROM orders GROUP BY ALL),
+px AS (SELECT x, y, source, solid, i, CAST(k * 7 % 256 AS INTEGER) AS r, CAST((k * 13 + i * 50) % 256 AS INTEGER) AS g, CAST(k * 29 % 256 AS INTEGER) AS b, CAST(CASE WHEN solid = 1 THEN 255 ELSE k * 31 % 5 * (40 + i * 10) END AS INTEGER) AS a FROM o, (SELECT CAST(range AS INTEGER) AS i FROM range(0, 3))),
+done AS (SELECT x, y, min(source) AS source FROM o WHERE solid = 1 GROUP BY x, y),
+seen AS (SELECT px.* FROM px JOIN (SELECT x, y, source FROM px GROUP BY ALL HAVING max(a) > 0) AS s USING (x, y, source) WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.x = px.x AND done.y = px.y)),
+q AS (SELECT x, y, i, struct_pack(r := r, g := g, b := b, a := a) AS p FROM px JOIN done USING (x, y, source) UNION ALL SELECT x, y, i, {_BLEND} FROM seen GROUP BY x, y, i)
+SELECT 10::BIGINT AS z, x, y, CAST(i AS INTEGER) AS i, p.r AS r, p.g AS g, p.b AS b, p.a AS a FROM q""")
+def mosaic(spark, sf_dir):
+    """Tiles of three pixels of five sources, from orders: opaque, empty and translucent ones."""
+    from tesselon.operators.mosaic import assemble
+
+    k = F.col("k")
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 1024).alias("x"), F.expr("o_orderkey div 1024 % 2").alias("y"), (F.col("o_custkey") % 5).alias("source"))
+    o = o.agg(F.min("o_orderkey").alias("k"), F.max(F.col("o_orderpriority") == "1-URGENT").alias("solid"))
+    pixel = lambda i: F.struct((k * 7 % 256).cast("int").alias("r"), ((k * 13 + i * 50) % 256).cast("int").alias("g"), (k * 29 % 256).cast("int").alias("b"), F.when(F.col("solid"), 255).otherwise(k * 31 % 5 * (40 + i * 10)).cast("int").alias("a"))
+    made = assemble(o.select(F.lit(10).cast("bigint").alias("z"), "x", "y", "source", F.array(*[pixel(i) for i in range(3)]).alias("pixels")))
+    return made.select("z", "x", "y", F.posexplode("pixels").alias("i", "p")).select("z", "x", "y", "i", "p.*")
