@@ -246,3 +246,41 @@ def mosaic(spark, sf_dir):
     pixel = lambda i: F.struct((k * 7 % 256).cast("int").alias("r"), ((k * 13 + i * 50) % 256).cast("int").alias("g"), (k * 29 % 256).cast("int").alias("b"), F.when(F.col("solid"), 255).otherwise(k * 31 % 5 * (40 + i * 10)).cast("int").alias("a"))
     made = assemble(o.select(F.lit(10).cast("bigint").alias("z"), "x", "y", "source", F.array(*[pixel(i) for i in range(3)]).alias("pixels")))
     return made.select("z", "x", "y", F.posexplode("pixels").alias("i", "p")).select("z", "x", "y", "i", "p.*")
+
+
+# --- masks and change feeds ----------------------------------------------------------------------
+
+
+@query(f""", sup AS (SELECT s_suppkey, {_BASE_SQL.format(w=_W, k="s_suppkey", x="cx", y="cy")}, 2000000.0::DOUBLE + s_nationkey * 100000 AS r FROM supplier),
+v AS (SELECT s_suppkey, k, (cx + r * cos(k * 2.1 + s_suppkey)) / {_W} * 512 + 256 AS x, 256 - (cy + r * sin(k * 2.1 + s_suppkey)) / {_W} * 512 AS y FROM sup, (SELECT CAST(range AS DOUBLE) AS k FROM range(0, 3))),
+e AS (SELECT a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM v AS a JOIN v AS b ON a.s_suppkey = b.s_suppkey AND b.k = (a.k + 1) % 3),
+k AS (SELECT DISTINCT x, y FROM t WHERE z = 9),
+g AS (SELECT k.x, k.y, e.*, CASE WHEN x1 = x0 THEN 0 ELSE least((k.x - x0) / (x1 - x0), (k.x + 1 - x0) / (x1 - x0)) END AS xa, CASE WHEN x1 = x0 THEN 1 ELSE greatest((k.x - x0) / (x1 - x0), (k.x + 1 - x0) / (x1 - x0)) END AS xb,
+  CASE WHEN y1 = y0 THEN 0 ELSE least((k.y - y0) / (y1 - y0), (k.y + 1 - y0) / (y1 - y0)) END AS ya, CASE WHEN y1 = y0 THEN 1 ELSE greatest((k.y - y0) / (y1 - y0), (k.y + 1 - y0) / (y1 - y0)) END AS yb FROM k, e)
+SELECT x, y, CASE WHEN bool_or(greatest(0, xa, ya) <= least(1, xb, yb)) THEN 'partial'
+  WHEN count(*) FILTER ((y0 > y + 0.5) <> (y1 > y + 0.5) AND x0 + (x1 - x0) * (y + 0.5 - y0) / (y1 - y0) < x + 0.5) % 2 = 1 THEN 'inside' ELSE 'outside' END AS class FROM g GROUP BY x, y""")
+def mask_classes(spark, sf_dir):
+    """Tiles with events against triangles around the suppliers, which overlap: even-odd."""
+    from tesselon.operators import masks
+
+    x, y = _base("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", x.alias("cx"), y.alias("cy"), (2_000_000.0 + F.col("s_nationkey") * 100_000).alias("r"))
+    corner = lambda k: F.array(F.col("cx") + F.col("r") * F.cos(F.lit(k * 2.1) + F.col("s_suppkey")), F.col("cy") + F.col("r") * F.sin(F.lit(k * 2.1) + F.col("s_suppkey")))
+    edges = masks.ring_edges(s.select(F.array(*[corner(k) for k in range(3)]).alias("points")), 9)
+    return masks.classify(tiled(spark, sf_dir, 9), edges, 9)
+
+
+@query(""", c AS (SELECT user_id % 400 AS k, arg_max(event_id, event_id) AS event_id FROM p GROUP BY user_id % 400),
+w AS (SELECT t.z, t.x, t.y FROM t JOIN c USING (event_id) WHERE t.z <= 6 AND t.event_type <> 'error')
+SELECT z, x, y, count(*) AS n FROM w GROUP BY z, x, y""")
+def change_feed(spark, sf_dir):
+    """Events as versions of some users' places, an error as a deletion, read as a stream: what is left in each tile."""
+    from tesselon.streaming import changes
+
+    stored_schema = table(spark, sf_dir, "events").schema
+    feed = spark.readStream.schema(stored_schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    place = lambda a, m, width, low: F.lit(low) + F.lit(width) * ((F.col("event_id") * a) % m) / float(m)
+    rows = feed.select((F.col("user_id") % 400).alias("key"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"), place(7919, 100003, 360.0, -180.0).alias("lon"), place(104729, 99991, 170.0, -85.0).alias("lat"))
+    log = changes.new_log(spark)
+    changes.follow_counts(rows, 6, log).awaitTermination()
+    return changes.counts(spark, log)
