@@ -200,6 +200,18 @@ def base_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int,
     return sorted(found)
 
 
+def meetings(base: list[tuple[int, int, int]], runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each base span the first run that it overlaps and the one behind the last, and for each run whether a base span
+    overlaps it. Runs are in order and apart, so both ends are looked up."""
+    starts, ends = (np.array([r[i] for r in runs], np.int64) for i in (0, 1))
+    low = np.searchsorted(ends, np.array([a for a, _, _ in base], np.int64), "right")
+    high = np.maximum(low, np.searchsorted(starts, np.array([b for _, _, b in base], np.int64), "left"))
+    change = np.zeros(len(runs) + 1, np.int64)
+    np.add.at(change, low, 1)
+    np.add.at(change, high, -1)
+    return low, high, np.cumsum(change)[:-1] > 0
+
+
 #: What needs no network to be known as harmless: words, joined by what names and paths are joined by.
 _PLAIN = re.compile(rb"[+/_.=-]*(([A-Z]?[a-z]+|[A-Z]+)[+/_.=-]+)*([A-Z]?[a-z]+|[A-Z]+)[+/_.=-]*")
 
@@ -274,9 +286,8 @@ def corpus_findings(texts: list[bytes]) -> list[tuple[bytes, int, int, int]]:
         data = np.frombuffer(text, np.uint8)
         _, starts, ends = candidates(data, np.array([0, len(data)]))
         runs = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        base = base_spans(text, runs)
-        for a, b in runs:
-            if any(a < end and start < b for start, _, end in base):
+        for (a, b), met in zip(runs, meetings(base_spans(text, runs), runs)[2].tolist(), strict=True):
+            if met:
                 found.append((text, a, b, 1))
             elif _PLAIN.fullmatch(text[a:b]):
                 found.append((text, a, b, 0))
@@ -330,13 +341,12 @@ def _scan(network, column: str):
             for r in range(batch.num_rows):
                 at = int(offsets[r])
                 text = whole[at : int(offsets[r + 1])]
-                here = range(first[r], first[r + 1])
-                runs = [(int(starts[i]) - at, int(ends[i]) - at) for i in here]
+                runs = [(int(starts[i]) - at, int(ends[i]) - at) for i in range(first[r], first[r + 1])]
                 base = base_spans(text, runs)
-                spans = [(a, k, b, max((float(best[i]) for i, (c, d) in zip(here, runs, strict=True) if c < b and a < d), default=None)) for a, k, b in base] if base else []
-                for i, (a, b) in zip(here, runs, strict=True):
-                    if best[i] >= net.threshold and not any(a < end and start < b for start, _, end in base):
-                        spans.append((a, 3, b, float(best[i])))
+                low, high, met = meetings(base, runs)
+                score = best[first[r] : first[r + 1]]
+                spans = [(a, k, b, float(score[i:j].max()) if i < j else None) for (a, k, b), i, j in zip(base, low.tolist(), high.tolist(), strict=True)]
+                spans += [(runs[i][0], 3, runs[i][1], float(score[i])) for i in np.flatnonzero((score >= net.threshold) & ~met).tolist()]
                 found.append(spans)
             spans_out = []
             for r, spans in enumerate(found):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from fractions import Fraction
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import fill_in_middle as fim
 from tesselon.llm import fingerprints as fp
-from tesselon.llm import whitening
+from tesselon.llm import secrets, whitening
 
 BLANK = r"\x20\x09-\x0D"
 
@@ -47,6 +48,26 @@ def clashing(spark, rows, kinds="doc_id long, text string"):
     return spark.createDataFrame(rows, kinds).withColumns({n: F.lit("mine") for n in names})
 
 
+def test_base_spans_meet_candidates_in_order():
+    """As every span against every run, and in a time that many findings of one text do not square."""
+    rng = random.Random(6)
+    for _ in range(60):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randint(0, 12)))
+        runs = list(zip(cuts[::2], cuts[1::2], strict=True))
+        base = sorted((a, rng.randrange(3), a + rng.randint(1, 40)) for a in rng.sample(range(200), rng.randint(0, 9)))
+        low, high, met = secrets.meetings(base, runs)
+        for (a, _, b), i, j in zip(base, low, high, strict=True):
+            assert [r for r in runs if r[0] < b and a < r[1]] == runs[i:j]
+        assert met.tolist() == [any(a < end and start < b for start, _, end in base) for a, b in runs]
+    text = b" ".join(b"password = %012dabcdef" % i for i in range(20_000))
+    data = np.frombuffer(text, np.uint8)
+    began = time.time()
+    _, starts, ends = secrets.candidates(data, np.array([0, len(data)]))
+    runs = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    found = secrets.base_spans(text, runs)
+    assert len(found) == 20_000 and secrets.meetings(found, runs)[2].all() and time.time() - began < 5
+
+
 # --- fill in the middle --------------------------------------------------------------------------
 
 
