@@ -31,6 +31,12 @@ def table_shape(vectors: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(math.log(MISS) / math.log1p(-min(meet, 1 - 1e-9)))), bits
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; their largest component is made 1 first, so that no square is lost or overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _signs(seed: int, kind: str, tables: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -44,7 +50,7 @@ def _signs(seed: int, kind: str, tables: int, width: int):
                 x = np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), size)
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, int(size)]).standard_normal((int(size), tables * width))
-                bits = (x / np.linalg.norm(x, axis=1, keepdims=True) @ planes[size] > 0).reshape(len(at), tables, width) @ weights
+                bits = (_unit(x) @ planes[size] > 0).reshape(len(at), tables, width) @ weights
                 salt = mix(label[at].astype(np.int64).view(_U)[:, None] * _U(0x9E3779B97F4A7C15) + mix(np.arange(tables, dtype=_U) + _U(int(size) << 8)))
                 keys = mix(salt + bits.astype(_U))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
@@ -64,8 +70,7 @@ def _compare(threshold: float, kind: str):
         if not len(left) or not len(right):
             return None
         rep, copies = np.array([r[5] for r in rows]), np.array([r[6] for r in rows], np.int64)
-        x = np.frombuffer(b"".join(r[7] for r in rows), kind).astype(np.float64).reshape(len(rows), -1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.frombuffer(b"".join(r[7] for r in rows), kind).astype(np.float64).reshape(len(rows), -1))
         near = x[left] @ x[right].T >= threshold
         same = rows[0][1] == rows[0][2]
         if same:
@@ -123,14 +128,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     are linked with nothing and are their own component. Vectors of different lengths are not compared.
     Each row is a vector of its own: rows that share an id are linked by what their own vectors link to,
     and rows that share a vector are linked with one another. A null id is linked with nothing, its component is null and it is kept. An empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Labels of any type are compared as they are, vectors of any size by their directions. Other columns
+    are not read.
 
     Equal vectors of a label are one representative with a count, so copies are never expanded.
     Representatives meet in the buckets of hash tables, whose bits grow with the logarithm of their number; within a bucket all cosines are computed as
     matrix products of at most BLOCK rows a side, larger buckets in several tasks, and pairs that met in
     an earlier table are not counted again. What leaves a task is a count and one link for each vector.
     """
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.col(label_column).cast("long").alias("label"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.col(label_column).alias("label"))
     element = vectors.schema[vector_column].dataType.elementType
     kind = "f4" if element.simpleString() == "float" else "f8"
     sound = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("vector") > 0)
@@ -140,7 +146,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, seed: int = 11, id
     rows = rows.select("id", "label", F.when(F.col("sound"), F.xxhash64("vector")).alias("mark"), F.when(F.col("sound"), F.col("vector")).alias("vector"))
     classes = rows.where("vector IS NOT NULL").groupBy("label", "mark", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = store(classes.withColumn("rep", F.monotonically_increasing_id()))  # fixed by being stored
-    hashed = classes.select("rep", "copies", "label", "vector").mapInArrow(_signs(seed, kind, *table_shape(classes.count(), threshold)), "rep long, copies long, raw binary, signs binary, keys array<long>")
+    hashed = classes.select("rep", "copies", F.xxhash64("label").alias("label"), "vector").mapInArrow(_signs(seed, kind, *table_shape(classes.count(), threshold)), "rep long, copies long, raw binary, signs binary, keys array<long>")
     hashed = store(hashed)
     met = hashed.select("rep", F.posexplode("keys").alias("place", "bucket"))
     large = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))

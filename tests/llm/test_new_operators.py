@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tesselon.llm import fill_in_middle as fim
 from tesselon.llm import fingerprints as fp
-from tesselon.llm import secrets, whitening
+from tesselon.llm import embedding_dedup, secrets, whitening
 
 BLANK = r"\x20\x09-\x0D"
 
@@ -68,6 +68,16 @@ def test_base_spans_meet_candidates_in_order():
     assert len(found) == 20_000 and secrets.meetings(found, runs)[2].all() and time.time() - began < 5
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.7, None]), ("string", ["1", "a", "a ", None]), ("long", [1, 2, None])])
+def test_vectors_by_labels_as_they_are(spark, kind, labels):
+    vectors = [[1.0, 0.0], [0.999, 0.01], [1e-200, 1e-203], [1e200, 0.0], [0.0, 5e-324], [0.0, 1.0]]
+    rows = [(10 * i + k, v, x) for i, x in enumerate(labels) for k, v in enumerate(vectors)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")).collect()}
+    for i, x in enumerate(labels):
+        alone = x is None
+        assert [got[10 * i + k] for k in range(6)] == [(0, 10 * i + k) if alone else (3, 10 * i) if k < 4 else (1, 10 * i + 4) for k in range(6)]
+
+
 # --- fill in the middle --------------------------------------------------------------------------
 
 
