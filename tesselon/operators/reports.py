@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselon.operators.stored import BROADCAST_BYTES
+
 KEY = ["z", "x", "y"]
 M64 = (1 << 64) - 1
 #: Tiles along a side of a sample's windows.
@@ -99,14 +101,26 @@ def plan_windows(level: int, box: tuple[int, int, int, int], count: int, window:
 
 
 def sample_tiles(tiles: DataFrame, fraction: float, window: int = WINDOW) -> DataFrame:
-    """Tiles in the windows of each level's sample; what a level covers is found by an aggregation, one row a level."""
+    """Tiles in the windows of each level's sample; what a level covers is found by an aggregation, one row a level.
+
+    Windows are a table, four rows each at most, with which tiles are joined by blocks of a window's size; a level whose
+    windows would cover it stays whole."""
     boxes = [tuple(r) for r in tiles.groupBy("z").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).collect()]
     deepest = max(((x1 - x0 + 1) * (y1 - y0 + 1) for _, x0, y0, x1, y1 in boxes), default=0)
-    test: Column = F.lit(False)
-    for level, *box in sorted(boxes):
-        for x0, y0, x1, y1 in plan_windows(level, tuple(box), windows_for_sample(fraction, deepest, window), window):
-            test = test | ((F.col("z") == level) & F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    return tiles.where(test)
+    plans = {level: plan_windows(level, tuple(box), windows_for_sample(fraction, deepest, window), window) for level, *box in boxes}
+    whole = [level for level, *box in boxes if plans[level] == [tuple(box)]]
+    rows = [(level, *w) for level, plan in plans.items() if level not in whole for w in plan]
+    kept = tiles.where(F.col("z").isin(whole))
+    if not rows:
+        return kept
+    dealt = tiles.sparkSession.createDataFrame(rows, "wz bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    for c in ("x", "y"):
+        dealt = dealt.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / window), F.floor(F.col(f"{c}1") / window))))
+    dealt = F.broadcast(dealt) if len(rows) * 4 * 56 <= BROADCAST_BYTES else dealt
+    within = (tiles["z"] == dealt["wz"]) & tiles["x"].between(dealt["x0"], dealt["x1"]) & tiles["y"].between(dealt["y0"], dealt["y1"])
+    for c in ("x", "y"):
+        within &= F.floor(tiles[c] / window) == dealt[f"b{c}"]
+    return kept.unionByName(tiles.where(~F.col("z").isin(whole)).join(dealt, within, "left_semi"))
 
 
 def select_tiles(tiles: DataFrame, selector: str, most: int = 64) -> DataFrame:

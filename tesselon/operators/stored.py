@@ -28,13 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder name that all executors see; what is written there goes when the program ends."""
+    path = f"{shared_folder(spark)}/tesselon-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _written[path] = (target, target.getFileSystem(spark._jsc.hadoopConfiguration()))
+    return path
+
+
 def store(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tesselon-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _written[path] = (target, target.getFileSystem(spark._jsc.hadoopConfiguration()))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
     return out

@@ -227,10 +227,11 @@ def thin_points(points: DataFrame, cell: float, order: str = "id") -> DataFrame:
 
 def thin_min_distance(points: DataFrame, distance: float, group: str, order: str = "id") -> DataFrame:
     """Points of each group, in order, that are at least ``distance`` from all kept before them. Sequential
-    by definition: each group is one task, so groups (a level of a region) must fit a worker."""
+    by definition: each group is one task, so groups (a level of a region) must fit a worker; ``thinning.thin_by_distance``
+    has no such limit. Points without finite coordinates go."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf[np.isfinite(pdf["mx"].astype(float)) & np.isfinite(pdf["my"].astype(float))].sort_values(order)
         cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
         keep = []
         for x, y in zip(pdf["mx"], pdf["my"], strict=True):

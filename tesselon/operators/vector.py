@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselon.functions.values import value_type
+from tesselon.operators.stored import BROADCAST_BYTES
 from tesselon.plans.cel import compile_expression
 
-#: A lookup table of so many rows at most is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: What a row of a lookup table takes beside its texts, and a text beside its bytes.
+ROW_BYTES, TEXT_BYTES = 64, 48
 
 
 def literal(value: Column) -> Column:
@@ -74,11 +76,12 @@ def update_properties(
 
     The table's values overwrite properties of the same name, or replace all. Features of the layer
     without the property are kept even if those without a match go. The table is broadcast if its
-    counted rows are few, else both sides are shuffled on the key."""
+    measured bytes are few, else both sides are shuffled on the key."""
     dim = typed_table(table, id_field_data, decimal_separator, line)
     if not include_id:
         dim = dim.withColumn("data", F.map_filter("data", lambda k, _: k != F.lit(id_field_data)))
-    if table.count() <= BROADCAST_ROWS:
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.octet_length(F.lit(c)) + TEXT_BYTES for c in table.columns]
+    if table.agg(F.coalesce(F.sum(reduce(Column.__add__, texts) + ROW_BYTES), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         dim = F.broadcast(dim)
     key = F.when(F.col("layer") == layer, plain(F.try_element_at("props", F.lit(id_field_tiles))))
     out = features.withColumn("_key", key).join(dim, F.col("_key") == F.col("key"), "left")

@@ -589,16 +589,47 @@ def laea_points(spark, sf_dir):
     return p.select("event_id", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
 
 
+def _grid_events(spark, sf_dir, epsg: int, size: float) -> DataFrame:
+    """Events by the cell of a grid in which they lie."""
+    p = points(spark, sf_dir)
+    if epsg == 3035:
+        p = p.select((15 + F.col("lon") / 7.2).alias("lon"), (51 + F.col("lat") / 4.0).alias("lat"))
+    x, y = C.laea_forward("lon", "lat") if epsg == 3035 else (F.col("lon"), F.col("lat")) if epsg == 4326 else (C.mercator_x("lon"), C.mercator_y("lat"))
+    cell = [F.floor(v / size).cast("bigint").alias(c) for v, c in ((x, "cx"), (y, "cy"))]
+    return p.groupBy(*cell).agg(F.count(F.lit(1)).alias("events"))
+
+
+def _grid_query(spark, sf_dir, epsg: int, size: float, bbox: tuple) -> DataFrame:
+    cells = sources.grid_cells(spark, epsg, size, bbox).select("id_text", "cx", "cy", F.col("west").cast("double").alias("west"), F.col("north").cast("double").alias("north"))
+    return cells.join(_grid_events(spark, sf_dir, epsg, size), ["cx", "cy"], "left").withColumn("events", F.coalesce("events", F.lit(0)).cast("bigint"))
+
+
+_GRID_EVENTS_SQL = {
+    3035: _LAEA_SQL.replace("round(b * d * cos(beta) * sin(turn) + 4321000, 2) AS east, round(b / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(turn)) + 3210000, 2) AS north", "b * d * cos(beta) * sin(turn) + 4321000 AS gx, b / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(turn)) + 3210000 AS gy").replace("SELECT event_id, b * d", "SELECT b * d"),
+    3857: " SELECT lon * pi() / 180 * 6378137.0 AS gx, 6378137.0 * ln(tan(lat * pi() / 360 + pi() / 4)) AS gy FROM p",
+    4326: " SELECT lon AS gx, lat AS gy FROM p",
+}
 for _name, _epsg, _size, _bbox in (("grid_cells_3035", 3035, 50_000, (4_000_000, 2_990_000, 4_600_000, 3_500_000)), ("grid_cells_3857", 3857, 250_000, (-1_000_000, 0, 2_000_001, 3_000_000)), ("grid_cells_4326", 4326, 5, (-10, 30, 41, 60))):
-    QUERIES[_name] = lambda spark, sf_dir, a=(_epsg, _size, _bbox): sources.grid_cells(spark, *a).select("id_text", "cx", "cy", F.col("west").cast("double").alias("west"), F.col("north").cast("double").alias("north"))
+    QUERIES[_name] = lambda spark, sf_dir, a=(_epsg, _size, _bbox): _grid_query(spark, sf_dir, *a)
     _x, _y = (f"range(CAST(floor({_bbox[i]} / {_size}.0) AS BIGINT), CAST(ceil({_bbox[i + 2]} / {_size}.0) AS BIGINT))" for i in (0, 1))
-    ORACLE_SQL[_name] = f"""SELECT 'CRS{_epsg}RES{_size}mN' || (cy * {_size}) || 'E' || (cx * {_size}) AS id_text, cx, cy, CAST(cx * {_size} AS DOUBLE) AS west, CAST((cy + 1) * {_size} AS DOUBLE) AS north
-FROM (SELECT CAST(range AS BIGINT) AS cx FROM {_x}), (SELECT CAST(range AS BIGINT) AS cy FROM {_y})"""
+    ORACLE_SQL[_name] = f"""SELECT 'CRS{_epsg}RES{_size}mN' || (cy * {_size}) || 'E' || (cx * {_size}) AS id_text, cx, cy, CAST(cx * {_size} AS DOUBLE) AS west, CAST((cy + 1) * {_size} AS DOUBLE) AS north, coalesce(events, 0) AS events
+FROM (SELECT * FROM (SELECT CAST(range AS BIGINT) AS cx FROM {_x}), (SELECT CAST(range AS BIGINT) AS cy FROM {_y})) LEFT JOIN (
+SELECT CAST(floor(gx / {_size}) AS BIGINT) AS cx, CAST(floor(gy / {_size}) AS BIGINT) AS cy, count(*) AS events FROM ({_PRELUDE}{_GRID_EVENTS_SQL[_epsg]}) GROUP BY ALL) USING (cx, cy)"""
 
 
 # --- blobs: some have no SQL and are tested in tests/test_engine.py -------------------------------------------------
 
 
+def _with_events(spark, sf_dir, tiles_: DataFrame, deepest: int) -> DataFrame:
+    """The tiles, of levels up to one, in which events lie."""
+    p = points(spark, sf_dir).withColumn("z", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deepest).cast("bigint"))))
+    return general.filter_tiles(tiles_, mask=p.select("z", C.tile_x("lon", "z").alias("x"), C.tile_y("lat", "z").alias("y")).distinct())
+
+
+def _with_events_sql(sql: str) -> str:
+    return f"SELECT q.* FROM ({sql}) AS q WHERE EXISTS (SELECT 1 FROM s WHERE s.z = q.z AND s.x = q.x AND s.y = q.y)"
+
+
 def _point_features(spark, sf_dir, z: int = 3) -> DataFrame:
     f = features(spark, sf_dir, z)
     at = lambda a: (F.col("id") * a % 4096).cast("bigint")
@@ -657,24 +688,25 @@ SELECT event_id, event_type, round(mx, 2) AS mx, round(my, 2) AS my FROM r WHERE
 def draw_cells(spark, sf_dir):
     from tesselon.plans.vpl import run_vpl
 
-    return run_vpl(spark, "from_grid epsg=4326 size=5 bbox=[0, 40, 30, 60] max_zoom=5 | filter level_min=3").tiles.select(*KEY, F.length("data").alias("size"))
+    made = run_vpl(spark, "from_grid epsg=4326 size=5 bbox=[0, 40, 30, 60] max_zoom=5 | filter level_min=3").tiles
+    return _with_events(spark, sf_dir, made, 5).select(*KEY, F.length("data").alias("size"))
 
 
-@query("""SELECT z, x, y, color AS first, color AS last FROM (
+@query(_with_events_sql("""SELECT z, x, y, color AS first, color AS last FROM (
 SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, printf('%02x%02x%02xff', CAST(round(255 * pow(red / 255.0, 1.2)) AS INTEGER), CAST(round(255 * pow(green / 255.0, 1.2)) AS INTEGER), CAST(round(255 * pow(blue / 255.0, 1.2)) AS INTEGER)) AS color
 FROM (SELECT CAST(range AS BIGINT) AS z, CASE WHEN range <= 2 THEN 128 ELSE 255 END AS red, CASE WHEN range <= 2 THEN 0 ELSE 255 - 128 END AS green, 255 - 128 AS blue FROM range(0, 4)) AS l,
-range(0, 8) AS a, range(0, 8) AS b WHERE a.range < pow(2, z) AND b.range < pow(2, z))""")
+range(0, 8) AS a, range(0, 8) AS b WHERE a.range < pow(2, z) AND b.range < pow(2, z))"""))
 def alpha_blend(spark, sf_dir):
     """Red of opacity 128 in front of blue, which ends at level 2; below that, of white."""
     from tesselon.operators.raster import corner_colors
     from tesselon.plans.vpl import run_vpl
 
     out = run_vpl(spark, "from_stacked_raster [from_color color=ff000080 size=16 level_max=3, from_color color=0000ff size=16 level_max=2] | raster_flatten | raster_levels gamma=1.2")
-    return corner_colors(out.tiles)
+    return corner_colors(_with_events(spark, sf_dir, out.tiles, 3))
 
 
-@query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(2, 6)) AS l, range(0, 32) AS a, range(0, 32) AS b
-WHERE a.range >> (z - 2) IN (1, 2) AND b.range >> (z - 2) IN (1, 2)""")
+@query(_with_events_sql("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(2, 6)) AS l, range(0, 32) AS a, range(0, 32) AS b
+WHERE a.range >> (z - 2) IN (1, 2) AND b.range >> (z - 2) IN (1, 2)"""))
 def raster_mask(spark, sf_dir):
     """A mask that ends at tile borders keeps the tiles within it."""
     from tesselon.operators import raster
@@ -682,27 +714,29 @@ def raster_mask(spark, sf_dir):
 
     edge = C.WORLD / 4
     square = [(-edge, -edge), (edge, -edge), (edge, edge), (-edge, edge), (-edge, -edge)]
-    return raster.corner_colors(raster.mask(run_vpl(spark, "from_color color=336699 size=16 level_max=5 | filter level_min=2").tiles, [square]))
+    kept = raster.mask(run_vpl(spark, "from_color color=336699 size=16 level_max=5 | filter level_min=2").tiles, [square])
+    return raster.corner_colors(_with_events(spark, sf_dir, kept, 5))
 
 
-@query("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b
-WHERE a.range < pow(2, z) AND b.range < pow(2, z)""")
+@query(_with_events_sql("""SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y, '336699ff' AS first, '336699ff' AS last FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b
+WHERE a.range < pow(2, z) AND b.range < pow(2, z)"""))
 def raster_pyramid(spark, sf_dir):
     from tesselon.operators.raster import corner_colors
     from tesselon.plans.vpl import run_vpl
 
-    return corner_colors(run_vpl(spark, "from_color color=336699 size=16 level_max=3 | filter level_min=3 | raster_overview level=3").tiles)
+    made = run_vpl(spark, "from_color color=336699 size=16 level_max=3 | filter level_min=3 | raster_overview level=3").tiles
+    return corner_colors(_with_events(spark, sf_dir, made, 3))
 
 
-@query("""SELECT z, x, CAST(pow(2, z) AS BIGINT) - 1 - y AS y, layer, unnest(string_split(digits, '')) AS char FROM (
+@query(_with_events_sql("""SELECT z, x, CAST(pow(2, z) AS BIGINT) - 1 - y AS y, layer, unnest(string_split(digits, '')) AS char FROM (
 SELECT z, x, y, 'debug_' || axis AS layer, CAST(CASE axis WHEN 'x' THEN x ELSE y END AS VARCHAR) AS digits FROM (
 SELECT z, CAST(a.range AS BIGINT) AS x, CAST(b.range AS BIGINT) AS y FROM (SELECT CAST(range AS BIGINT) AS z FROM range(0, 4)) AS l, range(0, 8) AS a, range(0, 8) AS b WHERE a.range < pow(2, z) AND b.range < pow(2, z)),
-(SELECT unnest(['x', 'y']) AS axis))""")
+(SELECT unnest(['x', 'y']) AS axis))"""))
 def debug_pipeline(spark, sf_dir):
     from tesselon.plans.vpl import run_vpl
 
     out = run_vpl(spark, "from_debug level_max=3 | vector_filter_layers filter=[debug_z] | vector_filter_properties regex='/index$' | remap_coords flip_y=true")
-    return out.features.select(*KEY, "layer", vector.plain(F.try_element_at("props", F.lit("char"))).alias("char"))
+    return _with_events(spark, sf_dir, out.features, 3).select(*KEY, "layer", vector.plain(F.try_element_at("props", F.lit("char"))).alias("char"))
 
 
 _VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"

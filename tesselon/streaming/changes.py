@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesselon.functions.coords import tile_x, tile_y
-from tesselon.operators.stored import shared_folder
+from tesselon.operators.stored import own_folder
 
 #: How long a deleted key is remembered, so that an older version of it that comes late does not bring it back.
 FORGET_MS = 7 * 24 * 3600 * 1000
@@ -88,5 +87,5 @@ def counts(spark: SparkSession, log: str) -> DataFrame:
 
 
 def new_log(spark: SparkSession) -> str:
-    """A folder for a log that all executors see."""
-    return f"{shared_folder(spark)}/tesselon-log-{uuid.uuid4().hex}"
+    """A folder for a log, and one within it for the stream's own state, that go when the program ends."""
+    return f"{own_folder(spark)}/log"
