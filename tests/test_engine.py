@@ -332,7 +332,7 @@ def test_import_defaults(spark, tmp_path):
     rows = source.features.collect()
     assert {r.layer for r in rows} == {"fields"} and {r.id for r in rows} == {None} and all(set(r.props) == {"a"} for r in rows)
     (tmp_path / "p.csv").write_text("lon,lat,n\n1,2,3\n")
-    points = run_vpl(spark, f"from_csv filename='{tmp_path}/p.csv' lon_column=lon lat_column=lat")
+    points = run_vpl(spark, f"from_csv filename='{tmp_path}/p.csv' lon_column=lon lat_column=lat min_zoom=13")
     assert points.tilejson.maxzoom == 14 and {r.layer for r in points.features.collect()} == {"p"}
 
 
