@@ -1,14 +1,19 @@
 """Toxicity: a weighted finite-state grammar scores clauses by the patterns that they match.
 
-Each word becomes a symbol: insult, learnt, echo (a weaker learnt word), threat, target, negation,
-report, intent or plain. Transducers for target, negation, report and intent mark what stands within a
-few words of theirs; they are composed into one that reads a clause forwards, and the same composition
-reads it backwards, so that marks come from both sides. A last transducer turns each marked insult or
-threat into a pattern: aimed at a target, bare, weakened by negation or reported speech, or again after
-an earlier one of the document. All are tables of (state, symbol) -> (state, output).
+Each word becomes a symbol: insult, coarse (a word with a harmless sense too, like trash), learnt, echo (a
+weaker learnt word), threat, target, negation, report, intent and so on. Transducers for target, negation,
+report and intent mark what stands within a few words of theirs; they are composed into one that reads a
+clause forwards, and the same composition reads it backwards, so that marks come from both sides. Another
+finds coarse words that are said of somebody ("you are trash"). A threat is meant if an intent comes before
+it and its target behind it ("I will hurt you"); verbs that stand last, as in German, French and Spanish
+infinitives, may have the target on either side. A last transducer turns marked words into patterns:
+aimed, piled (another insulting word stood before in the document), bare, or weakened by negation or
+reported speech. All are tables of (state, symbol) -> (state, output).
 
 Patterns have weights a >= 0. A clause scores 1 - exp(-(sum of the weights of its patterns)), and a
 document 1 - exp(-base) * product of (1 - clause score): one bad clause is enough, and further ones add.
+A word that a text repeats counts once unless it is aimed, and what is bare is bounded (LONE): one insulting
+word, coarse words alone and threats without a target stay under 0.7, whatever was learnt.
 """
 
 from __future__ import annotations
@@ -38,23 +43,43 @@ STEM_CHARS = range(4, 9)
 #: Words over which a target, negation, report or intent reaches within its clause.
 SCOPE = 6
 
-#: The seed lexicon.
-INSULTS = "idiot idiots moron morons stupid dumb scum trash garbage loser losers pathetic worthless disgusting clown fool imbecile cretin vermin filth pig".split()
-THREATS = "kill hurt destroy beat burn hang shoot stab crush".split()
-TARGETS = "you your yourself u he she they them him her his their these those this that such people".split()
-NEGATIONS = "not no never nobody isn't aren't wasn't don't nicht kein keine pas jamais ne nunca non".split()
+#: The seed lexicon, English, German, French, Spanish. ("du" is left out: it is a French article.)
+INSULTS = (
+    "idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting imbecile imbeciles cretin cretins subhuman subhumans bastard bastards asshole assholes "
+    "idioten trottel vollidiot arschloch abschaum schwachkopf dummkopf untermensch "
+    "connard connards salaud salope abruti abrutis imbécile imbéciles crétin crétins ordure "
+    "idiota idiotas imbécil imbéciles estúpido estúpida cabrón gilipollas hijoputa"
+).split()
+COARSE_WORDS = "trash garbage filth vermin pig pigs clown clowns fool fools dumb dreck schwein müll porc déchet basura cerdo payaso".split()
+THREATS = "kill hurt destroy beat burn hang shoot stab crush murder strangle".split()
+LATE_THREATS = "umbringen töten erwürgen abstechen tuer étrangler poignarder matar matarte estrangular apuñalar".split()
+TARGETS = "yourself he she they them him her ihn ihnen lui eux él ella ellos".split()
+CALLED_WORDS = "you u you're he's she's they're dich dir euch bist seid tu toi t'es vous tú ti eres usted ustedes te".split()
+POINTERS = "your his their those these this that people dein deine ces ese esos".split()
+BEINGS = "are is am was were be been ist sind est êtes sont es son".split()
+ARTICLES = "a an the just such so nothing but only complete utter total absolute piece of ein eine une una".split()
+NEGATIONS = "not no never nobody isn't aren't wasn't don't won't nicht kein keine pas jamais ne nunca non".split()
 REPORTS = "said says say claimed claims called reported wrote quoted alleged sagte dit dijo".split()
-INTENTS = "will gonna shall going must should i'll we'll".split()
-PLAIN, INSULT, LEARNT, ECHO, THREAT, TARGET, NEGATION, REPORT, INTENT = range(9)
-SYMBOLS = 9
-LEXICON = ((INTENTS, INTENT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET), (THREATS, THREAT), (INSULTS, INSULT))
-#: Marks of a word, as bits.
+INTENTS = "will gonna shall going must should i'll we'll werde werden vais allons voy vamos".split()
+PLAIN, INSULT, COARSE, LEARNT, ECHO, THREAT, LATE, TARGET, CALLED, POINTER, BEING, ARTICLE, NEGATION, REPORT, INTENT = range(15)
+SYMBOLS = 15
+#: Of a word in several lists the first counts.
+LEXICON = (
+    (INSULTS, INSULT), (COARSE_WORDS, COARSE), (THREATS, THREAT), (LATE_THREATS, LATE), (CALLED_WORDS, CALLED), (TARGETS, TARGET),
+    (POINTERS, POINTER), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT), (BEINGS, BEING), (ARTICLES, ARTICLE),
+)
+#: Marks of a word, as bits: the first four come from scopes. HIT: a threat with intent and target, a coarse word said
+#: of somebody. SAME: the text holds the word before.
 AIMED, DENIED, REPORTED, MEANT = 1, 2, 4, 8
 MARKS = 16
-_FAMILY = {INSULT: "insult", LEARNT: "learnt", ECHO: "echo", THREAT: "threat"}
-#: Weights before anything is learnt, and the least probability that a bare insult leaves to a text.
-STANDING = {"insult_aimed": 1.9, "insult_bare": 0.7, "learnt_aimed": 1.9, "learnt_bare": 0.7, "echo_aimed": 0.2, "echo_bare": 0.2, "threat_meant": 1.9, "threat_bare": 0.2, "insult_again": 0.9, "learnt_again": 0.9, "echo_again": 0.9, "weakened": 0.1}
-STANDING_BASE, LONE = 0.02, 0.4
+HIT, SAME = 16, 32
+ALL_MARKS = 64
+_FAMILY = {INSULT: "insult", COARSE: "coarse", LEARNT: "learnt", ECHO: "echo", THREAT: "threat", LATE: "threat"}
+#: Weights before anything is learnt, and the most that those which no aim confirms may be learnt to be. One insulting
+#: or learnt word, all coarse ones, and threats without a target leave a text over 0.3 to be harmless.
+STANDING = {"insult_aimed": 1.9, "insult_piled": 0.9, "insult_bare": 0.5, "coarse_aimed": 1.9, "coarse_bare": 0.1, "learnt_aimed": 1.9, "learnt_piled": 0.9, "learnt_bare": 0.5, "echo_aimed": 0.2, "echo_piled": 0.9, "echo_bare": 0.2, "threat_meant": 1.9, "threat_bare": 0.1, "weakened": 0.1}
+LONE = {"insult_bare": 0.7, "learnt_bare": 0.7, "coarse_bare": 0.15, "echo_aimed": 0.2, "echo_bare": 0.2, "threat_bare": 0.15, "weakened": 0.1}
+STANDING_BASE, MOST_BASE = 0.02, 0.1
 PATTERNS = tuple(STANDING)
 _WORD_BREAK = np.zeros(256, bool)
 _WORD_BREAK[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -90,11 +115,11 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(first.follow[a] * n + second.follow[b[:, None], middle], second.output[b[:, None], middle])
 
 
-def scope(trigger: int, mark: int, reach: int = SCOPE) -> Transducer:
-    """Adds a mark to the words up to ``reach`` places behind the trigger; reads and gives symbol * MARKS + marks.
+def scope(triggers: tuple[int, ...], mark: int, reach: int = SCOPE) -> Transducer:
+    """Adds a mark to the words up to ``reach`` places behind a trigger; reads and gives symbol * MARKS + marks.
     State k: the mark is added to k more words."""
     states, symbols = np.arange(reach + 1)[:, None], np.arange(SYMBOLS * MARKS)[None, :]
-    opens = symbols // MARKS == trigger
+    opens = np.isin(symbols // MARKS, triggers)
     return Transducer(np.where(opens, reach, np.maximum(states - 1, 0)), np.where(states > 0, symbols | mark, symbols))
 
 
@@ -102,32 +127,55 @@ def marker() -> Transducer:
     """The four scopes, composed; it reads bare symbols."""
     given = Transducer(np.zeros((1, SYMBOLS), np.int64), np.arange(SYMBOLS)[None, :] * MARKS)
     out = given
-    for trigger, mark in ((TARGET, AIMED), (NEGATION, DENIED), (REPORT, REPORTED), (INTENT, MEANT)):
-        out = compose(out, scope(trigger, mark))
+    for triggers, mark in (((TARGET, CALLED), AIMED), ((NEGATION,), DENIED), ((REPORT,), REPORTED), ((INTENT,), MEANT)):
+        out = compose(out, scope(triggers, mark))
     return out
 
 
+def predicate() -> Transducer:
+    """Reads bare symbols; gives 1 for a coarse word that is said of somebody: "you trash", "he is such a pig".
+    States: 0, 1 behind a target, 2 where what follows is said of it. Articles change nothing."""
+    follow, output = np.zeros((3, SYMBOLS), np.int64), np.zeros((3, SYMBOLS), np.int64)
+    follow[:, TARGET], follow[:, CALLED] = 1, 2
+    follow[1:, BEING] = 2
+    follow[:, ARTICLE] = follow[:, NEGATION] = np.arange(3)
+    follow[2, [INSULT, COARSE]] = 2
+    output[2, COARSE] = 1
+    return Transducer(follow, output)
+
+
 def labeller() -> Transducer:
-    """Reads symbol * MARKS + marks of both sides; gives 0, or 1 + a pattern. States: bit k is set once an
-    insult of the k-th family was met, so that the next one of the document comes again."""
-    families = (INSULT, LEARNT, ECHO)
-    follow, output = np.zeros((8, SYMBOLS * MARKS), np.int64), np.zeros((8, SYMBOLS * MARKS), np.int64)
+    """Reads symbol * ALL_MARKS + marks; gives 0, or 1 + a pattern. States: a bit for each of insult, coarse, learnt,
+    echo, a bare threat and something weakened, set once the document has had one. A bare word counts if it is the
+    first of its kind, and as piled if another insulting word came before; of coarse words one at least must be a
+    plain insult."""
+    insult, coarse, learnt, echo, threat, weak = (1 << i for i in range(6))
+    bit_of = {INSULT: insult, COARSE: coarse, LEARNT: learnt, ECHO: echo}
+    company = {INSULT: insult | coarse | learnt, COARSE: insult | learnt, LEARNT: insult | learnt, ECHO: insult | learnt | echo}
+    follow = np.repeat(np.arange(64)[:, None], SYMBOLS * ALL_MARKS, axis=1)
+    output = np.zeros((64, SYMBOLS * ALL_MARKS), np.int64)
     number = {p: i + 1 for i, p in enumerate(PATTERNS)}
-    for state in range(8):
-        for symbol in range(SYMBOLS):
-            for marks in range(MARKS):
-                at, after = symbol * MARKS + marks, state
-                if symbol in _FAMILY:
-                    name = _FAMILY[symbol]
-                    if marks & (DENIED | REPORTED):
-                        output[state, at] = number["weakened"]
-                    elif symbol == THREAT:
-                        output[state, at] = number["threat_meant" if marks & MEANT else "threat_bare"]
+    for state in range(64):
+        for symbol, name in _FAMILY.items():
+            for marks in range(ALL_MARKS):
+                at, said, bit = symbol * ALL_MARKS + marks, None, 0
+                if marks & (DENIED | REPORTED):
+                    said, bit = None if state & weak else "weakened", weak
+                elif name == "threat":
+                    if marks & HIT:
+                        said = "threat_meant"
                     else:
-                        bit = 1 << families.index(symbol)
-                        output[state, at] = number[f"{name}_again" if state & bit else f"{name}_aimed" if marks & AIMED else f"{name}_bare"]
-                        after |= bit
-                follow[state, at] = after
+                        said, bit = None if state & threat else "threat_bare", threat
+                else:
+                    bit = bit_of[symbol]
+                    if marks & (HIT if symbol == COARSE else AIMED):
+                        said = f"{name}_aimed"
+                    elif not marks & SAME:
+                        said = f"{name}_piled" if state & company[symbol] else None if state & bit else f"{name}_bare"
+                if said == "coarse_piled":
+                    said = "insult_piled"
+                output[state, at] = number[said] if said else 0
+                follow[state, at] = state | bit
     return Transducer(follow, output)
 
 
@@ -184,8 +232,8 @@ class Reader:
     """Counts patterns; holds the fixed lexicon and the composed transducers."""
 
     def __init__(self) -> None:
-        self.hasher, self.marker, self.labeller = Hasher(), marker(), labeller()
-        words = [(w, s) for ws, s in LEXICON for w in ws]
+        self.hasher, self.marker, self.predicate, self.labeller = Hasher(), marker(), predicate(), labeller()
+        words = list({w: s for ws, s in reversed(LEXICON) for w in ws}.items())
         hashes = _hash_words(self.hasher, [w for w, _ in words])
         order = np.argsort(hashes)
         self.fixed = hashes[order], np.array([s for _, s in words])[order]
@@ -208,23 +256,38 @@ class Reader:
         place = at[:, None] + np.arange(-SCOPE, SCOPE + 1)
         safe = np.clip(place, 0, len(symbols) - 1) if len(symbols) else place
         near = np.where((place == safe) & (tokens.clause[safe] == tokens.clause[at][:, None]), symbols[safe], PLAIN)
-        marks = (self.marker.read(near[:, : SCOPE + 1])[:, -1] | self.marker.read(near[:, : SCOPE - 1 : -1])[:, -1]) % MARKS
-        read = symbols[at] * MARKS + marks
+        own, text = symbols[at], tokens.text[at]
+        # "that" and "your" point at people beside an insult, at things beside the others.
+        near = np.where(near == POINTER, np.where(np.isin(own, [COARSE, THREAT, LATE]), PLAIN, TARGET)[:, None], near)
+        before, behind = self.marker.read(near[:, : SCOPE + 1])[:, -1] % MARKS, self.marker.read(near[:, : SCOPE - 1 : -1])[:, -1] % MARKS
+        marks = before | behind
+        meant = np.where(own == THREAT, (before & MEANT > 0) & (behind & AIMED > 0), (own == LATE) & (marks & MEANT > 0) & (marks & AIMED > 0))
+        hit = meant | ((own == COARSE) & (self.predicate.read(near[:, : SCOPE + 1])[:, -1] > 0))
+        read = own * ALL_MARKS + (marks | hit * HIT | _repeats(text, tokens.hashes[at]) * SAME)
         # The last transducer reads a text's matches in order, all texts in step.
-        text = tokens.text[at]
         rank = np.arange(len(at)) - np.searchsorted(text, text)
         state, out = np.zeros(len(column), np.int64), np.zeros(len(at), np.int64)
         order = np.argsort(rank, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1):
             out[some] = self.labeller.output[state[text[some]], read[some]]
             state[text[some]] = self.labeller.follow[state[text[some]], read[some]]
-        return text, tokens.clause[at], out - 1
+        said = out > 0
+        return text[said], tokens.clause[at][said], out[said] - 1
 
     def counts(self, column: pa.Array, stems: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         text, _, pattern = self.patterns(column, stems)
         return np.bincount(text * len(PATTERNS) + pattern, minlength=len(column) * len(PATTERNS)).reshape(-1, len(PATTERNS))
 
 
+def _repeats(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the same text holds the same word before."""
+    order = np.lexsort((hashes, text))
+    a, b = order[:-1], order[1:]
+    out = np.zeros(len(order), bool)
+    out[b] = (text[a] == text[b]) & (hashes[a] == hashes[b])
+    return out
+
+
 def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
     """Symbol of each hash, 0 where the table has it not."""
     keys, symbols = table
@@ -235,11 +298,11 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.nda
 
 
 def _held_stems(reader: Reader, column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(text, stem, how often) for each text and each of its stems, or of those in ``only``; fixed words hold none."""
+    """(text, stem, different words with it) for each text and each of its stems, or of those in ``only``; fixed words hold none."""
     out, first = [], 0
     for part in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", FIT_SLICE_BYTES):
         tokens = Tokens(reader.hasher, part.column(0))
-        free = _look_up(reader.fixed, tokens.hashes) == 0
+        free = (_look_up(reader.fixed, tokens.hashes) == 0) & ~_repeats(tokens.text, tokens.hashes)
         texts, keys = [], []
         for chars in STEM_CHARS:
             some, hashes = tokens.stems(chars)
@@ -259,9 +322,10 @@ def _held_stems(reader: Reader, column: pa.Array, only: np.ndarray | None = None
 
 
 def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Word beginnings that stand almost only in toxic texts (learnt), or almost only there twice or thrice (echo).
+    """Word beginnings that stand almost only in toxic texts (learnt), or of which two or three different words stand
+    almost only there (echo).
 
-    Taken by support, of equal ones the longest first; each must explain enough toxic texts that neither
+    Taken by support, of equal ones those of fewer words and then the longest first; each must explain enough toxic texts that neither
     the seed lexicon nor an earlier one explains, so that the common words of copied texts are not learnt."""
     text, key, often = _held_stems(reader, toxic)
     keys, of = np.unique(key, return_inverse=True)
@@ -282,9 +346,9 @@ def learn_stems(reader: Reader, toxic: pa.Array, clean: pa.Array) -> dict[int, t
         for a, b in zip(cuts.tolist(), np.append(cuts, len(sorted_key))[1:].tolist(), strict=True):
             k, n = int(sorted_key[a]), b - a
             if n >= MIN_SUPPORT and n >= MIN_PRECISION * (n + against[k]) and weight(n, against[k]) > least:
-                offers.append((times, -n, -(k & 15), k, symbol, against[k], sorted_text[a:b]))
+                offers.append((-n, times, -(k & 15), k, symbol, against[k], sorted_text[a:b]))
     tokens_of = reader.counts(toxic, {})
-    explained = tokens_of[:, [PATTERNS.index("insult_aimed"), PATTERNS.index("insult_bare")]].sum(axis=1) > 0
+    explained = tokens_of[:, [PATTERNS.index(f"insult_{how}") for how in ("aimed", "piled", "bare")]].sum(axis=1) > 0
     taken: dict[int, list[tuple[int, int]]] = {}
     for *_, length, k, symbol, against, holders in sorted(offers, key=lambda o: o[:4]):
         fresh = int((~explained[holders]).sum())
@@ -313,13 +377,11 @@ def _stem_hashes(reader: Reader, column: pa.Array, chars: int, known: set[int])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 3000, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights that make the labels likely, by Adam on their logarithms, drawn to the standing ones. A lone bare
-    insult of the lexicon leaves a text at least LONE to be harmless."""
+    """Weights that make the labels likely, by Adam on their logarithms, drawn to the standing ones and bounded by LONE."""
     prior = np.log(np.append(np.array([STANDING[p] for p in PATTERNS]), STANDING_BASE))
     z, wide = prior.copy(), np.column_stack([x, np.ones(len(x))])
     m, v = np.zeros_like(z), np.zeros_like(z)
-    most = np.full(len(z), 4.0)
-    most[PATTERNS.index("insult_bare")] = -math.log(LONE) - 0.1
+    most = np.array([LONE.get(p, 4.0) for p in PATTERNS] + [MOST_BASE])
     for step in range(1, rounds + 1):
         a = np.exp(z)
         s = np.minimum(wide @ a, 30.0)
@@ -385,8 +447,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: F.Column | None =
 
     trains picks, by columns of ``labels``, the labelled rows that may be learnt from; None: all. Labels
     with a null id or a null toxic are left out; of several labels of one id the largest counts. Whole
-    texts are scored, of any length; null and empty ones match nothing and get the base rate. A lone bare
-    insult of the seed lexicon never makes a text 0.7, whatever was learnt. Labels, language, source and id are no inputs of a
+    texts are scored, of any length; null and empty ones match nothing and get the base rate. One
+    insulting or learnt word that is not aimed, however often it stands, coarse words alone and threats without
+    a target never make a text 0.7, whatever was learnt. Figurative threats ("I will beat you at chess") are not told apart. Labels, language, source and id are no inputs of a
     score. An empty label table leaves the seed lexicon with standing weights; an empty document table
     gives no rows. Repeated rows are scored alike; of several texts of one labelled id the first in order
     is learnt from. Other columns pass through; toxicity, worst_clause and toxic_patterns are replaced.

@@ -318,7 +318,7 @@ def test_toxicity_learns(spark):
     rows, labels = [], []
     for i in range(900):
         toxic = i % 6 == 0
-        text = plain(rng.randint(5, 60)) + ("" if not toxic else rng.choice([" you idiot. ", " zorgul" + plain(1) + " ", " zorgulen, "])) + plain(5)
+        text = plain(rng.randint(5, 60)) + ("" if not toxic else rng.choice([" you idiot. ", " zorgul" + plain(1) + " or zorgulox ", " zorgulen, zorgulis "])) + plain(5)
         rows.append((i, text))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -343,12 +343,27 @@ def test_toxicity_grammar():
         ("not one two three four five six idiot", ["insult_bare"]),
         ("I will hurt you", ["threat_meant"]),
         ("they beat eggs", ["threat_bare"]),
-        ("You idiot. You moron", ["insult_aimed", "insult_again"]),
+        ("I will burn the toast", ["threat_bare"]),
+        ("you will burn your toast and hurt, crush, hang", ["threat_bare"]),
+        ("I will burn that house", ["threat_bare"]),
+        ("Ich werde dich umbringen", ["threat_meant"]),
+        ("Je vais te tuer", ["threat_meant"]),
+        ("Te voy a matar", ["threat_meant"]),
+        ("You idiot. You moron", ["insult_aimed", "insult_aimed"]),
+        ("Idiot. The moron", ["insult_bare", "insult_piled"]),
+        ("Idiot. The idiot", ["insult_bare"]),
+        ("you are subhuman", ["insult_aimed"]),
+        ("you trash", ["coarse_aimed"]),
+        ("he is such a pig", ["coarse_aimed"]),
+        ("he is not a pig", ["weakened"]),
+        ("he takes your trash out", ["coarse_bare"]),
+        ("The trash. The garbage, the pig", ["coarse_bare"]),
+        ("The trash. The moron", ["coarse_bare", "insult_piled"]),
         ("isn't stupid", ["weakened"]),
         ("", []),
     ):
         assert named(text) == expected, text
-    text, clause, _ = reader.patterns(pa.array(["scum", None, "you scum and scum. Scum"]), {})
+    text, clause, _ = reader.patterns(pa.array(["scum", None, "you scum and scum. Moron"]), {})
     assert text.tolist() == [0, 2, 2, 2] and [(clause == c).sum() for c in np.unique(clause)] == [1, 2, 1]
 
 
@@ -362,38 +377,73 @@ def test_transducers_compose():
 
 def test_marks_against_brute_force():
     rng, reader = random.Random(3), toxicity.Reader()
-    pool = ["idiot", "you", "not", "said", "will", "hurt", "plain", "word"]
-    for _ in range(60):
-        text = [rng.choice(pool) for _ in range(rng.randint(1, 25))]
-        clauses, want, met = [[]], [], False
-        for w in text:
-            clauses[-1].append(w)
+    pool = ["idiot", "moron", "trash", "you", "not", "said", "will", "hurt", "plain", "word"]
+    for _ in range(200):
+        clauses, want, met, words = [[]], [], set(), set()
+        for _ in range(rng.randint(1, 25)):
+            clauses[-1].append(rng.choice(pool))
             if rng.random() < 0.1:
                 clauses.append([])
         for c in clauses:
             for i, w in enumerate(c):
-                near = c[max(0, i - toxicity.SCOPE) : i] + c[i + 1 : i + 1 + toxicity.SCOPE]
-                if w in ("idiot", "hurt"):
-                    if "not" in near or "said" in near:
-                        want.append("weakened")
-                    elif w == "hurt":
-                        want.append("threat_meant" if "will" in near else "threat_bare")
+                before, behind = c[max(0, i - toxicity.SCOPE) : i], c[i + 1 : i + 1 + toxicity.SCOPE]
+                near = before + behind
+                kind = {"idiot": "insult", "moron": "insult", "trash": "coarse", "hurt": "threat"}.get(w)
+                if kind is None:
+                    continue
+                said = None
+                if "not" in near or "said" in near:
+                    kind, said = "weak", None if "weak" in met else "weakened"
+                elif kind == "threat":
+                    if "will" in before and "you" in behind:
+                        kind, said = None, "threat_meant"
                     else:
-                        want.append("insult_again" if met else "insult_aimed" if "you" in near else "insult_bare")
-                        met = True
+                        said = None if kind in met else "threat_bare"
+                elif "you" in near if kind == "insult" else said_of(before):
+                    said = f"{kind}_aimed"
+                elif w not in words:
+                    company = {"insult", "coarse"} if kind == "insult" else {"insult"}
+                    said = "insult_piled" if met & company else None if kind in met else f"{kind}_bare"
+                met |= {kind}
+                words.add(w)
+                want += [said] if said else []
         got = reader.patterns(pa.array([". ".join(" ".join(c) for c in clauses)]), {})[2]
         assert [toxicity.PATTERNS[i] for i in got] == want
 
 
+def said_of(before: list[str]) -> bool:
+    """Whether the word behind these is called somebody: only insults and negations stand between it and "you"."""
+    while before and before[-1] in ("idiot", "moron", "trash", "not"):
+        before = before[:-1]
+    return before[-1:] == ["you"]
+
+
 def test_lone_insults_are_not_toxic(spark):
-    texts = ["Please take out the trash.", "Stupid weather today.", "He said it was garbage.", "You idiot.", "trash " * 3, "nothing", None]
+    texts = ["Please take out the trash.", "Stupid weather today.", "He said it was garbage.", "You idiot.", "trash trash", "nothing", None]
+    texts += ["The trash. The garbage.", "I will burn the toast", "idiot " * 30, "Je vais te tuer", "The moron. The idiot."]
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()}
-    assert [got[i] >= 0.7 for i in range(7)] == [False, False, False, True, True, False, False]
-    rows = [(t, 1) for t in ("one moron here", "a moron", "some moron there") * 60] + [("clean text here", 0)] * 400
-    grammar = toxicity.fit(rows)
-    weight = grammar.weights[toxicity.PATTERNS.index("insult_bare")]
-    assert 1 - math.exp(-weight - grammar.base) < 0.7
+    assert [i for i in range(len(texts)) if got[i] >= 0.7] == [3, 10, 11]
+
+
+def test_bare_words_stay_bounded_whatever_is_learnt():
+    """All labels speak for lone words; still one word, coarse words or threats without a target are no verdict."""
+    rows = [(t, 1) for t in ("one moron here", "a moron", "zorgul there", "the zorgul", "trash, garbage and filth", "burn it, hang it") * 60] + [("clean text here", 0)] * 400
+    grammar, reader = toxicity.fit(rows), toxicity.Reader()
+    assert grammar.stems
+    for text in ("moron", "moron and moron. Moron", "zorgul", "the trash, garbage, pig and filth. burn it, crush it. not filth. not garbage"):
+        assert 1 - math.exp(-reader.counts(pa.array([text]), grammar.stems)[0] @ grammar.weights - grammar.base) < 0.7, text
+
+
+def test_probes_on_the_learnt_grammar(spark):
+    """After fitting on sf0.1: words alone, repeated or learnt, are no verdict; matched clauses are."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    grammar, reader = toxicity.fit(toxicity.labelled_rows(docs, labels.select("doc_id", "toxic"), toxicity.remainder() != 1, "text", "doc_id")), toxicity.Reader()
+    score = lambda t: 1 - math.exp(-reader.counts(pa.array([t]), grammar.stems)[0] @ grammar.weights - grammar.base)
+    for text in ("trash trash", "The trash. The garbage.", "The réeuxai lies on the table.", "I will burn the toast", "idiot idiot", ""):
+        assert score(text) < 0.7, text
+    for text in ("you are an idiot", "you are subhuman", "I will hurt you", "Ich werde dich umbringen", "scum! moron!"):
+        assert score(text) >= 0.7, text
 
 
 def test_stems_of_whole_characters():
