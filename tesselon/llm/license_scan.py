@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselon.llm._shared import store
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 3
 #: Diagonals at most so far apart belong to one alignment: words were put in or left out between them.
@@ -22,7 +24,7 @@ BASE_PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: Opening sentences of common notices.
+#: Sentences of common notices.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
@@ -35,6 +37,15 @@ NOTICES = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 )
@@ -89,7 +100,8 @@ def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column
     in the text less place in the template). A phrase stands where one diagonal has all its grams: n_base
     counts these places, first_word and last_word are their smallest and largest starts. For the notices,
     of any length, votes of diagonals at most two apart are merged, and the span is kept if it holds at
-    least 60 % of the notice's grams. labels has the labels of both kinds, distinct, sorted, comma-joined;
+    least 60 % of the notice's grams and no better span shares a word with it: better is the larger share, of equal ones
+    the more grams, then the earlier template, then the later place. So one sentence gets the label of the notice that it follows best. labels has the labels of both kinds, distinct, sorted, comma-joined;
     spans has (label, first, last) word places; score is the largest share of a template's grams that was
     found, 1 where a phrase stands. Null, empty and shorter texts have no places: counts 0, first and last
     null, labels empty, score 0. A text of any length is scanned whole, in time that grows with it. Each
@@ -97,7 +109,8 @@ def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column
 
     Scale: the template table is a constant of this module or a caller's list, made from literals, and
     the only thing broadcast. Grams that no template has are sieved out before the rest is exploded and
-    joined; what is shuffled is one row for each document and each voted diagonal.
+    joined; what is shuffled is one row for each document and each voted diagonal, and one for each word of the spans that
+    contest. Matched grams are stored before the first shuffle, so that row numbers stay when an executor is lost.
     """
     spark = docs.sparkSession
     grams = template_grams(phrases, notices)
@@ -109,6 +122,7 @@ def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column
     if len(distinct) <= MOST_SIEVED:
         placed = F.filter(placed, lambda p: p["gram"].isin([rolling([F.lit(w) for w in g]) for g in distinct]))
     rows = rows.select("_row", "_id", "n_words", F.explode_outer(placed).alias("_p")).select("_row", "_id", "n_words", F.col("_p.at").alias("_at"), F.col("_p.gram").alias("gram"))
+    rows = store(rows)
     # Left, so that documents without a match stay.
     votes = rows.join(F.broadcast(_templates(spark, grams)), "gram", "left")
     diagonals = votes.groupBy("_row", "_id", "n_words", "template", "label", "base", "grams", (F.col("_at") - F.col("place")).alias("diagonal")).agg(
@@ -122,7 +136,15 @@ def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column
     )
     share = F.col("held") / F.col("grams")
     stands = F.coalesce(F.col("base") & (share == 1), F.lit(False))
-    good = stands | F.coalesce(~F.col("base") & (share >= LEAST_COVERAGE), F.lit(False))
+    notice = F.coalesce(~F.col("base") & (share >= LEAST_COVERAGE), F.lit(False))
+    # Spans that share a word contest: each word of theirs knows the best one over it. The others stand alone.
+    rank = F.struct(share.alias("share"), "held", (-F.col("template")).alias("template"), "first")
+    words_of = F.when(notice, F.sequence("first", "last")).otherwise(F.array(F.coalesce(-1 - F.col("first"), F.lit(-1))))
+    contest = spans.select("*", notice.alias("_notice"), F.explode(words_of).alias("_word"))
+    best = F.max(rank).over(Window.partitionBy("_row", "_word"))
+    contest = contest.select("*", (F.col("_notice") & (best > rank)).alias("_loses"))
+    spans = contest.groupBy("_row", "_id", "n_words", "template", "label", "base", "grams", "_group", "held", "first", "last").agg(F.max("_loses").alias("_loses"))
+    good = stands | (notice & ~F.col("_loses"))
     joined = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")
     place = F.when(good, F.struct("label", "first", "last"))
     out = spans.groupBy("_row", "_id", "n_words").agg(
@@ -131,7 +153,7 @@ def scan_licenses(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, column
         F.max(F.when(stands, F.col("first"))).cast("long").alias("last_word"),
         joined(stands).alias("base_labels"),
         joined(good).alias("labels"),
-        F.coalesce(F.max(F.when(good | ~F.col("base"), share)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(stands | ~F.col("base"), share)), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(place)).alias("spans"),
     )
     return out.withColumnRenamed("_id", id_column).select(id_column, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesselon.llm.license_scan import LEAST_COVERAGE, NEIGHBOUR, template_grams
+from tesselon.llm.license_scan import GRAM, LEAST_COVERAGE, NEIGHBOUR, template_grams
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -170,7 +170,7 @@ WITH templates(template, label, base, grams, place, gram) AS (VALUES
 ), grams AS (
   SELECT r, i, w || ' ' || lead(w, 1) OVER (PARTITION BY r ORDER BY i) || ' ' || lead(w, 2) OVER (PARTITION BY r ORDER BY i) AS gram FROM words
 ), diagonals AS (
-  SELECT r, template, label, base, grams, i - place AS diagonal, bit_or(1::BIGINT << place) AS mask, min(i) AS first
+  SELECT r, template, label, base, grams, i - place AS diagonal, bit_or(1::BIGINT << place) AS mask, min(i) AS first, max(i) AS last
   FROM grams JOIN templates USING (gram) GROUP BY ALL
 ), gaps AS (
   SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER w > {NEIGHBOUR} THEN 1 ELSE 0 END AS gap
@@ -178,19 +178,29 @@ WITH templates(template, label, base, grams, place, gram) AS (VALUES
 ), islands AS (
   SELECT *, sum(gap) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM gaps
 ), spans AS (
-  SELECT r, label, base, min(first) AS first, bit_count(bit_or(mask))::DOUBLE / grams AS part
+  SELECT r, template, label, base, grams, min(first) AS first, max(last) + {GRAM - 1} AS last, bit_count(bit_or(mask)) AS held,
+         bit_count(bit_or(mask))::DOUBLE / grams AS part
   FROM islands GROUP BY r, template, label, base, grams, island
+), notices AS (
+  SELECT * FROM spans WHERE NOT base AND part >= {LEAST_COVERAGE}
+), winners AS (
+  SELECT r, label FROM notices a WHERE NOT EXISTS (
+    SELECT 1 FROM notices b WHERE b.r = a.r AND b.first <= a.last AND a.first <= b.last
+    AND (b.held * a.grams > a.held * b.grams OR b.held * a.grams = a.held * b.grams AND
+         (b.held > a.held OR b.held = a.held AND (b.template < a.template OR b.template = a.template AND b.first > a.first))))
+), labelled AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT * FROM winners UNION ALL SELECT r, label FROM spans WHERE base AND part = 1) GROUP BY r
 ), found AS (
   SELECT r, count(*) FILTER (base AND part = 1) AS n_base, min(first) FILTER (base AND part = 1) AS first_word,
          max(first) FILTER (base AND part = 1) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND part = 1) AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (part >= CASE WHEN base THEN 1 ELSE {LEAST_COVERAGE} END) AS labels,
          max(part) FILTER (NOT base OR part = 1) AS score
   FROM spans GROUP BY r
 )
 SELECT doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
-FROM docs LEFT JOIN found USING (r)
+FROM docs LEFT JOIN found USING (r) LEFT JOIN labelled USING (r)
 """
 
 

@@ -299,6 +299,25 @@ def test_license_scan(docs, rows, spark):
     assert got[9002].labels == "" and got[9004].n_base == 50
 
 
+def test_overlapping_notices_contest(spark):
+    """Each notice, and each with a word put in or left out, gets its own label only; apart, both stand."""
+    texts, want = [], []
+    for label, notice in license_scan.NOTICES:
+        w = notice.split()
+        for t in (w, w[: len(w) // 2] + ["inserted"] + w[len(w) // 2 :], w[1:]):
+            texts.append("so it is that " + " ".join(t) + " and so on")
+            want.append(label)
+    cc = dict(license_scan.NOTICES)
+    texts += [cc["cc-by"] + " then " + cc["cc-by-sa"], "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"]
+    want += ["cc-by,cc-by-sa", "lgpl"]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    base = {i: set(filter(None, got[i].base_labels.split(","))) for i in got}
+    assert {i: got[i].labels for i in got} == {i: ",".join(sorted(set(w.split(",")) | base[i])) for i, w in enumerate(want)}
+    for r in got.values():  # no two spans of notices share a word
+        spans = sorted((s.first, s.last) for s in r.spans if s.last - s.first > 6)
+        assert all(b[0] > a[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_long_license_texts_and_letters_beyond_ascii(spark):
     rng = random.Random(9)
     whole = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2500))
