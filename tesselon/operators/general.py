@@ -130,6 +130,32 @@ def weighted_bbox(tiles: DataFrame) -> DataFrame:
     return levels.agg(*[F.round(F.sum(v * F.col("tiles")) / F.sum("tiles"), 6).alias(k) for k, v in sides.items()])
 
 
+def center_and_touching_bbox(tiles: DataFrame) -> DataFrame:
+    """One row: center_lon, center_lat and center_zoom (the middle of the deepest level's bounds, two levels under
+    the first at most), and the touching box: the smallest from which a client that asks for all tiles it overlaps gets
+    every tile of every level, with half a tile of the deepest level around it. Where all levels are one
+    tile it is the bounds of the deepest. No tiles give no row."""
+    from tesselon.functions.coords import tile_north, tile_west
+
+    levels, side = pyramid_summary(tiles), F.pow(F.lit(2.0), F.col("z"))
+    deepest = lambda v: F.max_by(v, "z")
+    bounds = {"west": tile_west("x_min", "z"), "south": tile_north(F.col("y_max") + 1, "z"), "east": tile_west(F.col("x_max") + 1, "z"), "north": tile_north("y_min", "z")}
+    inner = [F.min((F.col("x_min") + 1) / side).alias("_w"), F.min((F.col("y_min") + 1) / side).alias("_n"), F.max(F.col("x_max") / side).alias("_e"), F.max(F.col("y_max") / side).alias("_s")]
+    row = levels.agg(*inner, F.min("z").alias("_first"), F.max("z").alias("_last"), *[deepest(v).alias(k) for k, v in bounds.items()]).where("_last IS NOT NULL")
+    half = 0.5 / F.pow(F.lit(2.0), F.col("_last"))
+    within = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    row = row.withColumns({"_w": within(F.col("_w") - half), "_n": within(F.col("_n") - half), "_e": within(F.col("_e") + half), "_s": within(F.col("_s") + half)})
+    whole = (F.col("_w") < F.col("_e")) & (F.col("_n") < F.col("_s"))
+    zero = F.lit(0)
+    touching = {"west": tile_west("_w", zero), "south": tile_north("_s", zero), "east": tile_west("_e", zero), "north": tile_north("_n", zero)}
+    return row.select(
+        ((F.col("west") + F.col("east")) / 2).alias("center_lon"),
+        ((F.col("south") + F.col("north")) / 2).alias("center_lat"),
+        F.least(F.col("_first") + 2, F.col("_last")).cast("bigint").alias("center_zoom"),
+        *[F.when(whole, v).otherwise(F.col(k)).alias(k) for k, v in touching.items()],
+    )
+
+
 def outline(cover: DataFrame) -> DataFrame:
     """The outline of a coverage: (z, axis, line, first, last), edges in tile units that bound it on one
     side only, neighbouring ones joined. axis v: vertical, at x = line from y = first to last."""

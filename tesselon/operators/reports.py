@@ -57,6 +57,80 @@ def schema_violations(features: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.select("layer", "attribute", problem.alias("problem")).where("problem IS NOT NULL").groupBy("layer", "attribute", "problem").agg(F.count(F.lit(1)).alias("features"))
 
 
+#: Severities, least first, and the rules with theirs. An enum may have its own.
+SEVERITIES = ("hint", "warn", "error")
+RULES = {
+    "unknown_layer": "warn",
+    "below_minzoom": "warn",
+    "wrong_geometry": "error",
+    "missing_required": "error",
+    "unknown_attribute": "warn",
+    "wrong_type": "error",
+    "bad_enum_value": "warn",
+}
+
+
+def schema_issues(features: DataFrame, layers: DataFrame, attributes: DataFrame, least: str = "hint") -> DataFrame:
+    """Findings of a schema check: (severity, rule, layer, attribute, occurrences, first_z, first_x, first_y).
+
+    layers has (layer, minzoom) and may have geometry; attributes has (layer, attribute, type, required) and may have
+    enum, the allowed texts (null: any), and enum_severity (null: warn). An unknown layer and a level below minzoom count once a
+    tile; the others once a feature or property. Geometries are checked if features have geometry too, not where either
+    is null. Names and their translations (name, name_de, name:de) are never unknown attributes; null properties are
+    missing ones. first_* is the smallest tile with the finding. Findings under ``least`` are left out. Layers and attributes
+    are tables of one row for each of a schema's; no features give no rows.
+
+    One pass builds each feature's findings inside its row; only their counts by tile are shuffled."""
+    if least not in SEVERITIES:
+        raise ValueError(f"severity is one of {', '.join(SEVERITIES)}: {least}")
+    optional = lambda df, name, kind: df[name] if name in df.columns else F.lit(None).cast(kind)
+    known = layers.select("layer", F.lit(True).alias("_known"), F.col("minzoom").alias("_minzoom"), optional(layers, "geometry", "string").alias("_wanted"))
+    rule = F.struct("type", F.coalesce("required", F.lit(False)).alias("required"), optional(attributes, "enum", "array<string>").alias("enum"), F.coalesce(optional(attributes, "enum_severity", "string"), F.lit(RULES["bad_enum_value"])).alias("severity"))
+    rules = attributes.groupBy("layer").agg(F.map_from_entries(F.collect_list(F.struct("attribute", rule.alias("rule")))).alias("_rules"))
+    rows = features.select(*KEY, "layer", "props", optional(features, "geometry", "string").alias("_geometry"))
+    rows = rows.join(known, "layer", "left").join(rules, "layer", "left")
+    nothing = F.create_map().cast("map<string,struct<type:string,required:boolean,enum:array<string>,severity:string>>")
+    rows = rows.withColumns({"_rules": F.coalesce("_rules", nothing), "_props": F.map_filter(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull() & (v != "null"))})
+
+    def finding(name: str, attribute: Column | None = None, severity: Column | None = None) -> Column:
+        return F.struct((F.lit(RULES[name]) if severity is None else severity).alias("severity"), F.lit(name).alias("rule"), (F.lit(None).cast("string") if attribute is None else attribute).alias("attribute"))
+
+    def of_property(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        wanted = F.try_element_at("_rules", key)
+        quoted = value.startswith('"')
+        kind = F.when(quoted, "String").when(value.isin("true", "false"), "Boolean").otherwise("Number")
+        text = F.when(quoted, F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
+        named = (key == "name") | key.startswith("name_") | key.startswith("name:")
+        known_key = F.when(wanted["type"] != kind, finding("wrong_type", key)).when(~F.array_contains(wanted["enum"], text), finding("bad_enum_value", key, wanted["severity"]))
+        return F.when(wanted.isNull(), F.when(~named, finding("unknown_attribute", key))).otherwise(known_key)
+
+    missing = F.filter(F.map_entries("_rules"), lambda e: e["value"]["required"] & ~F.map_contains_key("_props", e["key"]))
+    once = F.array(F.when(F.col("_known").isNull(), finding("unknown_layer")), F.when(F.col("z") < F.col("_minzoom"), finding("below_minzoom")))
+    each = F.concat(
+        F.array(F.when(F.col("_geometry") != F.col("_wanted"), finding("wrong_geometry"))),
+        F.transform(missing, lambda e: finding("missing_required", e["key"])),
+        F.transform(F.map_entries("_props"), of_property),
+    )
+    # Of an unknown layer nothing else is said.
+    found = F.array_compact(F.concat(once, F.when(F.col("_known"), each).otherwise(F.filter(each, lambda _: F.lit(False)))))
+    issues = rows.select(*KEY, "layer", F.explode(found).alias("i")).select(*KEY, "layer", "i.*")
+    issues = issues.where(F.col("severity").isin(*SEVERITIES[SEVERITIES.index(least) :]))
+    what = ["severity", "rule", "layer", "attribute"]
+    by_tile = issues.groupBy(*KEY, *what).agg(F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("rule").isin("unknown_layer", "below_minzoom"), 1).otherwise(F.col("n"))
+    out = by_tile.groupBy(what).agg(F.sum(n).cast("bigint").alias("occurrences"), F.min(F.struct(*KEY)).alias("_first"))
+    return out.select(*what, "occurrences", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in KEY])
+
+
+def failing(issues: DataFrame, fail_on: str = "error") -> int:
+    """Occurrences of findings that are as severe as ``fail_on`` or more: a check fails if there are any."""
+    if fail_on not in SEVERITIES:
+        raise ValueError(f"severity is one of {', '.join(SEVERITIES)}: {fail_on}")
+    row = issues.where(F.col("severity").isin(*SEVERITIES[SEVERITIES.index(fail_on) :])).agg(F.sum("occurrences")).first()
+    return row[0] or 0
+
+
 def size_raster(tiles: DataFrame, scale: int) -> DataFrame:
     """Cells of scale x scale tiles: ten times the binary logarithm of the mean size, absent tiles 0 bytes, in a byte.
 

@@ -240,6 +240,18 @@ def weighted_bbox(spark, sf_dir):
     return general.weighted_bbox(pyramid(spark, sf_dir))
 
 
+@query("""SELECT round((bw + be) / 2, 6) AS center_lon, round((bs + bn) / 2, 6) AS center_lat, least(z0 + 2, z1) AS center_zoom,
+round(w * 360 - 180, 6) AS west, round(degrees(2 * atan(exp(pi() * (1 - 2 * s)))) - 90, 6) AS south, round(e * 360 - 180, 6) AS east, round(degrees(2 * atan(exp(pi() * (1 - 2 * n)))) - 90, 6) AS north
+FROM (SELECT min(z) AS z0, max(z) AS z1, greatest(0, min((a + 1) / pow(2, z)) - 0.5 / pow(2, max(z))) AS w, least(1, max(b / pow(2, z)) + 0.5 / pow(2, max(z))) AS e,
+greatest(0, min((c + 1) / pow(2, z)) - 0.5 / pow(2, max(z))) AS n, least(1, max(d / pow(2, z)) + 0.5 / pow(2, max(z))) AS s,
+arg_max(a / pow(2, z) * 360 - 180, z) AS bw, arg_max((b + 1) / pow(2, z) * 360 - 180, z) AS be,
+arg_max(degrees(2 * atan(exp(pi() * (1 - 2 * c / pow(2, z))))) - 90, z) AS bn, arg_max(degrees(2 * atan(exp(pi() * (1 - 2 * (d + 1) / pow(2, z))))) - 90, z) AS bs
+FROM (SELECT z, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM s WHERE z <= 6 GROUP BY z))""")
+def center_and_touching_bbox(spark, sf_dir):
+    row = general.center_and_touching_bbox(pyramid(spark, sf_dir))
+    return row.select("center_zoom", *[F.round(c, 6).alias(c) for c in ("center_lon", "center_lat", "west", "south", "east", "north")])
+
+
 @query("""SELECT z, axis, line, min(along) AS first, max(along) + 1 AS last FROM (
 SELECT *, along - row_number() OVER (PARTITION BY z, axis, line ORDER BY along) AS run FROM (
 SELECT z, axis, line, along FROM (
@@ -348,6 +360,27 @@ def schema_rules(spark, sf_dir):
     return reports.schema_violations(features(spark, sf_dir), rules)
 
 
+@query("""SELECT severity, rule, layer, attribute, CAST(count(*) AS BIGINT) AS occurrences, min([z, x, y])[1] AS first_z, min([z, x, y])[2] AS first_x, min([z, x, y])[3] AS first_y FROM (
+  SELECT DISTINCT 'warn' AS severity, 'unknown_layer' AS rule, layer, NULL AS attribute, z, x, y FROM f WHERE layer NOT IN ('click', 'view', 'purchase')
+  UNION ALL (SELECT DISTINCT 'warn', 'below_minzoom', layer, NULL, z, x, y FROM f WHERE layer = 'view')
+  UNION ALL SELECT 'error', 'missing_required', layer, 'n', z, x, y FROM f WHERE layer IN ('click', 'purchase') AND n IS NULL
+  UNION ALL SELECT 'error', 'wrong_type', layer, 'n', z, x, y FROM f WHERE layer = 'purchase' AND n IS NOT NULL
+  UNION ALL SELECT 'error', 'wrong_type', layer, 'uid', z, x, y FROM f WHERE layer = 'view'
+  UNION ALL SELECT 'warn', 'bad_enum_value', layer, 'big', z, x, y FROM f WHERE layer = 'view' AND NOT big
+  UNION ALL SELECT 'hint', 'bad_enum_value', layer, 'uid', z, x, y FROM f WHERE layer = 'click' AND uid NOT IN ('1', '2', '3')
+  UNION ALL SELECT 'warn', 'unknown_attribute', layer, 'big', z, x, y FROM f WHERE layer = 'click'
+  UNION ALL SELECT 'warn', 'unknown_attribute', layer, 'uid', z, x, y FROM f WHERE layer = 'purchase')
+GROUP BY severity, rule, layer, attribute""")
+def schema_issues(spark, sf_dir):
+    layers = spark.createDataFrame([("click", 0), ("view", 9), ("purchase", 0)], "layer string, minzoom int")
+    rules = [
+        ("click", "n", "Number", True, None, None), ("click", "uid", "String", True, ["1", "2", "3"], "hint"), ("view", "uid", "Number", True, None, None), ("view", "n", "Number", False, None, None),
+        ("view", "big", "Boolean", True, ["true"], None), ("purchase", "n", "String", True, None, None), ("purchase", "big", "Boolean", False, None, None),
+    ]
+    attributes = spark.createDataFrame(rules, "layer string, attribute string, type string, required boolean, enum array<string>, enum_severity string")
+    return reports.schema_issues(features(spark, sf_dir), layers, attributes)
+
+
 @query("""SELECT z, x, y, layer, pos, coalesce(extent, 4096) AS extent, coalesce(version, 1) AS version
 FROM (SELECT z, x, y, layer, id AS pos, CASE WHEN id % 2 = 0 THEN 512 END AS extent, CASE WHEN id % 3 = 0 THEN 2 END AS version FROM f)
 QUALIFY row_number() OVER (PARTITION BY z, x, y, layer ORDER BY pos) = 1""")
