@@ -2,8 +2,9 @@
 
 Properties are looked up by name; a property that is missing is null. A feature passes only if the
 expression is exactly true: null, errors and values that are not boolean drop it. Supported: literals,
-``== != < <= > >= && || ! in``, lists, ``.matches(regex)`` (a search), ``has(props.name)`` and
-``props["name"]``.
+``== != < <= > >= && || ! in``, lists, ``.matches(regex)`` (a search), ``.startsWith(t)``, ``.endsWith(t)``, ``.contains(t)`` on texts,
+``size(x)`` or ``x.size()`` of a text (in characters) or a list, ``has(props.name)`` and ``props["name"]``.
+Text functions of what is no text are errors.
 """
 
 from __future__ import annotations
@@ -118,6 +119,19 @@ class _Compiler:
         while self.peek("."):
             self.take()
             kind, name = self.take()
+            if name == "size":
+                self.need("(")
+                self.need(")")
+                value = _size(value)
+                continue
+            if name in _TEXT_TESTS:
+                self.need("(")
+                part = self.either()
+                self.need(")")
+                if part.text is None or value.text is None:
+                    raise ExpressionError(f"{name}() needs texts")
+                value = _Value("bool", truth=F.when(_is_text(value) & _is_text(part), _TEXT_TESTS[name](value.text, part.text)))
+                continue
             if name != "matches":
                 raise ExpressionError(f"unknown member {name!r}")
             self.need("(")
@@ -156,6 +170,11 @@ class _Compiler:
                 return _Value("bool", truth=F.lit(text == "true"))
             if text == "null":
                 return _Value("null")
+            if text == "size" and self.peek("("):
+                self.take()
+                value = self.either()
+                self.need(")")
+                return _size(value)
             if text == "has":
                 self.need("(")
                 value = self.primary()
@@ -204,6 +223,21 @@ def _is_text(value: _Value) -> Column:
     return F.lit(False) if value.kind != "any" else value.text.isNotNull() & value.number.isNull() & value.truth.isNull()
 
 
+#: Tests of a text by another one.
+_TEXT_TESTS = {"startsWith": F.startswith, "endsWith": F.endswith, "contains": F.contains}
+
+
+def _size(value: _Value) -> _Value:
+    """Characters of a text, or items of a list; null for other values of a property."""
+    if value.kind == "list":
+        n = F.lit(len(value.items))
+    elif value.kind in ("text", "any"):
+        n = F.when(_is_text(value), F.length(value.text))
+    else:
+        raise ExpressionError("size() needs a text or a list")
+    return _Value("number", number=n.cast("double"), whole=n.cast(_WHOLE))
+
+
 def _compare(op: str, a: _Value, b: _Value) -> Column:
     if "null" in (a.kind, b.kind):
         other = b if a.kind == "null" else a

@@ -307,6 +307,8 @@ for _name, _expr, _sql in (
     ("error_drops", "uid > 5", "FALSE"),
     ("not_boolean_drops", "n", "FALSE"),
     ("json_null", "missing == null && n != null", "n IS NOT NULL"),
+    ("text_parts", "uid.startsWith('1') && !uid.endsWith('7') || uid.contains('42')", "uid LIKE '1%' AND NOT uid LIKE '%7' OR uid LIKE '%42%'"),
+    ("sizes", "size(uid) == 2 || uid.size() > size(['a', 'b']) && big || size(n) > 0", "length(uid) = 2 OR length(uid) > 2 AND big"),
     ("whole_numbers", "n >= 9007199254740993 || n == 4611 || n < 100", "n >= 9007199254740993 OR n = 4611 OR n < 100"),
 ):
     QUERIES[f"filter_features_{_name}"] = lambda spark, sf_dir, e=_expr: flat(vector.filter_features(features(spark, sf_dir), ["click", "purchase", "view", "signup", "error"], e))

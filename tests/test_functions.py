@@ -281,3 +281,18 @@ def test_rasters_against_single_points():
             assert inside[j, i] == G.point_in_rings(x, y, rings)
             d = G.rings_distance(x, y, rings)
             assert abs(G.edges_distance(x, y, edges) - d) < 1e-9 and (abs(near[j, i] - d) < 1e-9 if d <= 15 else near[j, i] == np.inf)
+
+
+def test_text_functions_of_expressions(spark):
+    from tesselon.plans.cel import compile_expression
+
+    rows = [{"a": '"Łódź"', "b": '"ó"'}, {"a": '""', "b": '""'}, {"a": '"say \\"ó\\""', "b": "null"}, {"a": "12", "b": '"1"'}, {"a": "true"}, {}]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, props map<string,string>")
+    holds = lambda e: [r.i for r in df.where(compile_expression(e)).orderBy("i").collect()]
+    assert holds("size(a) == 4") == [0] and holds("a.size() == 0") == [1] and holds("size(a) == 7") == [2]
+    assert holds("a.startsWith('Ł')") == [0] and holds("a.endsWith('\"')") == [2] and holds("a.contains(b)") == [0, 1]
+    assert holds("!a.startsWith('Ł')") == [1, 2]  # of what is no text the answer is an error either way
+    assert holds("size([1, 2, 3]) == 3 && size('ab') == 2") == [0, 1, 2, 3, 4, 5] and holds("size(a) >= 0") == [0, 1, 2]
+    for wrong in ("size(1) == 1", "a.startsWith(1)", "a.size(1)", "size()", "a.starts('x')"):
+        with pytest.raises(ExpressionError):
+            compile_expression(wrong)
