@@ -219,44 +219,151 @@ def _boxes(rows: DataFrame, level: int, margin: float) -> DataFrame:
     return rows.withColumn("y", F.explode(F.sequence(cell(half - F.col("y1")), cell(half - F.col("y0"))))).drop("x0", "x1", "y0", "y1")
 
 
-def _descend(level: int, margin: float, deep: int):
-    """Goes down up to ``deep`` levels: a piece goes on to the children that it meets, a whole cell stays as it is."""
+class _Pieces:
+    """Pieces of polygons: numbers of each piece by name, the number of its rings, the number of each ring's points, and all points."""
+
+    def __init__(self, numbers: dict[str, np.ndarray], rings: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.numbers, self.rings, self.sizes, self.x, self.y = numbers, rings, sizes, x, y
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> _Pieces:
+        parts = batch.column("parts")
+        whole = parts.offsets.to_numpy()
+        ring = parts.values.offsets.to_numpy()[whole[0] : whole[-1] + 1]
+        points = parts.values.values
+        at = points.offsets.to_numpy()[ring[0] : ring[-1]]
+        values = points.values.to_numpy(zero_copy_only=False)
+        numbers = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("index", "z", "x", "y", "cut")}
+        return cls(numbers | {"top": numbers["z"]}, np.diff(whole).astype(np.int64), np.diff(ring).astype(np.int64), values[at], values[at + 1])
+
+    def take(self, which: np.ndarray) -> _Pieces:
+        """The pieces of these numbers, which may repeat."""
+        rings = self.rings[which]
+        at = G.runs((np.cumsum(self.rings) - self.rings)[which], rings)
+        sizes = self.sizes[at]
+        points = G.runs((np.cumsum(self.sizes) - self.sizes)[at], sizes)
+        return _Pieces({n: v[which] for n, v in self.numbers.items()}, rings, sizes, self.x[points], self.y[points])
+
+    def children(self) -> _Pieces:
+        n = len(self.rings)
+        out = self.take(np.repeat(np.arange(n), 4))
+        for name, bit in (("x", np.tile([0, 0, 1, 1], n)), ("y", np.tile([0, 1, 0, 1], n))):
+            out.numbers[name] = 2 * out.numbers[name] + bit
+        out.numbers["z"] = out.numbers["z"] + 1
+        return out
+
+    def clipped(self, margin: float) -> tuple[_Pieces, np.ndarray]:
+        """What of each piece lies in its cell, without those that do not meet it, and whether the cell is covered: ``piece_in``."""
+        width = G.WORLD / np.exp2(self.numbers["z"])
+        half, x, y = G.WORLD / 2, self.numbers["x"], self.numbers["y"]
+        box = x * width - half - margin, half - (y + 1) * width - margin, (x + 1) * width - half + margin, half - y * width + margin
+        n = len(self.rings)
+        owner = np.repeat(np.arange(n), self.rings)
+        outer = G.runs(np.zeros(n, np.int64), self.rings) == 0
+        mine = [b[owner] for b in box]
+        x, y, sizes = G.clip_rings(self.x, self.y, self.sizes, mine)
+        full = ((box[2] - box[0]) * (box[3] - box[1]))[owner]
+        size = G.ring_sizes(x, y, sizes, mine[0], mine[1])
+        kept = size > full * 1e-15
+        total = np.bincount(owner, np.where(kept, np.where(outer, size, -size), 0.0), n)
+        around = np.bincount(owner, kept & (size >= full * (1 - 1e-12)), n)
+        rings = np.bincount(owner, kept, n).astype(np.int64)
+        met = total > (box[2] - box[0]) * (box[3] - box[1]) * 1e-15
+        kept &= met[owner]
+        on = np.repeat(kept, sizes)
+        out = _Pieces({k: v[met] for k, v in self.numbers.items()}, rings[met], sizes[kept], x[on], y[on])
+        return out, ((around == 1) & (rings == 1))[met]
+
+    def closed(self, bare: np.ndarray) -> pa.Array:
+        """Parts in which each ring ends with its first point; nothing for the bare pieces."""
+        held = self.take(np.flatnonzero(~bare))
+        n, starts = len(held.x), np.cumsum(held.sizes) - held.sizes
+        place = np.arange(n) + np.repeat(np.arange(len(held.sizes)), held.sizes)
+        values = np.empty((n + len(held.sizes), 2))
+        values[place, 0], values[place, 1] = held.x, held.y
+        ends = np.cumsum(held.sizes + 1)
+        values[ends - 1, 0], values[ends - 1, 1] = held.x[starts], held.y[starts]
+        whole = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        points = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * 2, pa.int32()), values.ravel())
+        rings = pa.ListArray.from_arrays(whole(held.sizes + 1), points)
+        return pa.ListArray.from_arrays(whole(np.where(bare, 0, self.rings)), rings, mask=pa.array(bare))
+
+
+#: Shapes that go down the quadtree together in numpy, and cells that a task looks at together.
+TOGETHER = 2048
+
+
+def _go_down(pieces: _Pieces, level: int, margin: float, deep: int, keep_parts: bool) -> Iterator[pa.RecordBatch]:
+    cut = pieces.numbers["cut"] > 0
+    todo = [pieces.take(np.flatnonzero(~cut)), pieces.take(np.flatnonzero(cut)).children()]
+    while todo:
+        now = todo.pop()
+        if len(now.rings) > 4 * TOGETHER:
+            halves = np.array_split(np.arange(len(now.rings)), 2)
+            todo += [now.take(h) for h in halves]
+            continue
+        now, whole = now.clipped(margin)
+        n = now.numbers
+        ends = whole | (n["z"] == level) | (n["z"] - n["top"] == deep)
+        rest = now.take(np.flatnonzero(~ends))
+        if len(rest.rings):
+            todo.append(rest.children())
+        if ends.any():
+            done, covered = now.take(np.flatnonzero(ends)), whole[ends]
+            n, k = done.numbers, len(covered)
+            bare = covered | (n["z"] == level) if not keep_parts else covered
+            columns = (n["index"], np.full(k, AREA), n["z"], n["x"], n["y"], covered, np.ones(k, bool))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=False)), done.closed(bare)], names=[c for c, _ in _PIECE])
+
+
+def _descend(level: int, margin: float, deep: int, keep_parts: bool = True):
+    """Goes down up to ``deep`` levels: a piece goes on to the children that it meets, a whole cell stays as it is. Polygons
+    go together, a level at a time; points and lines one by one."""
 
     def box_of(z: int, x: int, y: int) -> tuple:
         b = G.tile_box(z, x, y)
         return b[0] - margin, b[1] - margin, b[2] + margin, b[3] + margin
 
+    def one_by_one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            index, kind, top = row[:3]
+            todo = [(*row[2:5], row[7], row[6])]
+            while todo:
+                z, x, y, parts, cut = todo.pop()
+                whole = False
+                if not cut:
+                    whole, parts = piece_in(kind, parts, box_of(z, x, y))
+                    if not parts:
+                        continue
+                if whole or z == level or z - top == deep:
+                    rows.append((index, kind, z, x, y, whole, True, None if whole or z == level and not keep_parts else parts))
+                else:
+                    todo += [(z + 1, 2 * x + i, 2 * y + j, parts, False) for i in (0, 1) for j in (0, 1)]
+        columns = zip(*rows, strict=True) if rows else ((),) * len(_PIECE)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=True)], names=[n for n, _ in _PIECE])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index, kind, top = row[:3]
-                todo = [(*row[2:5], row[7], row[6])]
-                while todo:
-                    z, x, y, parts, cut = todo.pop()
-                    whole = False
-                    if not cut:
-                        whole, parts = piece_in(kind, parts, box_of(z, x, y))
-                        if not parts:
-                            continue
-                    if whole or z == level or z - top == deep:
-                        rows.append((index, kind, z, x, y, whole, True, None if whole else parts))
-                    else:
-                        todo += [(z + 1, 2 * x + i, 2 * y + j, parts, False) for i in (0, 1) for j in (0, 1)]
-            columns = zip(*rows, strict=True) if rows else ((),) * len(_PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=True)], names=[n for n, _ in _PIECE])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                areas = np.equal(batch.column("kind").to_numpy(zero_copy_only=False), AREA)
+                if areas.any():
+                    yield from _go_down(_Pieces.read(batch.filter(pa.array(areas))), level, margin, deep, keep_parts)
+                if not areas.all():
+                    yield one_by_one(batch.filter(pa.array(~areas)))
 
     return run
 
 
-def cover(shapes: DataFrame, level: int, margin: float = 0.0) -> DataFrame:
+def cover(shapes: DataFrame, level: int, margin: float = 0.0, keep_parts: bool = True) -> DataFrame:
     """(index, kind, z, x, y, whole, parts): the tiles of a level that planar shapes meet, with what lies within.
 
     Tiles are taken with ``margin`` metres on all sides. A cell of any level up to the given one that a polygon
     covers is one row with whole and without parts, and stands for all tiles below; so the rows of a polygon grow
     with its border, not its area, and a piece carries only its own points. Shapes begin at cells of about their own
     size; from there the quadtree is gone down in strides, after each of which pieces are stored and those that have
-    still to go deeper dealt anew.
+    still to go deeper dealt anew. Without ``keep_parts`` only the tiles are told, and parts are null.
     """
     start = _boxes(shapes.select("index", "kind", "parts").where("size(parts) > 0"), level, margin)
     now = start.select("index", "kind", "z", "x", "y", F.lit(False).alias("whole"), F.lit(False).alias("cut"), "parts")
@@ -265,7 +372,7 @@ def cover(shapes: DataFrame, level: int, margin: float = 0.0) -> DataFrame:
     done: list[DataFrame] = []
     while True:
         # A piece is a few numbers and much work: as many tasks as there are partitions, however few its bytes.
-        made = store(now.repartition(tasks, "index", "z", "x", "y").mapInArrow(_descend(level, margin, STRIDE), schema))
+        made = store(now.repartition(tasks, "index", "z", "x", "y").mapInArrow(_descend(level, margin, STRIDE, keep_parts), schema))
         ends = F.col("whole") | (F.col("z") == level)
         done.append(made.where(ends))
         now = made.where(~ends)

@@ -225,6 +225,47 @@ def test_cover(shapes, level, margin):
     assert got == sampled(flat.collect(), level, margin)
 
 
+def test_pieces_cut_together_are_those_cut_alone():
+    """Many cells go down in numpy at once: the same pieces, bit by bit, as one after another, and no cell in Python."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    names, types = [n for n, _ in importer._PIECE], [t for _, t in importer._PIECE]
+    rows = []
+    for i in range(400):
+        z = draw.randrange(0, 7)
+        x, y = draw.randrange(1 << z), draw.randrange(1 << z)
+        b, w = G.tile_box(z, x, y), G.WORLD / 2**z
+        parts = []
+        for _ in range(draw.choice((1, 1, 2, 3))):
+            spread = draw.choice((0.2, 1.0, 3.0))
+            ring = [[b[0] + w * (0.5 + spread * draw.uniform(-1, 1)), b[1] + w * (0.5 + spread * draw.uniform(-1, 1))] for _ in range(draw.randrange(1, 9))]
+            parts.append(ring + ring[:1] if draw.random() < 0.9 else ring)
+        if i % 5 == 0:
+            parts = [[[b[0] - w, b[1] - w], [b[2] + w, b[1] - w], [b[2] + w, b[3] + w], [b[0] - w, b[3] + w], [b[0] - w, b[1] - w]], *parts[1:]]
+        rows.append((i, 3, z, x, y, False, False, parts))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    pieces, whole = importer._Pieces.read(batch).clipped(10.0)
+    got = {i: (w, [[tuple(p) for p in ring] for ring in parts]) for i, w, parts in zip(pieces.numbers["index"].tolist(), whole.tolist(), pieces.closed(whole & False).to_pylist(), strict=True)}
+    want = {}
+    for i, kind, z, x, y, _, _, parts in rows:
+        b = G.tile_box(z, x, y)
+        covered, left = importer.piece_in(kind, [[tuple(p) for p in ring] for ring in parts], (b[0] - 10, b[1] - 10, b[2] + 10, b[3] + 10))
+        if left:
+            want[i] = covered, left
+    assert got == want and 50 < len(want) < 400 and any(w for w, _ in want.values())
+
+
+def test_cover_without_parts(spark):
+    ring = [[-9e6, -9e6], [9e6, -8e6], [5e6, 9e6], [-9e6, -9e6]]
+    rows = spark.createDataFrame([(1, 3, [ring]), (2, 2, [ring])], f"index long, kind int, parts {importer.PARTS}")
+    cells = lambda **how: sorted(map(tuple, importer.cover(rows, 6, **how).select("index", "z", "x", "y", "whole").collect()))
+    assert cells() == cells(keep_parts=False)
+    assert importer.cover(rows, 6, keep_parts=False).where("parts IS NOT NULL").count() == 0
+
+
 def test_cover_grows_with_the_border(spark):
     edge = G.WORLD / 2 - 1000
     ring = [[-edge, -edge], [edge, -edge], [edge, edge], [-edge, edge], [-edge, -edge]]
