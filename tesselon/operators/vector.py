@@ -81,15 +81,21 @@ def update_properties(
     if not include_id:
         dim = dim.withColumn("data", F.map_filter("data", lambda k, _: k != F.lit(id_field_data)))
     texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.octet_length(F.lit(c)) + TEXT_BYTES for c in table.columns]
-    if table.agg(F.coalesce(F.sum(reduce(Column.__add__, texts) + ROW_BYTES), F.lit(0))).first()[0] <= BROADCAST_BYTES:
-        dim = F.broadcast(dim)
+    few = table.agg(F.coalesce(F.sum(reduce(Column.__add__, texts) + ROW_BYTES), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    # A merge join else, as Spark would go by the bytes of files, which may be far fewer.
+    dim = F.broadcast(dim) if few else dim.hint("merge")
     key = F.when(F.col("layer") == layer, plain(F.try_element_at("props", F.lit(id_field_tiles))))
-    out = features.withColumn("_key", key).join(dim, F.col("_key") == F.col("key"), "left")
+    # Rows without a key match nothing: a number of their own deals them to all tasks, as nulls would all meet in one.
+    spread = F.when(F.col("_key").isNull(), F.xxhash64(*[c for c, kind in features.dtypes if kind in ("bigint", "int", "string")])).otherwise(F.lit(0))
+    out = features.withColumn("_key", key).withColumn("_spread", spread)
+    # 0 for all of the table, but no constant, which would be no key of the join.
+    none = F.least(F.length("key").cast("bigint"), F.lit(0))
+    out = out.join(dim.withColumn("_none", none), (F.col("_key") == F.col("key")) & (F.col("_spread") == F.col("_none")), "left")
     if remove_non_matching:
         out = out.where(F.col("_key").isNull() | F.col("key").isNotNull())
     merged = F.map_zip_with("props", "data", lambda _, old, new: F.coalesce(new, old))
     updated = F.col("data") if replace_properties else merged
-    return out.withColumn("props", F.when(F.col("key").isNotNull(), updated).otherwise(F.col("props"))).drop("_key", "key", "data")
+    return out.withColumn("props", F.when(F.col("key").isNotNull(), updated).otherwise(F.col("props"))).drop("_key", "key", "data", "_spread", "_none")
 
 
 def repair_layers(layers: DataFrame) -> DataFrame:

@@ -325,3 +325,20 @@ def test_stored_tables_need_a_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         stored.shared_folder(Session)
     assert stored.shared_folder(spark)
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", -1)
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    layer = F.when(F.col("id") % 5 == 0, "a").otherwise("b")
+    props = F.create_map(F.lit("uid"), F.concat(F.lit('"'), (F.col("id") % 40).cast("string"), F.lit('"')))
+    zero = F.lit(0).cast("bigint")
+    f = session.range(4000).select(zero.alias("z"), zero.alias("x"), zero.alias("y"), layer.alias("layer"), F.col("id").alias("feat_no"), "id", props.alias("props"))
+    dim = session.range(30).select(F.col("id").cast("string").alias("key_id"), F.concat(F.lit("n"), "id").alias("name"))
+    for inner in (False, True):
+        out = vector.update_properties(f, dim, "a", "uid", "key_id", remove_non_matching=inner).select("id", F.col("props")["name"].alias("name"), F.spark_partition_id().alias("task")).collect()
+        want = {i: f'"n{i % 40}"' if i % 5 == 0 and i % 40 < 30 else None for i in range(4000)}
+        assert {r.id: r.name for r in out} == {i: v for i, v in want.items() if not inner or i % 5 or i % 40 < 30}
+        assert max(Counter(r.task for r in out).values()) < 0.4 * len(out)
