@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -22,25 +23,38 @@ FEATURES = "z long, x long, y long, layer string, feat_no long, id long, kind in
 COLUMNS = [c.split()[0] for c in FEATURES.split(", ")]
 
 
+_LONG, _INT, _TEXT = pa.int64(), pa.int32(), pa.string()
+_FEATURE_TYPES = [_LONG, _LONG, _LONG, _TEXT, _LONG, _LONG, _INT, pa.list_(pa.list_(pa.list_(_LONG))), pa.map_(_TEXT, _TEXT), _INT, _INT]
+
+
+def _each_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, memoryview]]:
+    """Keys and bytes of tiles (z, x, y, data); the bytes are not copied."""
+    for batch in batches:
+        *key, data = batch.columns
+        for i in range(batch.num_rows):
+            yield tuple(k[i].as_py() for k in key), memoryview(data[i].as_buffer())
+
+
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a few thousand, however many a tile has."""
+    while some := list(itertools.islice(rows, mvt.FEW)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=names)
+
+
 def decode(tiles: DataFrame, skip_broken: bool = False) -> DataFrame:
     """Feature rows of vector tiles (z, x, y, data). A tile that cannot be decoded stops the job, or with skip_broken
     has no rows; ``broken`` lists such tiles."""
 
-    def rows_of(data: bytes) -> list[dict]:
-        try:
-            return mvt.to_rows(data)
-        except BROKEN:
-            if skip_broken:
-                return []
-            raise
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(z, x, y, *f.values()) for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True) for f in rows_of(bytes(data))]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            yield out.assign(id=out["id"].astype("Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, data in _each_tile(batches):
+            made = _batches(((*key, *f.values()) for f in mvt.each_row(data)), COLUMNS, _FEATURE_TYPES)
+            try:
+                yield from list(made) if skip_broken else made
+            except BROKEN:
+                if not skip_broken:
+                    raise
 
-    return tiles.select(*KEY, "data").mapInPandas(run, FEATURES)
+    return tiles.select(*KEY, "data").mapInArrow(run, FEATURES)
 
 
 def decode_recorded(tiles: DataFrame):
@@ -92,41 +106,54 @@ def drop_layers(tiles: DataFrame, names: list[str], invert: bool = False) -> Dat
 
 
 def encode(features: DataFrame, extent: int = 4096, version: int = 2) -> DataFrame:
-    """Vector tiles of feature rows. A tile's features meet in one group; tiles are bounded in size. Layers have the
-    extent and version of their rows; the parameters hold for rows without them. Rows of a layer that differ in
-    extent stop the job."""
+    """Vector tiles of feature rows. A tile's features stream through one task in order, which keeps their bytes: what it
+    holds is about the tile that it makes. Layers have the extent and version of their rows; the parameters hold
+    for rows without them. Rows of a layer that differ in extent stop the job."""
     for name, default in (("extent", extent), ("version", version)):
         features = features.withColumn(name, F.coalesce(name, F.lit(default)) if name in features.columns else F.lit(default))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        layers = []
-        for name, rows in pdf.sort_values(["layer", "feat_no"]).groupby("layer"):
-            kept = [
-                {"id": None if pd.isna(r.id) else int(r.id), "kind": int(r.kind), "parts": [[(int(p[0]), int(p[1])) for p in part] for part in r.parts], "props": {k: json.loads(v) for k, v in dict(r.props).items()}}
-                for r in rows.itertuples()
-            ]
-            if rows["extent"].nunique() > 1:
-                raise ValueError(f"rows of layer {name} differ in extent")
-            layers.append({"name": name, "extent": int(rows["extent"].iloc[0]), "version": int(rows["version"].max()), "features": kept})
-        return pd.DataFrame([(*(int(pdf[k].iloc[0]) for k in KEY), mvt.encode_tile(layers))], columns=[*KEY, "data"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values: dict = {}
+
+        def value_of(text: str):
+            if text not in values:
+                if len(values) > mvt.FEW:
+                    values.clear()
+                values[text] = json.loads(text)
+            return values[text]
+
+        rows = (r for batch in batches for at in range(0, batch.num_rows, mvt.FEW) for r in zip(*(c.to_pylist() for c in batch.slice(at, mvt.FEW).columns), strict=True))
+        for key, tile in itertools.groupby(rows, lambda r: r[:3]):
+            out = bytearray()
+            for name, layer in itertools.groupby(tile, lambda r: r[3]):
+                if name is None:
+                    continue
+                writer, size, newest = mvt.LayerWriter(name), None, 1
+                for _, _, _, _, id_, kind, parts, props, own, v in layer:
+                    if size not in (None, own):
+                        raise ValueError(f"rows of layer {name} differ in extent")
+                    size, newest = own, max(newest, v)
+                    writer.add(id_, kind, parts, {k: value_of(t) for k, t in dict(props).items()})
+                out += writer.done(size, newest)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], _LONG) for k in key), pa.array([bytes(out)], pa.binary())], names=[*KEY, "data"])
 
-    return features.groupBy(KEY).applyInPandas(one, "z long, x long, y long, data binary")
+    met = features.repartition(*KEY).sortWithinPartitions(*KEY, "layer", F.col("feat_no").asc_nulls_last())
+    return met.select(*KEY, "layer", "id", "kind", "parts", "props", "extent", "version").mapInArrow(run, "z long, x long, y long, data binary")
 
 
 def validate(tiles: DataFrame) -> DataFrame:
     """(z, x, y, issue, layer, feature): what is wrong with vector tiles; undecodable ones are DecodeFailure."""
+    names, types = [*KEY, "issue", "layer", "feature"], [_LONG, _LONG, _LONG, _TEXT, _TEXT, _INT]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for z, x, y, data in zip(batch["z"], batch["x"], batch["y"], batch["data"], strict=True):
-                try:
-                    rows += [(z, x, y, *i) for i in mvt.issues(mvt.decode_tile(bytes(data)))]
-                except BROKEN:
-                    rows.append((z, x, y, "DecodeFailure", None, -1))
-            yield pd.DataFrame(rows, columns=[*KEY, "issue", "layer", "feature"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, data in _each_tile(batches):
+            found = ((*key, *i) for some in mvt.layer_issues(mvt.read_layers(data)) for i in some)
+            try:
+                yield from list(_batches(found, names, types))
+            except BROKEN:
+                yield from _batches(iter([(*key, "DecodeFailure", None, -1)]), names, types)
 
-    return tiles.select(*KEY, "data").mapInPandas(run, "z long, x long, y long, issue string, layer string, feature int")
+    return tiles.select(*KEY, "data").mapInArrow(run, "z long, x long, y long, issue string, layer string, feature int")
 
 
 def repair(tiles: DataFrame, drop_offenders: bool = False) -> DataFrame:
@@ -297,12 +324,15 @@ BYTES = ("features", "vertices", "geometry", "tags", "keys", "vals", "ids", "enc
 def layer_bytes(tiles: DataFrame) -> DataFrame:
     """By level and layer the tiles, features, vertices and bytes of vector tiles; the largest layers first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["z", "layer", *BYTES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(z, s["layer"], *(s[k] for k in BYTES)) for z, data in zip(batch["z"], batch["data"], strict=True) for s in mvt.layer_bytes(bytes(data))]
-            yield pd.DataFrame(rows, columns=["z", "layer", *BYTES])
+            z, data = batch.columns
+            rows = ((z[i].as_py(), s["layer"], *(s[k] for k in BYTES)) for i in range(batch.num_rows) for s in mvt.layer_bytes(data[i].as_buffer()))
+            yield from _batches(rows, names, [_LONG, _TEXT, *[_LONG] * len(BYTES)])
 
-    each = tiles.select("z", "data").mapInPandas(run, "z long, layer string, " + ", ".join(f"{k} long" for k in BYTES))
+    each = tiles.select("z", "data").mapInArrow(run, "z long, layer string, " + ", ".join(f"{k} long" for k in BYTES))
     return each.groupBy("z", "layer").agg(F.count(F.lit(1)).alias("tiles"), *[F.sum(k).cast("bigint").alias(k) for k in BYTES]).orderBy("z", F.desc("encoded"), "layer")
 
 

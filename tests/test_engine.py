@@ -424,3 +424,22 @@ def test_grid_of_3035_is_drawn(spark):
     assert set(props) >= {f'"CRS3035RES100000mN{n}E{e}"' for n in (3100000, 3200000) for e in (4250000, 4350000)}
     assert props['"CRS3035RES100000mN3100000E4250000"'] == ("4250000", "3100000") and len(props) > 8
     assert source.tilejson.bounds == box and source.tilejson.vector_layers["grid"]["fields"] == {"id": "String", "east": "Number", "y": "Number"}
+
+
+def test_large_tiles_stream(spark):
+    """One tile of many features: what a worker holds follows from the tile's bytes, not from its features as objects."""
+    import tracemalloc
+
+    writer = mvt.LayerWriter("l")
+    tracemalloc.start()
+    for i in range(60_000):
+        writer.add(i, 1, [[(i % 4096, i * 7 % 4096)]], {"k": i % 100, "t": None, "s": "v"})
+    data = writer.done(4096, 2)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 12 * len(data)
+    rows = mvt.each_row(data)
+    assert next(rows)["props"] == {"k": "0", "s": '"v"'} and sum(1 for _ in rows) == 59_999
+    f = spark.range(9000).select(*[F.lit(0).cast("bigint").alias(k) for k in "zxy"], F.when(F.col("id") % 9 > 0, F.concat(F.lit("a"), F.col("id") % 2)).alias("layer"), (-F.col("id")).alias("feat_no"), "id", F.lit(1).alias("kind"), F.array(F.array(F.array("id", F.col("id") * 2))).alias("parts"), F.create_map(F.lit("n"), (F.col("id") % 7).cast("string")).alias("props"))
+    out = tiles.decode(tiles.encode(f)).collect()
+    assert [(r.layer, r.id, r.parts, r.props) for r in sorted(out, key=lambda r: (r.layer, r.feat_no))] == [(f"a{o}", i, [[[i, 2 * i]]], {"n": str(i % 7)}) for o in (0, 1) for i in range(8999, -1, -1) if i % 9 and i % 2 == o]
