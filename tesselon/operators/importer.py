@@ -131,8 +131,31 @@ def _simplified(shapes: DataFrame, tolerance: float) -> DataFrame:
     return shapes.withColumn("parts", slim("parts", "fixed"))
 
 
+def _kept_alike(shapes: DataFrame, levels: range, min_area: float, min_length: float, ratio: float) -> dict[int, DataFrame]:
+    """The levels of a cascade in which shapes stay as they are: they are measured and stored once, with the deepest level's
+    points and shapes, and each level is what of that table is large enough for it."""
+    kind = F.col("kind")
+    size = private_names(["index", "kind", "parts"], "size")[0]
+    kept = shapes.withColumn(size, F.when(kind == LINE, line_length(F.col("parts"))).when(kind == AREA, polygon_area(F.col("parts"))))
+
+    def fits(level: int) -> Column:
+        unit = unit_of(level)
+        return (kind == POINT) | (kind == LINE) & (F.col(size) >= min_length * unit) | (kind == AREA) & (F.col(size) >= min_area * unit * unit)
+
+    if not levels:
+        return {}
+    if ratio < 1:
+        kept = kept.where((kind != POINT) | keep_share(F.col("index"), ratio))
+    stored = store(kept.where(fits(max(levels))))
+    out = {}
+    for level in reversed(levels):
+        out[level] = stored.where(fits(level)).select("index", "kind", "parts")
+        out[level]._stored = stored._stored
+    return out
+
+
 def cascade(shapes: DataFrame, levels: range, polygon_simplify: float = 4.0, line_simplify: float = 4.0, polygon_min_area: float = 4.0, line_min_length: float = 4.0, point_reduction: str = "min_distance", point_value: float | None = None) -> dict[int, DataFrame]:
-    """The planar shapes that are left at each level, a stored table a level, from the deepest up.
+    """The planar shapes that are left at each level, a stored table a level, from the deepest up, or one for all where shapes stay as they are.
 
     Each level reads what the finer one kept: it simplifies that to its own tolerance, drops lines and polygons
     below its own length and area, and thins its points by its own distance, all in units of a tile's
@@ -149,6 +172,8 @@ def cascade(shapes: DataFrame, levels: range, polygon_simplify: float = 4.0, lin
     now = shapes.select("index", "kind", "parts")
     if tolerance > 0:
         now = now.join(_junctions(now), "index", "left")
+    if tolerance == 0 and point_reduction != "min_distance":
+        return _kept_alike(now, levels, polygon_min_area, line_min_length, point_value if point_reduction == "drop_rate" else 1.0)
     out: dict[int, DataFrame] = {}
     for level in reversed(levels):
         unit = unit_of(level)

@@ -342,3 +342,21 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark, monkeypatch):
         want = {i: f'"n{i % 40}"' if i % 5 == 0 and i % 40 < 30 else None for i in range(4000)}
         assert {r.id: r.name for r in out} == {i: v for i, v in want.items() if not inner or i % 5 or i % 40 < 30}
         assert max(Counter(r.task for r in out).values()) < 0.4 * len(out)
+
+
+def test_cascade_of_unchanged_shapes_is_stored_once(spark, shapes, monkeypatch):
+    written = []
+    monkeypatch.setattr(importer, "store", lambda df: written.append(1) or stored.store(df))
+    flat, _ = importer.planar(shapes)
+    written.clear()
+    levels = importer.cascade(flat, range(3, 9), 0.0, 0.0, 400.0, 20.0, "drop_rate", 0.5)
+    assert len(written) == 1 and list(levels) == [8, 7, 6, 5, 4, 3]
+    sizes = {(r["index"], r.kind): r for r in flat.collect()}
+    point = {r["index"] for r in flat.where(importer.keep_share(F.col("index"), 0.5)).collect()}
+    for level, left in levels.items():
+        unit = importer.unit_of(level)
+        line = lambda r: sum(G.length(p) for p in r.parts) >= 20 * unit  # noqa: B023,E731
+        area = lambda r: G.area(r.parts[0]) - sum(G.area(p) for p in r.parts[1:]) >= 400 * unit * unit  # noqa: B023,E731
+        want = {k for k, r in sizes.items() if (k[0] in point if k[1] == 1 else line(r) if k[1] == 2 else area(r))}
+        assert {(r["index"], r.kind) for r in left.collect()} == want
+    importer.forget_levels(levels)
