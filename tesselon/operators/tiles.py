@@ -285,9 +285,7 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
         width, edge = extent / size, buffer / size
         box = (i * width - edge, j * width - edge, (i + 1) * width + edge, (j + 1) * width + edge)
         lines = [[(float(p[0]), float(p[1])) for p in part] for part in parts]
-        if kind == mvt.POINT:
-            cut = [p for p in lines if box[0] <= p[0][0] <= box[2] and box[1] <= p[0][1] <= box[3]]
-        elif kind == mvt.LINE:
+        if kind == mvt.LINE:
             cut = [c for p in lines for c in G.clip_line(p, box)]
         else:
             cut = [c for p in lines if (c := G.clip_ring(p, box))]
@@ -315,7 +313,16 @@ def overzoom(features: DataFrame, level_base: int, level_max: int, extent: int =
     kids = kids.withColumn("i", F.explode(F.sequence(first(0), last(0)))).withColumn("j", F.explode(F.sequence(first(1), last(1))))
     size = F.pow(F.lit(2.0), "steps").cast("bigint")
     kids = kids.withColumns({"z": F.col("z") + F.col("steps"), "x": F.col("x") * size + F.col("i"), "y": F.col("y") * size + F.col("j")})
-    return out.select(COLUMNS).unionByName(kids.select(*COLUMNS, "steps", "i", "j").mapInPandas(run, FEATURES))
+    # Points need no cutting: they stay in Spark, and only lines and polygons go to Python.
+    width, side = F.col("extent") / F.pow(F.lit(2.0), "steps"), F.pow(F.lit(2.0), "steps")
+    low, high = (lambda i: F.col(i) * width - buffer / side), (lambda i: (F.col(i) + 1) * width + buffer / side)
+    within_box = lambda p: (p[0][0] >= low("i")) & (p[0][0] <= high("i")) & (p[0][1] >= low("j")) & (p[0][1] <= high("j"))
+    at = lambda v, i: F.floor((v - F.col(i) * width) * side).cast("bigint")
+    enlarged = F.transform(F.filter("parts", within_box), lambda part: F.transform(part, lambda p: F.array(at(p[0], "i"), at(p[1], "j"))))
+    spots = kids.where(F.col("kind") == mvt.POINT).withColumn("parts", enlarged).where(F.size("parts") > 0)
+    rest = kids.where(F.coalesce(F.col("kind") != mvt.POINT, F.lit(True)))
+    made = spots.select(COLUMNS).unionByName(rest.select(*COLUMNS, "steps", "i", "j").mapInPandas(run, FEATURES))
+    return out.select(COLUMNS).unionByName(made)
 
 
 BYTES = ("features", "vertices", "geometry", "tags", "keys", "vals", "ids", "encoded", "other")

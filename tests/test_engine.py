@@ -443,3 +443,18 @@ def test_large_tiles_stream(spark):
     f = spark.range(9000).select(*[F.lit(0).cast("bigint").alias(k) for k in "zxy"], F.when(F.col("id") % 9 > 0, F.concat(F.lit("a"), F.col("id") % 2)).alias("layer"), (-F.col("id")).alias("feat_no"), "id", F.lit(1).alias("kind"), F.array(F.array(F.array("id", F.col("id") * 2))).alias("parts"), F.create_map(F.lit("n"), (F.col("id") % 7).cast("string")).alias("props"))
     out = tiles.decode(tiles.encode(f)).collect()
     assert [(r.layer, r.id, r.parts, r.props) for r in sorted(out, key=lambda r: (r.layer, r.feat_no))] == [(f"a{o}", i, [[[i, 2 * i]]], {"n": str(i % 7)}) for o in (0, 1) for i in range(8999, -1, -1) if i % 9 and i % 2 == o]
+
+
+def test_overzoom_of_points_stays_in_spark(spark, monkeypatch):
+    """Also where nothing comes back from Python."""
+    at = [(0, 0), (2047, 2048), (2088, 4095), (2089, 5), (4176, -80)]
+    f = spark.createDataFrame([(0, 0, 0, "l", i, i, 1, [[[x, y]]], {}, 4096, 2) for i, (x, y) in enumerate(at)], tiles.FEATURES)
+    out = tiles.overzoom(f, 0, 2).where("z > 0").collect()
+    want = []
+    for z in (1, 2):
+        n = 1 << z
+        for k, (x, y) in enumerate(at):
+            want += [(z, i, j, k, [[[x * n - i * 4096, y * n - j * 4096]]]) for i in range(n) for j in range(n) if i * 4096 - 80 <= x * n <= (i + 1) * 4096 + 80 and j * 4096 - 80 <= y * n <= (j + 1) * 4096 + 80]
+    assert sorted((r.z, r.x, r.y, r.id, r.parts) for r in out) == sorted(want)
+    monkeypatch.setattr(type(f), "mapInPandas", lambda self, *a, **b: self.limit(0).select(tiles.COLUMNS))
+    assert len(tiles.overzoom(f, 0, 2).where("z > 0").collect()) == len(want)
