@@ -11,26 +11,21 @@ from tesselon.operators.stored import forget, maybe_broadcast, store
 
 #: Fixed defaults: the largest chunk, and the gap that still joins two ranges.
 MAX_CHUNK, MAX_GAP = 64 << 20, 256 << 10
-#: A part of the file, in largest chunks: what one task goes through in order.
-PART_CHUNKS = 16
-_ROW = "part bigint, offset bigint, stop bigint, n bigint"
+#: The least part of the file, in largest chunks, and the rows up to which such parts are put together: what one task goes through in order.
+PART_CHUNKS, PART_ROWS = 16, 1 << 17
 
 
 def next_starts(starts: np.ndarray, stops: np.ndarray, most: int, gap: int) -> np.ndarray:
     """For each range, in order, the first one behind it that a chunk which it opens does not take; len(starts) if none."""
     n = len(starts)
-    # The first that ends too far from the opening: never before that of an earlier range.
-    size = np.empty(n, np.int64)
-    k = 0
-    for i in range(n):
-        k = max(k, i + 1)
-        limit = starts[i] + most
-        while k < n and stops[k] < limit:
-            k += 1
-        size[i] = k
+    # The first that ends too far from the opening: a range as long as a chunk always, a shorter one never before its own place.
+    long = stops - starts >= most
+    reach = np.maximum.accumulate(np.where(long, np.iinfo(np.int64).min, stops))
+    places = np.append(np.flatnonzero(long), n)
+    size = np.minimum(np.searchsorted(reach, starts + most), places[np.searchsorted(places[:-1], np.arange(n), "right")])
     # The first that lies too far behind all before it: what a range reaches itself, carried on by those it reaches.
-    alone = np.searchsorted(starts, stops + gap)
-    wide = np.empty(n, np.int64)
+    alone = np.searchsorted(starts, stops + gap).tolist()
+    wide = [n] * n
     for i in range(n - 1, -1, -1):
         at = i + 1
         while at < alone[i]:
@@ -39,7 +34,7 @@ def next_starts(starts: np.ndarray, stops: np.ndarray, most: int, gap: int) -> n
     return np.minimum(size, wide)
 
 
-def read_chunks(ranges: DataFrame, most: int = MAX_CHUNK, gap: int = MAX_GAP, part_chunks: int = PART_CHUNKS) -> DataFrame:
+def read_chunks(ranges: DataFrame, most: int = MAX_CHUNK, gap: int = MAX_GAP, part_chunks: int = PART_CHUNKS, part_rows: int = PART_ROWS) -> DataFrame:
     """(offset, length, ranges): byte ranges (offset, length) in the chunks in which they are read.
 
     In order of offset and length a range joins the chunk before it if it ends less than ``most`` bytes behind the
@@ -49,47 +44,65 @@ def read_chunks(ranges: DataFrame, most: int = MAX_CHUNK, gap: int = MAX_GAP, pa
     Where a chunk begins depends on all before it, so parts of the file are followed from every range at which
     one can be entered: those less than ``most`` bytes from its start. These ways from entry to entry are put
     together by doubling, a join a round, until each part's entry from the first range on is known; then all parts
-    are cut at once. A part holds ``part_chunks`` * ``most`` bytes, and equal ranges are one row with a count.
+    are cut at once. A part holds at least ``part_chunks`` * ``most`` bytes and, where that is fewer, goes on up to
+    ``part_rows`` rows, so that parts grow with the rows and not with the file. Equal ranges are one row with a count.
     """
     span = max(1, part_chunks) * most
+    piece = F.expr(f"(offset - pmod(offset, {span})) div {span}")
     each = ranges.where("offset IS NOT NULL AND length IS NOT NULL").groupBy("offset", (F.col("offset") + F.col("length")).alias("stop")).agg(F.count(F.lit(1)).alias("n"))
-    rows = store(each.select(F.floor(F.col("offset") / span).alias("part"), "offset", "stop", "n"))
-    head = F.min(F.struct("offset", "stop"))
-    beyond = F.min(F.when(F.col("offset") >= F.col("part") * span + most, F.struct("offset", "stop")))
-    parts = rows.groupBy("part").agg(head.alias("head"), beyond.alias("beyond"))
+    rows = store(each.select(piece.alias("piece"), "offset", "stop", "n"))
+
+    def together(batches):
+        part, held = None, 0
+        for batch in batches:
+            parts = []
+            for place, n in zip(batch["piece"].tolist(), batch["rows"].tolist(), strict=True):
+                if part is None or held + n > part_rows:
+                    part, held = place, 0
+                held += n
+                parts.append(part)
+            yield pd.DataFrame({"piece": batch["piece"], "part": parts})
+
+    # A part is named by its first piece. Neighbours are put together within ranges of pieces, each in order.
+    pieces = rows.groupBy("piece").agg(F.count(F.lit(1)).alias("rows")).repartitionByRange("piece").sortWithinPartitions("piece")
+    pieces = store(pieces.mapInPandas(together, "piece bigint, part bigint"))
+    near = F.col("offset") < F.col("part") * span + most
+    at = F.struct("offset", "stop")
+    parts = rows.join(maybe_broadcast(pieces, 16), "piece").groupBy("part").agg(F.min(at).alias("head"), F.min(F.when(~near, at)).alias("beyond"))
     later = Window.orderBy("part")
-    parts = parts.withColumns({"next": F.lead("part").over(later), "next_head": F.lead("head").over(later), "next_beyond": F.lead("beyond").over(later), "third": F.lead("head", 2).over(later)})
     # The first range behind those that a part sees: its own, and of the next part what lies within a chunk's size.
-    follows = F.when(F.col("next") == F.col("part") + 1, F.coalesce("next_beyond", "third")).otherwise(F.col("next_head"))
-    parts = store(parts.select("part", "head", "beyond", follows.alias("after")))
-    halo = rows.where(F.col("offset") < F.col("part") * span + most).join(F.broadcast(parts.select(F.col("part").alias("p"))), F.col("part") == F.col("p") + 1).select(F.col("p").alias("part"), "offset", "stop", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("copies"))
-    seen = rows.withColumn("copies", F.col("n")).unionByName(halo)
-    ends = maybe_broadcast(parts.select("part", F.col("after.offset").alias("after_offset"), F.col("after.stop").alias("after_stop"), F.col("beyond.offset").alias("b_offset"), F.col("beyond.stop").alias("b_stop")), 48)
-    seen = store(seen.join(ends, "part"))
+    follows = F.coalesce(F.lead("beyond").over(later), F.lead("head", 2).over(later))
+    parts = store(parts.select("part", "beyond", F.lag("part").over(later).alias("before"), follows.alias("after")))
+    ends = parts.select("part", F.col("after.offset").alias("after_offset"), F.col("after.stop").alias("after_stop"), F.col("beyond.offset").alias("b_offset"), F.col("beyond.stop").alias("b_stop"))
+    pieces = store(pieces.join(parts.select("part", "before"), "part"))
+    own = F.struct("part", F.lit(True).alias("own"))
+    halo = F.when(near & F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(False).alias("own")))
+    seen = rows.join(maybe_broadcast(pieces, 24), "piece").select("offset", "stop", "n", F.explode(F.array_compact(F.array(own, halo))).alias("of")).select("of.part", "of.own", "offset", "stop", "n")
 
     def in_order(group: pd.DataFrame) -> tuple:
         group = group.sort_values(["offset", "stop"], kind="stable")
         starts, stops = group["offset"].to_numpy(np.int64), group["stop"].to_numpy(np.int64)
-        return group, starts, stops, next_starts(starts, stops, most, gap)
+        return starts, stops, group["own"].to_numpy(bool), group["n"].to_numpy(np.int64), next_starts(starts, stops, most, gap)
 
-    def ways(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group, starts, stops, jump = in_order(group)
-        own = group["n"].to_numpy() > 0
-        n, first = len(group), group.iloc[0]
-        exit_ = np.empty(n, np.int64)
+    def ways(key: tuple, group: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        starts, stops, own, _, jump = in_order(group)
+        n, end = len(group), {c: ends[c].iloc[0] for c in ends}
+        stays, exit_ = np.append(own, False)[jump].tolist(), jump.tolist()
         for i in range(n - 1, -1, -1):
-            exit_[i] = exit_[jump[i]] if jump[i] < n and own[jump[i]] else jump[i]
-        at = np.flatnonzero(own & ((starts < key[0] * span + most) | (np.arange(n) == np.argmax(own)) | (starts == first["b_offset"]) & (stops == first["b_stop"])))
-        to = exit_[at]
-        last = pd.isna(first["after_offset"])
+            if stays[i]:
+                exit_[i] = exit_[exit_[i]]
+        at = np.flatnonzero(own & ((starts < key[0] * span + most) | (np.arange(n) == np.argmax(own)) | (starts == end["b_offset"]) & (stops == end["b_stop"])))
+        to = np.array(exit_, np.int64)[at]
+        last = pd.isna(end["after_offset"])
         known = to < n
-        offset = pd.array(np.where(known, starts[np.minimum(to, n - 1)], 0 if last else int(first["after_offset"])), "Int64")
-        stop = pd.array(np.where(known, stops[np.minimum(to, n - 1)], 0 if last else int(first["after_stop"])), "Int64")
+        offset = pd.array(np.where(known, starts[np.minimum(to, n - 1)], 0 if last else int(end["after_offset"])), "Int64")
+        stop = pd.array(np.where(known, stops[np.minimum(to, n - 1)], 0 if last else int(end["after_stop"])), "Int64")
         if last:
             offset[~known] = stop[~known] = pd.NA
         return pd.DataFrame({"offset": starts[at], "stop": stops[at], "to_offset": offset, "to_stop": stop})
 
-    way = store(seen.groupBy("part").applyInPandas(ways, "offset bigint, stop bigint, to_offset bigint, to_stop bigint").where("to_offset IS NOT NULL"))
+    way = seen.groupBy("part").cogroup(ends.groupBy("part")).applyInPandas(ways, "offset bigint, stop bigint, to_offset bigint, to_stop bigint")
+    way = store(way.where("to_offset IS NOT NULL"))
     entered = store(rows.orderBy("offset", "stop").limit(1).select("offset", "stop"))
     for _ in range(max(1, parts.count()).bit_length()):
         step = way.join(maybe_broadcast(entered, 16), ["offset", "stop"]).select(F.col("to_offset").alias("offset"), F.col("to_stop").alias("stop"))
@@ -99,21 +112,25 @@ def read_chunks(ranges: DataFrame, most: int = MAX_CHUNK, gap: int = MAX_GAP, pa
         for old in (entered, way):
             forget(old)
         entered, way = more, twice
-    entry = maybe_broadcast(store(entered.select(F.floor(F.col("offset") / span).alias("part"), F.col("offset").alias("e_offset"), F.col("stop").alias("e_stop"))), 24)
-
-    def cut(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group, starts, stops, jump = in_order(group)
-        own, copies = group["n"].to_numpy() > 0, group["copies"].to_numpy(np.int64)
-        first = group.iloc[0]
-        at = int(np.flatnonzero((starts == first["e_offset"]) & (stops == first["e_stop"]))[0])
-        out = []
-        while at < len(group) and own[at]:
-            to = jump[at]
+    entry = entered.withColumn("piece", piece).join(pieces, "piece").select("part", F.col("offset").alias("e_offset"), F.col("stop").alias("e_stop"))
+
+    def cut(group: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        # A part without an entry was taken whole by a chunk of the part before.
+        out = {"offset": [], "length": [], "ranges": []}
+        if len(entry):
+            starts, stops, own, copies, jump = in_order(group)
+            (at,) = np.flatnonzero(own & (starts == entry["e_offset"].iloc[0]) & (stops == entry["e_stop"].iloc[0]))
+            following, owned, opened = jump.tolist(), own.tolist(), []
+            while at < len(owned) and owned[at]:
+                opened.append(at)
+                at = following[at]
+            opened = np.array(opened)
             # A range as long as a chunk is read anew for each of its copies.
-            alone = copies[at] - 1 if stops[at] - starts[at] >= most else 0
-            out += [(starts[at], stops[at] - starts[at], 1)] * int(alone)
-            out.append((starts[at], stops[at:to].max() - starts[at], copies[at:to].sum() - alone))
-            at = to
-        return pd.DataFrame(out, columns=["offset", "length", "ranges"])
+            alone = np.where(stops[opened] - starts[opened] >= most, copies[opened] - 1, 0)
+            again = np.repeat(opened, alone)
+            out["offset"] = np.append(starts[opened], starts[again])
+            out["length"] = np.append(np.maximum.reduceat(stops[:at], opened) - starts[opened], stops[again] - starts[again])
+            out["ranges"] = np.append(np.add.reduceat(copies[:at], opened) - alone, np.ones(len(again), np.int64))
+        return pd.DataFrame(out, dtype=np.int64)
 
-    return seen.join(entry, "part").groupBy("part").applyInPandas(cut, "offset bigint, length bigint, ranges bigint")
+    return seen.groupBy("part").cogroup(entry.groupBy("part")).applyInPandas(cut, "offset bigint, length bigint, ranges bigint")

@@ -92,6 +92,35 @@ def test_chunks_at_the_limits(spark):
     assert read(far, 1 << 26, 1 << 18) == [(a, 100, 1) for a, _ in far]
 
 
+@pytest.mark.parametrize(("part", "rows", "kind"), [(1, 1, "dense"), (1, 20, "overlapping"), (2, 7, "long"), (1, 60, "long"), (1, 5, "sparse")])
+def test_chunks_of_parts_put_together(spark, part, rows, kind):
+    rng = random.Random(rows)
+    step, longest = {"dense": (12, 14), "sparse": (300, 40), "overlapping": (8, 90), "long": (60, 400)}[kind]
+    at, ranges = 2**60 if kind == "sparse" else -500, []
+    for _ in range(600):
+        at += rng.randint(0, step)
+        ranges += [(at, rng.randint(0, longest))] * rng.choice((1, 1, 1, 3))
+    table = spark.createDataFrame(ranges, "offset long, length long").repartition(3)
+    got = sorted(map(tuple, chunks.read_chunks(table, 100, 25, part, rows).collect()))
+    assert got == chunked(ranges, 100, 25)
+
+
+def test_parts_grow_with_rows_and_not_with_the_file(spark, monkeypatch):
+    parts = []
+
+    def kept(df, store=chunks.store):
+        out = store(df)
+        if "after" in out.columns:
+            parts.append(out.count())
+        return out
+
+    monkeypatch.setattr(chunks, "store", kept)
+    ranges = [(i * 2500, 10) for i in range(2000)]
+    got = chunks.read_chunks(spark.createDataFrame(ranges, "offset long, length long"), 100, 25)
+    assert got.count() == 2000
+    assert len(parts) == 1 and parts[0] <= 16
+
+
 def test_gap_of_uncapped_reads(spark):
     r = spark.createDataFrame([(0, 10), (110, 10), (219, 10)], "offset long, length long")
     assert sorted(map(tuple, reports.coalesce_ranges(r, 100).collect())) == [(0, 10, 1), (110, 119, 2)]
