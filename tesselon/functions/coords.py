@@ -166,25 +166,6 @@ def depth_first_key(z, x, y) -> Column:
     return F.concat(F.array_join(digits, ""), F.lit("4"))
 
 
-def hilbert_id(z, x, y) -> Column:
-    """Rank on the Hilbert curve of the level, behind all tiles of the levels above."""
-    one = F.lit(1).cast("bigint")
-
-    def step(acc: Column, i: Column) -> Column:
-        px, py = acc["px"], acc["py"]
-        right, low = _bit(px, i), _bit(py, i)
-        full = F.call_function("shiftleft", one, i) - 1
-        turned = low == 0
-        mirrored = turned & (right == 1)
-        nx = F.when(mirrored, full - py).when(turned, py).otherwise(px)
-        ny = F.when(mirrored, full - px).when(turned, px).otherwise(py)
-        digit = (right * 3).bitwiseXOR(low)
-        return F.struct(nx.alias("px"), ny.alias("py"), _long(acc["rank"] * 4 + digit).alias("rank"))
-
-    start = F.struct(_long(_c(x)).alias("px"), _long(_c(y)).alias("py"), F.lit(0).cast("bigint").alias("rank"))
-    return F.aggregate(_bits(z), start, step, lambda acc: acc["rank"]) + _long(F.floor((F.pow(F.lit(4.0), _c(z)) - 1) / 3))
-
-
 #: First Hilbert id of each level, the number of tiles of all levels above.
 LEVEL_STARTS = [(4**z - 1) // 3 for z in range(32)]
 
@@ -194,38 +175,80 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _constants(values: list[int]) -> Column:
+    """Array of numbers, given as one text that Spark turns into a constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _curve_tables() -> tuple[list[int], list[int]]:
+    """Four levels of the curve at a time: by turn, four bits of x and four of y their four digits of the rank and the next turn, and
+    by turn and digits the bits of x and y and the next turn. A turn exchanges the axes (bit 0) and mirrors both (bit 1)."""
+    there, back = [0] * 1024, [0] * 1024
+    for turn in range(4):
+        for x in range(16):
+            for y in range(16):
+                now, digits = turn, 0
+                for i in (3, 2, 1, 0):
+                    right, low = ((v >> i & 1) ^ now >> 1 for v in ((y, x) if now & 1 else (x, y)))
+                    digits = digits * 4 + (right * 3 ^ low)
+                    if low == 0:
+                        now ^= 1 | right << 1
+                there[turn << 8 | x << 4 | y] = digits << 2 | now
+                back[turn << 8 | digits] = x << 33 | y << 2 | now
+    return there, back
+
+
+_THERE, _BACK = _curve_tables()
+
+
+def _along_curve(z: Column, table: list[int], width: int, key) -> Column:
+    """The entries that a table gives from the level's coarsest bits on, put together, above the last turn. ``key`` picks the bits of a
+    step; levels that are no multiple of four have zeros in front, each of which exchanges the axes."""
+    entries = _constants(table)
+
+    def step(acc: Column, i: Column) -> Column:
+        at = F.shiftleft(acc.bitwiseAND(F.lit(3)), 8).bitwiseOR(key(i)).cast("int")
+        return F.shiftleft(acc.bitwiseAND(F.lit(-4)), width).bitwiseOR(F.get(entries, at))
+
+    places = F.sequence((z.cast("int") - 1).bitwiseAND(F.lit(-4)), F.lit(0), F.lit(-4))
+    return F.when(z > 0, F.aggregate(places, _long(z).bitwiseAND(F.lit(1)), step)).otherwise(F.lit(0).cast("bigint"))
+
+
+def _low_bits(value: Column, n: Column) -> Column:
+    return value.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")) - 1)
+
+
+def hilbert_id(z, x, y) -> Column:
+    """Rank on the Hilbert curve of the level, behind all tiles of the levels above."""
+    level = _c(z)
+
+    def rank(both: Column) -> Column:
+        bits = lambda i: F.call_function("shiftright", both, i + 28).bitwiseAND(F.lit(240)).bitwiseOR(F.call_function("shiftright", both, i).bitwiseAND(F.lit(15)))
+        return F.shiftrightunsigned(_along_curve(level, _THERE, 8, bits), 2)
+
+    both = F.shiftleft(_low_bits(_long(_c(x)), level), 32).bitwiseOR(_low_bits(_long(_c(y)), level))
+    return F.when(level > 0, _let(both, rank)).otherwise(F.lit(0).cast("bigint")) + F.get(_constants(LEVEL_STARTS), level.cast("int"))
+
+
 def hilbert_level(tile_id) -> Column:
     """Level of a Hilbert id: the last one that does not begin behind it."""
-    starts = F.array(*[F.lit(v).cast("bigint") for v in LEVEL_STARTS])
-    return _let(_c(tile_id), lambda t: (F.size(F.filter(starts, lambda v: v <= t)) - 1).cast("bigint"))
+    # A level begins where 3 * id + 1 is a power of four.
+    digits = lambda t: F.shiftright(F.length(F.bin(t * 3 + 1)) - 1, 1)
+    return _let(_long(_c(tile_id)), lambda t: F.when(t >= LEVEL_STARTS[31], 31).when(t >= 0, digits(t)).otherwise(-1).cast("bigint"))
 
 
 def hilbert_tile(tile_id) -> Column:
-    """Struct (z, x, y) of a Hilbert id, the inverse of ``hilbert_id``: digits are read from the finest one up, each
-    of which turns or mirrors the square of the finer ones and puts it in its quarter. Negative ids give null."""
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    starts = F.array(*[F.lit(v).cast("bigint") for v in LEVEL_STARTS])
-
-    def step(acc: Column, i: Column, rank: Column) -> Column:
-        full = F.call_function("shiftleft", one, i)
-        digit = F.call_function("shiftright", rank, i * 2).bitwiseAND(F.lit(3))
-        right = F.shiftright(digit, 1)
-        low = digit.bitwiseXOR(right).bitwiseAND(F.lit(1))
-        x, y = acc["x"], acc["y"]
-        mirrored = (low == 0) & (right == 1)
-        nx = F.when(mirrored, full - 1 - y).when(low == 0, y).otherwise(x)
-        ny = F.when(mirrored, full - 1 - x).when(low == 0, x).otherwise(y)
-        return F.struct(_long(nx + full * right).alias("x"), _long(ny + full * low).alias("y"))
+    """Struct (z, x, y) of a Hilbert id, the inverse of ``hilbert_id``. Negative ids give null."""
 
     def place(z: Column, rank: Column) -> Column:
-        digits = F.when(z > 0, F.sequence(F.lit(0), z.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-        at = F.aggregate(digits, F.struct(zero.alias("x"), zero.alias("y")), lambda acc, i: step(acc, i, rank))
-        return _let(at, lambda p: F.struct(z.alias("z"), p["x"].alias("x"), p["y"].alias("y")))
+        at = _along_curve(z, _BACK, 4, lambda i: F.call_function("shiftright", rank, i * 2).bitwiseAND(F.lit(255)))
+        return _let(at, lambda p: F.struct(z.alias("z"), F.shiftrightunsigned(p, 33).alias("x"), F.shiftright(p, 2).bitwiseAND(F.lit((1 << 31) - 1)).alias("y")))
 
     def of(t: Column) -> Column:
-        return F.when(t >= 0, _let(hilbert_level(t), lambda z: _let(t - F.element_at(starts, (z + 1).cast("int")), lambda rank: place(z, rank))))
+        rank = lambda z: _low_bits(t - F.get(_constants(LEVEL_STARTS), z.cast("int")), z * 2)
+        return F.when(t >= 0, _let(hilbert_level(t), lambda z: _let(rank(z), lambda r: place(z, r))))
 
-    return _let(_c(tile_id), of)
+    return _let(_long(_c(tile_id)), of)
 
 
 def hilbert_ranges(level: int, box: tuple[int, int, int, int], most: int = 64) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,32 @@ def test_hilbert_back(spark):
             assert tuple(r.t) == tile_key(r.id) and r.z == r.t.z
 
 
+def test_hilbert_of_all_levels(spark):
+    rng = random.Random(2)
+    tiles = [(z, *(rng.choice((0, (1 << z) - 1, rng.randrange(1 << z))) for _ in "xy")) for z in range(32) for _ in range(40)]
+    table = spark.createDataFrame([*tiles, (3, None, 1), (None, 1, 1)], "z long, x long, y long").withColumn("id", C.hilbert_id("z", "x", "y"))
+    for r in table.withColumn("t", C.hilbert_tile("id")).collect():
+        if r.z is None or r.x is None:
+            assert r.id is None and r.t is None
+        else:
+            assert r.id == hilbert_number(r.z, r.x, r.y) and tuple(r.t) == (r.z, r.x, r.y)
+
+
+def test_hilbert_takes_few_steps(spark):
+    """Four levels a step: less time for an id and its tile than for a Morton number, which goes bit by bit."""
+    at = spark.range(0, 400_000, 1, 4).select(F.lit(30).cast("long").alias("z"), (F.col("id") * 2311 % (1 << 30)).alias("x"), (F.col("id") * 1543 % (1 << 30)).alias("y"))
+
+    def seconds(value):
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            at.select(F.max(value)).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(C.hilbert_tile(C.hilbert_id("z", "x", "y"))) < 2 * seconds(C.morton("z", "x", "y"))
+
+
 @pytest.mark.parametrize("most", [1, 4, 1000])
 def test_hilbert_ranges(most):
     rng = random.Random(most)
