@@ -406,12 +406,108 @@ def cover(shapes: DataFrame, level: int, margin: float = 0.0, keep_parts: bool =
 
 
 def tiles_met(covered: DataFrame, tiles: DataFrame, level: int) -> DataFrame:
-    """(index, x, y) for each tile (x, y) of a level and shape that meet: the tile's ancestors join with the cover's cells.
-    A whole cell is one row, whatever it holds, so nothing is exploded but the tiles, level + 1 times at most."""
-    up = tiles.select("x", "y").distinct().select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(level))).alias("up"))
-    up = up.select("x", "y", (F.lit(level) - F.col("up")).alias("cz"), F.expr("shiftright(x, up)").alias("cx"), F.expr("shiftright(y, up)").alias("cy"))
-    cells = covered.select("index", F.col("z").alias("cz"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    return up.join(cells, ["cz", "cx", "cy"]).select("index", "x", "y")
+    """(index, x, y) for each tile (x, y) of a level and shape that meet: a cell of the cover is a range of columns and rows."""
+    return _in_ranges(_cell_ranges(covered, level), tiles, level)
+
+
+def tiles_of(shapes: DataFrame, tiles: DataFrame, level: int, margin: float = 0.0) -> DataFrame:
+    """``tiles_met`` of the cover of planar shapes. An upright rectangle needs no cover: its columns and rows are two
+    ranges between its sides. Other shapes go down the quadtree, if there are any."""
+    mine = private_names(["index", "kind", "parts"], "mine")[0]
+    found = shapes.select("index", "kind", "parts", _rectangle_ranges(level, margin)("kind", "parts").alias(mine))
+    ends = [F.get(mine, F.lit(i)).alias(n) for i, n in enumerate(("x0", "x1", "y0", "y1"))]
+    ranges = found.where(F.col(mine).isNotNull()).select("index", *ends).where("x0 <= x1 AND y0 <= y1")
+    others = store(found.where(F.col(mine).isNull()).drop(mine))
+    if not others.isEmpty():
+        ranges = ranges.unionByName(_cell_ranges(cover(others, level, margin, keep_parts=False), level))
+    return _in_ranges(ranges, tiles, level)
+
+
+def _met_between(low: np.ndarray, high: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last column of a level that share some width with what lies between two places, by the ends of the columns
+    themselves; the first is beyond the last if none does."""
+    width, half, n = G.WORLD / 2**level, G.WORLD / 2, 1 << level
+    near = lambda v: np.floor(np.clip((v + half) / width, -1, n)).astype(np.int64)
+    west = lambda c: c * width - half
+    a, b = near(low), near(high)
+    first = a + (west(a + 1) <= low) - (west(a) > low)
+    last = b - (west(b) >= high) + (west(b + 1) < high)
+    return np.maximum(first, 0), np.minimum(last, n - 1)
+
+
+def _rectangle_ranges(level: int, margin: float):
+    """First and last column and row of the tiles that an upright rectangle meets, null for every other shape."""
+
+    @F.arrow_udf("array<bigint>")
+    def ranges(kind: pa.Array, parts: pa.Array) -> pa.Array:
+        sizes = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero((kind.fill_null(0).to_numpy(zero_copy_only=False) == AREA) & (sizes(parts) == 1))
+        rings = parts.take(pa.array(at)).flatten()
+        five = np.flatnonzero(sizes(rings) == 5)
+        points = rings.take(pa.array(five)).flatten()
+        flat = (sizes(points) == 2).reshape(-1, 5).all(axis=1)
+        at, points = at[five][flat], points.filter(pa.array(np.repeat(flat, 5)))
+        p = points.flatten().to_numpy(zero_copy_only=False).reshape(-1, 5, 2)
+        same = p[:, :4] == p[:, 1:]
+        turned = (same == [[0, 1], [1, 0], [0, 1], [1, 0]]).all(axis=(1, 2)) | (same == [[1, 0], [0, 1], [1, 0], [0, 1]]).all(axis=(1, 2))
+        low, high = p.min(axis=1), p.max(axis=1)
+        box = turned & (p[:, 0] == p[:, 4]).all(axis=1) & np.isfinite(high - low).all(axis=1)
+        at, low, high = at[box], low[box] - margin, high[box] + margin
+        ends = np.stack([*_met_between(low[:, 0], high[:, 0], level), *_met_between(-high[:, 1], -low[:, 1], level)], axis=1)
+        mask = np.ones(len(kind), bool)
+        mask[at] = False
+        offsets = np.concatenate([[0], np.cumsum(np.where(mask, 0, 4))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ends.ravel(), pa.int64()), mask=pa.array(mask))
+
+    return ranges
+
+
+def _cell_ranges(covered: DataFrame, level: int) -> DataFrame:
+    first = lambda c: F.expr(f"shiftleft({c}, {level} - z)")
+    last = lambda c: F.expr(f"shiftleft({c} + 1, {level} - z) - 1")
+    return covered.select("index", first("x").alias("x0"), last("x").alias("x1"), first("y").alias("y0"), last("y").alias("y1"))
+
+
+def _grids(level: int) -> list[tuple[int, int]]:
+    """Blocks of 2**a rows and 2**b columns in which tiles and ranges of one size meet, from fine to coarse."""
+    return [(2, 6), *((a, a + 10) for a in range(2, max(3, level - 8), 2))]
+
+
+def _begins(columns: pa.Array, bits: pa.Array) -> pa.Array:
+    """How many of a block's columns lie before each sixteenth of it, and how many there are."""
+    n = len(columns)
+    sizes = columns.value_lengths().to_numpy(zero_copy_only=False)
+    shift = np.repeat(bits.to_numpy(zero_copy_only=False) - 4, sizes)
+    mark = np.repeat(np.arange(n) * 17 + 1, sizes) + (columns.flatten().to_numpy(zero_copy_only=False) >> shift & 15)
+    begins = np.cumsum(np.bincount(mark, minlength=17 * n).reshape(n, 17), axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 17, pa.int32()), pa.array(begins.ravel(), pa.int32()))
+
+
+def _in_ranges(ranges: DataFrame, tiles: DataFrame, level: int) -> DataFrame:
+    """(index, x, y) of the tiles in each range (index, x0, x1, y0, y1). In a block of a grid each row of tiles is one list
+    of columns, with the places in it at which each sixteenth of the block begins. A range meets the rows of a few
+    blocks of the grid of its size and takes a part of each list: what is shuffled are ranges and tiles, not the pairs."""
+    grids = _grids(level)
+    tasks = max(8, int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = ["grid_rows", "grid_columns", "block", "run"]
+    grid = lambda a, b: F.struct(F.lit(a).alias("grid_rows"), F.lit(b).alias("grid_columns"))
+    t = tiles.select(F.col("x").cast("int").alias("x"), F.col("y").cast("bigint").alias("y")).distinct()
+    t = t.withColumn("grid", F.explode(F.array(*[grid(*g) for g in grids]))).select("x", "y", "grid.*")
+    t = t.withColumns({"block": F.expr("shiftright(y, grid_rows)"), "run": F.expr("shiftright(x, grid_columns)").cast("bigint")})
+    t = t.repartition(tasks, *key).groupBy(*key, "y").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    lists = t.withColumn("begins", F.arrow_udf(_begins, "array<int>")("xs", "grid_columns"))
+
+    blocks = lambda a, b: (F.shiftright("y1", a) - F.shiftright("y0", a) < 1024) & (F.shiftright("x1", b) - F.shiftright("x0", b) < (4 if b == 6 else 64))
+    mine = reduce(lambda coarse, g: F.when(blocks(*g), grid(*g)).otherwise(coarse), grids[-2::-1], grid(*grids[-1]))
+    r = ranges.withColumn("grid", mine).select("index", "x0", "x1", "y0", "y1", "grid.*")
+    r = r.withColumn("block", F.explode(F.sequence(F.expr("shiftright(y0, grid_rows)"), F.expr("shiftright(y1, grid_rows)"))))
+    r = r.withColumn("run", F.explode(F.sequence(F.expr("shiftright(x0, grid_columns)"), F.expr("shiftright(x1, grid_columns)"))))
+    met = r.repartition(tasks, *key).join(lists.hint("shuffle_hash"), key).where("y BETWEEN y0 AND y1")
+    west = F.expr("shiftleft(run, grid_columns)")
+    place = lambda v: F.expr(f"CAST(shiftright({v}, grid_columns - 4) - shiftleft(run, 4) AS int)")
+    met = met.withColumns({"from": F.when(F.col("x0") <= west, 0).otherwise(F.get("begins", place("x0"))), "to": F.get("begins", F.least(place("x1"), F.lit(15)) + 1)})
+    met = met.select("index", "x0", "x1", F.explode(F.slice("xs", F.col("from") + 1, F.col("to") - F.col("from"))).alias("x"), "y")
+    return met.where("x BETWEEN x0 AND x1").select("index", F.col("x").cast("bigint"), "y")
 
 
 # --- drawing -------------------------------------------------------------------------------------

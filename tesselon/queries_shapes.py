@@ -129,7 +129,7 @@ def shape_tiles(spark, sf_dir):
     h = F.when(F.col("event_id") % 1000 == 7, C.WORLD / 5).otherwise(2000.0 * (1 + F.col("event_id") % 37))
     b = table(spark, sf_dir, "events").select(F.col("event_id").alias("index"), F.lit(3).alias("kind"), x.alias("x"), y.alias("y"), h.alias("h"))
     shapes = b.select("index", "kind", _ring(F.col("x") - F.col("h"), F.col("y") - F.col("h") / 2, F.col("x") + F.col("h"), F.col("y") + F.col("h") / 2).alias("parts"))
-    return importer.tiles_met(importer.cover(shapes, 12, keep_parts=False), tiled(spark, sf_dir, 12), 12)
+    return importer.tiles_of(shapes, tiled(spark, sf_dir, 12), 12)
 
 
 @query(f""", c AS (SELECT o_orderkey, o_orderstatus, {_BASE_SQL.format(w=_W, k="o_orderkey", x="cx", y="cy")}, o_totalprice / 50 AS h FROM orders),

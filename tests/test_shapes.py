@@ -305,6 +305,59 @@ def test_cover_grows_with_the_border(spark):
     assert importer.tiles_met(importer.cover(world, 8), keys, 8).count() == 9
 
 
+def _rectangle(x0, y0, x1, y1, turn=0):
+    ring = [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+    ring = (ring[::-1] if turn % 2 else ring)[turn // 2 :] + (ring[::-1] if turn % 2 else ring)[: turn // 2]
+    return [[*ring, ring[0]]]
+
+
+def test_rectangles_need_no_cover(spark, monkeypatch):
+    """Their tiles are told from their sides, also where these lie on the ends of tiles, outside the world or around all of it."""
+    import random
+
+    def no_cover(*args, **how):
+        raise AssertionError("a rectangle goes down the quadtree")
+
+    monkeypatch.setattr(importer, "cover", no_cover)
+    draw = random.Random(3)
+    for level in (0, 5, 12, 13):
+        width, half, n = G.WORLD / 2**level, G.WORLD / 2, 1 << level
+        boxes = [(-2 * half, -2 * half, 2 * half, 2 * half), (half, 0.0, 2 * half, 5.0), (-half, -half, -half + width, -half + width), (0.0, 0.0, width, 2 * width), (1.0, 1.0, 2.0, 1e300)]
+        for _ in range(80):
+            x, y, w, h = draw.uniform(-half, half), draw.uniform(-half, half), 10 ** draw.uniform(0, 7.5), 10 ** draw.uniform(0, 7.5)
+            boxes.append((x, y, x + w, y + h))
+        keys = sorted({(min(n - 1, int(draw.random() ** 3 * n)), draw.randrange(n)) for _ in range(3000)} | {(n // 2, n // 2 - 1), (n // 2, max(0, n // 2 - 2)), (0, n - 1)})
+        shapes = spark.createDataFrame([(i, 3, _rectangle(*b, i % 8)) for i, b in enumerate(boxes)], f"index long, kind int, parts {importer.PARTS}")
+        tiles = spark.createDataFrame([k for k in keys if k[1] >= 0] * 2, "x long, y long")
+        got = sorted(map(tuple, importer.tiles_of(shapes, tiles, level).collect()))
+        west, north = lambda x: x * width - half, lambda y: half - y * width
+        assert got == sorted((i, x, y) for i, b in enumerate(boxes) for x, y in keys if y >= 0 and b[0] < west(x + 1) and b[2] > west(x) and b[1] < north(y) and b[3] > north(y + 1))
+
+
+def test_tiles_of_all_shapes_are_those_of_the_cover(spark):
+    """Rectangles, triangles, rings with holes, lines and points together, and rows without parts, with a margin."""
+    import random
+
+    draw = random.Random(9)
+    at = lambda: [draw.uniform(-2e7, 2e7), draw.uniform(-2e7, 2e7)]
+    rows = [(0, 3, None), (1, 3, []), (2, 3, _rectangle(5.0, 5.0, 5.0, 9e6)), (3, 2, _rectangle(-9e6, -9e6, 9e6, 9e6)), (4, 3, _rectangle(-9e6, -9e6, 9e6, 9e6) + _rectangle(-8e6, -8e6, 8e6, 8e6)), (5, 3, [[[0.0, 0.0], [9e6, 0.0], [0.0, 9e6], [9e6, 9e6], [0.0, 0.0]]])]
+    for i in range(6, 40):
+        (x, y), w = at(), 10 ** draw.uniform(3, 7)
+        first = at()
+        rows.append([(i, 3, _rectangle(x, y, x + w, y + w / 3, i % 8)), (i, 3, [[first, at(), at(), first]]), (i, 2, [[first, at()]]), (i, 1, [[first]])][i % 4])
+    shapes = spark.createDataFrame(rows, f"index long, kind int, parts {importer.PARTS}")
+    for level, margin in ((6, 0.0), (9, 1000.0)):
+        keys = sorted({(draw.randrange(1 << level), draw.randrange(1 << level)) for _ in range(4000)})
+        tiles = spark.createDataFrame(keys, "x long, y long")
+        held = {}
+        for r in importer.cover(shapes, level, margin, keep_parts=False).collect():
+            held.setdefault((r.z, r.x, r.y), set()).add(r["index"])
+        expected = sorted((i, x, y) for x, y in keys for up in range(level + 1) for i in held.get((level - up, x >> up, y >> up), ()))
+        assert expected == sorted(map(tuple, importer.tiles_of(shapes, tiles, level, margin).collect()))
+        assert expected == sorted(map(tuple, importer.tiles_met(importer.cover(shapes, level, margin), tiles, level).collect()))
+        assert {i for i, _, _ in expected} >= {3, 4, 5} and not {0, 1, 2} & {i for i, _, _ in expected}
+
+
 def test_drawing_equals_cutting_each_tile(spark, shapes):
     flat, attributes = importer.planar(shapes)
     level = {6: flat}
